@@ -1,6 +1,21 @@
 """Name -> query over the driver's tables, and the SQL that gives the same rows where SQL can."""
 
+from presswork.llm.decontaminate import op6_decontaminate
+from presswork.llm.language_id import op7_language_id
+from presswork.llm.mixing import mixing_sql, op10_mixing
+from presswork.llm.sharding import op9_sharding
 from presswork.llm.suffix_dedup import op1_suffix_dedup
+from presswork.llm.url_reputation import OP3_SQL, op3_url_filter
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_language_id": op7_language_id,
+    "op9_sharding": op9_sharding,
+    "op10_mixing": op10_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": OP3_SQL,
+    "op10_mixing": mixing_sql(["source", "lang", "topic"]),
+}
