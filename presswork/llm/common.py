@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -24,11 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """Writes a frame to the shared folder and reads it back, which cuts its lineage.
 
-    Lost executors cost nothing but the running stage. The files are removed when Python exits.
+    Lost executors cost nothing but the running stage. The shuffle files behind it are removed once it is
+    written, its own files when Python exits.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/presswork-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,8 +6,8 @@ string of `length` bytes belongs to the trigger that it chooses itself, and so o
 share that trigger's phrase. What remains is to order the strings of each phrase:
 
 * dictionary: a phrase seen once ends here; a phrase that is the same wherever it occurs is repeated as a whole;
-* parse: phrases with several surroundings are compared as wholes, and then suffix by suffix, each cut at
-  `length` bytes. Only whether two suffixes agree over `length` bytes matters, so the classes of the suffix
+* parse: phrases with several surroundings are compared as wholes, then in cells of neighbouring suffixes, and
+  where a cell has several surroundings too, suffix by suffix, each cut at `length` bytes. Only whether two suffixes agree over `length` bytes matters, so the classes of the suffix
   order are formed by hash (128 bits) and need no array of all suffixes in one place.
 
 All steps are joins and aggregations on hashes; a phrase that a third of all texts hold is counted map-side
@@ -25,6 +25,7 @@ from presswork.llm.common import staged, table
 from presswork.llm.textkit import Prefix, bytes_of, pieces, sliding_min
 
 GRAM = 16
+CELL = 8
 
 
 def _triggers(length: int, spread: int):
@@ -61,40 +62,92 @@ def _triggers(length: int, spread: int):
                         batch.column(1).take(pa.array(row + i)),
                         pa.array((lo - at[row]).astype(np.int32)),
                         pa.array((hi - lo + 1).astype(np.int32)),
+                        pa.array((t - lo).astype(np.int32)),
                         pa.array(pre.hash(t, t + core).view(np.int64)),
                         pa.array(pre.hash(lo, hi + length).view(np.int64)),
                     ],
-                    names=["id", "mark", "lo", "n", "phrase", "around"],
+                    names=["id", "mark", "lo", "n", "t", "phrase", "around"],
                 )
 
     return run
 
 
-def _suffixes(length: int):
-    """For (id, mark, text, parts: list of (lo, n, phrase)): the hashes of the `length`-byte suffixes of each part."""
+def _contexts(length: int):
+    """For (id, mark, text, parts: list of (lo, n, t, phrase)): each part with the bytes that its strings cover."""
 
     def run(batches):
         for batch in batches:
             parts = batch.column(3)
             part_at = np.asarray(parts.offsets, np.int64)
             flat = parts.values
-            los, ns = (np.asarray(flat.field(k)) for k in (0, 1))
-            for i, j, data, at in pieces(batch.column(2)):
-                a, b = int(part_at[i]), int(part_at[j])
-                if a == b:
-                    continue
-                row = np.repeat(np.arange(i, j), np.diff(part_at[i : j + 1]))
-                n = ns[a:b].astype(np.int64)
-                begin = at[row - i] + los[a:b]
+            los, ns = (np.asarray(flat.field(k), np.int64) for k in (0, 1))
+            data, at = bytes_of(batch.column(2))
+            row = np.repeat(np.arange(len(batch)), np.diff(part_at))
+            a, b = int(part_at[0]), int(part_at[-1])
+            begin = at[row] + los[a:b]
+            around = [data[x:y].tobytes() for x, y in zip(begin, begin + ns[a:b] - 1 + length, strict=True)]
+            columns = [batch.column(k).take(pa.array(row)) for k in (0, 1)] + [flat.field(k).slice(a, b - a) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(around, pa.binary())], names=["id", "mark", "lo", "n", "t", "phrase", "bytes"])
+
+    return run
+
+
+def _cells(length: int, width: int):
+    """For contexts: runs of up to `width` strings at the same distance from the trigger, with the hash of what all
+    of them cover together and of what they have in common."""
+
+    def run(batches):
+        for batch in batches:
+            lo, n, t = (np.asarray(batch.column(k), np.int64) for k in (2, 3, 4))
+            q0, q1 = (t - n + 1) // width, t // width  # distance of the string from the trigger: t - n + 1 .. t
+            each = q1 - q0 + 1
+            row = np.repeat(np.arange(len(batch)), each)
+            q = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + q0[row]
+            first = t[row] - np.minimum(q * width + width - 1, t[row])
+            last = np.minimum(t[row] - q * width, n[row] - 1)
+            core, full = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
+            cut = np.r_[0, np.cumsum(each)]
+            for i, j, data, at in pieces(batch.column(6)):
+                k = slice(cut[i], cut[j])
+                pre, base = Prefix(data), at[row[k] - i]
+                inner = base + (t[row] - q * width)[k]  # in all strings of the cell, also those that neighbours cut off
+                core[k] = pre.hash(inner, inner - width + 1 + length)
+                full[k] = pre.hash(base + first[k], base + last[k] + length)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(k).take(pa.array(row)) for k in (0, 1, 2, 5)),
+                    pa.array(first.astype(np.int32)),
+                    pa.array((last - first + 1).astype(np.int32)),
+                    pa.array(core.view(np.int64)),
+                    pa.array(full.view(np.int64)),
+                ],
+                names=["id", "mark", "lo", "phrase", "first", "n", "core", "full"],
+            )
+
+    return run
+
+
+def _suffixes(length: int):
+    """For contexts with cells: list of (first, n): the hash of each string in them."""
+
+    def run(batches):
+        for batch in batches:
+            cells = batch.column(5)
+            cell_at = np.asarray(cells.offsets, np.int64)
+            firsts, ns = (np.asarray(cells.values.field(k), np.int64) for k in (0, 1))
+            for i, j, data, at in pieces(batch.column(4)):
+                a, b = int(cell_at[i]), int(cell_at[j])
+                row = np.repeat(np.arange(i, j), np.diff(cell_at[i : j + 1]))
+                n = ns[a:b]
                 offsets = np.r_[0, np.cumsum(n)]
-                pos = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - begin, n)
+                pos = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - at[row - i] - firsts[a:b], n)
                 keys = Prefix(data).hash(pos, pos + length).view(np.int64)
+                lo = np.asarray(batch.column(2), np.int64)[row] + firsts[a:b]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(row)),
-                        batch.column(1).take(pa.array(row)),
-                        pa.array(los[a:b]),
-                        flat.field(2).slice(a, b - a),
+                        *(batch.column(k).take(pa.array(row)) for k in (0, 1)),
+                        pa.array(lo.astype(np.int32)),
+                        batch.column(3).take(pa.array(row)),
                         pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys)),
                     ],
                     names=["id", "mark", "lo", "phrase", "keys"],
@@ -140,6 +193,10 @@ def _cut(length: int):
     return run
 
 
+def _same(a: DataFrame, b: DataFrame):
+    return a["id"].eqNullSafe(b["id"]) & (a["mark"] == b["mark"])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, spread: int = 150) -> DataFrame:
     """Removes each byte that lies in a `length`-byte string which also starts anywhere else in the corpus.
 
@@ -150,26 +207,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
-    found = rows.where(F.octet_length("text") >= length).mapInArrow(_triggers(length, spread), f"id {id_type}, mark long, lo int, n int, phrase long, around long")
-    dictionary = found.groupBy("phrase").agg(F.count("*").alias("c"), F.min("around").alias("a"), F.max("around").alias("b")).where("c > 1").select("phrase", (F.col("a") != F.col("b")).alias("several"))
-    parse = staged(found.join(dictionary, "phrase"))
+    long_rows = rows.where(F.octet_length("text") >= length)
+    found = long_rows.mapInArrow(_triggers(length, spread), f"id {id_type}, mark long, lo int, n int, t int, phrase long, around long")
+    dictionary = found.groupBy("phrase").agg(F.count("*").alias("c"), F.min("around").alias("a"), F.max("around").alias("b")).where("c > 1")
+    parse = staged(found.join(dictionary.select("phrase", (F.col("a") != F.col("b")).alias("several")), "phrase"))
+
     several = parse.where("several")
-    around = staged(several.groupBy("phrase", "around").agg(F.count("*").alias("c"), F.min(F.struct("mark", "lo", "n", "id")).alias("one")))
-    one = around.select("phrase", "one.*").groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "n", "phrase")).alias("parts"))
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["mark"] == b["mark"])
-    once = rows.where(F.octet_length("text") >= length)
-    with_text = once.join(one, same(once, one)).select(once["id"], once["mark"], "text", "parts")
-    suffixes = staged(with_text.mapInArrow(_suffixes(length), f"id {id_type}, mark long, lo int, phrase long, keys array<long>"))
+    around = staged(several.groupBy("phrase", "around").agg(F.count("*").alias("c"), F.min(F.struct("mark", "lo", "n", "t", "id")).alias("one")))
+    parts = around.select("phrase", "one.*").groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "n", "t", "phrase")).alias("parts"))
+    with_parts = long_rows.join(parts, _same(long_rows, parts)).select(long_rows["id"], long_rows["mark"], "text", "parts")
+    contexts = staged(with_parts.mapInArrow(_contexts(length), f"id {id_type}, mark long, lo int, n int, t int, phrase long, bytes binary"))
+
+    cells = contexts.mapInArrow(_cells(length, CELL), f"id {id_type}, mark long, lo int, phrase long, first int, n int, core long, full long")
+    cores = cells.groupBy("phrase", "core").agg(F.count("*").alias("c"), F.min("full").alias("a"), F.max("full").alias("b")).where("c > 1")
+    cells = staged(cells.join(cores.select("phrase", "core", (F.col("a") != F.col("b")).alias("several")), ["phrase", "core"]).drop("core", "full"))
+    open_cells = cells.where("several").groupBy("id", "mark", "lo").agg(F.collect_list(F.struct("first", "n")).alias("cells"))
+    with_cells = contexts.join(open_cells, _same(contexts, open_cells) & (contexts["lo"] == open_cells["lo"]))
+    with_cells = with_cells.select(contexts["id"], contexts["mark"], contexts["lo"], "phrase", "bytes", "cells")
+    suffixes = staged(with_cells.mapInArrow(_suffixes(length), f"id {id_type}, mark long, lo int, phrase long, keys array<long>"))
     each = suffixes.select("id", "mark", "lo", "phrase", F.posexplode("keys").alias("at", "key"))
-    # a row that stands in the table twice has its strings here twice; each string counts once
-    shared = each.groupBy("phrase", "key").agg(F.min(F.struct("mark", "lo", "at", "id")).alias("x"), F.max(F.struct("mark", "lo", "at", "id")).alias("y")).where(~F.col("x").eqNullSafe(F.col("y"))).select("phrase", "key")
+    shared = each.groupBy("phrase", "key").agg(F.count("*").alias("c")).where("c > 1").select("phrase", "key")
+
     spans = (
         parse.where("not several").select("id", "mark", "lo", "n")
         .unionByName(several.join(around.where("c > 1").select("phrase", "around"), ["phrase", "around"]).select("id", "mark", "lo", "n"))
+        .unionByName(cells.where("not several").select("id", "mark", (F.col("lo") + F.col("first")).alias("lo"), "n"))
         .unionByName(each.join(shared, ["phrase", "key"]).select("id", "mark", (F.col("lo") + F.col("at")).alias("lo"), F.lit(1).alias("n")))
     )
     spans = spans.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    whole = rows.join(spans, same(rows, spans), "left").select(rows["id"], "text", "spans")
+    whole = rows.join(spans, _same(rows, spans), "left").select(rows["id"], "text", "spans")
     out = whole.mapInArrow(_cut(length), f"id {id_type}, n_bytes long, kept binary, spans array<struct<start:int,end:int>>")
     return out.withColumnRenamed("id", id_col)
 
