@@ -3,6 +3,7 @@
 from presswork.llm.decontaminate import op6_decontaminate
 from presswork.llm.language_id import op7_language_id
 from presswork.llm.mixing import mixing_sql, op10_mixing
+from presswork.llm.near_dedup import op4_near_dedup
 from presswork.llm.sharding import op9_sharding
 from presswork.llm.suffix_dedup import op1_suffix_dedup
 from presswork.llm.url_reputation import OP3_SQL, op3_url_filter
@@ -10,6 +11,7 @@ from presswork.llm.url_reputation import OP3_SQL, op3_url_filter
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_near_dedup": op4_near_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_language_id": op7_language_id,
     "op9_sharding": op9_sharding,

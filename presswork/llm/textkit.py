@@ -71,12 +71,12 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.empty(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)), at
 
 
-def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, limit: int = 1 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole rows of about `limit` bytes: first row, last row + 1, their bytes, where each row starts in them."""
     data, at = bytes_of(column)
     i, n = 0, len(at) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1))
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
