@@ -4,7 +4,7 @@ Documents are sets of word shingles. A tree sends each set down a path of random
 minwise signature; sets that agree on the path meet in a node. Small nodes are compared exhaustively. In a
 large node all members are compared with one of them; after the links found so far have been closed to
 components, what is left to compare is members of different components: if few lie outside the largest
-component they are compared with all, else the node branches again, along two further coordinates. So a group
+component they are compared with all, in blocks, else the node branches again, along two further coordinates. So a group
 of thousands of copies costs comparisons in proportion to its size, and yet no pair of a node that could join
 two components goes uncompared. Independent trees are repeated until a pair at the threshold misses all of them
 with probability under one in a million. Every candidate is confirmed on the full sets.
@@ -24,13 +24,15 @@ from presswork.llm.textkit import LOWER, Prefix, bytes_of, mixed, pieces, words
 COORDINATES = 64
 DEPTH = 3
 TREES = 20  # (1 - 0.8 ** DEPTH) ** TREES < 1e-6
-SMALL = 32
-FEW = 256
+SMALL = 16
+FEW = 1024
+BLOCK, CHUNK = 64, 256
 BRANCHES = 2
 LEVELS = 8
 ROWS = 512
 _KEY = np.uint64(54)
 _X, _Y = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_LOW = np.uint64((1 << 54) - 1)
 _rng = np.random.default_rng(99)
 _MUL = _rng.integers(1, 2**32, COORDINATES, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, COORDINATES, dtype=np.uint32)
@@ -76,7 +78,7 @@ def _signatures(size: int):
                 n = np.bincount(row, minlength=j - i)
                 full = np.flatnonzero(n)
                 begin = (np.cumsum(n) - n)[full]
-                key = mixed(sets & np.uint64((1 << 54) - 1))
+                key = mixed(sets & _LOW)
                 sums = np.zeros((2, j - i), np.uint64)
                 sig = np.zeros((j - i, COORDINATES), np.uint32)
                 if len(full):
@@ -134,24 +136,36 @@ def _alike(cutoff: float):
     return run
 
 
-def _against_block(cutoff: float):
-    """(rep, comp, sig, block of up to 64 (rep, comp, sig)) -> alike pairs of different components."""
-
-    def run(batches):
-        for batch in batches:
-            block = batch.column(3)
-            cut = np.asarray(block.offsets)
-            other, other_comp = (np.asarray(block.values.field(k)) for k in (0, 1))
-            rep, comp, sig, sigs = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _sig_matrix(batch.column(2)), _sig_matrix(block.values.field(2))
-            found = [[], [], [], []]
-            for i in range(len(batch)):
-                k = slice(cut[i], cut[i + 1])
-                score = (sigs[k] == sig[i]).mean(1)
-                ok = np.flatnonzero((score >= cutoff) & (other_comp[k] != comp[i]))
-                for column, x in zip(found, (np.full(len(ok), rep[i]), other[k][ok], np.full(len(ok), comp[i]), score[ok]), strict=True):
-                    column.append(x)
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["rep", "other", "comp", "score"])
+def _links_in_block(size: int, share: int):
+    """Cogroup of up to BLOCK texts and about CHUNK others, (rep, comp, text) each: every exact link between two
+    components; of several between the same two, with the same text of the block, the first."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        reps, comps, sets = [], [], []
+        for side in (left, right):
+            reps.append(np.asarray(side["rep"]))
+            comps.append(np.asarray(side["comp"]))
+            rows = []
+            for i, _, data, at in pieces(side["text"].combine_chunks(), rows=ROWS):
+                found = shingle_sets(data, at, size)
+                rows.append((found >> _KEY).astype(np.int64) + i), rows.append(found & _LOW)
+            sets.append((np.concatenate(rows[::2] or [np.empty(0, np.int64)]), np.concatenate(rows[1::2] or [np.empty(0, np.uint64)])))
+        (row_m, key_m), (row_r, key_r) = sets
+        known, where = np.unique(key_m, return_inverse=True)
+        both = np.zeros((len(reps[1]), len(reps[0])), np.float32)
+        at = np.minimum(np.searchsorted(known, key_r), max(0, len(known) - 1))
+        hit = np.flatnonzero(known[at] == key_r) if len(known) else np.empty(0, np.int64)
+        for c in range(0, len(known), 1 << 14):  # the shared shingles, a slice of columns at a time
+            m, r = (where >= c) & (where < c + (1 << 14)), hit[(at[hit] >= c) & (at[hit] < c + (1 << 14))]
+            one, other = (np.zeros((len(x), min(1 << 14, len(known) - c)), np.float32) for x in reps)
+            one[row_m[m], where[m] - c] = 1
+            other[row_r[r], at[r] - c] = 1
+            both += other @ one.T
+        n_m, n_r = np.bincount(row_m, minlength=len(reps[0])), np.bincount(row_r, minlength=len(reps[1]))
+        ok = (100 * both >= share * (n_r[:, None] + n_m[None, :] - both)) & (both > 0) & (comps[1][:, None] != comps[0][None, :])
+        r, m = np.nonzero(ok)
+        _, first = np.unique(np.c_[m, comps[1][r]], axis=0, return_index=True) if len(r) else (None, np.empty(0, np.int64))
+        return pa.table({"a": pa.array(np.minimum(reps[0][m[first]], reps[1][r[first]])), "b": pa.array(np.maximum(reps[0][m[first]], reps[1][r[first]]))})
 
     return run
 
@@ -229,26 +243,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = _sized(paths.select("rep", F.explode("keys").alias("key")))
     links = confirmed(_first_pairs(nodes))
     comps = components(links)
-    large, tries, level = nodes.where(F.col("size") > SMALL).select("key", "rep"), 0, 0
+    large, level = nodes.where(F.col("size") > SMALL).select("key", "rep"), 0
     while True:
         left = _unsettled(large, comps, everything=level >= LEVELS)
         if left.isEmpty():
             break
-        few = left.where("few").join(sigs.select("rep", "sig"), "rep")
-        pairs = _cross_pairs(few, cutoff)
-        if tries == 0:  # the likeliest links first: they settle most of the rest
-            best = Window.partitionBy("other", "comp").orderBy(F.col("score").desc(), "rep")
-            pairs = pairs.withColumn("k", F.row_number().over(best)).where("k <= 4")
-        pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        more = _cross_links(left.where("few"), texts, size, share)
         branch = left.where("not few")
+        if branch.isEmpty():
+            comps = components(links.unionByName(more))
+            break
         children = branch.join(sigs.select("rep", "sig"), "rep").select("rep", "sig", "key").mapInArrow(_child_keys, "rep long, keys array<long>")
         nodes = _sized(children.select("rep", F.explode("keys").alias("key")))
-        links = staged(links.unionByName(confirmed(pairs.unionByName(_first_pairs(nodes)))).distinct())
+        links = staged(links.unionByName(more).unionByName(confirmed(_first_pairs(nodes))).distinct())
         comps = components(links)
-        large = nodes.where(F.col("size") > SMALL).select("key", "rep")
-        if tries == 0:
-            large = large.unionByName(left.where("few").select("key", "rep"))
-        tries, level = 1 - tries, level + 1
+        large, level = nodes.where(F.col("size") > SMALL).select("key", "rep"), level + 1
 
     found = classes.select("s1", "s2", "n", "rep").join(comps, classes["rep"] == comps["v"], "left").select("s1", "s2", "n", F.coalesce("comp", "rep").alias("comp"))
     out = signed.drop("sig").join(found, ["s1", "s2", "n"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")))
@@ -269,12 +278,23 @@ def _unsettled(nodes: DataFrame, comps: DataFrame, everything: bool) -> DataFram
     return checkpointed(placed.join(whole, "key").select("key", "rep", "comp", (F.col("comp") != F.col("top")).alias("minor"), "few"))
 
 
-def _cross_pairs(members: DataFrame, cutoff: float) -> DataFrame:
-    """Alike pairs (rep, other) of different components, `other` outside its node's largest: each in blocks of 64 against all."""
-    at = F.row_number().over(Window.partitionBy("key").orderBy("rep")) - 1
-    blocks = members.where("minor").withColumn("block", (at / 64).cast("int")).groupBy("key", "block").agg(F.collect_list(F.struct("rep", "comp", "sig")).alias("minors"))
-    met = members.join(blocks.select("key", "minors"), "key").select("rep", "comp", "sig", "minors")
-    return met.mapInArrow(_against_block(cutoff), "rep long, other long, comp long, score double").dropDuplicates(["rep", "other"])
+def _cross_links(members: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
+    """Links between different components of a node: all members outside its largest component against all members.
+
+    The former are dealt to blocks; a block meets each other text once, in groups of bounded size, however many
+    nodes they share.
+    """
+    minors = members.where("minor").groupBy("rep").agg(F.min("key").alias("fam"), F.first("comp").alias("comp"))
+    at = F.row_number().over(Window.partitionBy("fam").orderBy("rep")) - 1
+    minors = minors.withColumn("block", (at / BLOCK).cast("int"))
+    of_node = members.where("minor").select("key", "rep").join(minors.select("rep", "fam", "block"), "rep").select("key", "fam", "block").distinct()
+    met = staged(members.select("key", "rep", "comp").join(of_node, "key").select("fam", "block", "rep", "comp").distinct())
+    chunks = met.groupBy("fam", "block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    met = met.join(chunks, ["fam", "block"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    minors = minors.join(chunks, ["fam", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    left, right = (x.join(texts, x["rep"] == texts["id"]).select("fam", "block", "chunk", "rep", "comp", "text") for x in (minors, met))
+    group = ["fam", "block", "chunk"]
+    return staged(left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_links_in_block(size, share), "a long, b long").distinct())
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
