@@ -1,5 +1,33 @@
-"""Name -> query, and name -> the SQL that gives the same rows."""
+"""Name -> query, and name -> the SQL that gives the same rows; gathered from the modules of this package."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from presswork.plans.bindings import Tables
 
 FLAGSHIP = "c2_feed_manual"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of the tables under a name, with its SQL unless SQL can't express it."""
+
+    def register(build: Callable[[Tables], DataFrame]):
+        @wraps(build)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(Tables(spark, sf_dir))
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return build
+
+    return register
+
+
+from presswork.plans import feed_queries, live_queries, metric_queries, profile_queries, relational_queries, search_queries  # noqa: E402, F401
