@@ -1 +1,203 @@
-"""."""
+"""Recall, feed, re-ranking and sponsored queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from presswork.functions import scores
+from presswork.operators import feed
+from presswork.plans.bindings import with_views
+from presswork.plans.registry import query
+from presswork.plans.relational_queries import HISTORY, HOT, item_counts, user_profile
+
+P = "p AS (SELECT user_id, category, n::DOUBLE / sum(n) OVER (PARTITION BY user_id) AS weight, sum(n) OVER (PARTITION BY user_id) AS history_length FROM h)"
+ASKED = "r AS (SELECT request_id, user_id, event_ts FROM requests WHERE request_id % 10 = 0)"
+ART = "art AS (SELECT article_id, category, subcategory, title, coalesce(hot, 0) AS hot FROM articles LEFT JOIN hot USING (article_id))"
+RECALL = (HOT, HISTORY, P, ASKED, ART,
+          "tops AS (SELECT * FROM (SELECT category, article_id, hot, row_number() OVER (PARTITION BY category ORDER BY hot DESC, article_id) AS k FROM art) WHERE k <= 10)",
+          "ch AS (SELECT request_id, article_id, hot::DOUBLE AS recall_score, false AS fb, 'profile' AS source FROM r JOIN p USING (user_id) JOIN tops USING (category) UNION ALL "
+          "SELECT request_id, article_id, hot::DOUBLE, true, 'hot' FROM r, (SELECT article_id, hot FROM art ORDER BY hot DESC, article_id LIMIT 20))",
+          "seen AS (SELECT DISTINCT user_id, article_id FROM impressions WHERE clicked = 1)",
+          "rc AS (SELECT request_id, article_id, list_sort(list(DISTINCT source)) AS sources, max(recall_score) AS recall_score, bool_and(fb) AS is_fallback FROM ch GROUP BY ALL)",
+          "rec AS (SELECT rc.*, user_id FROM rc JOIN r USING (request_id) WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = r.user_id AND s.article_id = rc.article_id))")
+
+
+def asked(t):
+    return t.requests.where("request_id % 10 = 0")
+
+
+def catalog(t):
+    return t.articles.join(item_counts(t).select("article_id", "hot"), "article_id", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+
+
+def recalled(t):
+    """Profile topics and the hottest articles for each request, less what the user has clicked."""
+    requests, articles = asked(t), catalog(t)
+    by_topic = feed.topic_recall(requests, user_profile(t), articles, "user_id", "category", "hot", 10)
+    hottest = articles.orderBy(F.col("hot").desc(), "article_id").limit(20).select("article_id", F.col("hot").alias("recall_score"), F.lit(True).alias("is_fallback"))
+    fill = requests.select("request_id").crossJoin(F.broadcast(hottest))  # twenty rows for each request
+    merged = feed.merge_channels({"profile": by_topic, "hot": fill}).join(requests.select("request_id", "user_id"), "request_id")
+    return merged.join(t.impressions.where("clicked = 1").select("user_id", "article_id").distinct(), ["user_id", "article_id"], "left_anti")
+
+
+@query("c1_recall_union", with_views("articles", "impressions", more=RECALL) + "SELECT request_id, article_id, array_to_string(sources, '+') AS sources, recall_score, is_fallback FROM rec")
+def c1(t):
+    return recalled(t).select("request_id", "article_id", F.array_join("sources", "+").alias("sources"), "recall_score", "is_fallback")
+
+
+@query("f45_selected_reason", with_views("articles", "impressions", more=RECALL) + "SELECT CASE WHEN is_fallback THEN 'popular right now' WHEN list_contains(sources, 'profile') THEN 'matches your interests' ELSE 'popular right now' END AS reason, count(*)::BIGINT AS n FROM rec GROUP BY 1")
+def f45(t):
+    return recalled(t).groupBy(feed.selected_reason(F.col("sources"), F.col("is_fallback")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+FEED = (*RECALL, "dw AS (SELECT category, count(*)::DOUBLE / sum(count(*)) OVER () AS default_weight FROM articles GROUP BY category)",
+        "hl AS (SELECT DISTINCT user_id, history_length FROM p)",
+        "x AS (SELECT request_id, article_id, hot, coalesce(history_length, 0) AS hlen, coalesce(weight, 0) AS weight, default_weight FROM rec JOIN art USING (article_id) JOIN dw USING (category) LEFT JOIN hl USING (user_id) LEFT JOIN (SELECT user_id, category, weight FROM p) USING (user_id, category))",
+        "y AS (SELECT *, CASE WHEN hot > 0 THEN round(hot / (hot + 100.0), 6) ELSE 0.0 END::DOUBLE AS base_score, (0.1 + hlen / (hlen + 30.0) * 0.85)::DOUBLE AS alpha FROM x)",
+        "m AS (SELECT *, round(alpha * round(weight, 6) + (1 - alpha) * round(default_weight, 6), 6) AS topic_match_score FROM y)",
+        "f AS (SELECT *, round(base_score + topic_match_score, 6) AS final_score FROM m)",
+        "o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, article_id) AS rank FROM f)")
+
+
+def scored(t):
+    rows = recalled(t).select("request_id", "user_id", "article_id").join(catalog(t), "article_id")
+    profile = user_profile(t)
+    rows = rows.join(profile.groupBy("user_id").agg(F.max("history_length").alias("history_length")), "user_id", "left")
+    shares = t.articles.groupBy("category").agg(F.count("*").alias("n")).select("category", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("default_weight"))
+    out = feed.manual_scores(rows, profile, F.broadcast(shares))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("final_score").desc(), "article_id")))
+
+
+@query("c2_feed_manual", with_views("articles", "impressions", more=FEED) + "SELECT request_id, article_id, base_score, topic_match_score, final_score, rank::INT AS rank FROM o WHERE rank <= 20")
+def c2(t):
+    return scored(t).where("rank <= 20").select("request_id", "article_id", "base_score", "topic_match_score", "final_score", "rank")
+
+
+@query("l8_mmr_page")
+def l8(t):
+    """Ten of each request's thirty best, with articles of one topic or brand held apart."""
+    rows = scored(t).where("rank <= 30").select("request_id", "article_id", F.col("final_score").alias("relevance"), F.array("category", "subcategory").alias("topics"))
+    return feed.rerank_mmr(rows, 10, 0.2)
+
+
+@query("j21_pairwise_similarity", with_views("articles", "impressions", more=(*FEED, "tp AS (SELECT request_id, rank, [category, subcategory] AS tt FROM o JOIN articles USING (article_id) WHERE rank <= 5)")) +
+    "SELECT a.request_id, round(avg(len(list_intersect(a.tt, b.tt))::DOUBLE / len(list_distinct(list_concat(a.tt, b.tt)))), 6) AS similarity FROM tp a JOIN tp b ON a.request_id = b.request_id AND a.rank < b.rank GROUP BY a.request_id")
+def j21(t):
+    """Mean topic similarity of the pairs of a page's first five."""
+    from presswork.functions.text import jaccard
+
+    top = scored(t).where("rank <= 5").select("request_id", "rank", F.array("category", "subcategory").alias("topics"))
+    other = top.select("request_id", F.col("rank").alias("rank_b"), F.col("topics").alias("topics_b"))
+    return top.join(other, "request_id").where("rank < rank_b").groupBy("request_id").agg(F.round(F.avg(jaccard(F.col("topics"), F.col("topics_b"))), 6).alias("similarity"))
+
+
+@query("j22_candidate_recall", with_views("articles", "impressions", more=RECALL) + "SELECT count(*)::BIGINT AS requests, round(avg(hit::DOUBLE / n), 6) AS recall FROM (SELECT i.request_id, count(*) AS n, count(rc.article_id) AS hit FROM impressions i JOIN r USING (request_id) LEFT JOIN rc ON rc.request_id = i.request_id AND rc.article_id = i.article_id WHERE clicked = 1 GROUP BY 1)")
+def j22(t):
+    requests, articles = asked(t), catalog(t)
+    by_topic = feed.topic_recall(requests, user_profile(t), articles, "user_id", "category", "hot", 10)
+    hottest = articles.orderBy(F.col("hot").desc(), "article_id").limit(20).select("article_id")
+    found = by_topic.select("request_id", "article_id").unionByName(requests.select("request_id").crossJoin(F.broadcast(hottest))).distinct().withColumn("hit", F.lit(1))
+    relevant = t.impressions.where("clicked = 1 and request_id % 10 = 0").select("request_id", "article_id")
+    per = relevant.join(found, ["request_id", "article_id"], "left").groupBy("request_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+    return per.agg(F.count("*").alias("requests"), F.round(F.avg("recall"), 6).alias("recall"))
+
+
+@query("f22_features", with_views("articles", "impressions", more=(HISTORY, P, "dw AS (SELECT category, count(*)::DOUBLE / sum(count(*)) OVER () AS default_weight FROM articles GROUP BY category)", "hl AS (SELECT user_id, any_value(history_length) AS hl, count(*) AS topics FROM p GROUP BY user_id)",
+    "fs AS (SELECT article_id, min(event_ts) AS first_ts FROM impressions GROUP BY article_id)",
+    "w AS (SELECT *, count(*) OVER z AS pi, coalesce(sum(clicked) OVER z, 0) AS pc FROM impressions WINDOW z AS (PARTITION BY article_id ORDER BY event_ts, request_id, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+    "q AS (SELECT w.*, pc * 10 + pi AS hot, coalesce(weight, 0)::DOUBLE AS personal, default_weight, coalesce(hl, 0) AS hlen, coalesce(topics, 0) AS topics, first_ts FROM w JOIN articles USING (article_id) JOIN dw USING (category) JOIN fs USING (article_id) LEFT JOIN hl USING (user_id) LEFT JOIN (SELECT user_id, category, weight FROM p) USING (user_id, category))")) +
+    "SELECT request_id, article_id, clicked AS label, round(hot / (hot + 100.0), 6)::DOUBLE AS base_score, round(personal, 6) AS personalized_topic_score, round(default_weight, 6) AS default_topic_score, "
+    "round((0.1 + hlen / (hlen + 30.0) * 0.85) * personal + (1 - (0.1 + hlen / (hlen + 30.0) * 0.85)) * default_weight, 6)::DOUBLE AS topic_match_score, hlen::BIGINT AS user_behavior_score, topics::BIGINT AS user_topic_count, hot::BIGINT AS article_hot_score, pc::BIGINT AS article_click_count, pi::BIGINT AS article_impression_count, round(greatest(0, event_ts - first_ts) / 3600.0, 6)::DOUBLE AS article_age_hours FROM q")
+def f22(t):
+    return features(t).select(
+        "request_id", "article_id", "label", *(F.round(c, 6).alias(c) for c in ("base_score", "personalized_topic_score", "default_topic_score", "topic_match_score")),
+        "user_behavior_score", "user_topic_count", "article_hot_score", "article_click_count", "article_impression_count", F.round("article_age_hours", 6).alias("article_age_hours"),
+    )
+
+
+def features(t):
+    """The features of each impression, from what was known before it."""
+    from presswork.operators.ordered import prior_counts
+
+    rows = prior_counts(t.impressions, "article_id", ["event_ts", "request_id", "position"])
+    profile = user_profile(t)
+    length = profile.groupBy("user_id").agg(F.max("history_length").alias("user_behavior_score"), F.count("*").alias("user_topic_count"))
+    shares = t.articles.groupBy("category").agg(F.count("*").alias("n")).select("category", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("default_topic_score"))
+    first = t.impressions.groupBy("article_id").agg(F.min("event_ts").alias("first_ts"))
+    rows = rows.join(t.articles, "article_id").join(F.broadcast(shares), "category").join(first, "article_id").join(length, "user_id", "left").join(profile.select("user_id", "category", "weight"), ["user_id", "category"], "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("user_behavior_score", "user_topic_count")}).withColumn("personalized_topic_score", F.coalesce("weight", F.lit(0.0)))
+    alpha = scores.personal_share(F.col("user_behavior_score"))
+    rows = rows.withColumn("article_hot_score", scores.hot_score(F.col("prior_clicks"), F.col("prior_impressions")))
+    return rows.withColumns({
+        "label": F.col("clicked"), "base_score": scores.base_score(F.col("article_hot_score")),
+        "topic_match_score": alpha * F.col("personalized_topic_score") + (1 - alpha) * F.col("default_topic_score"),
+        "article_click_count": F.col("prior_clicks"), "article_impression_count": F.col("prior_impressions"),
+        "article_age_hours": F.greatest(F.lit(0), F.col("event_ts") - F.col("first_ts")) / 3600.0,
+    })
+
+
+@query("m1_als_topk")
+def m1(t):
+    """Articles for each user by factors of the clicks, with repeated clicks as confidence."""
+    from pyspark.ml.recommendation import ALS
+
+    clicks = t.impressions.where("clicked = 1").groupBy(F.col("user_id").cast("int").alias("user_id"), F.col("article_id").cast("int").alias("article_id")).agg(F.sum("clicked").cast("float").alias("rating"))
+    model = ALS(rank=32, maxIter=10, regParam=0.05, implicitPrefs=True, alpha=1.0, seed=42, userCol="user_id", itemCol="article_id", ratingCol="rating").fit(clicks)
+    best = model.recommendForAllUsers(20)
+    return best.select("user_id", F.posexplode("recommendations").alias("pos", "x")).select("user_id", (F.col("pos") + 1).alias("rank"), "x.article_id", "x.rating")
+
+
+@query("m2_gbt_scores")
+def m2(t):
+    """Boosted trees over the features, trained on the earlier requests and scored on the later ones."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    names = ["base_score", "personalized_topic_score", "default_topic_score", "topic_match_score", "user_behavior_score", "user_topic_count", "article_hot_score", "article_click_count", "article_impression_count", "article_age_hours"]
+    rows = VectorAssembler(inputCols=names, outputCol="x").transform(features(t).select("request_id", "article_id", "event_ts", "label", *names))
+    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=10, maxDepth=4, stepSize=0.1, seed=42).fit(rows.where("event_ts < 900000000"))
+    return model.transform(rows.where("event_ts >= 900000000")).select("request_id", "article_id", "label", vector_to_array("probability")[1].alias("score"))
+
+
+CAMPAIGNS = "cp AS (SELECT s_suppkey AS campaign_id, s_nationkey AS topic_id, greatest(s_acctbal, 0) * 100 AS budget, 40 + s_suppkey % 60 AS bid, 0.01 + (s_suppkey % 7) / 100.0 AS ctr FROM supplier)"
+
+
+def campaigns(t):
+    return t.supplier.select(
+        F.col("s_suppkey").alias("campaign_id"), F.col("s_nationkey").alias("topic_id"), (F.greatest("s_acctbal", F.lit(0.0)) * 100).alias("budget"),
+        (40 + F.col("s_suppkey") % 60).alias("bid"), (0.01 + F.col("s_suppkey") % 7 / 100.0).alias("ctr"),
+    )
+
+
+@query("c9_ad_eligibility", f"WITH {CAMPAIGNS}, sp AS (SELECT l_suppkey AS campaign_id, sum(l_quantity) AS spent FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), fq AS (SELECT l_suppkey AS campaign_id, o_custkey AS user_id, count(*) AS served FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL) "
+    "SELECT c_custkey AS user_id, campaign_id, round(bid * ctr, 6)::DOUBLE AS score FROM customer JOIN cp ON topic_id = c_nationkey LEFT JOIN sp USING (campaign_id) LEFT JOIN fq ON fq.campaign_id = cp.campaign_id AND fq.user_id = c_custkey WHERE budget - coalesce(spent, 0) > 0 AND coalesce(served, 0) < 2")
+def c9(t):
+    """Campaigns that may be shown to each user: topic met, budget and frequency left."""
+    spent = t.lineitem.where("l_returnflag = 'A'").groupBy(F.col("l_suppkey").alias("campaign_id")).agg(F.sum("l_quantity").alias("spent"))
+    shown = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("l_suppkey").alias("campaign_id"), F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("served"))
+    live = campaigns(t).join(spent, "campaign_id", "left").where(F.col("budget") - F.coalesce("spent", F.lit(0.0)) > 0)
+    pairs = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("topic_id")).join(live, "topic_id").join(shown, ["campaign_id", "user_id"], "left")
+    return pairs.where(F.coalesce("served", F.lit(0)) < 2).select("user_id", "campaign_id", F.round(F.col("bid") * F.col("ctr"), 6).alias("score"))
+
+
+@query("f42_pacing_limit", f"WITH {CAMPAIGNS} SELECT campaign_id, greatest(greatest(1, round_even(bid * ctr, 0)), round_even(budget * least(1.0, (campaign_id * 700 + 3600) / 86400.0), 0))::BIGINT AS allowed FROM cp")
+def f42(t):
+    spend = scores.expected_spend(F.col("bid"), F.col("ctr"))
+    return campaigns(t).select("campaign_id", scores.pacing_limit(spend, F.col("budget"), F.col("campaign_id") * 700).alias("allowed"))
+
+
+@query("c10_ad_reservation")
+def c10(t):
+    rows = t.events.select((F.col("user_id") % 20).alias("campaign_id"), F.to_date("ts").alias("day"), F.col("event_id").alias("request_id"), "user_id", (F.hour("ts") * 3600 + F.minute("ts") * 60).alias("second"))
+    limits = campaigns(t).where("campaign_id < 20").select("campaign_id", scores.expected_spend(F.col("bid") * 10, F.col("ctr")).alias("spend"), F.lit(200).alias("daily_budget"), F.lit(3).alias("frequency_cap"))
+    return feed.reserve(rows, limits)
+
+
+@query("c11_first_write", "SELECT user_id, min(event_id) FILTER (WHERE event_type = 'view') AS impression, min(event_id) FILTER (WHERE event_type = 'click') AS click, CASE WHEN min(event_id) FILTER (WHERE event_type = 'click') IS NOT NULL THEN 'clicked' WHEN min(event_id) FILTER (WHERE event_type = 'view') IS NOT NULL THEN 'confirmed' ELSE 'served' END AS status FROM events GROUP BY user_id")
+def c11(t):
+    """The first impression and click of each delivery count; later ones change nothing."""
+    first = lambda k: F.min(F.when(F.col("event_type") == k, F.col("event_id")))
+    per = t.events.groupBy("user_id").agg(first("view").alias("impression"), first("click").alias("click"))
+    return per.withColumn("status", F.when(F.col("click").isNotNull(), "clicked").when(F.col("impression").isNotNull(), "confirmed").otherwise("served"))
