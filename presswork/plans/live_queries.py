@@ -1 +1,126 @@
-"""."""
+"""Live-news queries over documents and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from presswork.functions import scores, text
+from presswork.operators import live
+from presswork.plans.registry import query
+
+#: Documents as live articles: found a minute apart, published before; the first line is the title.
+LIVE = "lv AS (SELECT doc_id AS article_id, string_split(coalesce(text, ''), chr(10))[1] AS title, source AS publisher, lang AS language, doc_id * 60 AS discovered_at, doc_id * 60 - doc_id % 97 * 3000 AS published_at, text FROM documents)"
+
+
+def live_articles(t):
+    return t.documents.select(
+        F.col("doc_id").alias("article_id"), F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("title"), F.col("source").alias("publisher"), F.col("lang").alias("language"),
+        (F.col("doc_id") * 60).alias("discovered_at"), (F.col("doc_id") * 60 - F.col("doc_id") % 97 * 3000).alias("published_at"), "text",
+    )
+
+
+HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1))"
+
+
+@query("p13_record_classify", f"""WITH r AS (SELECT page_id, url, {HOST} AS host, CASE WHEN page_id % 13 = 0 THEN '' WHEN page_id % 17 = 0 THEN 'Page expired' ELSE 'Title ' || page_id END AS title,
+ CASE WHEN page_id % 5 = 0 THEN 'de' ELSE 'en' END AS lang, (page_id % 40) * 7200 - 3600 AS age FROM pages)
+SELECT page_id, CASE WHEN NOT regexp_matches(url, '(?i)^https?://[^/?#]+') THEN 'invalid_metadata' WHEN ('.' || host) NOT LIKE '%.example.com' AND ('.' || host) NOT LIKE '%.example.org' THEN 'domain_not_allowed'
+ WHEN lang <> 'en' THEN 'unsupported_language' WHEN title = '' THEN 'missing_title' WHEN title = 'Page expired' OR len(list_intersect(string_split(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '/'), ['tag', 'tags', 'topic', 'topics', 'category', 'categories', 'series'])) > 0 THEN 'invalid_page'
+ WHEN age > 259200 OR age < -1800 THEN 'stale_article' END AS reason FROM r""")
+def p13(t):
+    host = F.concat(F.lit("."), F.lower(F.try_parse_url("url", F.lit("HOST"))))
+    allowed = F.when(F.endswith(host, F.lit(".example.com")) | F.endswith(host, F.lit(".example.org")), F.array(F.lit("en")))
+    title = F.when(F.col("page_id") % 13 == 0, "").when(F.col("page_id") % 17 == 0, "Page expired").otherwise(F.concat(F.lit("Title "), "page_id"))
+    language = F.when(F.col("page_id") % 5 == 0, "de").otherwise("en")
+    age = F.col("page_id") % 40 * 7200 - 3600
+    return t.pages.select("page_id", live.rejection_reason(F.col("url"), host, allowed, language, title, age).alias("reason"))
+
+
+SCORE = "round(0.65 * exp(-ln(2.0) * greatest(60 * 1000 - published_at, 0) / 86400.0) + 0.20 * (length(publisher) % 3) / 2.0 + 0.15 * (0.5 * (trim(coalesce(text, '')) <> '')::INT + 0.2 * (publisher IS DISTINCT FROM 'src0')::INT), 8)"
+
+
+def _score():
+    fresh = scores.freshness(F.lit(60_000) - F.col("published_at"))
+    complete = scores.completeness(F.col("text"), F.lit(None).cast("string"), F.col("publisher"), F.lit("src0"))
+    return F.round(scores.live_score(fresh, F.length("publisher") % 3 / 2.0, complete), 8)
+
+
+@query("f26_live_score", f"WITH {LIVE} SELECT article_id, round({SCORE}, 6) AS score FROM lv")
+def f26(t):
+    return live_articles(t).select("article_id", F.round(_score(), 6).alias("score"))
+
+
+@query("c18_live_feed_scored", f"WITH {LIVE}, s AS (SELECT article_id, language, {SCORE} AS score, discovered_at FROM lv WHERE discovered_at >= 60 * 100) SELECT language, article_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY score DESC, discovered_at DESC, article_id) AS rank FROM s) WHERE rank <= 30")
+def c18(t):
+    from presswork.operators.ordered import top_per_group
+
+    rows = live_articles(t).where("discovered_at >= 6000").select("article_id", "language", _score().alias("score"), "discovered_at")
+    return top_per_group(rows, ["language"], [F.col("score").desc(), F.col("discovered_at").desc(), "article_id"], 30).select("language", "article_id", "rank")
+
+
+@query("l12_diversify")
+def l12(t):
+    rows = live_articles(t).withColumn("request_id", F.floor(F.col("article_id") / 100)).withColumn("score", _score())
+    return live.diversify(rows.select("request_id", "article_id", "score", "discovered_at", "publisher", "language", "title"), 20)
+
+
+PLAIN = "regexp_replace(lower(title), '[^\\p{L}\\p{N}]', '', 'g')"
+
+
+@query("f32_trigrams", f"WITH {LIVE}, n AS (SELECT article_id, {PLAIN} AS x FROM lv) SELECT article_id, len(list_distinct(list_transform(range(1, greatest(length(x) - 2, 1) + 1), lambda i: substr(x, i, 3))))::INT AS n_grams FROM n")
+def f32(t):
+    return live_articles(t).select("article_id", F.size(text.trigrams(text.plain_title(F.col("title")))).alias("n_grams"))
+
+
+@query("j14_near_title_pairs", f"WITH {LIVE}, n AS (SELECT article_id, discovered_at, {PLAIN} AS x FROM lv), g AS (SELECT article_id, discovered_at, list_distinct(list_transform(range(1, greatest(length(x) - 2, 1) + 1), lambda i: substr(x, i, 3))) AS g FROM n WHERE x <> ''), "
+    "i AS (SELECT a.article_id AS a, b.article_id AS b, len(list_intersect(a.g, b.g))::DOUBLE AS k, len(a.g) + len(b.g) AS s FROM g a JOIN g b ON a.article_id < b.article_id AND abs(a.discovered_at - b.discovered_at) <= 86400 AND len(a.g) >= 0.92 * len(b.g) AND len(b.g) >= 0.92 * len(a.g)) SELECT a, b, round(k / (s - k), 6) AS similarity FROM i WHERE k / (s - k) >= 0.92")
+def j14(t):
+    rows = live_articles(t).select(F.col("article_id").alias("id"), "title", "discovered_at")
+    return live.near_title_pairs(rows).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("f30_content_hash", r"SELECT doc_id, sha256(source || chr(10) || trim(regexp_replace(lang || ' ' || doc_id, '\s+', ' ', 'g'))) AS hash FROM documents")
+def f30(t):
+    return t.documents.select("doc_id", text.content_hash_ascii(F.col("source"), F.concat_ws(" ", "lang", "doc_id")).alias("hash"))
+
+
+@query("f30_content_hash_nfkc")
+def f30b(t):
+    return live_articles(t).select("article_id", text.content_hash(F.col("title"), F.col("text")).alias("hash"))
+
+
+@query("ts9_minute_gaps", f"WITH {LIVE}, m AS (SELECT DISTINCT published_at // 3600 AS hour FROM lv WHERE published_at >= 0) SELECT h AS hour FROM range(0, 20) r(h) WHERE h NOT IN (SELECT hour FROM m)")
+def ts9(t):
+    """Hours of a range for which no batch has come."""
+    have = live_articles(t).where("published_at >= 0").select(F.floor(F.col("published_at") / 3600).alias("hour")).distinct()
+    return t.spark.range(20).select(F.col("id").alias("hour")).join(have, "hour", "left_anti")
+
+
+@query("ts10_upsert_latest", f"WITH {LIVE} SELECT md5(title) AS title_key, max(article_id)::BIGINT AS article_id, max(discovered_at)::BIGINT AS checkpoint FROM lv GROUP BY 1")
+def ts10(t):
+    """The latest version of each key wins; the checkpoint only moves forward."""
+    rows = live_articles(t).groupBy(F.md5("title").alias("title_key")).agg(F.max_by("article_id", "discovered_at").alias("article_id"), F.max("discovered_at").alias("checkpoint"))
+    return rows
+
+
+@query("c22_topic_classification")
+def c22(t):
+    """Vectors against the mean vector of each label."""
+    n = F.lit(64)
+    mean = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy(F.col("label").alias("topic_id")).agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("proto")).where(F.size("proto") == n)
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.lit(None).cast("map<int,double>").alias("keyword"))
+    return live.classify_topics(vectors, mean, threshold=0.3, margin=0.05)
+
+
+@query("c25_html_blocks")
+def c25(t):
+    blocks = t.pages.select("page_id", F.posexplode(live.html_blocks("html")).alias("position", "b"))
+    return blocks.select("page_id", "position", "b.type", "b.text", "b.url", "b.block_id")
+
+
+@query("c27_prose_length")
+def c27(t):
+    parts = F.filter(F.col("blocks"), lambda b: b["type"].isin("paragraph", "heading", "quote"))
+    rows = t.pages.select("page_id", live.html_blocks("html").alias("blocks"))
+    prose = F.array_join(F.transform(parts, lambda b: b["text"]), "\n\n")
+    return rows.select("page_id", F.size("blocks").alias("n_blocks"), F.length(prose).alias("n_chars"), F.sha2(prose, 256).alias("prose_sha256"))
