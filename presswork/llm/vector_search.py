@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from presswork.llm.common import table
 
-PROJECTIONS = 32
+PROJECTIONS = 16
 HALF_WIDTH = 0.8  # of a window, in radii
-GROWTH = 1.2
-FIRST_RADIUS = 0.25  # in the largest norm
+GROWTH = 1.25
+FIRST_RADIUS = 0.5  # in the largest norm
 RECALL = 0.98
 
 
@@ -109,7 +109,7 @@ def _usable(vec: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & fine & F.exists(vec, lambda v: v != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 32768, query_block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 65536, query_block: int = 512) -> DataFrame:
     """For each row where is_query holds, the k other rows of largest inner product: query_id, rank, vec_id, score.
 
     Ties go to the smaller id. Vectors that are null, zero, of another length than the longest, or that hold a
