@@ -99,7 +99,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     language in order of name. One row for each row; other columns are ignored.
     """
     names = sorted(prototypes)
-    matrix = np.array([prototypes[n] for n in names]).reshape(len(names), -1)
+    matrix = np.array([prototypes[n] for n in names]).reshape(len(names), DIMENSIONS)
     matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)).astype(np.float64)
 
     def run(batches):
