@@ -30,4 +30,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from presswork.plans import feed_queries, live_queries, metric_queries, profile_queries, relational_queries, search_queries, stream_queries  # noqa: E402, F401
+from presswork.plans import catalog_queries, feed_queries, live_queries, metric_queries, profile_queries, relational_queries, search_queries, stream_queries  # noqa: E402, F401
