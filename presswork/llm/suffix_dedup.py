@@ -210,7 +210,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long_rows = rows.where(F.octet_length("text") >= length)
     found = long_rows.mapInArrow(_triggers(length, spread), f"id {id_type}, mark long, lo int, n int, t int, phrase long, around long")
     dictionary = found.groupBy("phrase").agg(F.count("*").alias("c"), F.min("around").alias("a"), F.max("around").alias("b")).where("c > 1")
-    parse = staged(found.join(dictionary.select("phrase", (F.col("a") != F.col("b")).alias("several")), "phrase"))
+    # staged, so that the join is one of two plain inputs, whose large partitions Spark can split
+    dictionary = staged(dictionary.select("phrase", (F.col("a") != F.col("b")).alias("several")))
+    parse = staged(found.join(dictionary, "phrase"))
 
     several = parse.where("several")
     around = staged(several.groupBy("phrase", "around").agg(F.count("*").alias("c"), F.min(F.struct("mark", "lo", "n", "t", "id")).alias("one")))
@@ -220,13 +222,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     cells = contexts.mapInArrow(_cells(length, CELL), f"id {id_type}, mark long, lo int, phrase long, first int, n int, core long, full long")
     cores = cells.groupBy("phrase", "core").agg(F.count("*").alias("c"), F.min("full").alias("a"), F.max("full").alias("b")).where("c > 1")
-    cells = staged(cells.join(cores.select("phrase", "core", (F.col("a") != F.col("b")).alias("several")), ["phrase", "core"]).drop("core", "full"))
+    cores = staged(cores.select("phrase", "core", (F.col("a") != F.col("b")).alias("several")))
+    cells = staged(cells.join(cores, ["phrase", "core"]).drop("core", "full"))
     open_cells = cells.where("several").groupBy("id", "mark", "lo").agg(F.collect_list(F.struct("first", "n")).alias("cells"))
     with_cells = contexts.join(open_cells, _same(contexts, open_cells) & (contexts["lo"] == open_cells["lo"]))
     with_cells = with_cells.select(contexts["id"], contexts["mark"], contexts["lo"], "phrase", "bytes", "cells")
     suffixes = staged(with_cells.mapInArrow(_suffixes(length), f"id {id_type}, mark long, lo int, phrase long, keys array<long>"))
     each = suffixes.select("id", "mark", "lo", "phrase", F.posexplode("keys").alias("at", "key"))
-    shared = each.groupBy("phrase", "key").agg(F.count("*").alias("c")).where("c > 1").select("phrase", "key")
+    shared = staged(each.groupBy("phrase", "key").agg(F.count("*").alias("c")).where("c > 1").select("phrase", "key"))
 
     spans = (
         parse.where("not several").select("id", "mark", "lo", "n")
