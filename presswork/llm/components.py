@@ -25,8 +25,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether each vertex has one edge at most to a smaller one, and that one has none."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    per = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return per.where("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,12 +40,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct()
     edges = checkpointed(edges)
-    before = _state(edges)
-    while True:
+    while not _settled(edges):
         edges = checkpointed(_small_star(_large_star(edges)))
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("v").alias("v"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("v"), F.col("v").alias("comp")).unionByName(roots)

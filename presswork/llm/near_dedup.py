@@ -25,7 +25,7 @@ COORDINATES = 64
 DEPTH = 3
 TREES = 20  # (1 - 0.8 ** DEPTH) ** TREES < 1e-6
 SMALL = 16
-FEW = 1024
+FEW = 2048
 BLOCK, CHUNK = 64, 256
 BRANCHES = 2
 LEVELS = 8
@@ -241,8 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     paths = classes.select("rep", "sig").mapInArrow(_path_keys, "rep long, keys array<long>")
     nodes = _sized(paths.select("rep", F.explode("keys").alias("key")))
-    links = confirmed(_first_pairs(nodes))
-    comps = components(links)
+    comps = components(confirmed(_first_pairs(nodes)))
     large, level = nodes.where(F.col("size") > SMALL).select("key", "rep"), 0
     while True:
         left = _unsettled(large, comps, everything=level >= LEVELS)
@@ -250,13 +249,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         more = _cross_links(left.where("few"), texts, size, share)
         branch = left.where("not few")
+        known = comps.select(F.col("v").alias("a"), F.col("comp").alias("b"))  # stands for the links so far
         if branch.isEmpty():
-            comps = components(links.unionByName(more))
+            comps = components(known.unionByName(more))
             break
         children = branch.join(sigs.select("rep", "sig"), "rep").select("rep", "sig", "key").mapInArrow(_child_keys, "rep long, keys array<long>")
         nodes = _sized(children.select("rep", F.explode("keys").alias("key")))
-        links = staged(links.unionByName(more).unionByName(confirmed(_first_pairs(nodes))).distinct())
-        comps = components(links)
+        comps = components(known.unionByName(more).unionByName(confirmed(_first_pairs(nodes))))
         large, level = nodes.where(F.col("size") > SMALL).select("key", "rep"), level + 1
 
     found = classes.select("s1", "s2", "n", "rep").join(comps, classes["rep"] == comps["v"], "left").select("s1", "s2", "n", F.coalesce("comp", "rep").alias("comp"))
@@ -267,33 +266,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _unsettled(nodes: DataFrame, comps: DataFrame, everything: bool) -> DataFrame:
-    """(key, rep, comp, minor, few) of the members of nodes that hold several components.
+    """(key, rep, comp, top, few) of the members of nodes that hold several components.
 
-    minor: outside the node's largest component; few: the node has few of these.
+    top: the node's largest component; few: the node has few members outside it.
     """
     placed = nodes.join(comps, nodes["rep"] == comps["v"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
     whole = parts.groupBy("key").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top")).where("size > top.k")
     whole = whole.select("key", F.col("top.comp").alias("top"), (F.lit(everything) | (F.col("size") - F.col("top.k") <= FEW)).alias("few"))
-    return checkpointed(placed.join(whole, "key").select("key", "rep", "comp", (F.col("comp") != F.col("top")).alias("minor"), "few"))
+    return checkpointed(placed.join(whole, "key").select("key", "rep", "comp", "top", "few"))
 
 
 def _cross_links(members: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
     """Links between different components of a node: all members outside its largest component against all members.
 
-    The former are dealt to blocks; a block meets each other text once, in groups of bounded size, however many
-    nodes they share.
+    Nodes with the same largest component are taken together. Members outside it are dealt to blocks; a block
+    meets each other text once, in groups of bounded size, however many nodes they share.
     """
-    minors = members.where("minor").groupBy("rep").agg(F.min("key").alias("fam"), F.first("comp").alias("comp"))
+    placed = members.select(F.col("top").alias("fam"), "rep", "comp").distinct()
     at = F.row_number().over(Window.partitionBy("fam").orderBy("rep")) - 1
-    minors = minors.withColumn("block", (at / BLOCK).cast("int"))
-    of_node = members.where("minor").select("key", "rep").join(minors.select("rep", "fam", "block"), "rep").select("key", "fam", "block").distinct()
-    met = staged(members.select("key", "rep", "comp").join(of_node, "key").select("fam", "block", "rep", "comp").distinct())
-    chunks = met.groupBy("fam", "block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    met = met.join(chunks, ["fam", "block"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    minors = minors.join(chunks, ["fam", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    left, right = (x.join(texts, x["rep"] == texts["id"]).select("fam", "block", "chunk", "rep", "comp", "text") for x in (minors, met))
+    minors = placed.where("comp <> fam").withColumn("block", (at / BLOCK).cast("int"))
+    sizes = placed.groupBy("fam").agg(F.ceil(F.count_if(F.col("comp") != F.col("fam")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    met = placed.join(sizes, "fam").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    met = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    minors = minors.join(sizes, "fam").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     group = ["fam", "block", "chunk"]
+    left, right = (x.join(texts, x["rep"] == texts["id"]).select(*(F.col(c).alias(c) for c in (*group, "rep", "comp", "text"))) for x in (minors, met))
     return staged(left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_links_in_block(size, share), "a long, b long").distinct())
 
 
