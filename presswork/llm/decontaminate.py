@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ class _Matcher:
             errors = error_budget(len(text), error_rate, short)
             self.items[key] = (text, errors)
             for place, piece in split_item(text, errors):
-                self.pieces.add_word(piece, [*self.pieces.get(piece, []), (key, place)])
+                self.pieces.add_word(piece, [*self.pieces.get(piece, []), (key, place + len(piece))])
         if self.items:
             self.pieces.make_automaton()
 
@@ -79,12 +80,11 @@ class _Matcher:
             return []
         seen = set()
         for end, hits in self.pieces.iter(text):
-            for key, place in hits:
+            for key, upto in hits:  # the item's first `upto` characters end here, if nothing is edited
                 if best.get(key) == 0:
                     continue
                 item, errors = self.items[key]
-                piece_len = len(item) * 0 + (self._piece_end(item, errors, place) - place)
-                start = end + 1 - piece_len - place
+                start = end + 1 - upto
                 if (key, start) in seen:
                     continue
                 seen.add((key, start))
@@ -94,11 +94,6 @@ class _Matcher:
                     best[key] = distance
         return sorted(best.items())
 
-    @staticmethod
-    def _piece_end(item: str, errors: int, place: int) -> int:
-        k = next(k for k in range(errors + 1) if len(item) * k // (errors + 1) == place)
-        return len(item) * (k + 1) // (errors + 1)
-
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -127,19 +122,14 @@ def find_leaks(
             matcher = _Matcher(held.value, error_rate, short)
             for batch in batches:
                 found = [(k, *hit) for k, text in zip(batch["id"], batch["text"], strict=True) for hit in matcher.find(plain(text))]
-                yield batch.iloc[:0].assign(item_id=[], distance=[])[["id", "item_id", "distance"]] if not found else _frame(found)
+                if found:
+                    yield pd.DataFrame(found, columns=["id", "item_id", "distance"])
 
         found = rows.mapInPandas(run, f"id {kind}, item_id long, distance int")
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 
 
-def _frame(found):
-    import pandas as pd
-
-    return pd.DataFrame(found, columns=["id", "item_id", "distance"])
-
-
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: how many items it holds, which, and the least distance (null if none)."""
     docs = table(spark, sf_dir, "documents")
