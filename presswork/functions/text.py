@@ -75,8 +75,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Null if either vector has no length."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), norm)))
+    ratio = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.when(ratio.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
 
 
 @F.pandas_udf(T.StringType())
