@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def six_digits(x: Column) -> Column:
+    """Rounded to six digits; what lies within a ten-millionth of a half of the last one goes up, so that the noise of
+    the last bits does not decide."""
+    return F.floor(x * 1e6 + 0.5000001) / 1e6
+
+
 def hot_score(clicks: Column, impressions: Column) -> Column:
     """Clicks count ten times an impression (serving and training features)."""
     return clicks * 10 + impressions

@@ -47,7 +47,7 @@ def manual_scores(candidates: DataFrame, personal: DataFrame, default: DataFrame
     alpha = scores.personal_share(F.coalesce("history_length", F.lit(0)))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     rows = rows.withColumn("base_score", F.round(scores.base_score(F.col("hot")), 6))
-    rows = rows.withColumn("topic_match_score", F.round(alpha * F.round(zero("weight"), 6) + (1 - alpha) * F.round(zero("default_weight"), 6), 6))
+    rows = rows.withColumn("topic_match_score", scores.six_digits(alpha * F.round(zero("weight"), 6) + (1 - alpha) * F.round(zero("default_weight"), 6)))
     # both have six digits: adding them as whole millionths gives the same number in any engine
     return rows.withColumn("final_score", (F.round(F.col("base_score") * 1e6) + F.round(F.col("topic_match_score") * 1e6)) / 1e6)
 

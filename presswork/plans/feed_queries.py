@@ -55,7 +55,7 @@ FEED = (*RECALL, "dw AS (SELECT category, count(*)::DOUBLE / sum(count(*)) OVER
         "hl AS (SELECT DISTINCT user_id, history_length FROM p)",
         "x AS (SELECT request_id, article_id, hot, coalesce(history_length, 0) AS hlen, coalesce(weight, 0) AS weight, default_weight FROM rec JOIN art USING (article_id) JOIN dw USING (category) LEFT JOIN hl USING (user_id) LEFT JOIN (SELECT user_id, category, weight FROM p) USING (user_id, category))",
         "y AS (SELECT *, CASE WHEN hot > 0 THEN round(hot / (hot + 100.0), 6) ELSE 0.0 END::DOUBLE AS base_score, (0.1 + hlen / (hlen + 30.0) * 0.85)::DOUBLE AS alpha FROM x)",
-        "m AS (SELECT *, round(alpha * round(weight, 6) + (1 - alpha) * round(default_weight, 6), 6) AS topic_match_score FROM y)",
+        "m AS (SELECT *, floor((alpha * round(weight, 6) + (1 - alpha) * round(default_weight, 6)) * 1e6 + 0.5000001) / 1e6 AS topic_match_score FROM y)",
         "f AS (SELECT *, (round(base_score * 1e6) + round(topic_match_score * 1e6)) / 1e6 AS final_score FROM m)",
         "o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, article_id) AS rank FROM f)")
 
