@@ -17,11 +17,15 @@ def merge_channels(channels: dict[str, DataFrame], request: str = "request_id",
     Each channel has request, item, score and may have is_fallback.
     """
     rows = None
-    for name, df in channels.items():
+    for k, name in enumerate(sorted(channels)):
+        df = channels[name]
         fallback = F.col("is_fallback") if "is_fallback" in df.columns else F.lit(False)
-        part = df.select(request, item, F.col(score).cast("double").alias(score), fallback.alias("is_fallback"), F.lit(name).alias("source"))
+        part = df.select(request, item, F.col(score).cast("double").alias(score), fallback.alias("is_fallback"), F.lit(1 << k).cast("long").alias("source"))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy(request, item).agg(F.array_sort(F.collect_set("source")).alias("sources"), F.max(score).alias(score), F.bool_and("is_fallback").alias("is_fallback"))
+    # sources are bits while rows are merged, which keeps the aggregation in fixed-width buffers
+    merged = rows.groupBy(request, item).agg(F.bit_or("source").alias("source"), F.max(score).alias(score), F.bool_and("is_fallback").alias("is_fallback"))
+    names = F.array_compact(F.array(*(F.when(F.col("source").bitwiseAND(F.lit(1 << k)) != 0, F.lit(name)) for k, name in enumerate(sorted(channels)))))
+    return merged.select(request, item, names.alias("sources"), score, "is_fallback")
 
 
 def selected_reason(sources, is_fallback):

@@ -38,7 +38,7 @@ def recalled(t):
     hottest = articles.orderBy(F.col("hot").desc(), "article_id").limit(20).select("article_id", F.col("hot").alias("recall_score"), F.lit(True).alias("is_fallback"))
     fill = requests.select("request_id").crossJoin(F.broadcast(hottest))  # twenty rows for each request
     merged = feed.merge_channels({"profile": by_topic, "hot": fill}).join(requests.select("request_id", "user_id"), "request_id")
-    return merged.join(t.impressions.where("clicked = 1").select("user_id", "article_id").distinct(), ["user_id", "article_id"], "left_anti")
+    return merged.join(t.impressions.where("clicked = 1").select("user_id", "article_id"), ["user_id", "article_id"], "left_anti")
 
 
 @query("c1_recall_union", with_views("articles", "impressions", more=RECALL) + "SELECT request_id, article_id, array_to_string(sources, '+') AS sources, recall_score, is_fallback FROM rec")
