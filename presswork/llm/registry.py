@@ -4,9 +4,9 @@ from presswork.llm.decontaminate import op6_decontaminate
 from presswork.llm.language_id import op7_language_id
 from presswork.llm.line_dedup import OP8_SQL, op8_line_dedup
 from presswork.llm.mixing import mixing_sql, op10_mixing
-from presswork.llm.near_dedup import op4_near_dedup
+from presswork.llm.near_dedup import OP4_SQL, op4_near_dedup
 from presswork.llm.sharding import op9_sharding
-from presswork.llm.suffix_dedup import op1_suffix_dedup
+from presswork.llm.suffix_dedup import OP1_SQL, op1_suffix_dedup
 from presswork.llm.toxicity import op5_toxicity
 from presswork.llm.url_reputation import OP3_SQL, op3_url_filter
 from presswork.llm.vector_search import op2_vector_search
@@ -24,7 +24,9 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": OP1_SQL,
     "op3_url_filter": OP3_SQL,
+    "op4_near_dedup": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_mixing": mixing_sql(["source", "lang", "topic"]),
 }

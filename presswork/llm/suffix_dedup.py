@@ -252,3 +252,17 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, n, unnest(range(1, n - 198)) AS i FROM d WHERE n >= 200),
+h AS (SELECT w.doc_id, i, md5(b[i:i + 199]) AS h FROM w JOIN d USING (doc_id)),
+g AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM h) WHERE c > 1),
+o AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS fresh FROM g),
+r AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o) GROUP BY doc_id, run),
+k AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 1) AS a, s - 1 AS z FROM r UNION ALL SELECT d.doc_id, coalesce(max(e), 1), max(n) FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id),
+x AS (SELECT doc_id, string_agg(CASE WHEN z >= a THEN hex(b[a:z]) ELSE '' END, '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, (d.n - length(kept) // 2)::BIGINT AS n_removed, (SELECT count(*) FROM r WHERE r.doc_id = d.doc_id)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN x USING (doc_id)
+"""
