@@ -3,8 +3,11 @@
 import importlib
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from presswork.operators import search
 from test_oracle import FOLDER, TABLES, rows
 
 registry = importlib.import_module("presswork.plans.registry")
@@ -39,3 +42,24 @@ def test_every_request_gets_a_page(spark):
     pages = registry.QUERIES["l8_mmr_page"](spark, FOLDER)
     asked = {r.o_orderkey for r in spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderkey").collect()}
     assert {r.request_id for r in pages.select("request_id").distinct().collect()} == asked
+
+
+@pytest.mark.parametrize("name", ["f5_bm25_top10", "l5_dense_topk", "f6_rrf", "f7_gate", "l17_pool"])
+def test_searches_of_every_fiftieth_row(spark, duck, name):
+    cuts = {"item_id < 10": "item_id % 50 = 0", "q.vec_id < 10": "q.vec_id % 50 = 0"}
+    check_against(spark, duck, name, {k: v for k, v in cuts.items() if k in registry.ORACLE_SQL[name]})
+
+
+def test_dense_search_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-3, 4, (300, 5)).astype(float)  # whole numbers: many ties
+    x[100:160] = x[7]
+    rows_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0]), (None, [1.0] * 5)], "id long, v array<double>")
+    got = search.dense_top_k(rows_, rows_, "id", "v", 4, block=70, query_block=40).collect()
+    want = {(q, d, r) for q in range(300) for r, d in enumerate(sorted((d for d in range(300) if d != q), key=lambda d: (-(x[d] @ x[q]), d))[:4], 1)}
+    assert {(r.query, r.doc, r["rank"]) for r in got} == want and len(got) == 1200
+
+
+def test_dense_search_of_many_queries(spark):
+    rows_ = spark.range(10_050).select("id", F.array(F.cos(F.col("id") * 1.0), F.sin(F.col("id") * 1.0)).alias("v"))
+    assert search.dense_top_k(rows_.where("id < 50"), rows_, "id", "v", 1).count() == 10_050
