@@ -15,7 +15,8 @@ TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "utm_campaign", "utm_content"
 
 
 def search_text(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Lower case, and one space for each stretch of white space of any script."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
 
 
 def search_tokens(text: Column) -> Column:

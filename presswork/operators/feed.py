@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,21 +86,27 @@ def reserve(requests: DataFrame, campaigns: DataFrame, second_of_day: str = "sec
     """Which requests of a campaign's day are served, in order of time, under pacing and frequency limits.
 
     requests: campaign_id, day, request_id, user_id, second. campaigns: campaign_id, spend, daily_budget,
-    frequency_cap. Whether one is served depends on those before it, so each campaign-day is folded in turn; the
-    state is the spend and the counts of its users.
+    frequency_cap. Whether one is served depends on those before it, so each campaign-day is folded in turn: rows
+    come sorted, in batches, and only the spend and the counts of its users are carried from batch to batch.
     """
     joined = requests.join(F.broadcast(campaigns) if campaigns.count() < 10_000 else campaigns, "campaign_id")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([second_of_day, "request_id"])
-        spent, seen, served = 0, {}, []
-        for user, second, spend, budget, cap in zip(*(rows[c] for c in ("user_id", second_of_day, "spend", "daily_budget", "frequency_cap")), strict=True):
-            limit = max(spend, round(budget * min(1.0, (second + 3600.0) / 86400.0)))
-            ok = spent + spend <= min(limit, budget) and seen.get(user, 0) < cap
-            if ok:
-                spent += spend
-                seen[user] = seen.get(user, 0) + 1
-            served.append(ok)
-        return pd.DataFrame({"campaign_id": rows["campaign_id"], "request_id": rows["request_id"], "served": served})
-
-    return joined.groupBy("campaign_id", "day").applyInPandas(fold, "campaign_id long, request_id long, served boolean")
+    keys, state = ["campaign_id", "day"], ["user_id", second_of_day, "spend", "daily_budget", "frequency_cap"]
+
+    def fold(batches):
+        now, spent, seen = None, 0, {}
+        for batch in batches:
+            rows, served = {c: batch.column(c).to_pylist() for c in (*keys, *state)}, []
+            for campaign, day, user, second, spend, budget, cap in zip(*(rows[c] for c in (*keys, *state)), strict=True):
+                if (campaign, day) != now:
+                    now, spent, seen = (campaign, day), 0, {}
+                limit = max(spend, round(budget * min(1.0, (second + 3600.0) / 86400.0)))
+                ok = spent + spend <= min(limit, budget) and seen.get(user, 0) < cap
+                if ok:
+                    spent += spend
+                    seen[user] = seen.get(user, 0) + 1
+                served.append(ok)
+            ids = [pa.array(rows["campaign_id"], pa.int64()), batch.column("request_id").cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(served, pa.bool_())], names=["campaign_id", "request_id", "served"])
+
+    inputs = joined.select(*keys, "request_id", *state).repartition(*keys).sortWithinPartitions(*keys, second_of_day, "request_id")
+    return inputs.mapInArrow(fold, "campaign_id long, request_id long, served boolean")

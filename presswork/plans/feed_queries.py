@@ -191,8 +191,13 @@ def f42(t):
 
 @query("c10_ad_reservation")
 def c10(t):
-    rows = t.events.select((F.col("user_id") % 20).alias("campaign_id"), F.to_date("ts").alias("day"), F.col("event_id").alias("request_id"), "user_id", (F.hour("ts") * 3600 + F.minute("ts") * 60).alias("second"))
-    limits = campaigns(t).where("campaign_id < 20").select("campaign_id", scores.expected_spend(F.col("bid") * 10, F.col("ctr")).alias("spend"), F.lit(200).alias("daily_budget"), F.lit(3).alias("frequency_cap"))
+    """Every campaign takes part; each user's events ask the campaign at their number, counted round."""
+    n = max(1, t.supplier.count())
+    numbered = campaigns(t).withColumn("number", F.row_number().over(Window.orderBy("campaign_id")) - 1)
+    limits = numbered.select("number", "campaign_id", scores.expected_spend(F.col("bid") * 10, F.col("ctr")).alias("spend"), F.lit(200).alias("daily_budget"), F.lit(3).alias("frequency_cap"))
+    rows = t.events.select((F.col("user_id") % n).alias("number"), F.to_date("ts").alias("day"), F.col("event_id").alias("request_id"), "user_id", (F.hour("ts") * 3600 + F.minute("ts") * 60).alias("second"))
+    rows = rows.join(F.broadcast(limits.select("number", "campaign_id")), "number").drop("number")
+    limits = limits.drop("number")
     return feed.reserve(rows, limits)
 
 

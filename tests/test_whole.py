@@ -1,13 +1,16 @@
 """Queries do the whole job: every row that is asked for, against the SQL without its cuts or against brute force."""
 
+import hashlib
 import importlib
+import random
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from presswork.operators import search
+from presswork.functions import text
+from presswork.operators import feed, search
 from test_oracle import FOLDER, TABLES, rows
 
 registry = importlib.import_module("presswork.plans.registry")
@@ -63,3 +66,51 @@ def test_dense_search_in_blocks(spark):
 def test_dense_search_of_many_queries(spark):
     rows_ = spark.range(10_050).select("id", F.array(F.cos(F.col("id") * 1.0), F.sin(F.col("id") * 1.0)).alias("v"))
     assert search.dense_top_k(rows_.where("id < 50"), rows_, "id", "v", 1).count() == 10_050
+
+
+def test_search_text_of_every_document(spark):
+    got = {r.doc_id: r.digest for r in registry.QUERIES["f1_search_text"](spark, FOLDER).collect()}
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
+    want = {d.doc_id: d.text and hashlib.md5(" ".join(d.text.lower().split()).encode()).hexdigest() for d in docs}
+    assert any(d.text and not d.text.isascii() for d in docs) and got == want
+
+
+def test_search_text_of_other_scripts(spark):
+    texts = ["\u00c4RGER\u00a0 \u201cNa\u00efve\u201d\u2003\u00c9t\u00e9\n", "\u3000Stra\u00dfe\u2028\u00d1\x1fx\x85", " "]
+    rows_ = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.x for r in rows_.select(text.search_text(F.col("t")).alias("x")).collect()] == [" ".join(t.lower().split()) for t in texts]
+
+
+def test_profile_of_every_customer(spark, duck):
+    check_against(spark, duck, "c14_ensure_profiles", {" WHERE c_custkey < 400": ""})
+    folder = FOLDER.replace("sf0.001", "sf0.01")
+    assert registry.QUERIES["c14_ensure_profiles"](spark, folder).count() == spark.read.parquet(f"{folder}/customer.parquet").count()
+
+
+def test_reservation_of_every_event_and_campaign(spark):
+    folder = FOLDER.replace("sf0.001", "sf0.01")
+    got = registry.QUERIES["c10_ad_reservation"](spark, folder)
+    assert got.count() == spark.read.parquet(f"{folder}/events.parquet").count()
+    assert got.select("campaign_id").distinct().count() > 20
+
+
+def test_reservation_carries_state_over_batches(spark):
+    rng = random.Random(3)
+    asked = [(rng.randrange(3), rng.choice("de"), i, rng.randrange(40), rng.randrange(86400)) for i in range(900)]
+    limits = {c: (1 + c, 120, 2) for c in range(3)}
+    want, spent, seen = {}, {}, {}
+    for c, day, i, user, second in sorted(asked, key=lambda r: (r[4], r[2])):
+        spend, budget, cap = limits[c]
+        limit = max(spend, round(budget * min(1.0, (second + 3600.0) / 86400.0)))
+        want[i] = spent.get((c, day), 0) + spend <= min(limit, budget) and seen.get((c, day, user), 0) < cap
+        if want[i]:
+            spent[c, day] = spent.get((c, day), 0) + spend
+            seen[c, day, user] = seen.get((c, day, user), 0) + 1
+    requests = spark.createDataFrame(asked, "campaign_id long, day string, request_id long, user_id long, second int")
+    campaigns = spark.createDataFrame([(c, *v) for c, v in limits.items()], "campaign_id long, spend int, daily_budget int, frequency_cap int")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {r.request_id: r.served for r in feed.reserve(requests, campaigns).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
