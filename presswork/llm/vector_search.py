@@ -1,10 +1,11 @@
 """Nearest vectors by collision counting over query-centred windows.
 
 Each of PROJECTIONS random projections keeps the vectors of a block in one sorted array. A query looks at the
-stretch of each array around its own value; vectors that lie in enough of these windows are verified. If too
-few are near, all windows grow by GROWTH (virtual rehashing: the arrays stay as they are) and only what is new
-in them is counted. The search of a block ends once the k-th verified vector is no farther than the radius that
-the windows stand for, at which every vector within it has been met with probability RECALL or more.
+stretch of each array around its own value; the vectors that lie in enough of these windows are verified, and no
+product with any other vector is computed. If too few are near, all windows grow (virtual rehashing: the arrays stay
+as they are) and only what is new in them is counted. The search of a block ends once the k-th verified vector is no
+farther than the radius that the windows stand for, at which every vector within it has been met with probability
+RECALL or more.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 
 from presswork.llm.common import table
 
-PROJECTIONS = 16
-HALF_WIDTH = 0.8  # of a window, in radii
+PROJECTIONS = 128
+HALF_WIDTH = 2.0  # of a window, in radii: wide windows tell near from far best, as few near vectors lie outside
 GROWTH = 1.25
 FIRST_RADIUS = 0.5  # in the largest norm
-RECALL = 0.98
+RECALL = 0.93
 
 
 def _threshold() -> int:
@@ -43,63 +44,85 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.asarray(values, np.float64).reshape(len(column), dims)
 
 
-def _search_block(k: int, dims: int, norm: float):
-    """Cogroup of a block of vectors and a block of queries: each query's k nearest of the block."""
+class _Windows:
+    """The windows of one query: how many of them each vector of the block lies in, as they grow."""
+
+    def __init__(self, ordered: np.ndarray, order: np.ndarray, place: np.ndarray, centre: np.ndarray):
+        self.ordered, self.order, self.place, self.centre = ordered, order, place, centre
+        self.count = np.zeros(order.shape[1], np.uint8)
+        self.lo = [int(np.searchsorted(a, c)) for a, c in zip(ordered, centre, strict=True)]
+        self.hi = list(self.lo)
+
+    def grow(self, half_width: float) -> np.ndarray:
+        """Widens all windows and counts what is new in them; the counts."""
+        n, count = len(self.count), self.count
+        left, right = self.centre - np.float32(half_width), self.centre + np.float32(half_width)
+        for j, values in enumerate(self.ordered):
+            lo, hi = self.lo[j], self.hi[j]
+            a, b = min(int(values.searchsorted(left[j])), lo), max(int(values.searchsorted(right[j], "right")), hi)
+            if b - a - (hi - lo) < n // 16:
+                count[self.order[j, a:lo]] += 1
+                count[self.order[j, hi:b]] += 1
+            else:  # much is new: one pass over all places costs less than a look-up for each new one
+                place = self.place[j]
+                count += place - place.dtype.type(a) < b - a
+                count -= place - place.dtype.type(lo) < hi - lo
+            self.lo[j], self.hi[j] = a, b
+        return count
+
+
+def _search_block(k: int, dims: int, scale: float):
+    """Cogroup of a block of vectors and a block of queries: each query's k nearest of the block, with the number of
+    vectors that were verified. scale: the largest component of all vectors, which brings them into a range that
+    squares neither leave nor vanish from."""
     need = _threshold()
-    axes = np.random.default_rng(5).normal(size=(dims + 1, PROJECTIONS))
+    axes = np.random.default_rng(5).normal(size=(dims + 1, PROJECTIONS)).astype(np.float32)
 
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not len(data) or not len(queries):
-            return empty
-        ids, x = np.asarray(data["vec_id"]), _matrix(data["vec"], dims)
-        q_ids, q = np.asarray(queries["vec_id"]), _matrix(queries["vec"], dims)
-        n = len(ids)
-        q_norm = np.sqrt((q * q).sum(1))
-        # one more component makes all vectors equally long, so that the nearest are those with the largest product
-        rest = np.sqrt(np.maximum(0, norm * norm - (x * x).sum(1)))
-        values = (np.c_[x, rest] @ axes).astype(np.float32)
-        order = np.argsort(values, axis=0, kind="stable").astype(np.int32).T.copy()
-        ordered = np.take_along_axis(values.T, order, 1)
-        centre = (np.c_[q * (norm / q_norm)[:, None], np.zeros(len(q))] @ axes).astype(np.float32)
-        x32 = x.astype(np.float32)
-        found: list[list[np.ndarray]] = [[], [], []]
-        for i in range(len(q)):
-            products = x32 @ q[i].astype(np.float32)
-            own = ids == q_ids[i]
-            products[own] = -np.inf
-            candidates, count = n - int(own.sum()), np.zeros(n, np.int16)
-            lo = np.array([np.searchsorted(ordered[j], centre[i, j]) for j in range(PROJECTIONS)])
-            hi, radius = lo.copy(), FIRST_RADIUS * norm
-            while candidates:
-                left, right = centre[i] - HALF_WIDTH * radius, centre[i] + HALF_WIDTH * radius
-                for j in range(PROJECTIONS):
-                    a, b = np.searchsorted(ordered[j], left[j]), np.searchsorted(ordered[j], right[j], "right")
-                    count[order[j, a : lo[j]]] += 1
-                    count[order[j, hi[j] : b]] += 1
-                    lo[j], hi[j] = min(a, lo[j]), max(b, hi[j])
-                met = count >= need
-                met[own] = False
-                m = int(met.sum())
-                # the inner product of a vector at distance `radius` from the scaled query
-                at_radius = (norm * norm - radius * radius / 2) * q_norm[i] / norm
-                if m >= min(k, candidates) and (m == candidates or int((products[met] >= at_radius).sum()) >= k):
-                    break
-                radius *= GROWTH
-            if not candidates:
-                continue
-            met = np.flatnonzero(met)
-            rough = products[met]
-            if len(met) > k:
-                least = np.partition(rough, len(met) - k)[len(met) - k]
-                met = met[rough >= least - 1e-5 * norm * q_norm[i]]
-            score = (x[met] * q[i]).sum(1)  # verified in double precision
-            best = np.lexsort((ids[met], -score))[:k]
-            for column, v in zip(found, (np.full(len(best), q_ids[i]), ids[met][best], score[best]), strict=True):
-                column.append(v)
-        if not found[0]:
-            return empty
-        return pa.table({name: pa.array(np.concatenate(v)) for name, v in zip(("query_id", "vec_id", "score"), found, strict=True)})
+        found: dict[str, list[np.ndarray]] = {"query_id": [np.empty(0, np.int64)], "vec_id": [np.empty(0, np.int64)], "score": [np.empty(0)], "verified": [np.empty(0, np.int64)]}
+        if len(data) and len(queries):
+            ids, x = np.asarray(data["vec_id"]), _matrix(data["vec"], dims)
+            q_ids, q = np.asarray(queries["asked_id"]), _matrix(queries["asked"], dims)
+            small = x / scale
+            squared = (small * small).sum(1)
+            norm = max(float(np.sqrt(squared.max())), 1e-150)
+            # one more component makes all vectors equally long, so that the nearest are those with the largest product
+            values = (np.c_[small / norm, np.sqrt(np.maximum(0, 1 - squared / norm / norm))].astype(np.float32) @ axes).T
+            order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
+            ordered = np.take_along_axis(values, order, 1)
+            small_int = np.uint16 if len(ids) < 1 << 16 else np.uint32
+            place = np.empty(order.shape, small_int)
+            np.put_along_axis(place, order, np.arange(len(ids), dtype=small_int)[None, :], 1)
+            way = q / np.abs(q).max(1, keepdims=True)
+            way /= np.sqrt((way * way).sum(1, keepdims=True))
+            centre = np.c_[way, np.zeros(len(q))].astype(np.float32) @ axes
+            for i in range(len(q)):
+                own = ids == q_ids[i]
+                candidates = len(ids) - int(own.sum())
+                windows, radius = _Windows(ordered, order, place, centre[i]), FIRST_RADIUS
+                met, near = np.empty(0, np.int64), np.empty(0)
+                known = own.copy()
+                while len(met) < candidates:
+                    # two vectors of length 1 are never farther apart than 2: from there on all are met
+                    new = np.flatnonzero(~known if radius >= 2 else (windows.grow(HALF_WIDTH * radius) >= need) & ~known)
+                    known[new] = True
+                    met, near = np.r_[met, new], np.r_[near, (small[new] * way[i]).sum(1)]
+                    if len(met) < min(k, candidates):
+                        radius *= GROWTH
+                        continue
+                    least = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else near.min()
+                    farthest = math.sqrt(max(0.0, 2 - 2 * least / norm))  # the distance of the k-th so far
+                    if farthest <= radius:
+                        break
+                    radius = min(radius * GROWTH, farthest * (1 + 1e-6))  # farther than that nothing is worth meeting
+                if not len(met):
+                    continue
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = (x[met] * q[i]).sum(1)  # on the original vectors, in double precision
+                best = np.lexsort((ids[met], -score))[:k]
+                for column, v in zip(found.values(), (np.full(len(best), q_ids[i]), ids[met][best], score[best], np.full(len(best), len(met))), strict=True):
+                    column.append(v)
+        return pa.table({name: pa.array(np.concatenate(v)) for name, v in found.items()})
 
     return lambda key, data, queries: run(data, queries)
 
@@ -109,29 +132,40 @@ def _usable(vec: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & fine & F.exists(vec, lambda v: v != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 65536, query_block: int = 512) -> DataFrame:
-    """For each row where is_query holds, the k other rows of largest inner product: query_id, rank, vec_id, score.
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", dims: int | None = None,
+    block: int = 32768, query_block: int = 1024,
+) -> DataFrame:
+    """For each row where is_query holds, the k other rows of largest inner product: query_id, rank, vec_id, score, and
+    verified (how many vectors of the row's block were verified for the query).
 
-    Ties go to the smaller id. Vectors that are null, zero, of another length than the longest, or that hold a
-    null or non-finite component take no part; nor do rows with a null id. Rows of equal id are one vector: the
-    first. Blocks of `block` vectors meet blocks of `query_block` queries in one task each, so memory is bounded;
-    each block gives its k best and the best of these are kept. A vector missed by its block's windows is missed:
-    see RECALL. Other columns are ignored.
+    Ties go to the smaller id. Vectors that are null, zero, of another length than `dims` (by default the most common
+    length, of several the least), or that hold a null or non-finite component take no part; nor do rows with a null
+    id. Rows of equal id are one vector: the least in order of components, which asks if one of them does. Blocks of
+    about `block` vectors meet blocks of about `query_block` queries in one task each, so memory is bounded; each
+    block gives its k best and the best of these are kept. A vector missed by its block's windows is missed: see
+    RECALL. Other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("vec")))
-    squared = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)
-    n, asking, dims, norm = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("vec")), F.sqrt(F.max(squared))).first()
-    rows = rows.where(F.size("vec") == (dims or 0)).dropDuplicates(["vec_id"])
+    if dims is None:
+        lengths = rows.groupBy(F.size("vec").alias("dims")).count().orderBy(F.col("count").desc(), "dims").first()
+        dims = lengths.dims if lengths else 1
+    rows = rows.where(F.size("vec") == dims)
+    n, asking, scale = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.array_max(F.transform("vec", F.abs)))).first()
+    rows = rows.groupBy("vec_id").agg(F.min("vec").alias("vec"), F.bool_or("asks").alias("asks"))
     blocks, query_blocks = -(-n // block) or 1, -(-asking // query_block) or 1
     place = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(m)).cast("int")
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     data = rows.select("vec_id", "vec", place(1, blocks).alias("d"), spread(query_blocks).alias("q"))
-    queries = rows.where("asks").select("vec_id", "vec", place(2, query_blocks).alias("q"), spread(blocks).alias("d"))
-    found = data.groupBy("d", "q").cogroup(queries.groupBy("d", "q")).applyInArrow(_search_block(k, dims or 1, norm or 1.0), "query_id long, vec_id long, score double")
+    # new names, as Spark loses columns of a cogroup of two sides with the same ones if not all of its output is read
+    queries = rows.where("asks").select(F.col("vec_id").alias("asked_id"), F.col("vec").alias("asked"), place(2, query_blocks).alias("q"), spread(blocks).alias("d"))
+    search = _search_block(k, dims, scale or 1.0)
+    found = data.groupBy("d", "q").cogroup(queries.groupBy("d", "q")).applyInArrow(search, "query_id long, vec_id long, score double, verified long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")
 
 
 def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each embedding whose number is divisible by 20."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)

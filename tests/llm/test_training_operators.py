@@ -82,6 +82,32 @@ def test_vector_search_recall(spark):
     assert hits >= 0.95 * 300
 
 
+def test_vector_search_verifies_few_of_clustered_vectors(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 32))
+    v = centres[rng.integers(0, 40, 4000)] + 0.15 * rng.normal(size=(4000, 32))
+    v[:20] = v[0]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").withColumn("query_id", F.lit(0)).withColumn("score", F.lit("clash"))
+    got = vector_search.nearest(rows, F.col("vec_id") % 20 == 0, k=20).collect()
+    products = np.round(v @ v.T, 12)
+    np.fill_diagonal(products, -np.inf)
+    hits = sum(r.vec_id in np.lexsort((np.arange(4000), -products[r.query_id]))[:20] for r in got)
+    assert len(got) == 200 * 20 and hits >= 0.95 * len(got)
+    assert np.mean([r.verified for r in got]) < 0.25 * 4000
+
+
+def test_vector_search_of_odd_lengths_and_tiny_or_huge_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 2)))] + [(100, [1.0, 2.0, 3.0]), (120, [1e-170, 2e-170]), (140, [1e160, -2e160]), (160, [5e-324, 0.0]), (3, [9.0, 9.0])]
+    got = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()
+    assert Counter(r.query_id for r in got) == {q: 5 for q in (0, 20, 40, 120, 140, 160)}
+    assert all(r.vec_id != 100 for r in got) and all(r["rank"] == 1 for r in got if r.query_id == 120 and r.vec_id == 140) is True
+    # of the two rows with id 3 the lesser vector counts
+    assert all(abs(r.score) < 1e100 for r in got if 140 not in (r.vec_id, r.query_id))
+    assert all(r.vec_id != 3 or r.score < 60 for r in got)
+    assert vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 100, k=2, dims=3).count() == 0
+
+
 def test_vector_search_small_tables(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r.vec_id, r.score) for r in vector_search.nearest(few, F.col("vec_id") == 0, k=5).orderBy("rank").collect()] == [(1, 1, 2.0), (2, 2, 2.0)]
