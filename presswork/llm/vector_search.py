@@ -22,7 +22,7 @@ from presswork.llm.common import table
 PROJECTIONS = 128
 HALF_WIDTH = 2.0  # of a window, in radii: wide windows tell near from far best, as few near vectors lie outside
 GROWTH = 1.25
-FIRST_RADIUS = 0.5  # in the largest norm
+FIRST_RADIUS = 0.6  # in the largest norm
 RECALL = 0.93
 
 
@@ -50,25 +50,29 @@ class _Windows:
     def __init__(self, ordered: np.ndarray, order: np.ndarray, place: np.ndarray, centre: np.ndarray):
         self.ordered, self.order, self.place, self.centre = ordered, order, place, centre
         self.count = np.zeros(order.shape[1], np.uint8)
-        self.lo = [int(np.searchsorted(a, c)) for a, c in zip(ordered, centre, strict=True)]
+        self.lo = [int(a.searchsorted(c)) for a, c in zip(ordered, centre, strict=True)]
         self.hi = list(self.lo)
+        self._from, self._in = np.empty_like(place[0]), np.empty(order.shape[1], bool)
 
     def grow(self, half_width: float) -> np.ndarray:
         """Widens all windows and counts what is new in them; the counts."""
-        n, count = len(self.count), self.count
         left, right = self.centre - np.float32(half_width), self.centre + np.float32(half_width)
-        for j, values in enumerate(self.ordered):
-            lo, hi = self.lo[j], self.hi[j]
-            a, b = min(int(values.searchsorted(left[j])), lo), max(int(values.searchsorted(right[j], "right")), hi)
-            if b - a - (hi - lo) < n // 16:
-                count[self.order[j, a:lo]] += 1
-                count[self.order[j, hi:b]] += 1
-            else:  # much is new: one pass over all places costs less than a look-up for each new one
-                place = self.place[j]
-                count += place - place.dtype.type(a) < b - a
-                count -= place - place.dtype.type(lo) < hi - lo
-            self.lo[j], self.hi[j] = a, b
-        return count
+        bounds = []
+        for values, x, y, lo, hi in zip(self.ordered, left, right, self.lo, self.hi, strict=True):
+            bounds.append((min(int(values.searchsorted(x)), lo), max(int(values.searchsorted(y, "right")), hi)))
+        new = sum(b - a for a, b in bounds) - sum(self.hi) + sum(self.lo)
+        if new < self.place.size // 16:
+            for j, (a, b) in enumerate(bounds):
+                self.count[self.order[j, a : self.lo[j]]] += 1
+                self.count[self.order[j, self.hi[j] : b]] += 1
+        else:  # much is new: a pass over all places costs less than a look-up for each new one
+            self.count[:] = 0
+            for place, (a, b) in zip(self.place, bounds, strict=True):
+                np.subtract(place, place.dtype.type(a), out=self._from)
+                np.less(self._from, place.dtype.type(b - a), out=self._in)
+                np.add(self.count, self._in.view(np.uint8), out=self.count)
+        self.lo, self.hi = (list(x) for x in zip(*bounds, strict=True))
+        return self.count
 
 
 def _search_block(k: int, dims: int, scale: float):
@@ -103,7 +107,7 @@ def _search_block(k: int, dims: int, scale: float):
                 met, near = np.empty(0, np.int64), np.empty(0)
                 known = own.copy()
                 while len(met) < candidates:
-                    # two vectors of length 1 are never farther apart than 2: from there on all are met
+                    # vectors of length 1 are never farther apart than 2: from there on all are met
                     new = np.flatnonzero(~known if radius >= 2 else (windows.grow(HALF_WIDTH * radius) >= need) & ~known)
                     known[new] = True
                     met, near = np.r_[met, new], np.r_[near, (small[new] * way[i]).sum(1)]
@@ -117,10 +121,12 @@ def _search_block(k: int, dims: int, scale: float):
                     radius = min(radius * GROWTH, farthest * (1 + 1e-6))  # farther than that nothing is worth meeting
                 if not len(met):
                     continue
+                if len(met) > k:
+                    met = met[near >= least - 1e-9 * norm]
                 with np.errstate(over="ignore", invalid="ignore"):
                     score = (x[met] * q[i]).sum(1)  # on the original vectors, in double precision
                 best = np.lexsort((ids[met], -score))[:k]
-                for column, v in zip(found.values(), (np.full(len(best), q_ids[i]), ids[met][best], score[best], np.full(len(best), len(met))), strict=True):
+                for column, v in zip(found.values(), (np.full(len(best), q_ids[i]), ids[met][best], score[best], np.full(len(best), len(near))), strict=True):
                     column.append(v)
         return pa.table({name: pa.array(np.concatenate(v)) for name, v in found.items()})
 
