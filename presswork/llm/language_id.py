@@ -12,51 +12,51 @@ from pyspark.sql import functions as F
 from presswork.llm.common import table
 
 DIMENSIONS = 1024
-CLASSES = 256
-KNOWN_ROWS = 1 << 14
+KNOWN_ROWS, SLOTS = 1 << 14, 1 << 18
+_CODE = np.uint64((1 << 21) - 1)  # a code point takes 21 bits
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(maxsize=1)
-def _letter_classes() -> np.ndarray:
-    """The class of each code point: 0 if it is no letter; Latin letters have one each, others share 68."""
-    out = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        if chr(c).isalpha():
-            out[c] = c - 96 if 97 <= c <= 122 else c - 0xDF + 27 if 0xDF <= c <= 0x17F else 188 + c % 68
-    return out
+def _is_letter() -> np.ndarray:
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-@lru_cache(maxsize=1)
-def _letter_vectors() -> np.ndarray:
-    return np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (CLASSES, DIMENSIONS))
+@lru_cache(maxsize=1 << 16)
+def _letter_vector(code: int) -> np.ndarray:
+    """The random vector of a letter of any script (0: what is no letter), the same in every task."""
+    return np.random.default_rng([7, code]).integers(0, 2, DIMENSIONS, np.int8) * 2 - 1
 
 
 def _gram_vectors(grams: np.ndarray) -> np.ndarray:
     """Binds the letters of each trigram, each rotated by its place, by multiplication."""
-    letters = _letter_vectors()
-    a, b, c = grams // (CLASSES * CLASSES), grams // CLASSES % CLASSES, grams % CLASSES
+    parts = [(grams >> np.uint64(21 * k) & _CODE).astype(np.int64) for k in (2, 1, 0)]
+    codes, at = np.unique(np.concatenate(parts), return_inverse=True)
+    letters = np.array([_letter_vector(c) for c in codes.tolist()]).reshape(len(codes), DIMENSIONS)
+    a, b, c = at.reshape(3, len(grams))
     return (np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]).astype(np.float32)
 
 
 class _Vectors:
-    """Vectors of the trigrams met so far, KNOWN_ROWS at most; others are bound anew each time."""
+    """Vectors of the trigrams met so far, KNOWN_ROWS at most, one a slot; others are bound anew each time."""
 
     def __init__(self):
-        self.row = np.full(CLASSES**3, -1, np.int32)
+        self.key, self.row = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.known = np.empty((KNOWN_ROWS, DIMENSIONS), np.float32)
         self.size = 0
 
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        row = self.row[grams]
-        new = grams[row < 0]
-        if len(new) and self.size < KNOWN_ROWS:
-            new = new[: KNOWN_ROWS - self.size]
-            self.known[self.size : self.size + len(new)] = _gram_vectors(new)
-            self.row[new] = np.arange(self.size, self.size + len(new))
-            self.size += len(new)
-            row = self.row[grams]
-        out = counts[row >= 0].astype(np.float32) @ self.known[row[row >= 0]]
-        rest = np.flatnonzero(row < 0)
+        slot = (grams * _SPREAD >> np.uint64(46)).astype(np.int64)
+        known = self.key[slot] == grams
+        if not known.all() and self.size < KNOWN_ROWS:
+            free = np.flatnonzero(self.key[slot] == 0)
+            free = free[np.unique(slot[free], return_index=True)[1]][: KNOWN_ROWS - self.size]
+            self.known[self.size : self.size + len(free)] = _gram_vectors(grams[free])
+            self.key[slot[free]], self.row[slot[free]] = grams[free], np.arange(self.size, self.size + len(free))
+            self.size += len(free)
+            known = self.key[slot] == grams
+        out = counts[known].astype(np.float32) @ self.known[self.row[slot[known]]]
+        rest = np.flatnonzero(~known)
         for k in range(0, len(rest), 4096):
             out = out + counts[rest[k : k + 4096]].astype(np.float32) @ _gram_vectors(grams[rest[k : k + 4096]])
         return out
@@ -65,9 +65,9 @@ class _Vectors:
 def _grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Trigrams around each letter of the text, with how often each occurs. What is no letter counts as a blank."""
     codes = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    kind = _letter_classes()[codes].astype(np.int32)
+    kind = np.where(_is_letter()[codes], codes, 0).astype(np.uint64)
     mid = kind[1:-1]
-    return np.unique(((kind[:-2] * CLASSES + mid) * CLASSES + kind[2:])[mid > 0], return_counts=True)
+    return np.unique((kind[:-2] << np.uint64(42) | mid << np.uint64(21) | kind[2:])[mid > 0], return_counts=True)
 
 
 def _bundles(batches):
@@ -129,6 +129,7 @@ def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1):
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learnt from two thirds of the labelled ones."""
     docs = table(spark, sf_dir, "documents")
     prototypes = learn_prototypes(docs.where(~held_out()))
     return identify(docs, prototypes).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -271,12 +271,26 @@ def test_decontamination_finds_edited_items(spark):
         for i, item in enumerate(items):
             p = decontaminate.plain(item)
             limit = decontaminate.error_budget(len(p), 0.05, 40)
-            if p and t and sellers(p, decontaminate.plain(t)) <= limit:
-                want.append((d, i, sellers(p, decontaminate.plain(t))))
+            p, held = (p, decontaminate.plain(t)) if limit or not p else (f" {p} ", f" {decontaminate.plain(t)} ")
+            if p and t and sellers(p, held) <= limit:
+                want.append((d, i, sellers(p, held)))
     assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == sorted(want) and (0, 0, 0) in want and (5, 6, 0) in want and errors > 0
     assert decontaminate.find_leaks(documents(spark, texts), bench.where("false")).count() == 0
 
 
+def test_decontamination_of_odd_items_and_documents(spark, tmp_path):
+    bench = spark.createDataFrame([(1, "the first text of a doubled item, long enough for edits"), (1, "another text of it that is long enough for edits"), (None, "an item without an id that is long enough to count"), (3, "cat")], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    texts = ["x The first text of a doubled item, long enough for edits", "another text of it that is long enuogh for edits y", "an item without an id that is long enough to count", "concatenate", "a Cat!", "the cat sat", None, "", "long " * 60000 + " cat"]
+    docs = documents(spark, texts, [0, 1, None, 3, 4, 4, 6, 7, 8])
+    for size in (8_000_000, 60):
+        got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.find_leaks(docs, bench, block_chars=size).collect()}
+        assert got == {(0, 1): 0, (1, 1): 2, (None, None): 0, (4, 3): 0, (8, 3): 0}
+    assert decontaminate.find_leaks(docs.where("false"), bench).count() == 0
+    docs.write.parquet(str(tmp_path / "documents.parquet")), bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = {r.doc_id: r for r in decontaminate.op6_decontaminate(spark, str(tmp_path)).collect()}
+    assert rows[None].n_items == 1 and rows[None].item_ids == [None] and rows[3].n_items == 0 and rows[4].item_ids == [3]
+
+
 def test_language_id(spark):
     rng = random.Random(6)
     tongues = {"aa": "the ing and ed sh th er".split(), "bb": "que eau oi le ment ère é".split(), "cc": "ung sch ein ich ü ß der".split()}
@@ -289,6 +303,21 @@ def test_language_id(spark):
     assert identify(docs, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_of_other_scripts_long_texts_and_empty_tables(spark):
+    rng = random.Random(11)
+    letters = {k: range(first, first + 8) for k, first in {"el": 0x3B1, "ru": 0x430, "ja": 0x3041, "zh": 0x4E00, "ko": 0xAC00}.items()}
+    rows = [(i, "".join(chr(rng.choice(letters[k])) if rng.random() < 0.8 else " " for _ in range(60)), k) for i, k in enumerate(list(letters) * 30)]
+    docs = spark.createDataFrame([*rows, (500, "".join(chr(rng.choice(letters["ru"])) for _ in range(300_000)), None), (501, rows[0][1], None), (501, rows[0][1], None), (None, rows[1][1], None)], "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash"))
+    learnt = learn_prototypes(docs.where(~held_out()))
+    got = identify(docs, learnt).collect()
+    by_id = {r.doc_id: r.lang_pred for r in got}
+    assert len(got) == len(rows) + 4 and sum(by_id[i] == k for i, _, k in rows) == len(rows)
+    assert by_id[500] == "ru" and by_id[501] == "el" and by_id[None] == "ru"
+    assert learn_prototypes(docs.where("false")) == {} and identify(docs.where("false"), learnt).count() == 0
+    tie = {"b": learnt["ru"], "a": learnt["ru"]}
+    assert {r.lang_pred for r in identify(docs.where("doc_id = 500"), tie).collect()} == {"a"}
+
+
 def test_line_dedup_by_brute_force(spark, awkward):
     rng = random.Random(8)
     block = [prose(rng, 6) for _ in range(12)]
