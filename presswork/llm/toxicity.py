@@ -1,116 +1,121 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-Pairs of words back off to words, rare words to their first STEM bytes, and rare stems to what both classes
-share, which does not tell them apart. Rare is what makes up less than MIN_SHARE of all words. Ratios of log-likelihoods are taken per word: over the whole text, and
-over its most toxic stretch of each length in WINDOWS, so that a few words in a long text still count.
+The probability of a word in a class comes from its continuation count there: after how many different words it
+stands. Copies of a passage bring no new ones. A discount is taken off each count; the mass that it frees in a class is
+dealt out by counts that both classes share, and the mass that it frees there evenly over all words and one unknown
+word, so each class's probabilities sum to one. A word whose counts do not exceed the discount has just its share of
+the freed mass in both classes, whatever it is, so the models hold no entry for it and yet lose nothing.
+
+A text's log-likelihoods under the two models are compared per word: over all of it, and over its most toxic stretch of
+each length in WINDOWS, so that a few words in a long text still count.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.llm.common import staged, table
 from presswork.llm.textkit import LOWER, Prefix, pieces, words
 
-DISCOUNT = 0.75
-WINDOWS = (1, 8)
-STEM = 4
-_STEM_MARK = (1 << 30) + 1
-MIN_COUNT, MIN_SHARE = 5, 1e-5
-ENTRIES = 1 << 19
+DISCOUNT = 2.5
+WINDOWS = (2, 8)
 LABELLED = 500_000
+CALIBRATE = 10  # one labelled text in so many sets the weights instead of being counted
 CALIBRATION = 20_000
-FOLDS, HELD_OUT, CALIBRATE = 5, 0, 1
+FOLDS, HELD_OUT = 5, 0
 _FEATURES = ("mean", *(f"most_{n}" for n in WINDOWS))
 _BREAK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+_WORD_BITS = 40
+_WORD = (1 << _WORD_BITS) - 1
 
 
-def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word of some texts: a 30-bit hash, that of the word before (0 at the start of a text), that of its
-    first STEM bytes, the row."""
+def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of some texts: a 40-bit hash, 23 bits of the hash of the word before (0 at the start), the row."""
     data = LOWER[data]
     start, end, row = words(data, at, _BREAK)
     if not len(start):
-        return *np.empty((3, 0), np.int64), row
-    pre = Prefix(data)
-    word = (pre.hash(start, end) >> np.uint64(34)).astype(np.int64) + 1
-    stem = ((pre.hash(start, np.minimum(end, start + STEM)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)).astype(np.int64) + 1
-    before = np.r_[0, word[:-1]]
+        return np.empty(0, np.int64), np.empty(0, np.int64), row
+    word = (Prefix(data).hash(start, end) >> np.uint64(64 - _WORD_BITS)).astype(np.int64)
+    before = np.r_[0, (word[:-1] >> (_WORD_BITS - 23)) | 1]
     before[np.r_[True, row[1:] != row[:-1]]] = 0
-    return word, before, stem, row
+    return word, before, row
+
+
+def _among(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the keys are there, and where."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return sorted_keys[at] == keys, at
 
 
-def _counts(labels):
-    """(id, text) of labelled texts -> (pair, c0, c1): how often each pair of words occurs in either class."""
+def _pairs(labelled):
+    """(id, text) of labelled texts -> (pair, classes): each word after the word before it, and the classes (1: not
+    toxic, 2: toxic) in which it stands there."""
 
     def run(batches):
-        ids, toxic = labels.value
+        ids, toxic = labelled.value
         for batch in batches:
-            key = np.asarray(batch.column(0), np.int64)
-            at_label = np.minimum(np.searchsorted(ids, key), max(0, len(ids) - 1))
-            use = np.flatnonzero(ids[at_label] == key) if len(ids) else []
-            if not len(use):
-                continue
-            kind = toxic[at_label[use]]
-            for i, _, data, at in pieces(batch.column(1).take(pa.array(use)), limit=1 << 22):
-                word, before, stem, row = _tokens(data, at)
-                pair, where = np.unique(np.r_[before << 32 | word, _STEM_MARK << 32 | stem], return_inverse=True)
-                c1 = np.bincount(where, weights=kind[i + np.r_[row, row]], minlength=len(pair)).astype(np.int64)
-                c0 = np.bincount(where, minlength=len(pair)) - c1
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(c0), pa.array(c1)], names=["pair", "c0", "c1"])
+            ok, at_id = _among(np.asarray(batch.column(0), np.int64), ids)
+            kind = toxic[at_id[ok]]
+            for i, _, data, at in pieces(batch.column(1).filter(pa.array(ok)), limit=1 << 22):
+                word, before, row = _tokens(data, at)
+                pair, where = np.unique(before << _WORD_BITS | word, return_inverse=True)
+                is_toxic = kind[i + row] > 0
+                plain, bad = (np.bincount(where[x], minlength=len(pair)) > 0 for x in (~is_toxic, is_toxic))
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(plain + 2 * bad.astype(np.int32))], names=["pair", "classes"])
 
     return run
 
 
+def kneser_ney(pairs: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, float]:
+    """(word, p0, p1) for each word whose probabilities differ by more than the classes' freed mass; and the log
+    ratio, toxic to ordinary, of every other word, known or not.
+
+    pairs: word, context and classes (1, 2, or 3 for both), each pair once.
+    """
+    counted = staged(
+        pairs.groupBy("word").agg(
+            F.count("*").alias("n"), F.count_if(F.col("classes").bitwiseAND(1) > 0).alias("n0"), F.count_if(F.col("classes").bitwiseAND(2) > 0).alias("n1")
+        )
+    )
+    freed = lambda c: F.coalesce(F.sum(F.least(F.col(c).cast("double"), F.lit(discount))), F.lit(0.0))
+    total = counted.agg(F.count("*").alias("types"), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"of_{c}") for c in ("n", "n0", "n1")), *(freed(c).alias(f"freed_{c}") for c in ("n", "n0", "n1"))).first()
+
+    def probability(c: str, lower: Column) -> Column:
+        whole = total[f"of_{c}"]
+        if not whole:
+            return lower
+        return F.greatest(F.col(c) - discount, F.lit(0.0)) / whole + total[f"freed_{c}"] / whole * lower
+
+    shared = probability("n", F.lit(1.0 / (total.types + 1)))
+    entries = counted.where((F.col("n0") > discount) | (F.col("n1") > discount)).select("word", probability("n0", shared).alias("p0"), probability("n1", shared).alias("p1"))
+    left = [total[f"freed_{c}"] / total[f"of_{c}"] if total[f"of_{c}"] else 1.0 for c in ("n0", "n1")]
+    return entries, math.log(left[1] / left[0])
+
+
 class Model:
-    """What scoring needs: the frequent words and pairs with their counts; everything rarer says nothing."""
-
-    def __init__(self, totals, words_: dict[str, np.ndarray], pairs: dict[str, np.ndarray]):
-        n0, n1, types, vocabulary = (max(1.0, float(x) / 2) for x in totals)  # each word is there as itself and as its stem
-        w, p = ({k: v[np.argsort(t["id"])] for k, v in t.items()} for t in (words_, pairs))
-        self.words, self.pairs = w["id"], p["id"]
-        shared = DISCOUNT * vocabulary / (n0 + n1) * w["cont"] / types
-        self.p = [np.maximum(w[c] - DISCOUNT, 0) / n + shared for c, n in (("c0", n0), ("c1", n1))]
-        self.alone = np.log(self.p[1] / self.p[0])
-        # words that follow a context: class counts, and one shared mass for what the context has not met
-        context, word = p["id"] >> 32, p["id"] & 0xFFFFFFFF
-        h, v = (self._find(self.words, x) for x in (context, word))
-        ok = (h >= 0) & (v >= 0)
-        self.pairs, h, v = self.pairs[ok], h[ok], v[ok]
-        met = w["x0"][h] + w["x1"][h]
-        left = DISCOUNT * w["follow"][h] / np.maximum(met, 1)
-        both = [np.maximum(p[c][ok] - DISCOUNT, 0) / np.maximum(w[x][h], 1) + left * q[v] for c, x, q in (("c0", "x0", self.p[0]), ("c1", "x1", self.p[1]))]
-        self.joint = np.log(both[1] / both[0])
-
-    @staticmethod
-    def _find(table_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        if not len(table_):
-            return np.full(len(keys), -1)
-        k = np.minimum(np.searchsorted(table_, keys), len(table_) - 1)
-        return np.where(table_[k] == keys, k, -1)
-
-    def ratios(self, word: np.ndarray, before: np.ndarray, stem: np.ndarray) -> np.ndarray:
-        """Toxic less ordinary log-likelihood of each word after the one before it."""
-        if not len(self.alone):
-            return np.zeros(len(word))
-        k = self._find(self.words, word)
-        rare = np.flatnonzero(k < 0)
-        k[rare] = self._find(self.words, stem[rare])
-        out = np.where(k >= 0, self.alone[k], 0.0)
-        k = self._find(self.pairs, before << 32 | word)
-        return np.where(k >= 0, self.joint[k], out) if len(self.joint) else out
+    """Log-likelihood ratios of words, toxic less ordinary."""
+
+    def __init__(self, word: np.ndarray, ratio: np.ndarray, other: float):
+        order = np.argsort(word)
+        self.word, self.ratio, self.other = word[order], ratio[order].astype(np.float32), other
 
     def features(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of each text: the ratio per word over all of it, and over its most toxic stretch of each length."""
-        word, before, stem, row = _tokens(data, at)
+        """Of each text: the ratio per word over all of it, and over its most toxic stretch of each length. 0 without words."""
+        word, _, row = _tokens(data, at)
         n = len(at) - 1
         out = np.zeros((n, 1 + len(WINDOWS)))
         if len(word):
+            known, where = _among(word, self.word)
+            ratio = np.full(len(word), self.other)
+            ratio[known] = self.ratio[where[known]]
             count = np.bincount(row, minlength=n)
-            ratio = self.ratios(word, before, stem)
             sums = np.r_[0.0, np.cumsum(ratio)]
             full, starts = np.flatnonzero(count), np.cumsum(count) - count
             out[full, 0] = np.add.reduceat(ratio, starts[full]) / count[full]
@@ -120,70 +125,43 @@ class Model:
         return out
 
 
-def _frequent(counts: DataFrame, pairs: bool, least: int) -> dict[str, np.ndarray]:
-    """Entries seen `least` times or more, and no more than ENTRIES of them: the bar rises until they fit. (That
-    many never share MIN_SHARE each; the bar only matters with other settings.)"""
-    rows = counts.where(F.col("pairs") == pairs).withColumn("k", F.col("c0") + F.col("c1")).where(F.col("k") >= least)
-    bins = rows.groupBy(F.floor(F.log2("k") * 8).alias("bin")).count().collect()  # a few hundred bins
-    bar, n = 10**9, 0
-    for r in sorted(bins, key=lambda r: -r.bin):
-        n += r["count"]
-        if n > ENTRIES:
-            break
-        bar = r.bin
-    got = rows.where(F.floor(F.log2("k") * 8) >= bar).drop("pairs", "k").toArrow()
-    return {c: np.asarray(got[c].combine_chunks(), np.int64) for c in got.column_names}
-
-
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = LABELLED):
     """Learns a scorer from labelled rows: labels has (id, toxic 0 or 1); of several labels of an id the worst counts.
 
-    Uses at most about `most_labelled` labelled ids, taken by hash where there are more; their texts are counted
-    whole. A fifth of the ids (crc32 mod 5 = 1) is left out of the counts and sets the weights and the bias
-    that turn log-likelihood ratios into a probability (at most about CALIBRATION texts).
+    Of equal texts with equal labels one counts. Uses at most about `most_labelled` labelled ids, taken by hash where
+    there are more, whose texts are counted whole: this bounds the models too, so that they can be broadcast. One in
+    CALIBRATE of them (at most about CALIBRATION) is not counted but sets the weights and the bias that turn
+    log-likelihood ratios into a probability. Without labels every score is 0.5.
     """
     spark = docs.sparkSession
-    known = labels.where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where("id is not null and toxic is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     if n > most_labelled:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most_labelled / n))
-    fold = F.crc32(F.col("id").cast("string")) % FOLDS
-    got = known.select(F.col("id").cast("long").alias("id"), "toxic", (fold == CALIBRATE).alias("calibrate")).orderBy("id").toArrow()
-    ids, toxic, calibrate = (np.asarray(got[c].combine_chunks()) for c in ("id", "toxic", "calibrate"))
-    held = spark.sparkContext.broadcast((ids[~calibrate], toxic[~calibrate]))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    pairs = rows.where(fold != CALIBRATE).mapInArrow(_counts(held), "pair long, c0 long, c1 long")
-    pairs = pairs.groupBy("pair").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    entry = lambda kind, key, c0, c1, cont, follow, x0, x1: F.struct(F.lit(kind).alias("pairs"), key.alias("id"), c0.alias("c0"), c1.alias("c1"), cont.alias("cont"), follow.alias("follow"), x0.alias("x0"), x1.alias("x1"))
-    c0, c1 = F.col("c0"), F.col("c1")
-    as_word = entry(False, F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)), c0, c1, one, zero, zero, zero)
-    as_context = entry(False, F.shiftright("pair", 32), zero, zero, zero, one, c0, c1)
-    as_pair = F.when((c0 + c1 >= MIN_COUNT) & (F.shiftright("pair", 32) != _STEM_MARK), F.array(entry(True, F.col("pair"), c0, c1, zero, zero, zero, zero)))
-    each = pairs.select(F.explode(F.concat(F.array(as_word, as_context), F.coalesce(as_pair, F.array().cast("array<struct<pairs:boolean,id:bigint,c0:bigint,c1:bigint,cont:bigint,follow:bigint,x0:bigint,x1:bigint>>")))).alias("e")).select("e.*")
-    counts = staged(each.groupBy("pairs", "id").agg(*(F.sum(c).alias(c) for c in ("c0", "c1", "cont", "follow", "x0", "x1"))))
-    totals = counts.where("not pairs").agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("c0"), F.sum("c1"), F.sum("cont"), F.count_if(c0 + c1 > 0)))).first()
-    # copies of a few texts make rare words look telling; only what is a fixed share of all words is counted on
-    least = max(MIN_COUNT, int(MIN_SHARE * (totals[0] + totals[1]) / 2))
-    model = Model(totals, _frequent(counts, False, least), _frequent(counts, True, least))
-
-    chosen = np.flatnonzero(calibrate)
-    chosen = chosen[:: max(1, len(chosen) // CALIBRATION)]
+    once = rows.select("id", F.xxhash64("text").alias("same")).join(known, "id").groupBy("same", "toxic").agg(F.min("id").alias("id"))
+    aside = lambda c: F.crc32(F.concat(F.lit("calibrate/"), F.col(c).cast("string"))) % CALIBRATE == 0
+    got = once.select("id", "toxic", aside("id").alias("aside")).distinct().orderBy("id").toArrow()
+    ids, toxic, left_out = (np.asarray(got[c].combine_chunks()) for c in ("id", "toxic", "aside"))
+    labelled = spark.sparkContext.broadcast((ids[~left_out], toxic[~left_out]))
+    pairs = rows.where(~aside("id")).mapInArrow(_pairs(labelled), "pair long, classes int").groupBy("pair").agg(F.bit_or("classes").alias("classes"))
+    entries, other = kneser_ney(pairs.select((F.col("pair").bitwiseAND(F.lit(_WORD))).alias("word"), "classes"))
+    entries = entries.select("word", F.log(F.col("p1") / F.col("p0")).cast("float").alias("ratio")).toArrow()
+    shared = spark.sparkContext.broadcast(Model(*(np.asarray(entries[c].combine_chunks()) for c in ("word", "ratio")), other))
+
+    chosen = np.flatnonzero(left_out)
+    chosen = chosen[:: max(1, -(-len(chosen) // CALIBRATION))]
     sample = spark.sparkContext.broadcast((ids[chosen], toxic[chosen]))
-    shared = spark.sparkContext.broadcast(model)
 
     def measure(batches):
         keys, kinds = sample.value
         for batch in batches:
-            key = np.asarray(batch.column(0), np.int64)
-            k = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            use = np.flatnonzero(keys[k] == key) if len(keys) else np.empty(0, np.int64)
-            if len(use):
-                for i, j, data, at in pieces(batch.column(1).take(pa.array(use))):
-                    ratios = shared.value.features(data, at)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in ratios.T), pa.array(kinds[k[use[i:j]]].astype(np.int32))], names=[*_FEATURES, "toxic"])
-
-    seen = rows.where(fold == CALIBRATE).mapInArrow(measure, ", ".join(f"{x} double" for x in _FEATURES) + ", toxic int").toArrow()
+            ok, at_id = _among(np.asarray(batch.column(0), np.int64), keys)
+            kind = kinds[at_id[ok]].astype(np.int32)
+            for i, j, data, at in pieces(batch.column(1).filter(pa.array(ok))):
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in shared.value.features(data, at).T), pa.array(kind[i:j])], names=[*_FEATURES, "toxic"])
+
+    seen = rows.where(aside("id")).mapInArrow(measure, ", ".join(f"{x} double" for x in _FEATURES) + ", toxic int").toArrow()
     weights = _logistic(np.c_[*(np.asarray(seen[x]) for x in _FEATURES), np.ones(len(seen))], np.asarray(seen["toxic"], np.float64))
     return shared, weights
 
@@ -203,7 +181,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, learnt, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score (0 to 1: the probability that the text is toxic), mean, most_1, most_8 (the ratios it comes from).
+    """id, score (0 to 1: the probability that the text is toxic), mean, most_2, most_8 (the ratios it comes from).
 
     One row for each row; a null or empty text has ratios of 0 and the score that these have. Other columns are
     ignored.
@@ -223,6 +201,7 @@ def score(docs: DataFrame, learnt, id_col: str = "doc_id", text_col: str = "text
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each document, learnt from the labels of those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id")).select(F.col("doc_id").alias("id"), "toxic")

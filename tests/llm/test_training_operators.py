@@ -236,6 +236,42 @@ def test_toxicity_without_labels(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.learn(docs, none)).collect()} == {0.5}
 
 
+def test_kneser_ney_sums_to_one_and_equals_the_formula(spark):
+    rng = random.Random(7)
+    pairs = {(rng.randrange(30) ** 2 // 30, rng.randrange(25), rng.choice([1, 1, 2])) for _ in range(500)}
+    classes = Counter()
+    for w, c, k in pairs:
+        classes[w, c] |= k
+    rows = spark.createDataFrame([(w, c, k) for (w, c), k in classes.items()] + [(99, 0, 1)], "word long, context long, classes int")
+    entries, other = toxicity.kneser_ney(rows, 2.5)
+    n = [Counter(w for (w, _), k in [*classes.items(), ((99, 0), 1)] if k & bit) for bit in (3, 1, 2)]
+    whole = [sum(x.values()) for x in n]
+    freed = [sum(min(v, 2.5) for v in x.values()) / t for x, t in zip(n, whole, strict=True)]
+    vocabulary = [*n[0], "unknown"]
+    shared = {w: max(n[0][w] - 2.5, 0) / whole[0] + freed[0] / len(vocabulary) for w in vocabulary}
+    p = [{w: max(n[k][w] - 2.5, 0) / whole[k] + freed[k] * shared[w] for w in vocabulary} for k in (1, 2)]
+    assert all(sum(x.values()) == pytest.approx(1) for x in (shared, *p))
+    got = {r.word: (r.p0, r.p1) for r in entries.collect()}
+    assert 0 < len(got) < len(vocabulary) - 1
+    for w in vocabulary:
+        assert got[w] == pytest.approx((p[0][w], p[1][w])) if w in got else np.log(p[1][w] / p[0][w]) == pytest.approx(other)
+
+
+def test_toxicity_of_copies_long_texts_and_empty_tables(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 30) + (f" slur{i % 3} {prose(rng, 5)} slur{i % 2}" if i % 4 == 0 else "") for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)] + [(700 + i, 1) for i in range(300)] + [(None, 1), (5, None), (4, 0)], "id long, toxic int").withColumn("text", F.lit("clash"))
+    copies = [prose(rng, 30)] * 300  # one text, labelled toxic 300 times, is one text
+    docs = documents(spark, [*texts, *copies, "slur0 slur1 " * 3, prose(rng, 60_000) + " slur0 slur1 slur2 " + prose(rng, 60_000), "ordinary words here", None], [*range(600), *range(700, 1000), None, 2000, 2001, 2001])
+    learnt = toxicity.learn(docs, labels)
+    got = toxicity.score(docs, learnt).collect()
+    by_id = {r.doc_id: r.score for r in got}
+    assert len(got) == docs.count() and by_id[None] > 0.9 and by_id[2000] > 0.5
+    assert np.mean([by_id[i] >= 0.5 for i in range(0, 600, 4)]) > 0.95 and np.mean([by_id[i] < 0.5 for i in range(600) if i % 4]) > 0.95
+    assert toxicity.score(docs.where("false"), learnt).count() == 0
+    assert {r.score for r in toxicity.score(docs, toxicity.learn(docs.where("false"), labels)).collect()} == {0.5}
+
+
 def sellers(item, text):
     row = list(range(len(item) + 1))
     best = row[-1]
