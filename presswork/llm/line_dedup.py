@@ -5,13 +5,14 @@ Native: expressions, joins and aggregations only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presswork.llm.common import md5_number, staged, table
 
-DIVISOR = 3
+DIVISOR = 2
 STEP = 31
+_RUNS = "array<struct<first:int,last:int>>"
 
 
 def _evaluated(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -20,11 +21,18 @@ def _evaluated(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("_x")).select(*rows.columns, "_x.*")
 
 
+def _stretch(first: Column, last: Column) -> Column:
+    """The lines from first to last (numbers from 1); none if last comes before first."""
+    return F.slice(F.col("lines"), first, F.greatest(last - first + 1, F.lit(0)))
+
+
 def _with_chunks(rows: DataFrame, divisor: int) -> DataFrame:
-    """Adds lines, and chunks: first and last line (from 1) of each chunk of at least two lines.
+    """(id, mark, first, last, before, after, h1, h2) of each chunk: its lines (numbers from 1), the first line of the
+    chunk before it and the last of the one after it (its own where there is none), and two hashes of its bytes.
 
     A chunk ends after a line whose hash, rolled together with that of the line before, is divisible by the
-    divisor, and with the text; so an insertion only moves the boundaries next to it.
+    divisor, and with the text; so an insertion only moves the boundaries next to it. The hashes are taken inside the
+    row, so no row carries the text of another chunk. Chunks of one blank line are left out.
     """
     lined = _evaluated(rows, lines=F.split("text", "\n", -1))
     lined = _evaluated(lined, hashes=F.transform("lines", lambda x: md5_number(x)))
@@ -33,13 +41,18 @@ def _with_chunks(rows: DataFrame, divisor: int) -> DataFrame:
         rolled = F.element_at("hashes", i) + STEP * F.when(i > 1, F.element_at("hashes", F.greatest(i - 1, F.lit(1)))).otherwise(0)
         return (i == F.size("hashes")) | (rolled % divisor == 0)
 
-    cut = _evaluated(lined, ends=F.filter(F.sequence(F.lit(1), F.size("hashes")), ends))
-    chunks = F.transform("ends", lambda e, k: F.struct((F.when(k > 0, F.element_at("ends", F.greatest(k, F.lit(1)))).otherwise(0) + 1).alias("first"), e.alias("last")))
-    return cut.withColumn("chunks", F.filter(chunks, lambda c: c["last"] > c["first"])).drop("hashes", "ends")
+    cut = _evaluated(lined, ends=F.filter(F.sequence(F.lit(1), F.size("hashes")), ends)).drop("hashes")
+    end = lambda k: F.when(k > 0, F.element_at("ends", F.greatest(k, F.lit(1)))).otherwise(0)
 
+    def chunk(last: Column, k: Column) -> Column:
+        first = end(k) + 1
+        text = F.array_join(_stretch(first, last), "\n")
+        before, after = F.when(k > 0, end(k - 1) + 1).otherwise(first), F.element_at("ends", F.least(k + 2, F.size("ends")))
+        hashes = (F.xxhash64(text), F.xxhash64(F.lit("again"), text), F.length(F.trim(text)) > 0)
+        return F.struct(first.alias("first"), last.alias("last"), before.alias("before"), after.alias("after"), *(h.alias(n) for h, n in zip(hashes, ("h1", "h2", "worded"), strict=True)))
 
-def _chunk_text(lines: str, chunk: str) -> Column:
-    return F.array_join(F.slice(lines, F.col(chunk)["first"], F.col(chunk)["last"] - F.col(chunk)["first"] + 1), "\n")
+    chunks = cut.select("id", "mark", F.explode(F.transform("ends", chunk)).alias("chunk")).select("id", "mark", "chunk.*")
+    return chunks.where("last > first or worded").drop("worded")
 
 
 def _with(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -48,51 +61,80 @@ def _with(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return rows.join(other, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), how).drop("_id", "_mark")
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """Removes chunks of two lines or more whose bytes already stood elsewhere: with a smaller id, or further up.
+def _agreeing(a: str, b: str, place) -> Column:
+    """How many lines two stretches share, counted from place(1), until they first differ."""
+    n = F.least(F.size(a), F.size(b))
+    step = lambda s, i: F.when(s["open"] & (F.element_at(a, place(i)) == F.element_at(b, place(i))), F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("open")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step, lambda s: s["n"])).otherwise(0)
 
-    Returns for each row the id, n_lines, removed (first and last line of each chunk removed, from 1) and kept (the
-    other lines, joined by line feeds). Chunks are found by 128 bits of hash and removed only where they equal
-    the first of their kind byte by byte. A null text has no lines and stays empty; an empty text has one.
-    Rows that agree in id and text count as one place, and all of them keep what is kept there; a null id comes
-    before others. Other columns are ignored.
+
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
+    """Removes runs of two lines or more whose bytes already stood elsewhere: with a smaller id, or further up.
+
+    Each chunk is compared, byte by byte, with the first of its kind in the corpus (found by 128 bits of hash). The
+    run grows from the chunk over the neighbouring chunks' lines for as long as they equal those next to the first.
+    Returns for each row the id, n_lines, removed (first and last line of each maximal removed run, from 1) and kept
+    (the other lines, joined by line feeds). Every removed line stands further up or under a smaller id, so the first
+    place of a run stays. A repeated passage that holds no whole chunk is not found; one of many lines hardly ever
+    lacks one. A null text has no lines and stays empty; an empty text has one. Rows that agree in id and text count as
+    one place, and all of them keep what is kept there; a null id comes before others. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
-    chunked = _with_chunks(rows.where(F.col("text").contains("\n")), divisor).select("id", "mark", "lines", F.explode("chunks").alias("chunk"))
-    text = _chunk_text("lines", "chunk")
-    slim = chunked.select("id", "mark", "chunk", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("again"), text).alias("h2"))
-    places = slim.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "chunk")).alias("first"), F.max(F.struct("id", "mark", "chunk")).alias("other"))
-    places = staged(places.where("first <> other or not (first.id <=> other.id)").drop("other"))
-    repeated = slim.join(places, ["h1", "h2"]).withColumn("is_first", F.struct("id", "mark", "chunk").eqNullSafe(F.col("first")))
-    wanted = staged(repeated.groupBy("id", "mark").agg(F.collect_set(F.struct("chunk", "h1", "h2", "is_first")).alias("wanted")))
-
-    holders = _with(rows, wanted, "inner")
-    holders = _evaluated(holders, lines=F.split("text", "\n", -1)).select("id", "mark", "lines", F.explode("wanted").alias("w"))
-    holders = holders.select("id", "mark", "w.*", _chunk_text("lines", "w.chunk").alias("bytes"))
-    first = holders.where("is_first").select("h1", "h2", F.col("bytes").alias("first_bytes")).dropDuplicates(["h1", "h2"])
-    gone = holders.where("not is_first").join(first, ["h1", "h2"]).where("bytes = first_bytes")
-    gone = gone.groupBy("id", "mark").agg(F.array_sort(F.collect_set("chunk")).alias("removed"))
-    out = _with(rows, gone, "left").select("id", "text", F.coalesce("removed", F.array().cast("array<struct<first:int,last:int>>")).alias("removed"))
-    lines = F.split("text", "\n", -1)
-    inside = lambda i: F.exists("removed", lambda r: (r["first"] <= i + 1) & (i + 1 <= r["last"]))
-    kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
-    return out.select(F.col("id").alias(id_col), F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).alias("n_lines"), "removed", F.coalesce(kept, F.lit("")).alias("kept"))
+    slim = _with_chunks(rows.where(F.col("text").contains("\n")), divisor)
+    place = F.struct("id", "mark", "first", "last")
+    places = slim.groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.max(place).alias("other"))
+    # staged, here and below, so that Spark can split joins with chunks that a third of all texts hold
+    places = staged(places.where("earliest <> other or not (earliest.id <=> other.id)").drop("other"))
+    repeated = slim.join(places, ["h1", "h2"]).withColumn("is_first", place.eqNullSafe(F.col("earliest")))
+    wanted = staged(repeated.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last", "before", "after", "h1", "h2", "is_first")).alias("wanted")))
+
+    holders = _evaluated(_with(rows, wanted, "inner"), lines=F.split("text", "\n", -1)).drop("text")
+    of = lambda w: F.struct(
+        *(w[c].alias(c) for c in ("first", "last", "h1", "h2", "is_first")), _stretch(w["first"], w["last"]).alias("own"),
+        _stretch(w["before"], w["first"] - 1).alias("above"), _stretch(w["last"] + 1, w["after"]).alias("below"),
+    )
+    held = holders.select("id", "mark", F.explode(F.transform("wanted", of)).alias("w")).select("id", "mark", "w.*")
+    earliest = held.where("is_first").dropDuplicates(["h1", "h2"]).select("h1", "h2", *(F.col(c).alias(f"first_{c}") for c in ("own", "above", "below")))
+    met = held.where("not is_first").join(staged(earliest), ["h1", "h2"]).where("own = first_own")
+    first = (F.col("first") - _agreeing("above", "first_above", lambda i: -i)).alias("first")
+    last = (F.col("last") + _agreeing("below", "first_below", lambda i: i)).alias("last")
+    runs = met.select("id", "mark", first, last).where("last > first").distinct()
+    by_place = Window.partitionBy("id", "mark").orderBy("first", "last")
+    reach = F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    islands = runs.withColumn("fresh", F.coalesce((F.col("first") > reach + 1).cast("int"), F.lit(1))).withColumn("island", F.sum("fresh").over(by_place))
+    islands = islands.groupBy("id", "mark", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    gone = islands.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("removed"))
+    out = _with(rows, gone, "left").select("id", "text", F.coalesce("removed", F.array().cast(_RUNS)).alias("removed"))
+
+    n_lines = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0))
+    untouched = out.where(F.size("removed") == 0).select("id", n_lines.alias("n_lines"), "removed", F.coalesce("text", F.lit("")).alias("kept"))
+    cut = _evaluated(out.where(F.size("removed") > 0), lines=F.split("text", "\n", -1))
+    gap = lambda r, k: _stretch(F.when(k > 0, F.element_at("removed", F.greatest(k, F.lit(1)))["last"]).otherwise(0) + 1, r["first"] - 1)
+    rest = _stretch(F.element_at("removed", -1)["last"] + 1, F.size("lines"))
+    kept = F.array_join(F.concat(F.flatten(F.transform("removed", gap)), rest), "\n")
+    return untouched.unionByName(cut.select("id", n_lines.alias("n_lines"), "removed", kept.alias("kept"))).withColumnRenamed("id", id_col)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, how many of them are removed, and a digest of the rest."""
     out = remove_repeated_lines(table(spark, sf_dir, "documents"))
     n = F.aggregate("removed", F.lit(0), lambda s, r: s + r["last"] - r["first"] + 1)
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), n.cast("long").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+_SHARED = "coalesce(list_max(list_filter(range(1, least(len({a}), len({b})) + 1), lambda i: {x} = {y})), 0)"
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 h AS (SELECT doc_id, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM d),
 e AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR (hs[i] + {STEP} * coalesce(CASE WHEN i > 1 THEN hs[i - 1] END, 0)) % {DIVISOR} = 0) AS ends FROM h),
-c AS (SELECT doc_id, lines, unnest(list_transform(range(1, len(ends) + 1), lambda k: {{'f': coalesce(CASE WHEN k > 1 THEN ends[k - 1] END, 0) + 1, 'l': ends[k]}})) AS c FROM e),
-m AS (SELECT doc_id, c.f AS f, c.l AS l, array_to_string(lines[c.f:c.l], chr(10)) AS t FROM c WHERE c.l > c.f),
-r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, f) AS k FROM m),
-g AS (SELECT doc_id, flatten(list(range(f, l + 1))) AS gone FROM r WHERE k > 1 GROUP BY doc_id)
+c AS (SELECT doc_id, lines, unnest(list_transform(range(1, len(ends) + 1), lambda k: {{'f': CASE WHEN k > 1 THEN ends[k - 1] ELSE 0 END + 1, 'l': ends[k],
+  'b': CASE WHEN k > 2 THEN ends[k - 2] ELSE 0 END + 1, 'a': ends[least(k + 1, len(ends))]}})) AS c FROM e),
+m AS (SELECT doc_id, c.f AS f, c.l AS l, array_to_string(lines[c.f:c.l], chr(10)) AS t, lines[c.b:c.f - 1] AS above, lines[c.l + 1:c.a] AS below FROM c),
+r AS (SELECT *, row_number() OVER w AS k, first_value(above) OVER w AS above_1, first_value(below) OVER w AS below_1 FROM m WHERE l > f OR length(trim(t)) > 0 WINDOW w AS (PARTITION BY t ORDER BY doc_id, f)),
+x AS (SELECT doc_id, f - {_SHARED.format(a="above", b="above_1", x="above[len(above) - i + 1:]", y="above_1[len(above_1) - i + 1:]")} AS f,
+  l + {_SHARED.format(a="below", b="below_1", x="below[1:i]", y="below_1[1:i]")} AS l FROM r WHERE k > 1),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(f, l + 1)))) AS gone FROM x WHERE l > f GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(coalesce(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i)), chr(10)) END, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)

@@ -354,31 +354,68 @@ def test_language_id_of_other_scripts_long_texts_and_empty_tables(spark):
     assert {r.lang_pred for r in identify(docs.where("doc_id = 500"), tie).collect()} == {"a"}
 
 
-def test_line_dedup_by_brute_force(spark, awkward):
-    rng = random.Random(8)
-    block = [prose(rng, 6) for _ in range(12)]
-    texts = [*awkward, "\n".join(block), "\n".join([prose(rng, 5), *block, prose(rng, 5)]), "\n".join(block), "a\nb\na\nb\na\nb", "\n\n\n\n"]
+def lines_by_chunks(texts, divisor):
+    """For each text its lines and those that the rule removes."""
     number = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
-    seen, want = set(), {}
-    for d, t in enumerate(texts):
+    firsts, out = {}, []
+    for t in texts:
         lines = [] if t is None else t.split("\n")
         hs = [number(x) for x in lines]
-        gone, first = set(), 0
-        for i in range(len(lines)):
-            if i == len(lines) - 1 or (hs[i] + 31 * (hs[i - 1] if i else 0)) % 3 == 0:
-                chunk = "\n".join(lines[first : i + 1])
-                if i > first:
-                    if chunk in seen:
-                        gone.update(range(first, i + 1))
-                    seen.add(chunk)
-                first = i + 1
-        want[d] = (len(lines), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+        ends = [i + 1 for i in range(len(lines)) if i == len(lines) - 1 or (hs[i] + 31 * (hs[i - 1] if i else 0)) % divisor == 0]
+        starts, gone = [0, *ends[:-1]][: len(ends)], set()
+        for k, (a, z) in enumerate(zip(starts, ends, strict=True)):
+            own, above, below = lines[a:z], lines[starts[k - 1] if k else a : a], lines[z : ends[min(k + 1, len(ends) - 1)]]
+            if len(own) == 1 and not own[0].strip(" "):
+                continue
+            if "\n".join(own) not in firsts:
+                firsts["\n".join(own)] = above, below
+                continue
+            above_1, below_1 = firsts["\n".join(own)]
+            back = next((i for i, (x, y) in enumerate(zip(above[::-1], above_1[::-1], strict=False)) if x != y), min(len(above), len(above_1)))
+            on = next((i for i, (x, y) in enumerate(zip(below, below_1, strict=False)) if x != y), min(len(below), len(below_1)))
+            if z + on - (a - back) > 1:
+                gone.update(range(a - back, z + on))
+        out.append((lines, gone))
+    return out
+
+
+def test_line_dedup_by_brute_force(spark, awkward):
+    rng = random.Random(8)
+    block = [prose(rng, 6) for _ in range(12)]
+    texts = [*awkward, "\n".join(block), "\n".join([prose(rng, 5), *block, prose(rng, 5)]), "\n".join(block), "a\nb\na\nb\na\nb", "\n\n\n\n", "same\n" * 3000]
+    want = {d: (len(lines), "\n".join(x for k, x in enumerate(lines) if k not in gone)) for d, (lines, gone) in enumerate(lines_by_chunks(texts, 2))}
     got = {r.doc_id: (r.n_lines, r.kept) for r in line_dedup.remove_repeated_lines(documents(spark, texts)).collect()}
     assert got == want
     assert line_dedup.remove_repeated_lines(documents(spark, ["x\ny", "x\ny"], [None, None])).where("size(removed) > 0").count() == 0
     assert line_dedup.remove_repeated_lines(documents(spark, ["x"]).where("false")).count() == 0
 
 
+def test_line_dedup_finds_planted_passages(spark):
+    """Passages of six lines or more in new surroundings: nearly all of their lines go, and no other line does."""
+    rng = random.Random(13)
+    passages = [[prose(rng, 9) for _ in range(rng.randrange(6, 14))] for _ in range(40)]
+    texts, planted = [], 0
+    for i in range(200):
+        lines = [prose(rng, 7) for _ in range(rng.randrange(2, 9))]
+        at = rng.randrange(len(lines) + 1)
+        texts.append("\n".join([*lines[:at], *passages[i % 40], *lines[at:]]))
+        planted += len(passages[i % 40]) if i >= 40 else 0
+    got = line_dedup.remove_repeated_lines(documents(spark, texts)).collect()
+    held = {x for p in passages for x in p}
+    removed = 0
+    for r in got:
+        gone = Counter(texts[r.doc_id].split("\n")) - Counter(r.kept.split("\n"))
+        assert set(gone) <= held and (r.doc_id >= 40 or not gone)
+        removed += sum(gone.values())
+    assert removed >= 0.9 * planted
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    long = "\n".join(f"line {i} of the text" for i in range(200_000))
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(documents(spark, [long, "x\n" + long + "\ny"])).collect()}
+    assert not got[0].removed and got[1].n_lines == 200_002 and 2 <= len(got[1].kept.split("\n")) <= 6
+
+
 def table_by_turns(shards, slots):
     orders = [[(sharding._number(f"offset/{s}") + i * (sharding._number(f"skip/{s}") % (slots - 1) + 1)) % slots for i in range(slots)] for s in shards]
     owner, turn = {}, 0
