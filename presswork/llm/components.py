@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import checkpointed
+from presswork.llm.common import checkpointed, staged
 
 
 def _min_neighbour(edges: DataFrame) -> DataFrame:
@@ -15,12 +15,13 @@ def _min_neighbour(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_min_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # staged, so that the edges of a vertex with very many are an input that Spark can split
+    return both.join(staged(_min_neighbour(both)), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges with v < u: all smaller neighbours of u, and u, go to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = staged(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -41,6 +42,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct()
     edges = checkpointed(edges)
     while not _settled(edges):
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_small_star(checkpointed(_large_star(edges))))
     roots = edges.select(F.col("v").alias("v"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("v"), F.col("v").alias("comp")).unionByName(roots)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.llm.common import checkpointed, staged, table
@@ -195,18 +195,20 @@ def _confirmed(size: int, share: int):
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    """(key, rep, size) of the nodes with at least two members."""
-    counts = nodes.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return staged(nodes.join(counts, "key"))
+    """(key, rep, size, pivot) of the nodes with at least two members; pivot: the member that the node's key picks.
+
+    The sizes are staged, so that the join is one of two plain inputs, whose large partitions Spark can split.
+    """
+    sizes = nodes.groupBy("key").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("key", "rep")).alias("pivot"))
+    return staged(nodes.join(staged(sizes.where("size > 1")), "key"))
 
 
 def _first_pairs(nodes: DataFrame) -> DataFrame:
-    """All pairs of small nodes; in large ones each member with one that the node's key picks."""
+    """All pairs of small nodes; in large ones each member with the pivot."""
     small, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL)
     other = small.select("key", F.col("rep").alias("b"))
     every = small.join(other, "key").where("rep < b").select(F.col("rep").alias("a"), "b")
-    pivot = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep"))["rep"].alias("b"))
-    star = large.join(pivot, "key").where("rep <> b").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+    star = large.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
     return every.unionByName(star).distinct()
 
 
@@ -273,7 +275,7 @@ def _unsettled(nodes: DataFrame, comps: DataFrame, everything: bool) -> DataFram
     placed = nodes.join(comps, nodes["rep"] == comps["v"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
     whole = parts.groupBy("key").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top")).where("size > top.k")
-    whole = whole.select("key", F.col("top.comp").alias("top"), (F.lit(everything) | (F.col("size") - F.col("top.k") <= FEW)).alias("few"))
+    whole = staged(whole.select("key", F.col("top.comp").alias("top"), (F.lit(everything) | (F.col("size") - F.col("top.k") <= FEW)).alias("few")))
     return checkpointed(placed.join(whole, "key").select("key", "rep", "comp", "top", "few"))
 
 
@@ -284,18 +286,19 @@ def _cross_links(members: DataFrame, texts: DataFrame, size: int, share: int) ->
     meets each other text once, in groups of bounded size, however many nodes they share.
     """
     placed = members.select(F.col("top").alias("fam"), "rep", "comp").distinct()
-    at = F.row_number().over(Window.partitionBy("fam").orderBy("rep")) - 1
-    minors = placed.where("comp <> fam").withColumn("block", (at / BLOCK).cast("int"))
     sizes = placed.groupBy("fam").agg(F.ceil(F.count_if(F.col("comp") != F.col("fam")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    sizes = staged(sizes)
+    minors = placed.where("comp <> fam").join(sizes, "fam").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.col("blocks")).cast("int"))
     met = placed.join(sizes, "fam").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     met = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    minors = minors.join(sizes, "fam").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    minors = minors.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     group = ["fam", "block", "chunk"]
     left, right = (x.join(texts, x["rep"] == texts["id"]).select(*(F.col(c).alias(c) for c in (*group, "rep", "comp", "text"))) for x in (minors, met))
     return staged(left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_links_in_block(size, share), "a long, b long").distinct())
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents linked at 0.8 over two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, share=80)
 
 
