@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,19 +16,23 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh local one where the session has none (tests)."""
+    """The folder of ``spark.checkpoint.dir``; on one machine (tests) a fresh one where the session has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="presswork-")
-        _own[spark.sparkContext.applicationId] = folder
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="presswork-")
+    return _own[context.applicationId]
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Writes a frame to the shared folder and reads it back, which cuts its lineage.
 
     Lost executors cost nothing but the running stage. The shuffle files behind it are removed once it is
-    written, its own files when Python exits.
+    written, its own files by clear_staged or when Python exits.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/presswork-{uuid.uuid4().hex}"
@@ -41,13 +46,20 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Removes what was staged in the session so far; frames that were built on it can't be read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for entry in [x for x in _written if x[0] is spark]:
+        where = jvm.org.apache.hadoop.fs.Path(entry[1])
+        where.getFileSystem(conf).delete(where, True)
+        _written.remove(entry)
+
+
 @atexit.register
 def _remove() -> None:
-    for spark, path in _written:
+    for spark in {id(s): s for s, _ in _written}.values():
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            clear_staged(spark)
         except Exception:  # the session may have ended before
             return
 

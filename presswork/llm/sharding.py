@@ -42,25 +42,27 @@ def fill_table(shards: list[str], slots: int = SLOTS) -> np.ndarray:
     return np.array(owner, np.int32)
 
 
-def place(docs: DataFrame, shards: list[str], key_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
-    """Each row's key_col, its slot and its shard (name).
+def with_shards(docs: DataFrame, shards: list[str], key_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+    """All columns of the rows, and their slot and shard (name), which take the place of columns of these names.
 
     The slot is a hash of the key as text, so equal keys go together and null keys go where the empty text
-    goes. The lookup table has `slots` rows whatever the data, which bounds what is broadcast.
+    goes. The lookup table has `slots` rows whatever the data, which bounds what is broadcast; no row moves.
     """
-    spark = docs.sparkSession
     owner = fill_table(shards, slots)
-    lookup = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(owner.tolist())], "slot long, shard string")
+    lookup = docs.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(owner.tolist())], "slot long, shard string")
     slot = md5_number(F.coalesce(F.col(key_col).cast("string"), F.lit("")), 15) % slots
-    return docs.select(F.col(key_col), slot.alias("slot")).join(F.broadcast(lookup), "slot").select(key_col, "slot", "shard")
+    columns = [c for c in docs.columns if c not in ("slot", "shard")]
+    return docs.select(*columns, slot.alias("slot")).join(F.broadcast(lookup), "slot").select(*columns, "slot", "shard")
+
+
+def place(docs: DataFrame, shards: list[str], key_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+    """Each row's key_col, its slot and its shard (name); see with_shards."""
+    return with_shards(docs.select(key_col), shards, key_col, slots)
 
 
 def write_shards(docs: DataFrame, shards: list[str], path: str, key_col: str = "doc_id", slots: int = SLOTS) -> None:
     """Writes all columns of the rows as Parquet, a folder (shard=...) for each shard."""
-    spark = docs.sparkSession
-    lookup = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(fill_table(shards, slots).tolist())], "_slot long, shard string")
-    slot = md5_number(F.coalesce(F.col(key_col).cast("string"), F.lit("")), 15) % slots
-    docs.withColumn("_slot", slot).join(F.broadcast(lookup), "_slot").drop("_slot").write.partitionBy("shard").parquet(path)
+    with_shards(docs, shards, key_col, slots).drop("slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_names(n: int) -> list[str]:
@@ -68,4 +70,5 @@ def shard_names(n: int) -> list[str]:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of each document, for 64 shards."""
     return place(table(spark, sf_dir, "documents"), shard_names(64))
