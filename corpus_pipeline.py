@@ -13,15 +13,13 @@ from presswork.llm.decontaminate import find_leaks
 from presswork.llm.language_id import held_out, identify, learn_prototypes
 from presswork.llm.mixing import corpus_rows, mix
 from presswork.llm.near_dedup import near_duplicates
-from presswork.llm.sharding import place, shard_names
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+from presswork.llm.sharding import shard_names, with_shards
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents whose doc_id is in kept, all their columns and rows unchanged."""
     kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").select(*COLUMNS)
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that hold a benchmark item."""
     leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak_id")), "left_anti").select(*COLUMNS)
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak_id")), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +53,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the shard of each document."""
-    placed = place(docs.select("doc_id").distinct(), shard_names(64)).withColumnRenamed("doc_id", "_placed_id")
-    return docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_placed_id"))).select(*COLUMNS, "slot", "shard")
+    """Adds slot and shard to each document, where it stands."""
+    return with_shards(docs, shard_names(64))
 
 
 STAGES = [
