@@ -98,3 +98,22 @@ def pacing_limit(spend: Column, budget: Column, second_of_day: Column, headroom:
 
 def retry_delay(attempts: Column) -> Column:
     return F.least(F.lit(300.0), F.pow(F.lit(2.0), F.least(attempts, F.lit(8)))).cast("long")
+
+
+def live_search_score(title: Column, summary: Column, publisher: Column, asked: Column, fresh: Column) -> Column:
+    """0.8 of the tier in which the text is found (title as a whole 1, in the title 0.7, summary 0.5, publisher 0.4)
+    and 0.2 of the freshness; null where it is found nowhere."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    tier = F.when(low(title) == F.lower(asked), 1.0).when(F.contains(low(title), F.lower(asked)), 0.7).when(F.contains(low(summary), F.lower(asked)), 0.5).when(F.contains(low(publisher), F.lower(asked)), 0.4)
+    return F.round(0.8 * tier + 0.2 * fresh, 8)
+
+
+def sponsored_score(bid: Column, ctr: Column, quality: Column) -> Column:
+    return bid * ctr * quality
+
+
+def content_retry(attempts: Column, jitter: Column, retry_after: Column) -> Column:
+    """Seconds until a document is fetched again: doubling from 30 to 1,800 with up to a fifth of jitter (0 to 1), unless
+    the server names a time, of which an hour counts at most."""
+    wait = F.least(F.lit(1800.0), 30.0 * F.pow(F.lit(2.0), attempts - 1))
+    return F.coalesce(F.least(retry_after.cast("double"), F.lit(3600.0)), wait * (1 + 0.2 * jitter))

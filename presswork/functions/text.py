@@ -109,3 +109,79 @@ def body_problem(body: Column, language: Column, least: int = 300, most: int = 2
     han, latin = chinese_characters(body), latin_letters(body)
     wrong = F.when(language == "zh", han < 20).when(language == "en", (latin < 50) | (han > F.greatest(F.lit(20), F.floor(latin / 2)))).otherwise(False)
     return F.when(F.length(F.coalesce(body, F.lit(""))) < least, "too_short").when(F.length(body) > most, "too_long").when(wrong, "language_mismatch")
+
+
+def embedding_text(**parts: Column) -> Column:
+    """One labelled line for each part that is not blank."""
+    line = lambda name, c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f"{name}: "), F.trim(c)))
+    return F.concat_ws("\n", *(line(name.replace("_", " "), c) for name, c in parts.items()))
+
+
+def hybrid_similarity(factor_cosine: Column, topics_a: Column, topics_b: Column) -> Column:
+    """The factors' cosine brought into [0, 1] where it is finite, else the topics' Jaccard similarity."""
+    finite = factor_cosine.isNotNull() & ~F.isnan(factor_cosine) & (F.abs(factor_cosine) < float("inf"))
+    return F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(1.0), factor_cosine))).otherwise(jaccard(topics_a, topics_b))
+
+
+def moment(value: Column) -> Column:
+    """ISO time to seconds since 1970; a time without a zone is UTC, what is no time null."""
+    zoned = F.when(value.rlike(r"(Z|[+-]\d\d:?\d\d)$"), value).otherwise(F.concat(value, F.lit("Z")))
+    return F.unix_seconds(F.try_to_timestamp(zoned))
+
+
+def whole_numbers(key: Column) -> Column:
+    """The whole numbers of a query key; empty if any of its words is none."""
+    words = F.split(F.trim(F.regexp_replace(key, r"\s+", " ")), " ")
+    fine = F.forall(words, lambda w: w.rlike("^[0-9]+$"))
+    return F.when(fine, F.transform(words, lambda w: w.cast("long"))).otherwise(F.array().cast("array<long>"))
+
+
+ENTITY = "array<struct<Label:string,Type:string,WikidataId:string,Confidence:string,SurfaceForms:array<string>>>"
+
+
+def entities(raw: Column) -> Column:
+    """The entities of a JSON array as (label, kind, wikidata, confidence): the first of each Wikidata id, or of each
+    label without one; confidence null unless within [0, 1]; members without a label dropped."""
+    blank = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    got = F.filter(F.coalesce(F.from_json(raw, ENTITY), F.array().cast(ENTITY)), lambda e: e.isNotNull() & blank(e["Label"]).isNotNull())
+    key = lambda e: F.coalesce(F.concat(F.lit("w:"), F.lower(blank(e["WikidataId"]))), F.concat(F.lit("l:"), F.lower(blank(e["Label"]))))
+    keys = F.transform(got, key)
+    first = F.filter(got, lambda e, i: F.array_position(keys, key(e)) == i + 1)
+    code = lambda e: F.upper(F.trim(F.coalesce(e["Type"], F.lit(""))))
+    share = lambda e: e["Confidence"].try_cast("double")
+    return F.transform(
+        first,
+        lambda e: F.struct(
+            blank(e["Label"]).alias("label"),
+            F.when(code(e) == "P", "person").when(code(e) == "O", "organization").when(code(e) == "G", "location").otherwise("other").alias("kind"),
+            blank(e["WikidataId"]).alias("wikidata"),
+            F.when(share(e).between(0, 1), share(e)).alias("confidence"),
+        ),
+    )
+
+
+@F.pandas_udf(T.StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """NFKC, case folded, stripped: how rules compare texts."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold().strip())
+
+
+@F.pandas_udf(T.StringType())
+def body_text(text: pd.Series) -> pd.Series:
+    """A body in NFKC without control characters, its paragraphs on one line each with an empty line between them."""
+
+    def clean(t):
+        if t is None:
+            return None
+        t = unicodedata.normalize("NFKC", t).replace("\r\n", "\n").replace("\r", "\n")
+        t = "".join(c for c in t if c in "\n\t" or unicodedata.category(c) != "Cc")
+        paragraphs, lines = [], []
+        for line in [*t.split("\n"), ""]:
+            if line.strip():
+                lines.append(line)
+            elif lines:
+                paragraphs.append(" ".join(" ".join(lines).split()))
+                lines = []
+        return "\n\n".join(paragraphs)
+
+    return text.map(clean)

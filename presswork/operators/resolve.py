@@ -87,14 +87,21 @@ def by_article_text(asks: DataFrame, articles: DataFrame, article_topics: DataFr
 
 
 def resolve(asks: DataFrame, query_map: DataFrame, topics: DataFrame, articles: DataFrame, article_topics: DataFrame) -> DataFrame:
-    """(ask, query_key, source): numbers as they are, else by display name, topic name and article text, each stage
-    for what the ones before left; query_key is null for what none resolves. asks: ask, asked."""
-    numbers = asks.select("ask", numeric_key(F.col("asked")).alias("query_key")).where("query_key is not null").withColumn("source", F.lit("numeric_query_key"))
-    found, left = numbers, asks.join(numbers, "ask", "left_anti")
-    for stage in (lambda a: by_display_name(a, query_map), lambda a: by_topic_name(a, topics, query_map), lambda a: by_article_text(a, articles, article_topics, query_map)):
-        more = stage(left).withColumn("source", F.lit("lexical_v1"))
-        found, left = found.unionByName(more), left.join(more, "ask", "left_anti")
-    return found.unionByName(left.select("ask", F.lit(None).cast("string").alias("query_key"), F.lit("unresolved").alias("source")))
+    """(ask, query_key, source): numbers as they are, else by display name, topic name or article text, the first that
+    finds a key; query_key is null where none does. asks: ask, asked."""
+    typed = asks.select("ask", "asked", numeric_key(F.col("asked")).alias("query_key"))
+    words = typed.where("query_key is null").select("ask", "asked")
+    stages = [
+        typed.where("query_key is not null").select("ask", "query_key"),
+        by_display_name(words, query_map), by_topic_name(words, topics, query_map), by_article_text(words, articles, article_topics, query_map),
+    ]
+    found = None
+    for k, stage in enumerate(stages):
+        one = stage.withColumn("stage", F.lit(k))
+        found = one if found is None else found.unionByName(one)
+    first = found.groupBy("ask").agg(F.min_by("query_key", "stage").alias("query_key"), F.min("stage").alias("stage"))
+    source = F.when(F.col("stage").isNull(), "unresolved").when(F.col("stage") == 0, "numeric_query_key").otherwise("lexical_v1")
+    return asks.select("ask").join(first, "ask", "left").select("ask", "query_key", source.alias("source"))
 
 
 def alias_topic(asks: DataFrame, aliases: DataFrame) -> DataFrame:
