@@ -91,3 +91,44 @@ def truncated_fold(events: DataFrame, user: str, topic: str, delta: str, order:
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     return events.groupBy(user).applyInPandas(fold, f"{user} {kinds[user]}, {topic} {kinds[topic]}, weight double")
+
+
+def event_effects(events: DataFrame) -> DataFrame:
+    """What each event does to the profile: one row for each topic, with its delta and the event's behaviour points.
+
+    events: event_id, event_type, article_topics and query_topics (arrays). A recommendation click or an upvote moves the
+    article's topics by 0.08 and is worth 3; a click on a search result moves the topics of query and article by 0.12,
+    those of both by 0.20, and is worth 5; a search moves no topic and is worth 1; other events do nothing and have no
+    row. An event without topics has one row with a null topic.
+    """
+    kind, article, asked = F.col("event_type"), F.coalesce("article_topics", F.array().cast("array<int>")), F.coalesce("query_topics", F.array().cast("array<int>"))
+    click = kind.isin("recommendation_click", "upvote")
+    found = kind == "search_result_click"
+    topics = F.when(click, F.array_distinct(article)).when(found, F.array_union(article, asked)).otherwise(F.array().cast("array<int>"))
+    points = F.when(click, 3).when(found, 5).when(kind == "search_query", 1)
+    rows = events.withColumn("behaviour", points).where("behaviour is not null").withColumn("_both", F.array_intersect(article, asked)).withColumn("topic_id", F.explode_outer(topics))
+    delta = F.when(F.col("topic_id").isNull(), 0.0).when(~found, 0.08).when(F.array_contains("_both", F.col("topic_id")), 0.20).otherwise(0.12)
+    return rows.withColumn("delta", delta).drop("_both")
+
+
+def apply_effects(effects: DataFrame, user: str = "user_id") -> tuple[DataFrame, DataFrame]:
+    """(user, topic_id, weight, n) and (user, behaviour): the sums of the deltas and, once an event, of the points."""
+    weights = effects.where("topic_id is not null").groupBy(user, "topic_id").agg(F.sum("delta").alias("weight"), F.count("*").alias("n"))
+    points = effects.groupBy(user, "event_id").agg(F.first("behaviour").alias("behaviour")).groupBy(user).agg(F.sum("behaviour").alias("behaviour"))
+    return weights, points
+
+
+def outcomes(events: DataFrame, resets: DataFrame, keys: list[str], time: str, arrival: str, user: str = "user_id") -> DataFrame:
+    """late_events with one more outcome, pre_reset, for signals from before their user's reset (user, reset_ts); these
+    do not make others late."""
+    marked = events.join(resets.select(user, "reset_ts"), user, "left")
+    before = F.col("reset_ts").isNotNull() & (F.col(time) < F.col("reset_ts")) & (scores.event_strength(F.col("event_type"), F.col("dwell_ms")) != 0)
+    old = marked.where(before).drop("reset_ts").withColumn("outcome", F.lit("pre_reset"))
+    return late_events(marked.where(~F.coalesce(before, F.lit(False))).drop("reset_ts"), keys, time, arrival).select(*events.columns, "outcome").unionByName(old.select(*events.columns, "outcome"))
+
+
+def reset(state: DataFrame, resets: DataFrame, seeds: DataFrame, user: str = "user_id") -> DataFrame:
+    """State rows (user, topic_id, weight) after the resets: users in it lose their rows and get their seed's."""
+    kept = state.select(user, "topic_id", "weight").join(resets, user, "left_anti")
+    fresh = resets.join(seeds, "seed_key").select(user, "topic_id", "weight")
+    return kept.unionByName(fresh)
