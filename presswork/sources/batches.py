@@ -16,5 +16,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = RECORD) -> Dat
 
 
 def latest_batch_time(feed_xml: F.Column) -> F.Column:
-    """Time of the newest item of an RSS feed (UTC); null if it can't be read."""
-    return F.try_to_timestamp(F.xpath_string(feed_xml, F.lit("/rss/channel/item[1]/pubDate")), F.lit("EEE, d MMM yyyy HH:mm:ss 'GMT'"))
+    """Time of the newest item of an RSS feed (UTC), wherever it stands; null if none can be read."""
+    dates = F.xpath(feed_xml, F.lit("/rss/channel/item/pubDate/text()"))
+    zoned = lambda d: F.regexp_replace(F.trim(d), r"(GMT|UTC|UT|Z)$", "+0000")
+    return F.array_max(F.transform(dates, lambda d: F.try_to_timestamp(F.regexp_replace(zoned(d), r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))))

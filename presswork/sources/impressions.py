@@ -76,3 +76,30 @@ def fingerprint(rows: DataFrame) -> str:
 def write_table(rows: DataFrame, path: str, partition: str | None = None) -> None:
     writer = rows.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+
+def repeated_requests(behaviours: DataFrame) -> DataFrame:
+    """(request_id, n) of the requests that occur more than once."""
+    return behaviours.groupBy("request_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def read_selected(spark: SparkSession, path: str, key: str, values: list, columns: list[str]) -> DataFrame:
+    """The named columns of the rows whose key is among the values; both go down to the Parquet scan."""
+    return spark.read.parquet(path).where(F.col(key).isin(values)).select(*columns)
+
+
+def problem_counts(rows: DataFrame) -> DataFrame:
+    """(problem, n): how many rows can't be used, and why; the others under ok."""
+    return rows.groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+def id_map(rows: DataFrame, key: str) -> DataFrame:
+    """(key, number): each distinct key with a number of its own, from 1 in order of key.
+
+    Numbers are places within ranges of keys plus the sizes of the ranges before, so no task sees all keys.
+    """
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).sortWithinPartitions(key)
+    placed = keys.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.col("_at") + 1).alias("number"))
