@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswork.operators.ordered import running_before
+
 
 def ranked(scored: DataFrame, request: str, score: str, item: str) -> DataFrame:
     """Adds rank: highest score first, ties by item."""
@@ -45,18 +47,17 @@ def graded_ndcg(ranking: DataFrame, request: str, grade: str, k: int) -> DataFra
 
 def roc_auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve from mean ranks, so that ties count half. Ranks run over distinct scores."""
-    per = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
-    below = F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    rows = per.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
+    per = scored.groupBy(F.col(score).cast("double").alias("_score")).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
+    rows = running_before(per, "_score", ["n"]).withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     total = rows.agg(F.sum(F.col("rank") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return total.select(F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, (F.col("p") * (F.col("n") - F.col("p"))).cast("double")).alias("auc"))
 
 
 def average_precision(scored: DataFrame, score: str, label: str) -> DataFrame:
     """Sum over thresholds of precision times the gain in recall (no interpolation)."""
-    per = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = per.withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("n").over(w))
+    per = scored.groupBy(F.col(score).cast("double").alias("_score")).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
+    rows = running_before(per, "_score", ["n", "p"], descending=True)
+    rows = rows.withColumn("tp", F.col("before_p") + F.col("p")).withColumn("seen", F.col("before_n") + F.col("n"))
     return rows.agg(F.try_divide(F.sum(F.col("tp") / F.col("seen") * F.col("p")), F.sum("p").cast("double")).alias("ap"))
 
 

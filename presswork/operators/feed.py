@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,26 +59,56 @@ def manual_scores(candidates: DataFrame, personal: DataFrame, default: DataFrame
 def rerank_mmr(candidates: DataFrame, limit: int, penalty: float, request: str = "request_id", item: str = "article_id") -> DataFrame:
     """Greedy re-ranking: relevance less penalty times the largest topic similarity to what is already chosen.
 
-    candidates: request, item, relevance, topics (array). Ties go to the more relevant, then the smaller item.
-    Each request's candidates, a page's worth, are one group. Returns request, item, relevance, max_similarity,
-    rank.
+    candidates: request, item, relevance, topics (array). Ties go to the more relevant, then the smaller item. Returns
+    request, item, relevance, max_similarity, rank. A request's candidates are a page's worth; rows come sorted by
+    request, many requests to an Arrow batch, and only the last request of a batch waits for the next.
     """
+    columns = [request, item, "relevance", "topics"]
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        items, relevance = rows[item].tolist(), rows["relevance"].tolist()
-        topics = [set(t) for t in rows["topics"]]
+    def choose(items: list, relevance: list, topics: list):
+        sets = [set(x or ()) for x in topics]
         left, near, out = set(range(len(items))), [0.0] * len(items), []
         while left and len(out) < limit:
             i = min(left, key=lambda k: (-(relevance[k] - penalty * near[k]), -relevance[k], items[k]))
             left.remove(i)
             out.append((items[i], relevance[i], near[i]))
             for k in left:
-                union = len(topics[i] | topics[k])
-                near[k] = max(near[k], len(topics[i] & topics[k]) / union if union else 0.0)
-        return pd.DataFrame({request: rows[request].iloc[0], item: [x[0] for x in out], "relevance": [x[1] for x in out], "max_similarity": [x[2] for x in out], "rank": range(1, len(out) + 1)})
+                union = len(sets[i] | sets[k])
+                near[k] = max(near[k], len(sets[i] & sets[k]) / union if union else 0.0)
+        return out
+
+    def rerank(batches):
+        waiting: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            waiting = rows if waiting is None else pa.concat_tables([waiting, rows])
+            if waiting[request][0] != waiting[request][-1]:
+                done, waiting = cut_last(waiting)
+                yield from pages(done)
+        if waiting is not None and len(waiting):
+            yield from pages(waiting)
+
+    def cut_last(rows: pa.Table):
+        ids = rows[request].to_pylist()
+        at = next(i for i in range(len(ids), 0, -1) if ids[i - 1] != ids[-1])
+        return rows.slice(0, at), rows.slice(at)
+
+    def pages(rows: pa.Table):
+        ids, items, relevance, topics = (rows[c].to_pylist() for c in columns)
+        found, at = [], 0
+        while at < len(ids):
+            end = at + 1
+            while end < len(ids) and ids[end] == ids[at]:
+                end += 1
+            found += [(ids[at], *x, k) for k, x in enumerate(choose(items[at:end], relevance[at:end], topics[at:end]), 1)]
+            at = end
+        values = list(zip(*found, strict=True))
+        kinds_ = (rows.schema.field(request).type, rows.schema.field(item).type, pa.float64(), pa.float64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds_, strict=True)], names=[request, item, "relevance", "max_similarity", "rank"])
 
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    return candidates.groupBy(request).applyInPandas(choose, f"{request} {kinds[request]}, {item} {kinds[item]}, relevance double, max_similarity double, rank int")
+    inputs = candidates.select(request, item, F.col("relevance").cast("double").alias("relevance"), "topics").repartition(request).sortWithinPartitions(request)
+    return inputs.mapInArrow(rerank, f"{request} {kinds[request]}, {item} {kinds[item]}, relevance double, max_similarity double, rank int")
 
 
 def reserve(requests: DataFrame, campaigns: DataFrame, second_of_day: str = "second") -> DataFrame:

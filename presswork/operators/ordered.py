@@ -93,3 +93,24 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_t
     both = l.unionByName(r).withColumn("_match", F.last("_right", ignorenulls=True).over(w))
     return both.where("_side = 1").select(*keys, "_left.*", *(F.col(f"_match.{v}").alias(v) for v in values))
 
+
+
+def running_before(rows: DataFrame, by: str, values: list[str], descending: bool = False, buckets: int = 512) -> DataFrame:
+    """Adds before_<value>: the sum of the value over all rows that come before in order of the number `by`, of which
+    each occurs once.
+
+    Rows are cut into buckets at approximate quantiles; the buckets' sums are added up (there are few), then each
+    bucket on its own, so no task sees all rows.
+    """
+    edges = sorted(set(rows.approxQuantile(by, [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))))
+    bucket = F.size(F.filter(F.array(*(F.lit(e) for e in edges)) if edges else F.array().cast("array<double>"), lambda e: e <= F.col(by)))
+    way = -1 if descending else 1
+    placed = rows.withColumn("_bucket", way * bucket)
+    sums = placed.groupBy("_bucket").agg(*(F.sum(v).alias(f"_sum_{v}") for v in values))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_bucket", *(F.coalesce(F.sum(f"_sum_{v}").over(earlier), F.lit(0)).alias(f"_base_{v}") for v in values))
+    order = F.col(by).desc() if descending else F.col(by).asc()
+    inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(sums), "_bucket")
+    added = {f"before_{v}": F.col(f"_base_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}
+    return out.withColumns(added).drop("_bucket", *(f"_base_{v}" for v in values))

@@ -240,7 +240,7 @@ def k67(t):
     return rows.select("article_id", "title", F.concat_ws(" / ", "category", "subcategory").alias("label"), F.coalesce("clicks", F.lit(0)).alias("clicks"), (F.col("title") == "small ring").alias("featured"))
 
 
-@query("k61_item_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id // 50 = b.vec_id // 50")
+@query("k61_item_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id // 50 = b.vec_id // 50")
 def k61(t):
     """Cosines of items of one label and one shelf of fifty."""
     left = t.embeddings.select(F.col("vec_id").alias("a"), "label", F.floor(F.col("vec_id") / 50).alias("shelf"), F.col("embedding").alias("x"))

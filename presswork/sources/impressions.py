@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from presswork.sources.logs import shared_path
+
 NEWS = ("news_id", "category", "subcategory", "title", "abstract", "url", "title_entities", "abstract_entities")
 BEHAVIOURS = ("impression_id", "user_id", "time", "history", "impressions")
 
@@ -96,10 +98,14 @@ def problem_counts(rows: DataFrame) -> DataFrame:
 def id_map(rows: DataFrame, key: str) -> DataFrame:
     """(key, number): each distinct key with a number of its own, from 1 in order of key.
 
-    Numbers are places within ranges of keys plus the sizes of the ranges before, so no task sees all keys.
+    Numbers are places within ranges of keys plus the sizes of the ranges before, so no task sees all keys. The ranges
+    are written first, as Spark may cut them differently if it computes them again.
     """
     keys = rows.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).sortWithinPartitions(key)
-    placed = keys.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.col("_at") + 1).alias("number"))
+    place = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    path = shared_path(rows.sparkSession, "ids")
+    keys.withColumn("_part", F.spark_partition_id()).withColumn("_at", place).write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each task
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").select(key, (F.col("_before") + F.col("_at") + 1).alias("number"))
