@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from presswork.llm.common import table
 
 DIMENSIONS = 1024
-KNOWN_ROWS, SLOTS = 1 << 14, 1 << 18
+KNOWN_ROWS, SLOTS = 1 << 14, 1 << 20
 _CODE = np.uint64((1 << 21) - 1)  # a code point takes 21 bits
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(maxsize=1)
-def _is_letter() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+def _letters() -> np.ndarray:
+    """Each code point: itself if it is a letter, else 0."""
+    return np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.int32)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -46,7 +47,7 @@ class _Vectors:
         self.size = 0
 
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        slot = (grams * _SPREAD >> np.uint64(46)).astype(np.int64)
+        slot = (grams * _SPREAD >> np.uint64(44)).astype(np.int64)
         known = self.key[slot] == grams
         if not known.all() and self.size < KNOWN_ROWS:
             free = np.flatnonzero(self.key[slot] == 0)
@@ -55,6 +56,8 @@ class _Vectors:
             self.key[slot[free]], self.row[slot[free]] = grams[free], np.arange(self.size, self.size + len(free))
             self.size += len(free)
             known = self.key[slot] == grams
+        if known.all():
+            return counts.astype(np.float32) @ self.known[self.row[slot]]
         out = counts[known].astype(np.float32) @ self.known[self.row[slot[known]]]
         rest = np.flatnonzero(~known)
         for k in range(0, len(rest), 4096):
@@ -65,9 +68,15 @@ class _Vectors:
 def _grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Trigrams around each letter of the text, with how often each occurs. What is no letter counts as a blank."""
     codes = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    kind = np.where(_is_letter()[codes], codes, 0).astype(np.uint64)
+    kind = _letters()[codes]
+    # letters below 1,024 are packed into 32 bits, which sort faster; the key of a trigram is the same either way
+    bits, kind = (10, kind) if kind.max() < 1024 else (21, kind.astype(np.int64))
     mid = kind[1:-1]
-    return np.unique((kind[:-2] << np.uint64(42) | mid << np.uint64(21) | kind[2:])[mid > 0], return_counts=True)
+    grams, counts = np.unique(((kind[:-2] << bits | mid) << bits | kind[2:])[mid > 0], return_counts=True)
+    if bits == 10:
+        grams = grams.astype(np.int64)
+        grams = (grams >> 20) << 42 | (grams >> 10 & 1023) << 21 | grams & 1023
+    return grams.view(np.uint64), counts
 
 
 def _bundles(batches):
