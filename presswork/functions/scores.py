@@ -116,4 +116,4 @@ def content_retry(attempts: Column, jitter: Column, retry_after: Column) -> Colu
     """Seconds until a document is fetched again: doubling from 30 to 1,800 with up to a fifth of jitter (0 to 1), unless
     the server names a time, of which an hour counts at most."""
     wait = F.least(F.lit(1800.0), 30.0 * F.pow(F.lit(2.0), attempts - 1))
-    return F.coalesce(F.least(retry_after.cast("double"), F.lit(3600.0)), wait * (1 + 0.2 * jitter))
+    return F.when(retry_after.isNotNull(), F.least(retry_after.cast("double"), F.lit(3600.0))).otherwise(wait * (1 + 0.2 * jitter))

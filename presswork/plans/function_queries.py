@@ -128,7 +128,7 @@ def f41(t):
     return t.supplier.select("s_suppkey", F.round(scores.sponsored_score(bid, ctr, 0.5 + key % 3 / 4.0), 6).alias("score"), scores.expected_spend(bid, ctr).alias("spend"))
 
 
-@query("f44_content_retry", "SELECT o_orderkey, round(coalesce(least(CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 9000)::DOUBLE END, 3600.0), least(1800.0, 30.0 * pow(2.0, o_orderkey % 9)) * (1 + 0.2 * (o_orderkey % 11) / 10.0)), 6)::DOUBLE AS wait FROM orders")
+@query("f44_content_retry", "SELECT o_orderkey, round(coalesce(CASE WHEN o_orderkey % 4 = 0 THEN least((o_orderkey % 9000)::DOUBLE, 3600.0) END, least(1800.0, 30.0 * pow(2.0, o_orderkey % 9)) * (1 + 0.2 * (o_orderkey % 11) / 10.0)), 6)::DOUBLE AS wait FROM orders")
 def f44(t):
     key = F.col("o_orderkey")
     wait = scores.content_retry(key % 9 + 1, key % 11 / 10.0, F.when(key % 4 == 0, key % 9000))
