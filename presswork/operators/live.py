@@ -91,15 +91,22 @@ def diversify(candidates: DataFrame, limit: int, group: str = "request_id") -> D
     return candidates.groupBy(group).applyInPandas(choose, f"{group} {kinds[group]}, article_id {kinds['article_id']}, rank int")
 
 
+PROTOTYPES = 4096
+
+
 def classify_topics(vectors: DataFrame, prototypes: DataFrame, threshold: float = 0.7, margin: float = 0.025, most: int = 3, general: int = 1_000_014) -> DataFrame:
     """Up to three topics per article: similarity to a prototype above the threshold and within the margin of the
     best; the general topic where there is none.
 
     vectors: id, vec, keyword (topic -> share of its keywords met, may be null). prototypes: topic_id, proto: the
-    taxonomy, broadcast.
+    taxonomy, of which a block of about PROTOTYPES is broadcast at a time.
     """
-    taxonomy = F.broadcast(prototypes)
-    rows = vectors.join(taxonomy).select("id", "topic_id", (0.9 * text.cosine(F.col("vec"), F.col("proto")) + 0.1 * F.coalesce(F.element_at("keyword", F.col("topic_id")), F.lit(0.0))).alias("score"))
+    blocks, pairs = -(-prototypes.count() // PROTOTYPES) or 1, None
+    for block in range(blocks):
+        part = prototypes.where(F.pmod(F.xxhash64("topic_id"), F.lit(blocks)) == block)
+        met = vectors.join(F.broadcast(part))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    rows = pairs.select("id", "topic_id", (0.9 * text.cosine(F.col("vec"), F.col("proto")) + 0.1 * F.coalesce(F.element_at("keyword", F.col("topic_id")), F.lit(0.0))).alias("score"))
     best = Window.partitionBy("id").orderBy(F.round("score", 9).desc(), "topic_id")
     ranked = rows.withColumn("rank", F.row_number().over(best)).withColumn("top", F.first("score").over(best)).where(F.col("rank") <= most)
     fits = ranked.where((F.col("score") >= threshold) & (F.col("top") - F.col("score") <= margin)).select("id", "topic_id", "rank", "score")

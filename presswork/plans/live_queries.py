@@ -79,9 +79,10 @@ def j14(t):
     return live.near_title_pairs(rows).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("f30_content_hash", r"SELECT doc_id, sha256(source || chr(10) || trim(regexp_replace(lang || ' ' || doc_id, '\s+', ' ', 'g'))) AS hash FROM documents")
+@query("f30_content_hash", r"SELECT doc_id, sha256(coalesce(source, '') || chr(10) || trim(regexp_replace(coalesce(text, ''), '[\s\v]+', ' ', 'g'))) AS hash FROM documents")
 def f30(t):
-    return t.documents.select("doc_id", text.content_hash_ascii(F.col("source"), F.concat_ws(" ", "lang", "doc_id")).alias("hash"))
+    """Source as the title and the whole text, which are in normal form already."""
+    return t.documents.select("doc_id", text.content_hash_ascii(F.col("source"), F.col("text")).alias("hash"))
 
 
 @query("f30_content_hash_nfkc")
@@ -103,13 +104,16 @@ def ts10(t):
     return rows
 
 
-@query("c22_topic_classification")
+@query("c22_topic_classification", "WITH pr AS (SELECT label AS topic_id, list(x ORDER BY i) AS proto FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY 1), "
+    "sc AS (SELECT vec_id AS id, topic_id, 0.9 * list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * proto[i])) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(proto, lambda x: x * x))) AS score FROM embeddings, pr), "
+    "rk AS (SELECT *, row_number() OVER w AS rank, first_value(score) OVER w AS top FROM sc WINDOW w AS (PARTITION BY id ORDER BY round(score, 9) DESC, topic_id)), ok AS (SELECT id, topic_id, rank, score FROM rk WHERE rank <= 3 AND score >= 0.3 AND top - score <= 0.05) "
+    "SELECT id, topic_id::INT AS topic_id, rank::INT AS rank, round(score, 6) AS score FROM ok UNION ALL SELECT vec_id, 1000014, 1, 0.0 FROM embeddings WHERE vec_id NOT IN (SELECT id FROM ok)")
 def c22(t):
     """Vectors against the mean vector of each label."""
     n = F.lit(64)
     mean = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy(F.col("label").alias("topic_id")).agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("proto")).where(F.size("proto") == n)
     vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.lit(None).cast("map<int,double>").alias("keyword"))
-    return live.classify_topics(vectors, mean, threshold=0.3, margin=0.05)
+    return live.classify_topics(vectors, mean, threshold=0.3, margin=0.05).select("id", "topic_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("c25_html_blocks")

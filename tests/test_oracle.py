@@ -44,6 +44,6 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["w12_weight_fold", "l8_mmr_page", "l12_diversify", "c10_ad_reservation", "c25_html_blocks", "c27_prose_length", "e5_paired_bootstrap", "f30_content_hash_nfkc", "c22_topic_classification"])
+@pytest.mark.parametrize("name", ["w12_weight_fold", "l8_mmr_page", "l12_diversify", "c10_ad_reservation", "c25_html_blocks", "c27_prose_length", "e5_paired_bootstrap", "f30_content_hash_nfkc"])
 def test_query_without_sql_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, FOLDER).limit(1).count() == 1
