@@ -5,7 +5,7 @@ from presswork.llm.language_id import op7_language_id
 from presswork.llm.line_dedup import OP8_SQL, op8_line_dedup
 from presswork.llm.mixing import mixing_sql, op10_mixing
 from presswork.llm.near_dedup import OP4_SQL, op4_near_dedup
-from presswork.llm.sharding import op9_sharding
+from presswork.llm.sharding import op9_sharding, sharding_sql
 from presswork.llm.suffix_dedup import OP1_SQL, op1_suffix_dedup
 from presswork.llm.toxicity import op5_toxicity
 from presswork.llm.url_reputation import OP3_SQL, op3_url_filter
@@ -28,5 +28,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
     "op4_near_dedup": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op9_sharding": sharding_sql(64),
     "op10_mixing": mixing_sql(["source", "lang", "topic"]),
 }

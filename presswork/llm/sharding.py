@@ -72,3 +72,10 @@ def shard_names(n: int) -> list[str]:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of each document, for 64 shards."""
     return place(table(spark, sf_dir, "documents"), shard_names(64))
+
+
+def sharding_sql(n: int, slots: int = SLOTS) -> str:
+    """The placement over the finished table, which is part of the text."""
+    owner = ",".join(map(str, fill_table(shard_names(n), slots).tolist()))
+    slot = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {slots}"
+    return f"WITH t AS MATERIALIZED (SELECT unnest(range({slots})) AS slot, unnest([{owner}]) AS owner) SELECT doc_id, d.slot, 'shard-' || lpad(owner::VARCHAR, 5, '0') AS shard FROM (SELECT doc_id, {slot} AS slot FROM documents) d JOIN t ON t.slot = d.slot"

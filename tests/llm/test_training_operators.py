@@ -196,6 +196,32 @@ def test_near_dedup_branches_large_nodes(spark, monkeypatch):
     assert sum(got[i] == w for i, w in enumerate(want)) >= 58
 
 
+def test_near_dedup_of_a_family_of_thousands(spark):
+    """5,000 different texts around one, near and far: components as by the product of all sets."""
+    rng = random.Random(21)
+    base, texts = prose(rng, 60).split(), []
+    for _ in range(5000):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), rng.randrange(9)):
+            copy[at] = rng.choice(WORDS)
+        texts.append(" ".join(copy))
+    sets = [shingles(t, 2) for t in texts]
+    column = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(column)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [column[k] for k in x]] = 1
+    both, n = held @ held.T, held.sum(1)
+    linked = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    want = np.full(len(sets), -1)
+    for first in range(len(sets)):
+        front = np.array([first]) if want[first] < 0 else np.empty(0, int)
+        while len(front):
+            want[front] = first
+            front = np.flatnonzero(linked[front].any(0) & (want < 0))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(spark, texts), size=2).collect()}
+    assert len(set(want.tolist())) > 1 and [got[i] for i in range(len(texts))] == want.tolist()
+
+
 def test_near_dedup_null_ids_repeats_and_empty(spark):
     got = near_dedup.near_duplicates(documents(spark, ["a b c", "a b c", "a b c", "a b c"], [None, 5, 5, 9]), size=2).collect()
     assert sorted((r.doc_id is None, r.component_id or 0, r.kept) for r in got) == [(False, 5, False), (False, 5, True), (False, 5, True), (True, 0, True)]
