@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from presswork.plans.bindings import Tables, with_views
 from presswork.plans.profile_queries import COLUMNS, SIGNALS, closed
 from presswork.plans.registry import query
 from presswork.plans.relational_queries import p18
+from presswork.sources.logs import shared_path
 from presswork.streaming import events as ev
 
 
 def _folder(t) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="presswork-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return shared_path(t.spark, "stream")
 
 
 class _Streamed(Tables):
