@@ -10,6 +10,7 @@ from presswork.llm.suffix_dedup import OP1_SQL, op1_suffix_dedup
 from presswork.llm.toxicity import op5_toxicity
 from presswork.llm.url_reputation import OP3_SQL, op3_url_filter
 from presswork.llm.vector_search import op2_vector_search
+from presswork.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": OP1_SQL,
