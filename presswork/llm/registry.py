@@ -1,6 +1,7 @@
 """Name -> query over the driver's tables, and the SQL that gives the same rows where SQL can."""
 
 from presswork.llm.decontaminate import op6_decontaminate
+from presswork.llm.importance import op13_importance
 from presswork.llm.language_id import op7_language_id
 from presswork.llm.line_dedup import OP8_SQL, op8_line_dedup
 from presswork.llm.mixing import mixing_sql, op10_mixing
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
     "op11_whitening": op11_whitening,
+    "op13_importance": op13_importance,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": OP1_SQL,
