@@ -6,6 +6,7 @@ from presswork.llm.language_id import op7_language_id
 from presswork.llm.line_dedup import OP8_SQL, op8_line_dedup
 from presswork.llm.mixing import mixing_sql, op10_mixing
 from presswork.llm.near_dedup import OP4_SQL, op4_near_dedup
+from presswork.llm.secret_scan import op12_secret_scan, secret_sql
 from presswork.llm.sharding import op9_sharding, sharding_sql
 from presswork.llm.suffix_dedup import OP1_SQL, op1_suffix_dedup
 from presswork.llm.toxicity import op5_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
     "op11_whitening": op11_whitening,
+    "op12_secret_scan": op12_secret_scan,
     "op13_importance": op13_importance,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": OP8_SQL,
     "op9_sharding": sharding_sql(64),
     "op10_mixing": mixing_sql(["source", "lang", "topic"]),
+    "op12_secret_scan": secret_sql(),
 }
