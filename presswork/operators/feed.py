@@ -35,19 +35,38 @@ def selected_reason(sources, is_fallback):
     return out.otherwise("popular right now")
 
 
-def topic_recall(requests: DataFrame, weights: DataFrame, articles: DataFrame, user: str, topic: str, hot: str, per_topic: int) -> DataFrame:
-    """The hottest articles of each topic in a user's profile. Articles are cut to the top of each topic before the join."""
+def profile_as_of(clicks: DataFrame, moments: DataFrame, user: str = "user_id", topic: str = "category", time: str = "event_ts") -> DataFrame:
+    """(user, time, topic, weight, history_length): the shares of topics among a user's clicks strictly before each moment.
+
+    clicks: user, topic, time, a row each. moments: user, time. Clicks are first counted per user, topic and time, so
+    the running sum of a busy user goes over distinct times; a moment has a row for each topic clicked before it, and
+    none if there was no click.
+    """
+    counted = clicks.groupBy(user, topic, time).agg(F.count("*").alias("_n"))
+    asked = moments.select(user, time).distinct().join(counted.select(user, topic).distinct(), user)
+    both = counted.withColumn("_asked", F.lit(False)).unionByName(asked.withColumns({"_n": F.lit(0).cast("long"), "_asked": F.lit(True)}))
+    both = both.groupBy(user, topic, time).agg(F.sum("_n").alias("_n"), F.bool_or("_asked").alias("_asked"))
+    before = F.sum("_n").over(Window.partitionBy(user, topic).orderBy(time).rowsBetween(Window.unboundedPreceding, -1))
+    past = both.withColumn("_before", before).where("_asked AND _before > 0")
+    whole = F.sum("_before").over(Window.partitionBy(user, time))
+    return past.select(user, time, topic, (F.col("_before") / whole).alias("weight"), whole.alias("history_length"))
+
+
+def topic_recall(requests: DataFrame, weights: DataFrame, articles: DataFrame, on: list[str], topic: str, hot: str, per_topic: int) -> DataFrame:
+    """The hottest articles of each topic in the profile of each request's user. Articles are cut to the top of each topic
+    before the join. on: what requests and weights (with topic) have in common."""
     best = Window.partitionBy(topic).orderBy(F.col(hot).desc(), "article_id")
     top = articles.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= per_topic).select(topic, "article_id", F.col(hot).alias("recall_score"))
-    return requests.select("request_id", user).join(weights.select(user, topic), user).join(top, topic).select("request_id", "article_id", "recall_score")
+    return requests.select("request_id", *on).join(weights.select(*on, topic), on).join(top, topic).select("request_id", "article_id", "recall_score")
 
 
-def manual_scores(candidates: DataFrame, personal: DataFrame, default: DataFrame, user: str = "user_id", topic: str = "category") -> DataFrame:
-    """base_score, topic_match_score and final_score of candidates with user, topic, hot and history_length.
+def manual_scores(candidates: DataFrame, personal: DataFrame, default: DataFrame, on: list[str], topic: str = "category") -> DataFrame:
+    """base_score, topic_match_score and final_score of candidates with topic, hot and history_length.
 
-    personal: (user, topic, weight); default: (topic, default_weight), a row for each topic.
+    personal: `on` (the user, and the time where profiles have one), topic, weight; default: (topic, default_weight), a
+    row for each topic.
     """
-    rows = candidates.join(personal.select(user, topic, "weight"), [user, topic], "left").join(default, topic, "left")
+    rows = candidates.join(personal.select(*on, topic, "weight"), [*on, topic], "left").join(default, topic, "left")
     alpha = scores.personal_share(F.coalesce("history_length", F.lit(0)))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     rows = rows.withColumn("base_score", F.round(scores.base_score(F.col("hot")), 6))

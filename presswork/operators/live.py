@@ -35,24 +35,44 @@ def rejection_reason(url: Column, host: Column, allowed: Column, language: Colum
     )
 
 
-def near_title_pairs(articles: DataFrame, threshold: float = SAME_TITLE, window: int = DAY) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, of articles within `window` seconds whose title trigrams are that alike.
+def title_classes(articles: DataFrame, window: int = DAY) -> DataFrame:
+    """Articles of the same plain title and time slot as one class: rep (the smallest id), plain, slot, first and last
+    time, size. Slots are `window` long, so any two members of a class are close enough in time."""
+    rows = articles.select("id", "discovered_at", text.plain_title(F.col("title")).alias("plain"), F.floor(F.col("discovered_at") / window).alias("slot"))
+    return rows.where("plain <> '' AND slot IS NOT NULL").groupBy("plain", "slot").agg(F.min("id").alias("rep"), F.min("discovered_at").alias("first"), F.max("discovered_at").alias("last"), F.count("*").alias("size"))
+
 
-    Articles: id, title, discovered_at. Candidates share a rare trigram: of the sorted-by-rarity trigrams of a
-    title, two that alike must share one of the first n - ceil(threshold * n) + 1; so no pair is missed, and common
-    trigrams bring none together. Times meet in windows of their own length and its neighbour.
+def near_title_pairs(articles: DataFrame, threshold: float = SAME_TITLE, window: int = DAY) -> DataFrame:
+    """Links (a, b, similarity, same) of articles within `window` seconds whose title trigrams are that alike.
+
+    Articles: id, title, discovered_at. Articles of one title and slot are a class; its members are linked to the
+    smallest of them (same), and classes by these where any two of their members are close enough in time. So copies
+    give no pair for each two of them, and no link between different titles is lost. Candidates share a rare
+    trigram: of the sorted-by-rarity trigrams of a title, two that alike must share one of the first
+    n - ceil(threshold * n) + 1. Only hashes, sizes and times are joined on these; titles come in for the pairs that
+    are left. Articles without a title or time take no part.
     """
-    grams = articles.select("id", "discovered_at", text.trigrams(text.plain_title(F.col("title"))).alias("grams")).where("size(grams) > 0 and grams[0] <> ''")
-    each = grams.select("id", F.explode("grams").alias("gram"))
+    classes = title_classes(articles, window)
+    grams = lambda plain: F.array_distinct(F.transform(text.trigrams(plain), lambda g: F.xxhash64(g)))
+    each = classes.select("rep", F.posexplode(grams(F.col("plain"))).alias("_", "gram"))
     rarity = each.groupBy("gram").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
-    n = F.count("*").over(Window.partitionBy("id"))
-    prefix = each.join(rarity, "gram").withColumn("k", rank).withColumn("n", n).where(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    keyed = prefix.select("id", "gram").join(grams, "id").withColumn("slot", F.floor(F.col("discovered_at") / window))
-    left = keyed.select(F.col("id").alias("a"), "gram", F.col("discovered_at").alias("t_a"), F.col("grams").alias("g_a"), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"))
-    right = keyed.select(F.col("id").alias("b"), "gram", F.col("discovered_at").alias("t_b"), F.col("grams").alias("g_b"), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"))
-    met = left.join(right, ["gram", "slot"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("t_a") - F.col("t_b")) <= window)).dropDuplicates(["a", "b"])
-    return met.withColumn("similarity", text.jaccard(F.col("g_a"), F.col("g_b"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    ordered = Window.partitionBy("rep").orderBy("df", "gram")
+    n = F.count("*").over(Window.partitionBy("rep"))
+    ranked = each.join(rarity, "gram").select("rep", "gram", F.row_number().over(ordered).alias("k"), n.alias("n"))
+    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
+    keyed = prefix.select("rep", "gram", "n").join(classes.select("rep", "slot", "first", "last"), "rep")
+    left = keyed.select(F.col("rep").alias("rep_a"), "gram", F.col("n").alias("n_a"), F.col("slot").alias("slot_a"), F.col("last").alias("last_a"), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"))
+    right = keyed.select(F.col("rep").alias("rep_b"), "gram", F.col("n").alias("n_b"), "slot", F.col("first").alias("first_b"))
+    alike = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
+    close = F.when(F.col("slot_a") == F.col("slot"), F.col("rep_a") < F.col("rep_b")).otherwise(F.col("first_b") - F.col("last_a") <= window)
+    met = left.join(right, ["gram", "slot"]).where(alike & close).select("rep_a", "rep_b").distinct()
+    titles = lambda side: classes.select(F.col("rep").alias(f"rep_{side}"), F.col("plain").alias(f"plain_{side}"))
+    pairs = met.join(titles("a"), "rep_a").join(titles("b"), "rep_b")
+    similarity = text.jaccard(text.trigrams(F.col("plain_a")), text.trigrams(F.col("plain_b")))
+    pairs = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), similarity.alias("similarity"), F.lit(False).alias("same")).where(F.col("similarity") >= threshold)
+    members = articles.select(F.col("id").alias("b"), text.plain_title(F.col("title")).alias("plain"), F.floor(F.col("discovered_at") / window).alias("slot"))
+    members = members.join(classes.select("plain", "slot", F.col("rep").alias("a")), ["plain", "slot"]).where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"), F.lit(True).alias("same")).distinct()
+    return pairs.unionByName(members)
 
 
 def _grams(title: str) -> set[str]:

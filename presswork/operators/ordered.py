@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prior_counts(impressions: DataFrame, key: str, order: list[str], clicked: str = "clicked") -> DataFrame:
-    """Impressions and clicks of the key strictly before each row in the given order, as prior_impressions, prior_clicks.
+def prior_counts(impressions: DataFrame, key: str, order: list[str], clicked: str = "clicked", first: str | None = None) -> DataFrame:
+    """Impressions and clicks of the key strictly before each row in the given order, as prior_impressions, prior_clicks;
+    under the name `first`, if there is one, the key's first time.
 
     Rows are first counted per (key, first order column), so the running sum of a popular key runs over its
     distinct times, and only rows of the same time are ordered among themselves.
@@ -15,7 +16,7 @@ def prior_counts(impressions: DataFrame, key: str, order: list[str], clicked: st
     time, *rest = order
     per_time = impressions.groupBy(key, time).agg(F.count("*").alias("_n"), F.sum(clicked).alias("_c"))
     before = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = per_time.select(key, time, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"))
+    earlier = per_time.select(key, time, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"), *([F.min(time).over(Window.partitionBy(key)).alias(first)] if first else []))
     same = Window.partitionBy(key, time).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
     out = impressions.join(earlier, [key, time])
     out = out.withColumn("prior_impressions", F.col("_n0") + F.count("*").over(same))

@@ -9,18 +9,22 @@ from presswork.functions import scores
 from presswork.operators import feed
 from presswork.plans.bindings import with_views
 from presswork.plans.registry import query
-from presswork.plans.relational_queries import HISTORY, HOT, item_counts, user_profile
+from presswork.plans.relational_queries import HOT, item_counts
 
-P = "p AS (SELECT user_id, category, n::DOUBLE / sum(n) OVER (PARTITION BY user_id) AS weight, sum(n) OVER (PARTITION BY user_id) AS history_length FROM h)"
+#: What a request's user clicked strictly before it.
+PAST = ("past AS (SELECT r.request_id, category, count(*) AS n FROM requests r JOIN impressions i ON i.user_id = r.user_id AND i.clicked = 1 AND i.event_ts < r.event_ts JOIN articles USING (article_id) GROUP BY ALL)",
+        "p AS (SELECT request_id, category, n::DOUBLE / sum(n) OVER (PARTITION BY request_id) AS weight, sum(n) OVER (PARTITION BY request_id) AS history_length FROM past)")
 ASKED = "r AS (SELECT request_id, user_id, event_ts FROM requests)"
 ART = "art AS (SELECT article_id, category, subcategory, title, coalesce(hot, 0) AS hot FROM articles LEFT JOIN hot USING (article_id))"
-RECALL = (HOT, HISTORY, P, ASKED, ART,
+RECALL = (HOT, *PAST, ASKED, ART,
           "tops AS (SELECT * FROM (SELECT category, article_id, hot, row_number() OVER (PARTITION BY category ORDER BY hot DESC, article_id) AS k FROM art) WHERE k <= 10)",
-          "ch AS (SELECT request_id, article_id, hot::DOUBLE AS recall_score, false AS fb, 'profile' AS source FROM r JOIN p USING (user_id) JOIN tops USING (category) UNION ALL "
+          "ch AS (SELECT request_id, article_id, hot::DOUBLE AS recall_score, false AS fb, 'profile' AS source FROM p JOIN tops USING (category) UNION ALL "
           "SELECT request_id, article_id, hot::DOUBLE, true, 'hot' FROM r, (SELECT article_id, hot FROM art ORDER BY hot DESC, article_id LIMIT 20))",
-          "seen AS (SELECT DISTINCT user_id, article_id FROM impressions WHERE clicked = 1)",
+          "seen AS (SELECT user_id, article_id, min(event_ts) AS first_ts FROM impressions WHERE clicked = 1 GROUP BY ALL)",
           "rc AS (SELECT request_id, article_id, list_sort(list(DISTINCT source)) AS sources, max(recall_score) AS recall_score, bool_and(fb) AS is_fallback FROM ch GROUP BY ALL)",
-          "rec AS (SELECT rc.*, user_id FROM rc JOIN r USING (request_id) WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = r.user_id AND s.article_id = rc.article_id))")
+          "rec AS (SELECT rc.*, user_id FROM rc JOIN r USING (request_id) WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = r.user_id AND s.article_id = rc.article_id AND s.first_ts < r.event_ts))")
+#: What profiles are joined on: a user has one for each time of a request.
+MOMENT = ["user_id", "event_ts"]
 
 
 def asked(t):
@@ -31,14 +35,25 @@ def catalog(t):
     return t.articles.join(item_counts(t).select("article_id", "hot"), "article_id", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
 
 
+def past_profile(t):
+    """The profile of each request's user, of clicks before the request only."""
+    clicks = t.impressions.where("clicked = 1").join(t.articles, "article_id").select("user_id", "category", "event_ts")
+    return feed.profile_as_of(clicks, t.requests)
+
+
+def hottest(articles, n):
+    return articles.orderBy(F.col("hot").desc(), "article_id").limit(n)
+
+
 def recalled(t):
-    """Profile topics and the hottest articles for each request, less what the user has clicked."""
+    """Profile topics and the hottest articles for each request, less what the user had clicked before it."""
     requests, articles = asked(t), catalog(t)
-    by_topic = feed.topic_recall(requests, user_profile(t), articles, "user_id", "category", "hot", 10)
-    hottest = articles.orderBy(F.col("hot").desc(), "article_id").limit(20).select("article_id", F.col("hot").alias("recall_score"), F.lit(True).alias("is_fallback"))
-    fill = requests.select("request_id").crossJoin(F.broadcast(hottest))  # twenty rows for each request
-    merged = feed.merge_channels({"profile": by_topic, "hot": fill}).join(requests.select("request_id", "user_id"), "request_id")
-    return merged.join(t.impressions.where("clicked = 1").select("user_id", "article_id"), ["user_id", "article_id"], "left_anti")
+    by_topic = feed.topic_recall(requests, past_profile(t), articles, MOMENT, "category", "hot", 10)
+    always = hottest(articles, 20).select("article_id", F.col("hot").alias("recall_score"), F.lit(True).alias("is_fallback"))
+    fill = requests.select("request_id").crossJoin(F.broadcast(always))  # twenty rows for each request
+    merged = feed.merge_channels({"profile": by_topic, "hot": fill}).join(requests, "request_id")
+    seen = t.impressions.where("clicked = 1").groupBy("user_id", "article_id").agg(F.min("event_ts").alias("first_ts"))
+    return merged.alias("m").join(seen.alias("s"), (F.col("m.user_id") == F.col("s.user_id")) & (F.col("m.article_id") == F.col("s.article_id")) & (F.col("s.first_ts") < F.col("m.event_ts")), "left_anti")
 
 
 @query("c1_recall_union", with_views("articles", "impressions", more=RECALL) + "SELECT request_id, article_id, array_to_string(sources, '+') AS sources, recall_score, is_fallback FROM rec")
@@ -52,20 +67,23 @@ def f45(t):
 
 
 FEED = (*RECALL, "dw AS (SELECT category, count(*)::DOUBLE / sum(count(*)) OVER () AS default_weight FROM articles GROUP BY category)",
-        "hl AS (SELECT DISTINCT user_id, history_length FROM p)",
-        "x AS (SELECT request_id, article_id, hot, coalesce(history_length, 0) AS hlen, coalesce(weight, 0) AS weight, default_weight FROM rec JOIN art USING (article_id) JOIN dw USING (category) LEFT JOIN hl USING (user_id) LEFT JOIN (SELECT user_id, category, weight FROM p) USING (user_id, category))",
+        "hl AS (SELECT DISTINCT request_id, history_length FROM p)",
+        "x AS (SELECT request_id, article_id, hot, coalesce(history_length, 0) AS hlen, coalesce(weight, 0) AS weight, default_weight FROM rec JOIN art USING (article_id) JOIN dw USING (category) LEFT JOIN hl USING (request_id) LEFT JOIN (SELECT request_id, category, weight FROM p) USING (request_id, category))",
         "y AS (SELECT *, CASE WHEN hot > 0 THEN round(hot / (hot + 100.0), 6) ELSE 0.0 END::DOUBLE AS base_score, (0.1 + hlen / (hlen + 30.0) * 0.85)::DOUBLE AS alpha FROM x)",
         "m AS (SELECT *, floor((alpha * round(weight, 6) + (1 - alpha) * round(default_weight, 6)) * 1e6 + 0.5000001) / 1e6 AS topic_match_score FROM y)",
         "f AS (SELECT *, (round(base_score * 1e6) + round(topic_match_score * 1e6)) / 1e6 AS final_score FROM m)",
         "o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, article_id) AS rank FROM f)")
 
 
+def default_shares(t, name):
+    return t.articles.groupBy("category").agg(F.count("*").alias("n")).select("category", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias(name))
+
+
 def scored(t):
-    rows = recalled(t).select("request_id", "user_id", "article_id").join(catalog(t), "article_id")
-    profile = user_profile(t)
-    rows = rows.join(profile.groupBy("user_id").agg(F.max("history_length").alias("history_length")), "user_id", "left")
-    shares = t.articles.groupBy("category").agg(F.count("*").alias("n")).select("category", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("default_weight"))
-    out = feed.manual_scores(rows, profile, F.broadcast(shares))
+    rows = recalled(t).select("request_id", *MOMENT, "article_id").join(catalog(t), "article_id")
+    profile = past_profile(t)
+    rows = rows.join(profile.groupBy(*MOMENT).agg(F.max("history_length").alias("history_length")), MOMENT, "left")
+    out = feed.manual_scores(rows, profile, F.broadcast(default_shares(t, "default_weight")), MOMENT)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("final_score").desc(), "article_id")))
 
 
@@ -95,37 +113,43 @@ def j21(t):
 @query("j22_candidate_recall", with_views("articles", "impressions", more=RECALL) + "SELECT count(*)::BIGINT AS requests, round(avg(hit::DOUBLE / n), 6) AS recall FROM (SELECT i.request_id, count(*) AS n, count(rc.article_id) AS hit FROM impressions i JOIN r USING (request_id) LEFT JOIN rc ON rc.request_id = i.request_id AND rc.article_id = i.article_id WHERE clicked = 1 GROUP BY 1)")
 def j22(t):
     requests, articles = asked(t), catalog(t)
-    by_topic = feed.topic_recall(requests, user_profile(t), articles, "user_id", "category", "hot", 10)
-    hottest = articles.orderBy(F.col("hot").desc(), "article_id").limit(20).select("article_id")
-    found = by_topic.select("request_id", "article_id").unionByName(requests.select("request_id").crossJoin(F.broadcast(hottest))).distinct().withColumn("hit", F.lit(1))
+    by_topic = feed.topic_recall(requests, past_profile(t), articles, MOMENT, "category", "hot", 10)
+    always = F.broadcast(hottest(articles, 20).select("article_id"))
+    found = by_topic.select("request_id", "article_id").unionByName(requests.select("request_id").crossJoin(always)).distinct().withColumn("hit", F.lit(1))
     relevant = t.impressions.where("clicked = 1").select("request_id", "article_id")
     per = relevant.join(found, ["request_id", "article_id"], "left").groupBy("request_id").agg((F.count("hit") / F.count("*")).alias("recall"))
     return per.agg(F.count("*").alias("requests"), F.round(F.avg("recall"), 6).alias("recall"))
 
 
-@query("f22_features", with_views("articles", "impressions", more=(HISTORY, P, "dw AS (SELECT category, count(*)::DOUBLE / sum(count(*)) OVER () AS default_weight FROM articles GROUP BY category)", "hl AS (SELECT user_id, any_value(history_length) AS hl, count(*) AS topics FROM p GROUP BY user_id)",
+#: The features that rankers see, in their fixed order. Those of the second line have no source in these tables and stay 0.
+FEATURES = [
+    "base_score", "personalized_topic_score", "default_topic_score", "topic_match_score", "query_recall_boost", "user_behavior_score", "user_topic_count", "article_hot_score", "article_click_count", "article_impression_count", "article_age_hours",
+    "article_has_picture", "article_has_video", "article_is_high_value", "article_is_editor_recommended", "source_is_preferred",
+]
+ABSENT = [*FEATURES[4:5], *FEATURES[11:]]
+
+
+@query("f22_features", with_views("articles", "impressions", more=(*PAST, "dw AS (SELECT category, count(*)::DOUBLE / sum(count(*)) OVER () AS default_weight FROM articles GROUP BY category)", "hl AS (SELECT request_id, any_value(history_length) AS hl, count(*) AS topics FROM p GROUP BY request_id)",
     "fs AS (SELECT article_id, min(event_ts) AS first_ts FROM impressions GROUP BY article_id)",
     "w AS (SELECT *, count(*) OVER z AS pi, coalesce(sum(clicked) OVER z, 0) AS pc FROM impressions WINDOW z AS (PARTITION BY article_id ORDER BY event_ts, request_id, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
-    "q AS (SELECT w.*, pc * 10 + pi AS hot, coalesce(weight, 0)::DOUBLE AS personal, default_weight, coalesce(hl, 0) AS hlen, coalesce(topics, 0) AS topics, first_ts FROM w JOIN articles USING (article_id) JOIN dw USING (category) JOIN fs USING (article_id) LEFT JOIN hl USING (user_id) LEFT JOIN (SELECT user_id, category, weight FROM p) USING (user_id, category))")) +
+    "q AS (SELECT w.*, pc * 10 + pi AS hot, coalesce(weight, 0)::DOUBLE AS personal, default_weight, coalesce(hl, 0) AS hlen, coalesce(topics, 0) AS topics, first_ts FROM w JOIN articles USING (article_id) JOIN dw USING (category) JOIN fs USING (article_id) LEFT JOIN hl USING (request_id) LEFT JOIN (SELECT request_id, category, weight FROM p) USING (request_id, category))")) +
     "SELECT request_id, article_id, clicked AS label, round(hot / (hot + 100.0), 6)::DOUBLE AS base_score, round(personal, 6) AS personalized_topic_score, round(default_weight, 6) AS default_topic_score, "
-    "round((0.1 + hlen / (hlen + 30.0) * 0.85) * personal + (1 - (0.1 + hlen / (hlen + 30.0) * 0.85)) * default_weight, 6)::DOUBLE AS topic_match_score, hlen::BIGINT AS user_behavior_score, topics::BIGINT AS user_topic_count, hot::BIGINT AS article_hot_score, pc::BIGINT AS article_click_count, pi::BIGINT AS article_impression_count, round(greatest(0, event_ts - first_ts) / 3600.0, 6)::DOUBLE AS article_age_hours FROM q")
+    "round((0.1 + hlen / (hlen + 30.0) * 0.85) * personal + (1 - (0.1 + hlen / (hlen + 30.0) * 0.85)) * default_weight, 6)::DOUBLE AS topic_match_score, hlen::BIGINT AS user_behavior_score, topics::BIGINT AS user_topic_count, hot::BIGINT AS article_hot_score, pc::BIGINT AS article_click_count, pi::BIGINT AS article_impression_count, round(greatest(0, event_ts - first_ts) / 3600.0, 6)::DOUBLE AS article_age_hours, "
+    + ", ".join(f"0.0::DOUBLE AS {c}" for c in ABSENT) + " FROM q")
 def f22(t):
-    return features(t).select(
-        "request_id", "article_id", "label", *(F.round(c, 6).alias(c) for c in ("base_score", "personalized_topic_score", "default_topic_score", "topic_match_score")),
-        "user_behavior_score", "user_topic_count", "article_hot_score", "article_click_count", "article_impression_count", F.round("article_age_hours", 6).alias("article_age_hours"),
-    )
+    rounded = ("base_score", "personalized_topic_score", "default_topic_score", "topic_match_score", "article_age_hours")
+    return features(t).select("request_id", "article_id", "label", *(F.round(c, 6).alias(c) if c in rounded else c for c in FEATURES))
 
 
 def features(t):
-    """The features of each impression, from what was known before it."""
+    """The features of each impression, from what was known before it: counts of the article up to the place before, the
+    user's clicks at earlier times."""
     from presswork.operators.ordered import prior_counts
 
-    rows = prior_counts(t.impressions, "article_id", ["event_ts", "request_id", "position"])
-    profile = user_profile(t)
-    length = profile.groupBy("user_id").agg(F.max("history_length").alias("user_behavior_score"), F.count("*").alias("user_topic_count"))
-    shares = t.articles.groupBy("category").agg(F.count("*").alias("n")).select("category", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("default_topic_score"))
-    first = t.impressions.groupBy("article_id").agg(F.min("event_ts").alias("first_ts"))
-    rows = rows.join(t.articles, "article_id").join(F.broadcast(shares), "category").join(first, "article_id").join(length, "user_id", "left").join(profile.select("user_id", "category", "weight"), ["user_id", "category"], "left")
+    rows = prior_counts(t.impressions, "article_id", ["event_ts", "request_id", "position"], first="first_ts")
+    profile = past_profile(t)
+    length = profile.groupBy(*MOMENT).agg(F.max("history_length").alias("user_behavior_score"), F.count("*").alias("user_topic_count"))
+    rows = rows.join(t.articles, "article_id").join(F.broadcast(default_shares(t, "default_topic_score")), "category").join(length, MOMENT, "left").join(profile.select(*MOMENT, "category", "weight"), [*MOMENT, "category"], "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("user_behavior_score", "user_topic_count")}).withColumn("personalized_topic_score", F.coalesce("weight", F.lit(0.0)))
     alpha = scores.personal_share(F.col("user_behavior_score"))
     rows = rows.withColumn("article_hot_score", scores.hot_score(F.col("prior_clicks"), F.col("prior_impressions")))
@@ -133,7 +157,7 @@ def features(t):
         "label": F.col("clicked"), "base_score": scores.base_score(F.col("article_hot_score")),
         "topic_match_score": alpha * F.col("personalized_topic_score") + (1 - alpha) * F.col("default_topic_score"),
         "article_click_count": F.col("prior_clicks"), "article_impression_count": F.col("prior_impressions"),
-        "article_age_hours": F.greatest(F.lit(0), F.col("event_ts") - F.col("first_ts")) / 3600.0,
+        "article_age_hours": F.greatest(F.lit(0), F.col("event_ts") - F.col("first_ts")) / 3600.0, **{c: F.lit(0.0) for c in ABSENT},
     })
 
 
@@ -155,8 +179,7 @@ def m2(t):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    names = ["base_score", "personalized_topic_score", "default_topic_score", "topic_match_score", "user_behavior_score", "user_topic_count", "article_hot_score", "article_click_count", "article_impression_count", "article_age_hours"]
-    rows = VectorAssembler(inputCols=names, outputCol="x").transform(features(t).select("request_id", "article_id", "event_ts", "label", *names))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(features(t).select("request_id", "article_id", "event_ts", "label", *FEATURES))
     model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=10, maxDepth=4, stepSize=0.1, seed=42).fit(rows.where("event_ts < 900000000"))
     return model.transform(rows.where("event_ts >= 900000000")).select("request_id", "article_id", "label", vector_to_array("probability")[1].alias("score"))
 
