@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from presswork.llm.common import md5_number, staged, table
+from presswork.llm.common import staged, table
 
-DIVISOR = 2
-STEP = 31
+#: Of a line's hash: 1 makes every line a boundary, so that no run of two lines is missed. A larger divisor gives fewer,
+#: longer chunks, for corpora in which only long passages matter.
+DIVISOR = 1
 _RUNS = "array<struct<first:int,last:int>>"
 
 
@@ -27,32 +28,25 @@ def _stretch(first: Column, last: Column) -> Column:
 
 
 def _with_chunks(rows: DataFrame, divisor: int) -> DataFrame:
-    """(id, mark, first, last, before, after, h1, h2) of each chunk: its lines (numbers from 1), the first line of the
-    chunk before it and the last of the one after it (its own where there is none), and two hashes of its bytes.
+    """(id, mark, first, last, h1, h2) of each chunk: its lines (numbers from 1) and two hashes of its lines' hashes.
 
-    A chunk ends after a line whose hash, rolled together with that of the line before, is divisible by the
-    divisor, and with the text; so an insertion only moves the boundaries next to it. The hashes are taken inside the
-    row, so no row carries the text of another chunk. Chunks of one blank line are left out.
+    Boundaries are the first and last line and those whose hash is divisible by the divisor; a chunk goes from one
+    boundary to the next, both included. So it has two lines or more, depends on nothing outside it, and a repeated
+    passage holds the same chunks wherever it stands. Chunks of blank lines only are left out.
     """
     lined = _evaluated(rows, lines=F.split("text", "\n", -1))
-    lined = _evaluated(lined, hashes=F.transform("lines", lambda x: md5_number(x)))
+    lined = _evaluated(lined, one=F.transform("lines", lambda x: F.xxhash64(x)), two=F.transform("lines", lambda x: F.xxhash64(F.lit("again"), x)), worded=F.transform("lines", lambda x: F.length(F.trim(x)) > 0)).drop("lines")
+    edge = lambda i: (i == 1) | (i == F.size("one")) | (F.pmod(F.element_at("one", i), F.lit(divisor)) == 0)
+    every = F.sequence(F.lit(1), F.size("one"))
+    cut = _evaluated(lined, edges=every if divisor == 1 else F.filter(every, edge))
 
-    def ends(i: Column) -> Column:
-        rolled = F.element_at("hashes", i) + STEP * F.when(i > 1, F.element_at("hashes", F.greatest(i - 1, F.lit(1)))).otherwise(0)
-        return (i == F.size("hashes")) | (rolled % divisor == 0)
+    def chunk(k: Column) -> Column:
+        first, last = F.element_at("edges", k), F.element_at("edges", k + 1)
+        of = lambda c: F.slice(c, first, last - first + 1)
+        return F.struct(first.alias("first"), last.alias("last"), F.xxhash64(of("one")).alias("h1"), F.xxhash64(of("two")).alias("h2"), F.exists(of("worded"), lambda w: w).alias("worded"))
 
-    cut = _evaluated(lined, ends=F.filter(F.sequence(F.lit(1), F.size("hashes")), ends)).drop("hashes")
-    end = lambda k: F.when(k > 0, F.element_at("ends", F.greatest(k, F.lit(1)))).otherwise(0)
-
-    def chunk(last: Column, k: Column) -> Column:
-        first = end(k) + 1
-        text = F.array_join(_stretch(first, last), "\n")
-        before, after = F.when(k > 0, end(k - 1) + 1).otherwise(first), F.element_at("ends", F.least(k + 2, F.size("ends")))
-        hashes = (F.xxhash64(text), F.xxhash64(F.lit("again"), text), F.length(F.trim(text)) > 0)
-        return F.struct(first.alias("first"), last.alias("last"), before.alias("before"), after.alias("after"), *(h.alias(n) for h, n in zip(hashes, ("h1", "h2", "worded"), strict=True)))
-
-    chunks = cut.select("id", "mark", F.explode(F.transform("ends", chunk)).alias("chunk")).select("id", "mark", "chunk.*")
-    return chunks.where("last > first or worded").drop("worded")
+    each = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), chunk)
+    return cut.where(F.size("edges") > 1).select("id", "mark", F.explode(each).alias("chunk")).select("id", "mark", "chunk.*").where("worded").drop("worded")
 
 
 def _with(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -61,51 +55,63 @@ def _with(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return rows.join(other, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), how).drop("_id", "_mark")
 
 
-def _agreeing(a: str, b: str, place) -> Column:
-    """How many lines two stretches share, counted from place(1), until they first differ."""
-    n = F.least(F.size(a), F.size(b))
-    step = lambda s, i: F.when(s["open"] & (F.element_at(a, place(i)) == F.element_at(b, place(i))), F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("open")))
-    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"))
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step, lambda s: s["n"])).otherwise(0)
+def _merged(runs: Column) -> Column:
+    """Runs in order of their first lines, those that touch or overlap made one."""
+    pair = lambda first, last: F.array(F.struct(first.alias("first"), last.alias("last")))
+
+    def add(done: Column, run: Column) -> Column:
+        end = F.element_at(done, F.greatest(F.size(done), F.lit(1)))
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), pair(end["first"], F.greatest(end["last"], run["last"])))
+        return F.when((F.size(done) > 0) & (run["first"] <= F.try_element_at(done, F.lit(-1))["last"] + 1), joined).otherwise(F.concat(done, pair(run["first"], run["last"])))
+
+    return F.aggregate(F.array_sort(runs), F.array().cast(_RUNS), add)
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
     """Removes runs of two lines or more whose bytes already stood elsewhere: with a smaller id, or further up.
 
-    Each chunk is compared, byte by byte, with the first of its kind in the corpus (found by 128 bits of hash). The
-    run grows from the chunk over the neighbouring chunks' lines for as long as they equal those next to the first.
-    Returns for each row the id, n_lines, removed (first and last line of each maximal removed run, from 1) and kept
-    (the other lines, joined by line feeds). Every removed line stands further up or under a smaller id, so the first
-    place of a run stays. A repeated passage that holds no whole chunk is not found; one of many lines hardly ever
-    lacks one. A null text has no lines and stays empty; an empty text has one. Rows that agree in id and text count as
+    A chunk (see _with_chunks) is repeated if it is not the first of its kind in the corpus, found by 128 bits of hash;
+    neighbouring chunks with neighbouring first places are joined to runs, and runs compared with their first places byte
+    by byte. Returns for each row the id, n_lines, removed (first and last line of each maximal removed run, from 1)
+    and kept (the other lines, joined by line feeds). Every removed chunk stands further up or under a smaller id, so
+    the first place of each stays. With divisor 1 every repeated run is found; with a larger one, those that hold two
+    boundaries. A null text has no lines and stays empty; an empty text has one. Rows that agree in id and text count as
     one place, and all of them keep what is kept there; a null id comes before others. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
-    slim = _with_chunks(rows.where(F.col("text").contains("\n")), divisor)
-    place = F.struct("id", "mark", "first", "last")
-    places = slim.groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.max(place).alias("other"))
+    chunks = _with_chunks(rows.where(F.col("text").contains("\n")), divisor)
+    place = F.struct("id", "mark", "first")
+    places = chunks.groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.max(place).alias("other"))
     # staged, here and below, so that Spark can split joins with chunks that a third of all texts hold
-    places = staged(places.where("earliest <> other or not (earliest.id <=> other.id)").drop("other"))
-    repeated = slim.join(places, ["h1", "h2"]).withColumn("is_first", place.eqNullSafe(F.col("earliest")))
-    wanted = staged(repeated.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last", "before", "after", "h1", "h2", "is_first")).alias("wanted")))
-
-    holders = _evaluated(_with(rows, wanted, "inner"), lines=F.split("text", "\n", -1)).drop("text")
-    of = lambda w: F.struct(
-        *(w[c].alias(c) for c in ("first", "last", "h1", "h2", "is_first")), _stretch(w["first"], w["last"]).alias("own"),
-        _stretch(w["before"], w["first"] - 1).alias("above"), _stretch(w["last"] + 1, w["after"]).alias("below"),
-    )
-    held = holders.select("id", "mark", F.explode(F.transform("wanted", of)).alias("w")).select("id", "mark", "w.*")
-    earliest = held.where("is_first").dropDuplicates(["h1", "h2"]).select("h1", "h2", *(F.col(c).alias(f"first_{c}") for c in ("own", "above", "below")))
-    met = held.where("not is_first").join(staged(earliest), ["h1", "h2"]).where("own = first_own")
-    first = (F.col("first") - _agreeing("above", "first_above", lambda i: -i)).alias("first")
-    last = (F.col("last") + _agreeing("below", "first_below", lambda i: i)).alias("last")
-    runs = met.select("id", "mark", first, last).where("last > first").distinct()
+    places = staged(places.where("not (earliest <=> other)").drop("other"))
+    again = chunks.join(places, ["h1", "h2"]).where(~place.eqNullSafe(F.col("earliest")))
+    again = again.select("id", "mark", "first", "last", "earliest.id", "earliest.mark", "earliest.first").toDF("id", "mark", "first", "last", "e_id", "e_mark", "e_first").distinct()
+    same_way = Window.partitionBy("id", "mark", "e_id", "e_mark", F.col("e_first") - F.col("first")).orderBy("first")
+    runs = again.withColumn("run", F.sum(F.coalesce((F.col("first") > F.lag("last").over(same_way) + 1).cast("int"), F.lit(1))).over(same_way))
+    runs = runs.withColumn("off", F.col("e_first") - F.col("first")).groupBy("id", "mark", "e_id", "e_mark", "off", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+    # runs that touch are removed as one
     by_place = Window.partitionBy("id", "mark").orderBy("first", "last")
     reach = F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    islands = runs.withColumn("fresh", F.coalesce((F.col("first") > reach + 1).cast("int"), F.lit(1))).withColumn("island", F.sum("fresh").over(by_place))
-    islands = islands.groupBy("id", "mark", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    gone = islands.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("removed"))
-    out = _with(rows, gone, "left").select("id", "text", F.coalesce("removed", F.array().cast(_RUNS)).alias("removed"))
+    runs = runs.withColumn("island", F.sum(F.coalesce((F.col("first") > reach + 1).cast("int"), F.lit(1))).over(by_place))
+    runs = staged(runs.withColumns({"e_first": F.col("first") + F.col("off"), "e_last": F.col("last") + F.col("off")}).drop("off"))
+
+    wanted = runs.groupBy(F.col("e_id").alias("id"), F.col("e_mark").alias("mark")).agg(F.collect_set(F.struct("e_first", "e_last")).alias("wanted"))
+    holders = _evaluated(_with(rows, staged(wanted), "inner"), lines=F.split("text", "\n", -1)).drop("text")
+    stretch = lambda w: F.struct(w["e_first"].alias("e_first"), w["e_last"].alias("e_last"), F.array_join(_stretch(w["e_first"], w["e_last"]), "\n").alias("expected"))
+    firsts = holders.select(F.col("id").alias("f_id"), F.col("mark").alias("e_mark"), F.explode(F.transform("wanted", stretch)).alias("w")).select("f_id", "e_mark", "w.*")
+    firsts = staged(firsts.dropDuplicates(["f_id", "e_mark", "e_first", "e_last"]))
+    known = runs.join(firsts, (runs.e_id.eqNullSafe(firsts.f_id)) & (runs.e_mark == firsts.e_mark) & (runs.e_first == firsts.e_first) & (runs.e_last == firsts.e_last))
+    members = known.groupBy(runs.id, runs.mark, "island").agg(F.min(runs["first"]).alias("first"), F.max("last").alias("last"), F.collect_list(F.struct(runs["first"], "last", "expected")).alias("members"))
+    gone = members.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "last", "members"))).alias("islands"))
+
+    out = _with(rows, gone, "left")
+    fits = lambda m: F.array_join(_stretch(m["first"], m["last"]), "\n") == m["expected"]
+    left = lambda i: _merged(F.transform(F.filter(i["members"], fits), lambda m: F.struct(m["first"].alias("first"), m["last"].alias("last"))))
+    # hashes agree by chance next to never: a whole island goes, unless one of its runs turns out to differ
+    removed = F.flatten(F.transform("islands", lambda i: F.when(F.forall(i["members"], fits), F.array(F.struct(i["first"].alias("first"), i["last"].alias("last")))).otherwise(left(i))))
+    held = _evaluated(out.where("islands is not null"), lines=F.split("text", "\n", -1))
+    held = _evaluated(held, removed=removed).select("id", "text", "removed")
+    out = out.where("islands is null").select("id", "text", F.array().cast(_RUNS).alias("removed")).unionByName(held)
 
     n_lines = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0))
     untouched = out.where(F.size("removed") == 0).select("id", n_lines.alias("n_lines"), "removed", F.coalesce("text", F.lit("")).alias("kept"))
@@ -123,18 +129,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), n.cast("long").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-_SHARED = "coalesce(list_max(list_filter(range(1, least(len({a}), len({b})) + 1), lambda i: {x} = {y})), 0)"
-OP8_SQL = f"""
+OP8_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-h AS (SELECT doc_id, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM d),
-e AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR (hs[i] + {STEP} * coalesce(CASE WHEN i > 1 THEN hs[i - 1] END, 0)) % {DIVISOR} = 0) AS ends FROM h),
-c AS (SELECT doc_id, lines, unnest(list_transform(range(1, len(ends) + 1), lambda k: {{'f': CASE WHEN k > 1 THEN ends[k - 1] ELSE 0 END + 1, 'l': ends[k],
-  'b': CASE WHEN k > 2 THEN ends[k - 2] ELSE 0 END + 1, 'a': ends[least(k + 1, len(ends))]}})) AS c FROM e),
-m AS (SELECT doc_id, c.f AS f, c.l AS l, array_to_string(lines[c.f:c.l], chr(10)) AS t, lines[c.b:c.f - 1] AS above, lines[c.l + 1:c.a] AS below FROM c),
-r AS (SELECT *, row_number() OVER w AS k, first_value(above) OVER w AS above_1, first_value(below) OVER w AS below_1 FROM m WHERE l > f OR length(trim(t)) > 0 WINDOW w AS (PARTITION BY t ORDER BY doc_id, f)),
-x AS (SELECT doc_id, f - {_SHARED.format(a="above", b="above_1", x="above[len(above) - i + 1:]", y="above_1[len(above_1) - i + 1:]")} AS f,
-  l + {_SHARED.format(a="below", b="below_1", x="below[1:i]", y="below_1[1:i]")} AS l FROM r WHERE k > 1),
-g AS (SELECT doc_id, list_distinct(flatten(list(range(f, l + 1)))) AS gone FROM x WHERE l > f GROUP BY doc_id)
+c AS (SELECT doc_id, i, lines[i] || chr(10) || lines[i + 1] AS t FROM (SELECT doc_id, lines, unnest(range(1, len(lines))) AS i FROM d) WHERE length(trim(lines[i])) > 0 OR length(trim(lines[i + 1])) > 0),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM c),
+g AS (SELECT doc_id, list_distinct(flatten(list([i, i + 1]))) AS gone FROM r WHERE k > 1 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(coalesce(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i)), chr(10)) END, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
