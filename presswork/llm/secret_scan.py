@@ -109,9 +109,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ratios(counts: np.ndarray) -> np.ndarray:
-    """The score of each step: micro-nats by which it is likelier in random strings."""
+    """The score of each step: micro-nats by which it is likelier in random strings. After a character that a model's
+    samples never held, it goes by how often the next one occurs at all."""
     model = []
     for n, even in zip(counts.reshape(2, _N + 1, _N).astype(float), (EVEN_ORDINARY, EVEN_RANDOM), strict=True):
+        n = np.where(n.sum(1, keepdims=True) > 0, n, n.sum(0, keepdims=True))
         whole = n.sum(1, keepdims=True)
         model.append(np.where(whole > 0, (1 - even) * n / np.maximum(whole, 1) + even / _N, 1 / _N))
     return np.floor(MICRO * np.log(model[1] / model[0])).astype(np.int64).ravel()
@@ -200,9 +202,11 @@ fixed AS MATERIALIZED (SELECT rid, kind, s, s + len(hit) AS e, CASE WHEN kind =
 runs AS MATERIALIZED (SELECT rid, s, s + len(hit) AS e, hit AS x FROM places p WHERE kind = 'run' AND NOT EXISTS (FROM fixed f WHERE f.rid = p.rid AND f.s < p.s + len(p.hit) AND p.s < f.e)),
 letters AS (SELECT unnest(string_split('{ALPHABET}', '')) AS c),
 counted AS (SELECT random, a, b, count(*) AS n FROM ({steps("random", "SELECT 1 AS random, x FROM fixed UNION ALL SELECT 0, x FROM runs")}) WHERE b IN (SELECT c FROM letters) GROUP BY ALL),
-p AS MATERIALIZED (SELECT k.random, k.a, k.b, CASE WHEN w.n > 0 THEN (1 - k.even) * coalesce(c.n, 0) / w.n + k.even / {_N} ELSE 1.0::DOUBLE / {_N} END AS p
+p AS MATERIALIZED (SELECT k.random, k.a, k.b, CASE WHEN w.n > 0 THEN (1 - k.even) * coalesce(c.n, 0) / w.n + k.even / {_N}
+    WHEN t.n > 0 THEN (1 - k.even) * coalesce(u.n, 0) / t.n + k.even / {_N} ELSE 1.0::DOUBLE / {_N} END AS p
   FROM (SELECT * FROM (VALUES (0, {EVEN_ORDINARY}::DOUBLE), (1, {EVEN_RANDOM}::DOUBLE)) v(random, even), (SELECT c AS a FROM letters UNION ALL SELECT '^'), (SELECT c AS b FROM letters)) k
-  LEFT JOIN counted c USING (random, a, b) LEFT JOIN (SELECT random, a, sum(n)::BIGINT AS n FROM counted GROUP BY ALL) w USING (random, a)),
+  LEFT JOIN counted c USING (random, a, b) LEFT JOIN (SELECT random, a, sum(n)::BIGINT AS n FROM counted GROUP BY ALL) w USING (random, a)
+  LEFT JOIN (SELECT random, b, sum(n)::BIGINT AS n FROM counted GROUP BY ALL) u USING (random, b) LEFT JOIN (SELECT random, sum(n)::BIGINT AS n FROM counted GROUP BY ALL) t USING (random)),
 score AS MATERIALIZED (SELECT r.a, r.b, floor({MICRO} * ln(r.p / o.p))::BIGINT AS v FROM p r JOIN p o USING (a, b) WHERE r.random = 1 AND o.random = 0),
 random AS (SELECT rid, s, e FROM ({steps("rid, s, e", f"SELECT rid, s, e, x FROM runs WHERE len(x) >= {RUN_LEAST}")}) JOIN score USING (a, b) GROUP BY ALL HAVING sum(v) >= {int(THRESHOLD * MICRO)}),
 spans AS (SELECT rid, kind, s, e FROM fixed UNION ALL SELECT rid, 'random', s, e FROM random),
