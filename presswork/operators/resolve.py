@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.functions import text
 
+Search = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
 
 def numeric_key(asked: Column) -> Column:
     """Whole numbers with single blanks between them; null if anything else was typed."""
@@ -104,6 +108,62 @@ def resolve(asks: DataFrame, query_map: DataFrame, topics: DataFrame, articles:
     return asks.select("ask").join(first, "ask", "left").select("ask", "query_key", source.alias("source"))
 
 
+def exact_alias(asks: DataFrame, query_map: DataFrame, topics: DataFrame, most: int = 20) -> DataFrame:
+    """(ask, query_key): by a display query that is what was asked, whatever the case, else by a topic's name that is.
+
+    Of several keys the one with most rows, or the largest score among the `most` largest topics; ties by key.
+    """
+    asked = asks.select("ask", F.lower(F.trim("asked")).alias("name")).where("name <> ''")
+    shown = asked.join(query_map.select(F.lower("display_query").alias("name"), "query_key"), "name").groupBy("ask", "query_key").agg(F.count("*").alias("n"))
+    shown = best(shown, "ask", [F.col("n").desc(), "query_key"]).select("ask", "query_key", F.lit(0).alias("stage"))
+    named = asked.join(topics.select(F.lower("display_name").alias("name"), "topic_id", "news_count"), "name")
+    named = named.withColumn("place", F.row_number().over(Window.partitionBy("ask").orderBy(F.col("news_count").desc(), "topic_id"))).where(F.col("place") <= most)
+    keyed = best(best_key_of_topics(named.select("ask", "topic_id"), query_map, ["ask"]), "ask", [F.col("score").desc(), "query_key"]).select("ask", "query_key", F.lit(1).alias("stage"))
+    return shown.unionByName(keyed).groupBy("ask").agg(F.min_by("query_key", "stage").alias("query_key"))
+
+
+def vote_of_hits(hits: DataFrame, article_topics: DataFrame, query_map: DataFrame, most: int = 10) -> DataFrame:
+    """(ask, query_key): the `most` best hits vote for their topics with their fused scores, a topic of a further source
+    counting a quarter more; the key whose row has the largest vote times score wins (then the least match_rank, then
+    the key). If no key knows these topics, the first topic of the best hit that has one is the key.
+
+    hits: ask, doc, fusion, rank. article_topics: article_id, topic_id, source_rank.
+    """
+    top = hits.where(F.col("rank") <= most).select("ask", F.col("doc").alias("article_id"), F.greatest("fusion", F.lit(1e-9)).alias("vote"), "rank")
+    voted = top.join(article_topics, "article_id")
+    share = F.col("vote") * F.when(F.col("source_rank") > 0, 1.25).otherwise(1.0)
+    votes = voted.groupBy("ask", "topic_id").agg(F.round(F.sum(share), 12).alias("vote"))
+    keys = votes.join(query_map.select("topic_id", "query_key", "score", "match_rank"), "topic_id").withColumn("score", F.round(F.col("vote") * F.col("score"), 12))
+    known = best(keys, "ask", [F.col("score").desc(), "match_rank", "query_key"]).select("ask", "query_key", F.lit(0).alias("stage"))
+    # the topics of the best hit come before those of the others, and these in order of their ids
+    ahead = F.struct((F.col("rank") > 1).alias("later"), "article_id", "source_rank", "topic_id")
+    first = voted.groupBy("ask").agg(F.min(ahead)["topic_id"].cast("string").alias("query_key")).withColumn("stage", F.lit(1))
+    return known.unionByName(first).groupBy("ask").agg(F.min_by("query_key", "stage").alias("query_key"))
+
+
+def resolve_hybrid(asks: DataFrame, query_map: DataFrame, topics: DataFrame, article_topics: DataFrame, search: Search) -> DataFrame:
+    """(ask, query_key, source, confidence): numbers as they are, then exact names; what is still open is searched for,
+    and if the search is to be trusted, its hits' topics vote.
+
+    search: a batch of asks (ask, asked) -> hits (query, doc, fusion, rank) and verdicts (query, dense, accepted). Only
+    asks that no earlier stage has answered reach it. source is numeric_query_key, exact_alias, hybrid_v1, or why there is
+    no key: blank, rejected (the gate, or no hit) or unresolved (hits without a topic). confidence is 1, or that of the
+    best vector hit.
+    """
+    typed = asks.select("ask", "asked", numeric_key(F.col("asked")).alias("query_key"))
+    numbers = typed.where("query_key is not null").select("ask", "query_key", F.lit("numeric_query_key").alias("source"), F.lit(1.0).alias("confidence"))
+    words = typed.where("query_key is null").select("ask", "asked")
+    alias = exact_alias(words, query_map, topics).select("ask", "query_key", F.lit("exact_alias").alias("source"), F.lit(1.0).alias("confidence"))
+    blank = words.where(F.coalesce(F.trim("asked"), F.lit("")) == "").select("ask", F.lit(None).cast("string").alias("query_key"), F.lit("blank").alias("source"), F.lit(None).cast("double").alias("confidence"))
+    open_ = words.where(F.coalesce(F.trim("asked"), F.lit("")) != "").join(alias.select("ask"), "ask", "left_anti")
+    hits, verdicts = search(open_)
+    sure = verdicts.where("accepted").select(F.col("query").alias("ask"), F.col("dense").alias("_dense"))
+    voted = vote_of_hits(hits.join(sure.select(F.col("ask").alias("query")), "query", "left_semi").withColumnRenamed("query", "ask"), article_topics, query_map)
+    state = F.when(F.col("_dense").isNull(), "rejected").when(F.col("query_key").isNull(), "unresolved").otherwise("hybrid_v1")
+    found = open_.select("ask").join(sure, "ask", "left").join(voted, "ask", "left").select("ask", "query_key", state.alias("source"), F.when(F.col("query_key").isNotNull(), F.col("_dense")).alias("confidence"))
+    return numbers.unionByName(alias).unionByName(blank).unionByName(found)
+
+
 def alias_topic(asks: DataFrame, aliases: DataFrame) -> DataFrame:
     """(ask, topic_id, pass): the least topic of the first pass that matches an alias. aliases: alias, topic_id."""
     return best(matches(asks, aliases, "alias", ["topic_id"]), "ask", ["pass", "topic_id"])

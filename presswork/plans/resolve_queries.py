@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from presswork.operators import resolve
+from presswork.operators import resolve, search
 from presswork.plans.bindings import with_views
 from presswork.plans.registry import query
 from presswork.plans.relational_queries import HOT, item_counts
+from presswork.plans.search_queries import FUSED, TOK, VECTORS, VERDICTS, WORDS, document_index
 
 ART = "art AS (SELECT p_partkey AS article_id, p_name AS title, p_brand AS abstract, p_type AS category FROM part)"
 AT = "atp AS (SELECT article_id, topic_id, min(source_rank) AS source_rank FROM (SELECT p_partkey AS article_id, (p_size % 25)::INT AS topic_id, 0 AS source_rank FROM part UNION ALL SELECT p_partkey, (p_partkey % 25)::INT, 1 FROM part) GROUP BY ALL)"
@@ -61,6 +62,52 @@ def c5(t):
     return resolve.resolve(asks(t), query_map(t), topics(t), articles(t), article_topics(t))
 
 
+#: Documents with an embedding and the topics of these; a fifth of the asks are numbers, display queries, names, blanks.
+DOC_TOPICS = "dtp AS (SELECT article_id, topic_id, min(source_rank) AS source_rank FROM (SELECT vec_id AS article_id, label AS topic_id, 0 AS source_rank FROM embeddings UNION ALL SELECT vec_id, (vec_id % 25)::INT, 1 FROM embeddings) GROUP BY ALL)"
+SEARCHES = "sa AS (SELECT item_id AS ask, CASE item_id % 5 WHEN 0 THEN item_id || '  7' WHEN 1 THEN (SELECT upper(any_value(display_query)) FROM qm WHERE qm.row = item_id) ELSE text END AS asked FROM benchmark UNION ALL SELECT 1000000 + n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN ' ' ELSE lower(n_name) END FROM nation)"
+
+
+@query("c5_resolve_hybrid", "WITH " + ", ".join((AT, TP, QM, DOC_TOPICS, SEARCHES,
+    "ln AS (SELECT ask, lower(trim(asked)) AS name FROM sa WHERE asked IS NOT NULL AND trim(asked) <> '' AND NOT regexp_full_match(trim(regexp_replace(asked, '\\s+', ' ', 'g')), '[0-9]+( [0-9]+)*'))",
+    "sh AS (SELECT ask, query_key FROM (SELECT ask, query_key, row_number() OVER (PARTITION BY ask ORDER BY count(*) DESC, query_key) AS k FROM ln JOIN qm ON lower(display_query) = name GROUP BY ask, query_key) WHERE k = 1)",
+    "nm AS (SELECT ask, topic_id FROM (SELECT ask, topic_id, row_number() OVER (PARTITION BY ask ORDER BY news_count DESC, topic_id) AS k FROM ln JOIN tp ON lower(display_name) = name) WHERE k <= 20)",
+    "nk AS (SELECT ask, query_key FROM (SELECT ask, query_key, row_number() OVER (PARTITION BY ask ORDER BY max(score) DESC, query_key) AS k FROM nm JOIN qm USING (topic_id) GROUP BY ask, query_key) WHERE k = 1)",
+    "al AS (SELECT ask, coalesce(sh.query_key, nk.query_key) AS query_key FROM ln LEFT JOIN sh USING (ask) LEFT JOIN nk USING (ask) WHERE coalesce(sh.query_key, nk.query_key) IS NOT NULL)",
+    "op AS (SELECT sa.* FROM sa JOIN ln USING (ask) WHERE ask NOT IN (SELECT ask FROM al))",
+    f"asked AS (SELECT DISTINCT ask AS query, unnest({TOK.format('asked')}) AS term FROM op)", "dense_asks AS (SELECT e.* FROM embeddings e JOIN op ON ask = vec_id)", *WORDS, *VECTORS, FUSED, *VERDICTS,
+    "ok AS (SELECT query AS ask, dense FROM x WHERE dense >= 0.6 OR (dense >= 0.3 AND lexical >= 5 AND margin >= 0.001))",
+    "vt AS (SELECT query AS ask, doc AS article_id, greatest(fusion, 1e-9) AS vote, f.rank, topic_id, source_rank FROM fused f JOIN dtp ON dtp.article_id = doc WHERE f.rank <= 10 AND query IN (SELECT ask FROM ok))",
+    "vs AS (SELECT ask, topic_id, round(sum(vote * CASE WHEN source_rank > 0 THEN 1.25 ELSE 1.0 END), 12) AS vote FROM vt GROUP BY ALL)",
+    "vk AS (SELECT ask, query_key FROM (SELECT ask, query_key, row_number() OVER (PARTITION BY ask ORDER BY round(vote * score, 12) DESC, match_rank, query_key) AS k FROM vs JOIN qm USING (topic_id)) WHERE k = 1)",
+    "vf AS (SELECT ask, topic_id::VARCHAR AS query_key FROM (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY rank > 1, article_id, source_rank, topic_id) AS k FROM vt) WHERE k = 1)")) +
+    " SELECT ask, CASE WHEN ln.ask IS NULL AND trim(coalesce(asked, '')) <> '' THEN trim(regexp_replace(asked, '\\s+', ' ', 'g')) ELSE coalesce(al.query_key, vk.query_key, vf.query_key) END AS query_key, "
+    "CASE WHEN trim(coalesce(asked, '')) = '' THEN 'blank' WHEN ln.ask IS NULL THEN 'numeric_query_key' WHEN al.ask IS NOT NULL THEN 'exact_alias' WHEN ok.ask IS NULL THEN 'rejected' WHEN coalesce(vk.query_key, vf.query_key) IS NULL THEN 'unresolved' ELSE 'hybrid_v1' END AS source, "
+    "round(CASE WHEN trim(coalesce(asked, '')) = '' THEN NULL WHEN ln.ask IS NULL OR al.ask IS NOT NULL THEN 1.0 WHEN coalesce(vk.query_key, vf.query_key) IS NOT NULL THEN ok.dense END, 6)::DOUBLE AS confidence "
+    "FROM sa LEFT JOIN ln USING (ask) LEFT JOIN al USING (ask) LEFT JOIN ok USING (ask) LEFT JOIN vk USING (ask) LEFT JOIN vf USING (ask)")
+def c5_hybrid(t):
+    """What typed texts resolve to when words and vectors are searched together, from the stored index."""
+    texts = t.benchmark.select(F.col("item_id").alias("ask"), "text").join(query_map(t).select(F.col("row").alias("ask"), "display_query"), "ask", "left")
+    asked = F.when(F.col("ask") % 5 == 0, F.concat(F.col("ask"), F.lit("  7"))).when(F.col("ask") % 5 == 1, F.upper("display_query")).otherwise(F.col("text"))
+    names = t.nation.select((1_000_000 + F.col("n_nationkey")).alias("ask"), F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise(F.lower("n_name")).alias("asked"))
+    asks_ = texts.select("ask", asked.alias("asked")).unionByName(names)
+    index = document_index(t)
+
+    def find(open_):
+        # the embedding of the ask's number stands for that of its text
+        vectors = t.embeddings.join(open_.select(F.col("ask").alias("vec_id")), "vec_id", "left_semi")
+        words = lambda k: index.bm25(open_, "ask", "asked", k)
+        dense = lambda k: search.dense_top_k(t.embeddings, vectors, "vec_id", "embedding", k)
+        return search.hybrid_search(words, dense, search.HybridConfig(margin_least=0.001), 20)
+
+    out = resolve.resolve_hybrid(asks_, query_map(t), topics(t), document_topics(t), find)
+    return out.select("ask", "query_key", "source", F.round("confidence", 6).alias("confidence"))
+
+
+def document_topics(t):
+    both = F.array(F.struct(F.col("label").alias("topic_id"), F.lit(0).alias("source_rank")), F.struct((F.col("vec_id") % 25).cast("int").alias("topic_id"), F.lit(1).alias("source_rank")))
+    return t.embeddings.select(F.col("vec_id").alias("article_id"), F.explode(both).alias("x")).groupBy("article_id", "x.topic_id").agg(F.min("x.source_rank").alias("source_rank"))
+
+
 @query("a18_best_topic_key", "WITH " + ", ".join((ART, AT, TP, QM, ASKS, LEFT, *TOPIC)) + " SELECT ask, query_key FROM tk")
 def a18(t):
     """The key of largest score among the topics whose name matches."""

@@ -7,28 +7,51 @@ from pyspark.sql import functions as F
 from presswork.functions import text
 from presswork.operators import search
 from presswork.plans.registry import query
+from presswork.sources import artifacts, search_index
+from presswork.sources.logs import shared_path
 
 TOK = "regexp_extract_all(lower({}), '[a-z0-9]+(?:''[a-z0-9]+)?')"
 POSTS = f"posts AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc_id AS doc, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY ALL)"
-BM25 = (f"asked AS (SELECT DISTINCT item_id AS query, unnest({TOK.format('text')}) AS term FROM benchmark WHERE item_id % 50 = 0)",
-        POSTS, "len AS (SELECT doc, sum(tf) AS length FROM posts GROUP BY doc)", "st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(length) FROM len)::DOUBLE / (SELECT count(*) FROM documents) AS avg_len)",
-        "idf AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posts, st GROUP BY term)",
-        "bm AS (SELECT query, doc, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg_len))), 9) AS score FROM posts JOIN asked USING (term) JOIN idf USING (term) JOIN len USING (doc), st GROUP BY ALL)",
-        "bm_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm) WHERE rank <= 50)")
-DENSE = ("dn AS (SELECT q.vec_id AS query, v.vec_id AS doc, round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)",
-         "dn_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM dn) WHERE rank <= 50)")
+WORDS = (POSTS, "len AS (SELECT doc, sum(tf) AS length FROM posts GROUP BY doc)", "st AS (SELECT (SELECT count(*) FROM documents) AS n, greatest((SELECT sum(length) FROM len)::DOUBLE / (SELECT count(*) FROM documents), 1) AS avg_len)",
+         "idf AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posts, st GROUP BY term)",
+         "bm AS (SELECT query, doc, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg_len))), 9) AS score FROM posts JOIN asked USING (term) JOIN idf USING (term) JOIN len USING (doc), st GROUP BY ALL)",
+         "bm_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm) WHERE rank <= 50)")
+BM25 = (f"asked AS (SELECT DISTINCT item_id AS query, unnest({TOK.format('text')}) AS term FROM benchmark WHERE item_id % 50 = 0)", *WORDS)
+VECTORS = ("dn AS (SELECT q.vec_id AS query, v.vec_id AS doc, round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 9) AS score FROM dense_asks q, embeddings v WHERE v.vec_id <> q.vec_id)",
+           "dn_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM dn) WHERE rank <= 50)")
+DENSE = ("dense_asks AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0)", *VECTORS)
 FUSED = "fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(fusion, 12) DESC, doc) AS rank FROM (SELECT query, doc, a.rank AS rank_a, b.rank AS rank_b, coalesce(1.0 / (60 + a.rank), 0.0)::DOUBLE + coalesce(1.0 / (60 + b.rank), 0.0)::DOUBLE AS fusion FROM bm_hits a FULL JOIN dn_hits b USING (query, doc))) WHERE rank <= 20)"
+VERDICTS = ("g AS (SELECT query, max(CASE WHEN rank = 1 THEN fusion END) - coalesce(max(CASE WHEN rank = 2 THEN fusion END), 0) AS margin FROM fused GROUP BY query)",
+            "x AS (SELECT query, coalesce((SELECT max(score) FROM bm_hits b WHERE b.query = g.query), 0) AS lexical, coalesce((SELECT max(score) FROM dn_hits d WHERE d.query = g.query), 0) AS dense, margin FROM g)")
+
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def document_index(t):
+    """The stored index of the documents. Made once for a session and the files as they are; from then on searches read
+    only it."""
+    source = search_index.source_state(t.documents)
+    key = (t.spark.sparkContext.applicationId, t.folder, source)
+    if key not in _indexes:
+        path = shared_path(t.spark, "search-index")
+        search_index.build_index(t.documents, path, "doc_id", F.col("text"), source)
+        _indexes[key] = path
+    return search_index.open_index(t.spark, _indexes[key], source)
 
 
 def bm25_hits(t, k=50):
     """Searches are the rows whose id is divisible by 50, here and in dense_hits."""
-    return search.bm25(t.documents, t.benchmark.where("item_id % 50 = 0"), "doc_id", F.col("text"), "item_id", "text", k)
+    return document_index(t).bm25(t.benchmark.where("item_id % 50 = 0"), "item_id", "text", k)
 
 
 def dense_hits(t, k=50):
     return search.dense_top_k(t.embeddings, t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding", k)
 
 
+def hybrid(t, limit=20):
+    return search.hybrid_search(lambda k: bm25_hits(t, k), lambda k: dense_hits(t, k), search.HybridConfig(), limit)
+
+
 @query("f2_tokens", f"SELECT doc_id, len({TOK.format('text')})::INT AS n_tokens, array_to_string({TOK.format('text')}[1:5], ' ') AS first FROM documents")
 def f2(t):
     tokens = text.search_tokens(F.col("text"))
@@ -71,13 +94,30 @@ def f6(t):
     return search.fuse(bm25_hits(t), dense_hits(t), 20).select("query", "doc", "rank_a", "rank_b", F.round("fusion", 6).alias("fusion"), "rank")
 
 
-@query("f7_gate", "WITH " + ", ".join((*BM25, *DENSE, FUSED, "g AS (SELECT query, max(CASE WHEN rank = 1 THEN fusion END) - coalesce(max(CASE WHEN rank = 2 THEN fusion END), 0) AS margin FROM fused GROUP BY query)",
-    "x AS (SELECT query, coalesce((SELECT max(score) FROM bm_hits b WHERE b.query = g.query), 0) AS lexical, coalesce((SELECT max(score) FROM dn_hits d WHERE d.query = g.query), 0) AS dense, margin FROM g)")) +
-    " SELECT query, round(lexical, 6) AS lexical, round(dense, 6) AS dense, round(margin, 6) AS margin, (dense >= 0.6 OR (dense >= 0.3 AND lexical >= 5 AND margin >= 0)) AS accepted FROM x")
+@query("f7_gate", "WITH " + ", ".join((*BM25, *DENSE, FUSED, *VERDICTS)) + " SELECT query, round(lexical, 6) AS lexical, round(dense, 6) AS dense, round(margin, 6) AS margin, (dense >= 0.6 OR (dense >= 0.3 AND lexical >= 5 AND margin >= 0)) AS accepted FROM x")
 def f7(t):
-    a, b = bm25_hits(t), dense_hits(t)
-    out = search.gate(a, b, search.fuse(a, b, 20), 0.6, 0.3, 5.0, 0.0)
-    return out.select("query", *(F.round(c, 6).alias(c) for c in ("lexical", "dense", "margin")), "accepted")
+    return hybrid(t)[1].select("query", *(F.round(c, 6).alias(c) for c in ("lexical", "dense", "margin")), "accepted")
+
+
+@query("c8_hybrid_search", "WITH " + ", ".join((*BM25, *DENSE, FUSED, *VERDICTS)) + " SELECT query, doc, f.rank::INT AS rank, round(fusion, 6) AS fusion, coalesce(round(b.score, 6), 0) AS word_score, coalesce(round(d.score, 6), 0) AS dense_score, (dense >= 0.6 OR (dense >= 0.3 AND lexical >= 5 AND margin >= 0)) AS accepted "
+    "FROM fused f JOIN x USING (query) LEFT JOIN bm_hits b USING (query, doc) LEFT JOIN dn_hits d USING (query, doc)")
+def c8(t):
+    """The hybrid search as one operator: fused hits of both arms with their scores, and whether they are to be trusted."""
+    hits, verdicts = hybrid(t)
+    zero = lambda c: F.coalesce(F.round(c, 6), F.lit(0.0))
+    return hits.join(verdicts.select("query", "accepted"), "query").select("query", "doc", "rank", F.round("fusion", 6).alias("fusion"), zero("score_a").alias("word_score"), zero("score_b").alias("dense_score"), "accepted")
+
+
+@query("k64_verified_index", f"WITH {POSTS} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS occurrences FROM posts GROUP BY term HAVING count(*) >= 20")
+def k64(t):
+    """An index made from documents that were written, and read back only as what their card says they are."""
+    path, source = shared_path(t.spark, "documents"), search_index.source_state(t.documents)
+    artifacts.write_artifact(t.documents.select("doc_id", "text"), path, "documents", 1, source)
+    verified = artifacts.read_artifact(t.spark, path, "documents", 1, source)
+    at = shared_path(t.spark, "search-index")
+    search_index.build_index(verified, at, "doc_id", F.col("text"), source)
+    index = search_index.open_index(t.spark, at, source)
+    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences")).where("df >= 20")
 
 
 @query("f11_cosine", "SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
