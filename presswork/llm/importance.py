@@ -8,7 +8,7 @@ with the gains of their buckets.
 
 A block sends at most one row to each partition of the dictionary, and none that is empty, so there are never more rows
 than distinct n-grams of the blocks. The dictionary is dealt in ROUNDS shares one after the other, so that only part of
-the strings is on disk at a time. N-grams are spread over partitions by hash and come once from a block, so frequent
+the strings is on disk at a time; so are the answers. N-grams are spread over partitions by hash and come once from a block, so frequent
 ones don't make large partitions.
 """
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +29,14 @@ from presswork.llm.textkit import LOWER, Prefix, mixed, pieces, words
 
 BUCKETS = 10_000
 LENGTHS = 3  # of the n-grams, in words, at most
-BLOCK = 12 << 20  # bytes of text, but always whole texts
-PARTITION = 4_000_000  # occurrences of n-grams to a partition of the dictionary
-ROUNDS = 2
+BLOCK = 8 << 20  # bytes of text, but always whole texts
+PARTITION = 1_500_000  # occurrences of n-grams to a partition of the dictionary
+ROUNDS = 3
+SHARES = 2  # of the blocks, when the answers come back
 _BREAK = np.zeros(256, bool)
 _BREAK[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-_ZSTD = pa.Codec("zstd", 3)
+_ZSTD = pa.Codec("zstd", 1)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -50,77 +52,125 @@ def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return data[np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())] if len(size) else data[:0]
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each word; over a few MB at a time, as sums for each byte take room."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + (1 << 21) - 2, "right")))
+        out[i:j] = Prefix(data[start[i] : end[j - 1]]).hash(start[i:j] - start[i], end[i:j] - start[i])
+        i = j
+    return out
+
+
+def _distinct(keys: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The distinct keys in order, how often each occurs, and (if asked for) of each key the number of its own."""
+    order = np.argsort(keys) if places else None
+    keys = keys[order] if places else np.sort(keys)
+    new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+    first = np.flatnonzero(new)
+    index = None
+    if places:
+        index = np.empty(len(keys), np.int32)
+        index[order] = np.cumsum(new) - 1
+    return keys[first], np.diff(np.r_[first, len(keys)]), index
+
+
+def _vocabulary(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Some texts: the hashes of their distinct words, these words (each with a space behind it), the number of the word
+    at each place, and the number of words in each text."""
+    data = LOWER[data]
+    start, end, row = words(data, at, _BREAK)
+    distinct, _, number = _distinct(_hashes(data, start, end))
+    first = np.empty(len(distinct), np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    size = (end - start)[first] + 1
+    spelt = _gathered(np.r_[data, np.uint8(32)], start[first], size)
+    spelt[np.cumsum(size) - 1] = 32
+    return distinct, spelt, number, np.bincount(row, minlength=len(at) - 1)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> blocks: ids, the number of words of each text, all words as numbers, and the words (each with a
-    space behind it) by number."""
+    """(id, text) -> blocks: ids, the number of words in all texts and in each, all words as numbers, and the words (each
+    with a space behind it) by number. Texts are taken apart a MB at a time, and the MBs' vocabularies united."""
     for batch in batches:
-        for i, j, data, at in pieces(batch.column(1), BLOCK):
-            data = LOWER[data]
-            start, end, row = words(data, at, _BREAK)
-            _, first, number = np.unique(Prefix(data).hash(start, end), return_index=True, return_inverse=True)
-            size = (end - start)[first] + 1
-            vocabulary = _gathered(np.r_[data, np.uint8(32)], start[first], size)
-            vocabulary[np.cumsum(size) - 1] = 32
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            n_words = np.bincount(row, minlength=j - i).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [one(batch.column(0).slice(i, j - i)), one(pa.array(n_words)), one(pa.array(number.astype(np.int32))), pa.array([_packed(vocabulary)], pa.binary())], names=["ids", "n_words", "words", "vocabulary"]
-            )
+        for i, j, _, _ in pieces(batch.column(1), BLOCK):
+            parts = [_vocabulary(data, at) for _, _, data, at in pieces(batch.column(1).slice(i, j - i), 1 << 20)]
+            distinct, spelt, numbers, n_words = zip(*parts, strict=True)
+            every, text = np.concatenate(distinct), np.concatenate(spelt)
+            ends = np.flatnonzero(text == 32) + 1
+            starts = np.r_[0, ends[:-1]]
+            _, first = np.unique(every, return_index=True)
+            vocabulary = _gathered(text, starts[first], (ends - starts)[first])
+            united = np.searchsorted(every[first], every).astype(np.int32)
+            base = np.cumsum([0, *(len(d) for d in distinct)])
+            number = np.concatenate([united[b + x] for b, x in zip(base, numbers, strict=False)])
+            ids = batch.column(0).slice(i, j - i)
+            packed = [pa.array([_packed(x)], pa.binary()) for x in (np.concatenate(n_words).astype(np.int32), number, vocabulary)]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([len(number)]), *packed], names=["ids", "n", "n_words", "words", "vocabulary"])
 
 
 class _Features:
-    """The distinct n-grams of a block, in order of n and of the words: their words, counts and hashes, and which of
-    them stands at each place of the texts."""
+    """The distinct n-grams of a block, in order of n and of the words' numbers: their words, counts and hashes; if asked
+    for, also which of them stands at each place of the texts."""
 
-    def __init__(self, n_words: np.ndarray, number: np.ndarray, vocabulary: np.ndarray):
-        self.vocabulary = vocabulary
+    def __init__(self, n_words: np.ndarray, number: np.ndarray, vocabulary: np.ndarray, places: bool):
         ends = np.flatnonzero(vocabulary == 32) + 1
-        self.start, self.size = np.r_[0, ends[:-1]].astype(np.int64), np.diff(np.r_[0, ends])
-        word_hash = Prefix(vocabulary).hash(self.start, ends)
-        row = np.repeat(np.arange(len(n_words)), n_words)
-        n = len(number)
-        self.row = [row[: max(0, n - k)][row[k:] == row[: max(0, n - k)]] for k in range(LENGTHS)]
-        self.words, self.counts, self.where, hashes = [], [], [], []
-        last, tuples = number.astype(np.int64), np.arange(len(ends))[:, None]  # of the n-gram at each place, and of each n-gram its words
+        offsets = np.r_[0, ends].astype(np.int32)
+        of = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
+        self.inner, self.last = of(vocabulary), of(np.where(vocabulary == 32, np.uint8(10), vocabulary))  # with a space or a line's end behind each word
+        word_hash = _hashes(vocabulary, offsets[:-1], offsets[1:])
+        row, n, bits = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words), len(number), max(1, len(ends).bit_length())
+        self.row, self.words, self.counts, self.where, hashes = [], [], [], [], []
+        key, words_of = number.astype(np.int64), [np.arange(len(ends))]  # the n-gram at each place, and the words of each n-gram
         for k in range(LENGTHS):
+            inside = row[k:] == row[: max(0, n - k)]
             if k:
-                inside = row[k:] == row[: max(0, n - k)]
-                pair = (last[: max(0, n - k)] << 32 | number[k:])[inside]
-                distinct, index, count = np.unique(pair, return_inverse=True, return_counts=True)
-                tuples = np.c_[tuples[distinct >> 32], distinct & 0xFFFFFFFF]
-                last = np.full(max(0, n - k), -1, np.int64)
-                last[inside] = index
-            else:
-                index, count = last, np.bincount(last, minlength=len(ends))
-            self.words.append(tuples)
-            self.counts.append(count)
+                if k > 1 and (k + 1) * bits > 63:  # more words than a key has room for: by the number of the shorter n-gram
+                    at_place = np.full(len(key), -1, np.int64)
+                    at_place[before] = _distinct(key[before])[2]
+                    key, numbered = at_place, True
+                else:
+                    numbered = False
+                key = key[: max(0, n - k)] << bits | number[k:]
+            distinct, count, index = _distinct(key[inside], places)
+            if k:
+                rest = distinct >> bits
+                words_of = [*([w[rest] for w in words_of] if numbered else [rest >> bits * (k - 1 - i) & (1 << bits) - 1 for i in range(k)]), distinct & (1 << bits) - 1]
+            before = inside
+            self.row.append(row[: max(0, n - k)][inside])
             self.where.append(index)
-            hashes.append(mixed((word_hash[tuples] * _FACTORS[: k + 1]).sum(1, dtype=np.uint64) + np.uint64(k)))
+            self.words.append(words_of)
+            self.counts.append(count)
+            both = sum((word_hash[w] * f for w, f in zip(words_of, _FACTORS, strict=False)), np.uint64(k))
+            hashes.append(mixed(both))
         self.hashes = np.concatenate(hashes)
-
-    def parts(self, partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The n-grams by partition of the dictionary: their places; each partition that has any, and where it begins."""
-        part = (self.hashes % np.uint64(partitions)).astype(np.uint32)
-        order = np.argsort(part, kind="stable")
+        self.base = np.cumsum([0, *(len(c) for c in self.counts)])
+
+    def parts(self, partitions: int, share: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams (of one share of the partitions) by partition of the dictionary: their places; each partition
+        that has any, and where it begins."""
+        part = (self.hashes % np.uint64(partitions)).astype(np.min_scalar_type(partitions))
+        places = np.arange(len(part)) if share is None else np.flatnonzero(part % ROUNDS == share)
+        order = places[np.argsort(part[places], kind="stable")]
         found, begin = np.unique(part[order], return_index=True)
         return order, found, np.r_[begin, len(order)]
 
     def strings(self, places: np.ndarray) -> np.ndarray:
         """The n-grams at some places (in rising order), a line each."""
-        out, base = [], 0
-        for k, tuples in enumerate(self.words):
-            own = tuples[places[(places >= base) & (places < base + len(tuples))] - base]
-            size = self.size[own]
-            text = _gathered(self.vocabulary, self.start[own.ravel()], size.ravel())
-            text[np.cumsum(size.sum(1)) - 1] = 10
-            out.append(text)
-            base += len(tuples)
+        out, cuts = [], np.searchsorted(places, self.base)
+        for k, words_of in enumerate(self.words):
+            own = places[cuts[k] : cuts[k + 1]] - self.base[k]
+            words = [(self.last if i == k else self.inner).take(pa.array(w[own])) for i, w in enumerate(words_of)]
+            lines = pc.binary_join_element_wise(*words, b"") if k else words[0]
+            ends = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
+            if len(own):
+                out.append(np.frombuffer(lines.buffers()[2], np.uint8)[ends[0] : ends[-1]])
         return np.concatenate(out)
 
 
-def _features(block: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, _Features]:
-    values = lambda c: np.asarray(block.column(c)[i].values)
-    return values("n_words"), _Features(values("n_words"), values("words"), _unpacked(block.column("vocabulary")[i].as_py()))
+def _features(block: pa.RecordBatch | pa.Table, i: int, places: bool = False) -> tuple[np.ndarray, _Features]:
+    n_words, number, vocabulary = (_unpacked(block.column(c)[i].as_py(), kind) for c, kind in (("n_words", np.int32), ("words", np.int32), ("vocabulary", np.uint8)))
+    return n_words, _Features(n_words, number, vocabulary, places)
 
 
 def _sent(partitions: int, share: int):
@@ -130,14 +180,13 @@ def _sent(partitions: int, share: int):
         for batch in batches:
             for i in range(len(batch)):
                 _, features = _features(batch, i)
-                order, found, begin = features.parts(partitions)
+                order, found, begin = features.parts(partitions, share)
                 counts = np.concatenate(features.counts).astype(np.uint32)
                 for part, a, b in zip(found.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                    if part % ROUNDS == share:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([part], pa.int32()), batch.column("block").slice(i, 1), pa.array([_packed(features.strings(order[a:b]))], pa.binary()), pa.array([_packed(counts[order[a:b]])], pa.binary())],
-                            names=["part", "block", "strings", "counts"],
-                        )
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part], pa.int32()), batch.column("block").slice(i, 1), pa.array([_packed(features.strings(order[a:b]))], pa.binary()), pa.array([_packed(counts[order[a:b]])], pa.binary())],
+                        names=["part", "block", "strings", "counts"],
+                    )
 
     return run
 
@@ -196,12 +245,12 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The texts in staged blocks; see _blocks."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    packed = rows.mapInArrow(_blocks, f"ids array<{kind}>, n_words array<int>, words array<int>, vocabulary binary")
+    packed = rows.mapInArrow(_blocks, f"ids array<{kind}>, n long, n_words binary, words binary, vocabulary binary")
     return staged(packed.withColumn("block", F.monotonically_increasing_id()))
 
 
 def partitions_for(blocks: DataFrame) -> int:
-    n = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    n = blocks.agg(F.sum("n")).first()[0] or 0
     return max(ROUNDS, -(-LENGTHS * n // PARTITION))
 
 
@@ -234,7 +283,7 @@ def _weighed(gain: np.ndarray, partitions: int):
         if not len(block):  # totals have no block
             return pa.table({"id": pa.array([], block.schema.field("ids").type.value_type), "n_words": pa.array([], pa.int64()), "weight": pa.array([], pa.int64())})
         block = block.combine_chunks()
-        n_words, features = _features(block, 0)
+        n_words, features = _features(block, 0, places=True)
         weight = np.zeros(len(n_words), np.int64)
         if len(answers):
             order, _, _ = features.parts(partitions)
@@ -242,12 +291,10 @@ def _weighed(gain: np.ndarray, partitions: int):
             by_part = sorted(zip(answers["part"].to_pylist(), answers["buckets"].to_pylist(), strict=True))
             of_feature = np.empty(len(order), np.int64)
             of_feature[order] = gain[np.concatenate([_unpacked(b, kind) for _, b in by_part])]
-            base = 0
-            for row, index, count in zip(features.row, features.where, features.counts, strict=True):
-                sums = np.r_[0, np.cumsum(of_feature[base + index])]
+            for row, index, base in zip(features.row, features.where, features.base, strict=False):
+                sums = np.r_[0, np.cumsum(of_feature[base + index.astype(np.int64)])]
                 begin = np.searchsorted(row, np.arange(len(n_words) + 1))
                 weight += sums[begin[1:]] - sums[begin[:-1]]
-                base += len(count)
         return pa.table({"id": block["ids"][0].values, "n_words": pa.array(n_words.astype(np.int64)), "weight": pa.array(weight)})
 
     return lambda key, block, answers: run(block, answers)
@@ -267,7 +314,13 @@ def weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col
     answers, own = dictionary(blocks, partitions, buckets)
     answers = answers.where("block IS NOT NULL").select(F.col("block").alias("of_block"), "part", "buckets")
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    out = blocks.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_weighed(gains(own, aimed), partitions), f"id {kind}, n_words long, weight long")
+    weigh = _weighed(gains(own, aimed), partitions)
+    out = None
+    for share in range(SHARES):  # one after the other, as the answers of all blocks are as large as the corpus
+        of_share = lambda c: F.pmod(F.xxhash64(c), F.lit(SHARES)) == share  # noqa: E731, B023
+        met = blocks.where(of_share("block")).groupBy("block").cogroup(answers.where(of_share("of_block")).groupBy("of_block"))
+        part = staged(met.applyInArrow(weigh, f"id {kind}, n_words long, weight long"))
+        out = part if out is None else out.unionByName(part)
     features = sum((F.greatest(F.col("n_words") - k, F.lit(0)) for k in range(LENGTHS)), F.lit(0).cast("long"))
     return out.select(F.col("id").alias(id_col), "n_words", features.alias("n_features"), "weight")
 
