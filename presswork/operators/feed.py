@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,26 +77,41 @@ def manual_scores(candidates: DataFrame, personal: DataFrame, default: DataFrame
     return rows.withColumn("final_score", (F.round(F.col("base_score") * 1e6) + F.round(F.col("topic_match_score") * 1e6)) / 1e6)
 
 
+def _padded(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    """The distinct members of some rows' lists as numbers, filled up with -1."""
+    lists = pc.list_flatten(column), np.asarray(pc.list_parent_indices(column))
+    codes = np.asarray(lists[0].combine_chunks().dictionary_encode().indices.fill_null(0)) if len(lists[0]) else np.empty(0, np.int64)
+    pairs = np.unique(np.c_[lists[1], codes], axis=0).astype(np.int64) if len(codes) else np.empty((0, 2), np.int64)
+    count = np.bincount(pairs[:, 0], minlength=len(column))
+    out = np.full((len(column), max(1, int(count.max(initial=0)))), -1, np.int64)
+    out[pairs[:, 0], np.arange(len(pairs)) - np.repeat(np.cumsum(count) - count, count)] = pairs[:, 1]
+    return out[rows]
+
+
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors at length 1; a row of NaN where there is none, or none that can be compared."""
+    length = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    dims = int(np.bincount(length).argmax()) if len(length) and length.max() else 0
+    out = np.full((len(length), max(dims, 1)), np.nan)
+    if dims:
+        rows = np.flatnonzero(length == dims)
+        out[rows] = np.asarray(pc.list_flatten(column.take(pa.array(rows))).combine_chunks(), np.float64).reshape(-1, dims)
+    with np.errstate(all="ignore"):
+        out /= np.sqrt((out * out).sum(1, keepdims=True))
+    return np.where(np.isfinite(out).all(1, keepdims=True), out, np.nan)
+
+
 def rerank_mmr(candidates: DataFrame, limit: int, penalty: float, request: str = "request_id", item: str = "article_id") -> DataFrame:
-    """Greedy re-ranking: relevance less penalty times the largest topic similarity to what is already chosen.
+    """Greedy re-ranking: relevance less penalty times the largest similarity to what is already chosen.
 
-    candidates: request, item, relevance, topics (array). Ties go to the more relevant, then the smaller item. Returns
-    request, item, relevance, max_similarity, rank. A request's candidates are a page's worth; rows come sorted by
-    request, many requests to an Arrow batch, and only the last request of a batch waits for the next.
+    candidates: request, item, relevance, topics (array), and factors (array of double) if there are any: two items that
+    both have factors are as similar as these's cosine, brought into [0, 1], others as their topics' Jaccard similarity.
+    Ties go to the more relevant, then the smaller item. Returns request, item, relevance, max_similarity, rank. A
+    request's candidates are a page's worth; rows come sorted by request, many requests to an Arrow batch, and only the
+    last request of a batch waits for the next. All pages of a batch take each step together.
     """
-    columns = [request, item, "relevance", "topics"]
-
-    def choose(items: list, relevance: list, topics: list):
-        sets = [set(x or ()) for x in topics]
-        left, near, out = set(range(len(items))), [0.0] * len(items), []
-        while left and len(out) < limit:
-            i = min(left, key=lambda k: (-(relevance[k] - penalty * near[k]), -relevance[k], items[k]))
-            left.remove(i)
-            out.append((items[i], relevance[i], near[i]))
-            for k in left:
-                union = len(sets[i] | sets[k])
-                near[k] = max(near[k], len(sets[i] & sets[k]) / union if union else 0.0)
-        return out
+    if penalty < 0:
+        raise ValueError("penalty must not be negative")
 
     def rerank(batches):
         waiting: pa.Table | None = None
@@ -113,20 +130,51 @@ def rerank_mmr(candidates: DataFrame, limit: int, penalty: float, request: str =
         return rows.slice(0, at), rows.slice(at)
 
     def pages(rows: pa.Table):
-        ids, items, relevance, topics = (rows[c].to_pylist() for c in columns)
-        found, at = [], 0
-        while at < len(ids):
-            end = at + 1
-            while end < len(ids) and ids[end] == ids[at]:
-                end += 1
-            found += [(ids[at], *x, k) for k, x in enumerate(choose(items[at:end], relevance[at:end], topics[at:end]), 1)]
-            at = end
-        values = list(zip(*found, strict=True))
-        kinds_ = (rows.schema.field(request).type, rows.schema.field(item).type, pa.float64(), pa.float64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds_, strict=True)], names=[request, item, "relevance", "max_similarity", "rank"])
+        page = np.asarray(rows[request].combine_chunks().dictionary_encode(null_encoding="encode").indices)
+        start = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+        size = np.diff(np.r_[start, len(page)])
+        relevance = np.asarray(rows["relevance"], np.float64)
+        topics = _padded(rows["topics"], np.arange(len(page)))
+        factors = _unit(rows["factors"]) if "factors" in rows.column_names else None
+        found = []
+        by_size = np.argsort(size, kind="stable")
+        while len(by_size):
+            # pages of like size together, as many as stay small
+            n = max(1, int(np.searchsorted(np.cumsum(np.maximum.accumulate(size[by_size])), 1 << 17)))
+            found.append(choose(start[by_size[:n]], size[by_size[:n]], relevance, topics, factors))
+            by_size = by_size[n:]
+        chosen, near, rank = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((rank, page[chosen]))
+        at = pa.array(chosen[order])
+        columns = [rows[c].combine_chunks().take(at) for c in (request, item, "relevance")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(near[order]), pa.array(rank[order].astype(np.int32))], names=[request, item, "relevance", "max_similarity", "rank"])
+
+    def choose(start, size, relevance, topics, factors):
+        width, each = int(size.max()), np.arange(len(start))
+        left = np.arange(width)[None, :] < size[:, None]
+        at = np.where(left, start[:, None] + np.arange(width), start[:, None])
+        near, out = np.zeros(at.shape), []
+        for k in range(1, min(limit, width) + 1):
+            # rows come by falling relevance, then item, so that the first of the best is the one that ties go to
+            best = np.where(left, np.round(relevance[at] - penalty * near, 12), -np.inf).argmax(1)
+            alive = left[each, best]
+            row = at[each, best]
+            out.append((row[alive], near[each, best][alive], np.full(alive.sum(), k)))
+            left[each, best] = False
+            own, other = topics[row][:, None, :], topics[at]
+            both = ((other[..., :, None] == own[..., None, :]) & (other >= 0)[..., None]).sum((2, 3))
+            union = (other >= 0).sum(2) + (own >= 0).sum(2) - both
+            alike = np.divide(both, union, out=np.zeros(both.shape), where=union > 0)
+            if factors is not None:
+                cosine = np.clip((factors[at] * factors[row][:, None, :]).sum(2), 0, 1)
+                alike = np.where(np.isnan(cosine), alike, cosine)
+            near = np.maximum(near, alike)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
 
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    inputs = candidates.select(request, item, F.col("relevance").cast("double").alias("relevance"), "topics").repartition(request).sortWithinPartitions(request)
+    extra = [F.col("factors").cast("array<double>").alias("factors")] if "factors" in kinds else []
+    inputs = candidates.select(request, item, F.col("relevance").cast("double").alias("relevance"), F.coalesce("topics", F.array().cast(kinds["topics"])).alias("topics"), *extra)
+    inputs = inputs.repartition(request).sortWithinPartitions(request, F.col("relevance").desc(), item)
     return inputs.mapInArrow(rerank, f"{request} {kinds[request]}, {item} {kinds[item]}, relevance double, max_similarity double, rank int")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.functions import text
+from presswork.sources.logs import staged
 
 Search = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
@@ -122,6 +123,13 @@ def exact_alias(asks: DataFrame, query_map: DataFrame, topics: DataFrame, most:
     return shown.unionByName(keyed).groupBy("ask").agg(F.min_by("query_key", "stage").alias("query_key"))
 
 
+def exact_topic(asks: DataFrame, topics: DataFrame) -> DataFrame:
+    """(ask, topic_id): the topic whose name is what was asked, whatever the case; of several the largest, then the least."""
+    asked = asks.select("ask", F.lower(F.trim("asked")).alias("name")).where("name <> ''")
+    named = asked.join(topics.select(F.lower("display_name").alias("name"), "topic_id", "news_count"), "name")
+    return best(named, "ask", [F.col("news_count").desc(), "topic_id"]).select("ask", "topic_id")
+
+
 def vote_of_hits(hits: DataFrame, article_topics: DataFrame, query_map: DataFrame, most: int = 10) -> DataFrame:
     """(ask, query_key): the `most` best hits vote for their topics with their fused scores, a topic of a further source
     counting a quarter more; the key whose row has the largest vote times score wins (then the least match_rank, then
@@ -153,9 +161,10 @@ def resolve_hybrid(asks: DataFrame, query_map: DataFrame, topics: DataFrame, art
     typed = asks.select("ask", "asked", numeric_key(F.col("asked")).alias("query_key"))
     numbers = typed.where("query_key is not null").select("ask", "query_key", F.lit("numeric_query_key").alias("source"), F.lit(1.0).alias("confidence"))
     words = typed.where("query_key is null").select("ask", "asked")
-    alias = exact_alias(words, query_map, topics).select("ask", "query_key", F.lit("exact_alias").alias("source"), F.lit(1.0).alias("confidence"))
+    alias = staged(exact_alias(words, query_map, topics), "aliases").select("ask", "query_key", F.lit("exact_alias").alias("source"), F.lit(1.0).alias("confidence"))
     blank = words.where(F.coalesce(F.trim("asked"), F.lit("")) == "").select("ask", F.lit(None).cast("string").alias("query_key"), F.lit("blank").alias("source"), F.lit(None).cast("double").alias("confidence"))
     open_ = words.where(F.coalesce(F.trim("asked"), F.lit("")) != "").join(alias.select("ask"), "ask", "left_anti")
+    open_ = staged(open_, "open-asks")
     hits, verdicts = search(open_)
     sure = verdicts.where("accepted").select(F.col("query").alias("ask"), F.col("dense").alias("_dense"))
     voted = vote_of_hits(hits.join(sure.select(F.col("ask").alias("query")), "query", "left_semi").withColumnRenamed("query", "ask"), article_topics, query_map)

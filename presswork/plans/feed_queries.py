@@ -129,13 +129,17 @@ FEATURES = [
 ABSENT = [*FEATURES[4:5], *FEATURES[11:]]
 
 
-@query("f22_features", with_views("articles", "impressions", more=(*PAST, "dw AS (SELECT category, count(*)::DOUBLE / sum(count(*)) OVER () AS default_weight FROM articles GROUP BY category)", "hl AS (SELECT request_id, any_value(history_length) AS hl, count(*) AS topics FROM p GROUP BY request_id)",
+FEATURE_SQL = (*PAST, "dw AS (SELECT category, count(*)::DOUBLE / sum(count(*)) OVER () AS default_weight FROM articles GROUP BY category)", "hl AS (SELECT request_id, any_value(history_length) AS hl, count(*) AS topics FROM p GROUP BY request_id)",
     "fs AS (SELECT article_id, min(event_ts) AS first_ts FROM impressions GROUP BY article_id)",
     "w AS (SELECT *, count(*) OVER z AS pi, coalesce(sum(clicked) OVER z, 0) AS pc FROM impressions WINDOW z AS (PARTITION BY article_id ORDER BY event_ts, request_id, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
-    "q AS (SELECT w.*, pc * 10 + pi AS hot, coalesce(weight, 0)::DOUBLE AS personal, default_weight, coalesce(hl, 0) AS hlen, coalesce(topics, 0) AS topics, first_ts FROM w JOIN articles USING (article_id) JOIN dw USING (category) JOIN fs USING (article_id) LEFT JOIN hl USING (request_id) LEFT JOIN (SELECT request_id, category, weight FROM p) USING (request_id, category))")) +
-    "SELECT request_id, article_id, clicked AS label, round(hot / (hot + 100.0), 6)::DOUBLE AS base_score, round(personal, 6) AS personalized_topic_score, round(default_weight, 6) AS default_topic_score, "
-    "round((0.1 + hlen / (hlen + 30.0) * 0.85) * personal + (1 - (0.1 + hlen / (hlen + 30.0) * 0.85)) * default_weight, 6)::DOUBLE AS topic_match_score, hlen::BIGINT AS user_behavior_score, topics::BIGINT AS user_topic_count, hot::BIGINT AS article_hot_score, pc::BIGINT AS article_click_count, pi::BIGINT AS article_impression_count, round(greatest(0, event_ts - first_ts) / 3600.0, 6)::DOUBLE AS article_age_hours, "
-    + ", ".join(f"0.0::DOUBLE AS {c}" for c in ABSENT) + " FROM q")
+    "q AS (SELECT w.*, category, subcategory, pc * 10 + pi AS hot, coalesce(weight, 0)::DOUBLE AS personal, default_weight, coalesce(hl, 0) AS hlen, coalesce(topics, 0) AS topics, first_ts FROM w JOIN articles USING (article_id) JOIN dw USING (category) JOIN fs USING (article_id) LEFT JOIN hl USING (request_id) LEFT JOIN (SELECT request_id, category, weight FROM p) USING (request_id, category))",
+    "fe AS (SELECT *, hot / (hot + 100.0) AS base_score, (0.1 + hlen / (hlen + 30.0) * 0.85) * personal + (1 - (0.1 + hlen / (hlen + 30.0) * 0.85)) * default_weight AS topic_match_score FROM q)")
+
+
+@query("f22_features", with_views("articles", "impressions", more=FEATURE_SQL) +
+    "SELECT request_id, article_id, clicked AS label, round(base_score, 6)::DOUBLE AS base_score, round(personal, 6) AS personalized_topic_score, round(default_weight, 6) AS default_topic_score, "
+    "round(topic_match_score, 6)::DOUBLE AS topic_match_score, hlen::BIGINT AS user_behavior_score, topics::BIGINT AS user_topic_count, hot::BIGINT AS article_hot_score, pc::BIGINT AS article_click_count, pi::BIGINT AS article_impression_count, round(greatest(0, event_ts - first_ts) / 3600.0, 6)::DOUBLE AS article_age_hours, "
+    + ", ".join(f"0.0::DOUBLE AS {c}" for c in ABSENT) + " FROM fe")
 def f22(t):
     rounded = ("base_score", "personalized_topic_score", "default_topic_score", "topic_match_score", "article_age_hours")
     return features(t).select("request_id", "article_id", "label", *(F.round(c, 6).alias(c) if c in rounded else c for c in FEATURES))

@@ -13,8 +13,8 @@ from presswork.plans.registry import query
 HOT = "hot AS (SELECT article_id, count(*)::BIGINT AS impressions, sum(clicked)::BIGINT AS clicks, (sum(clicked) * 10 + count(*))::BIGINT AS hot FROM impressions GROUP BY article_id)"
 
 
-def item_counts(t):
-    per = t.impressions.groupBy("article_id").agg(F.count("*").alias("impressions"), F.sum("clicked").alias("clicks"))
+def item_counts(t, impressions=None):
+    per = (t.impressions if impressions is None else impressions).groupBy("article_id").agg(F.count("*").alias("impressions"), F.sum("clicked").alias("clicks"))
     return per.withColumn("hot", scores.hot_score(F.col("clicks"), F.col("impressions")))
 
 

@@ -86,10 +86,6 @@ SEARCHES = "sa AS (SELECT item_id AS ask, CASE item_id % 5 WHEN 0 THEN item_id |
     "FROM sa LEFT JOIN ln USING (ask) LEFT JOIN al USING (ask) LEFT JOIN ok USING (ask) LEFT JOIN vk USING (ask) LEFT JOIN vf USING (ask)")
 def c5_hybrid(t):
     """What typed texts resolve to when words and vectors are searched together, from the stored index."""
-    texts = t.benchmark.select(F.col("item_id").alias("ask"), "text").join(query_map(t).select(F.col("row").alias("ask"), "display_query"), "ask", "left")
-    asked = F.when(F.col("ask") % 5 == 0, F.concat(F.col("ask"), F.lit("  7"))).when(F.col("ask") % 5 == 1, F.upper("display_query")).otherwise(F.col("text"))
-    names = t.nation.select((1_000_000 + F.col("n_nationkey")).alias("ask"), F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise(F.lower("n_name")).alias("asked"))
-    asks_ = texts.select("ask", asked.alias("asked")).unionByName(names)
     index = document_index(t)
 
     def find(open_):
@@ -99,10 +95,17 @@ def c5_hybrid(t):
         dense = lambda k: search.dense_top_k(t.embeddings, vectors, "vec_id", "embedding", k)
         return search.hybrid_search(words, dense, search.HybridConfig(margin_least=0.001), 20)
 
-    out = resolve.resolve_hybrid(asks_, query_map(t), topics(t), document_topics(t), find)
+    out = resolve.resolve_hybrid(searches(t), query_map(t), topics(t), document_topics(t), find)
     return out.select("ask", "query_key", "source", F.round("confidence", 6).alias("confidence"))
 
 
+def searches(t):
+    texts = t.benchmark.select(F.col("item_id").alias("ask"), "text").join(query_map(t).select(F.col("row").alias("ask"), "display_query"), "ask", "left")
+    asked = F.when(F.col("ask") % 5 == 0, F.concat(F.col("ask"), F.lit("  7"))).when(F.col("ask") % 5 == 1, F.upper("display_query")).otherwise(F.col("text"))
+    names = t.nation.select((1_000_000 + F.col("n_nationkey")).alias("ask"), F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise(F.lower("n_name")).alias("asked"))
+    return texts.select("ask", asked.alias("asked")).unionByName(names)
+
+
 def document_topics(t):
     both = F.array(F.struct(F.col("label").alias("topic_id"), F.lit(0).alias("source_rank")), F.struct((F.col("vec_id") % 25).cast("int").alias("topic_id"), F.lit(1).alias("source_rank")))
     return t.embeddings.select(F.col("vec_id").alias("article_id"), F.explode(both).alias("x")).groupBy("article_id", "x.topic_id").agg(F.min("x.source_rank").alias("source_rank"))

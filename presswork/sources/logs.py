@@ -28,3 +28,10 @@ def append_events(events: DataFrame, kind: str, path: str | None = None) -> Data
     path = path or shared_path(spark, "events")
     events.write.mode("append").partitionBy(kind).parquet(path)
     return spark.read.parquet(path)
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder and read back, so that what builds on the rows does not compute them again."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
