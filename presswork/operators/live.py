@@ -76,7 +76,7 @@ def near_title_pairs(articles: DataFrame, threshold: float = SAME_TITLE, window:
 
 
 def _grams(title: str) -> set[str]:
-    flat = "".join(c for c in title.casefold() if c.isalnum())
+    flat = "".join(c for c in title.lower() if c.isalnum())
     return {flat[i : i + 3] for i in range(len(flat) - 2)} if len(flat) >= 3 else {flat} - {""}
 
 
@@ -119,19 +119,25 @@ def classify_topics(vectors: DataFrame, prototypes: DataFrame, threshold: float
     best; the general topic where there is none.
 
     vectors: id, vec, keyword (topic -> share of its keywords met, may be null). prototypes: topic_id, proto: the
-    taxonomy, of which a block of about PROTOTYPES is broadcast at a time.
+    taxonomy. A block of about PROTOTYPES of it is broadcast as one array at a time, and each vector keeps its best of a
+    block in its own row, so no pair of a vector and a prototype is ever a row.
     """
-    blocks, pairs = -(-prototypes.count() // PROTOTYPES) or 1, None
+    blocks, best = -(-prototypes.count() // PROTOTYPES) or 1, None
     for block in range(blocks):
-        part = prototypes.where(F.pmod(F.xxhash64("topic_id"), F.lit(blocks)) == block)
-        met = vectors.join(F.broadcast(part))
-        pairs = met if pairs is None else pairs.unionByName(met)
-    rows = pairs.select("id", "topic_id", (0.9 * text.cosine(F.col("vec"), F.col("proto")) + 0.1 * F.coalesce(F.element_at("keyword", F.col("topic_id")), F.lit(0.0))).alias("score"))
-    best = Window.partitionBy("id").orderBy(F.round("score", 9).desc(), "topic_id")
-    ranked = rows.withColumn("rank", F.row_number().over(best)).withColumn("top", F.first("score").over(best)).where(F.col("rank") <= most)
-    fits = ranked.where((F.col("score") >= threshold) & (F.col("top") - F.col("score") <= margin)).select("id", "topic_id", "rank", "score")
-    rest = vectors.select("id").join(fits.select("id"), "id", "left_anti").select("id", F.lit(general).alias("topic_id"), F.lit(1).alias("rank"), F.lit(0.0).alias("score"))
-    return fits.unionByName(rest)
+        part = prototypes.where((F.pmod(F.xxhash64("topic_id"), F.lit(blocks)) == block) & F.col("proto").isNotNull())
+        together = part.agg(F.collect_list(F.struct("topic_id", "proto")).alias("taxonomy"))
+        score = lambda p: 0.9 * text.cosine(F.col("vec"), p["proto"]) + 0.1 * F.coalesce(F.try_element_at("keyword", p["topic_id"]), F.lit(0.0))
+        rated = F.transform("taxonomy", lambda p: F.struct((-F.round(score(p), 9)).alias("key"), p["topic_id"].alias("topic_id"), score(p).alias("score")))  # noqa: B023
+        first = F.slice(F.array_sort(F.filter(rated, lambda r: r["score"].isNotNull())), 1, most)
+        met = vectors.join(F.broadcast(together)).select("id", first.alias("best"))
+        best = met if best is None else best.unionByName(met)
+    if blocks > 1:
+        best = best.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, most).alias("best"))
+    top = F.try_element_at("best", F.lit(1))["score"]
+    fits = F.filter("best", lambda r: (r["score"] >= threshold) & (top - r["score"] <= margin))
+    none = F.array(F.struct(F.lit(0.0).alias("key"), F.lit(general).alias("topic_id"), F.lit(0.0).alias("score")))
+    chosen = best.select("id", F.posexplode(F.when(F.size(fits) > 0, F.transform(fits, lambda r: F.struct(r["key"], r["topic_id"].cast("int").alias("topic_id"), r["score"]))).otherwise(none)).alias("place", "r"))
+    return chosen.select("id", F.col("r.topic_id").alias("topic_id"), (F.col("place") + 1).alias("rank"), F.col("r.score").alias("score"))
 
 
 BLOCKS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("url", T.StringType()), T.StructField("block_id", T.StringType())]))

@@ -32,10 +32,8 @@ def chronological_cutoff(requests: DataFrame, ratio: float, time: str = "event_t
     if n < 2:
         return None
     place = min(max(round(n * ratio), 1), n - 1)
-    # only the few distinct times are put in order
-    times = requests.groupBy(time).count()
-    running = times.select(time, F.sum("count").over(Window.orderBy(time)).alias("upto"))
-    return running.where(F.col("upto") > place).agg(F.min(time)).first()[0]
+    times = running_before(requests.groupBy(time).agg(F.count("*").alias("n")), time, ["n"])
+    return times.where(F.col("before_n") + F.col("n") > place).agg(F.min(time)).first()[0]
 
 
 def islands(rows: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:

@@ -143,9 +143,8 @@ def a32(t):
 @query("w4_ratio_split", with_views("requests", more=("r AS (SELECT *, row_number() OVER (ORDER BY event_ts, request_id) AS k, count(*) OVER () AS n FROM requests)",)) + "SELECT CASE WHEN k <= round_even(n * 0.7, 0) THEN 'train' WHEN k <= round_even(n * 0.85, 0) THEN 'validation' ELSE 'test' END AS split, count(*)::BIGINT AS n, min(request_id)::BIGINT AS least FROM r GROUP BY 1")
 def w4(t):
     """Split by count in order of time. Places come from counts per time and the order within a time."""
-    per = t.requests.groupBy("event_ts").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("event_ts").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = t.requests.join(per.select("event_ts", before.alias("before")), "event_ts").withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("event_ts").orderBy("request_id")))
+    per = ordered.running_before(t.requests.groupBy("event_ts").agg(F.count("*").alias("c")), "event_ts", ["c"])
+    placed = t.requests.join(per.select("event_ts", F.col("before_c").alias("before")), "event_ts").withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("event_ts").orderBy("request_id")))
     n = t.requests.count()
     split = F.when(F.col("k") <= round(n * 0.7), "train").when(F.col("k") <= round(n * 0.85), "validation").otherwise("test")
     return placed.groupBy(split.alias("split")).agg(F.count("*").alias("n"), F.min("request_id").alias("least"))
@@ -246,15 +245,16 @@ def c12(t):
 
 @query("c14_ensure_profiles", with_views("user_events") + "SELECT c_custkey AS user_id, CASE WHEN c_custkey IN (SELECT user_id FROM user_events) THEN 'kept' ELSE 'seeded' END AS origin FROM customer")
 def c14(t):
-    """All customers; the SQL has those with a key under 400 only."""
+    """Profiles are made for those customers who have none."""
     wanted = t.customer.select(F.col("c_custkey").alias("user_id"))
     have = t.user_events.select("user_id").distinct()
     return wanted.join(have, "user_id", "left_semi").withColumn("origin", F.lit("kept")).unionByName(wanted.join(have, "user_id", "left_anti").withColumn("origin", F.lit("seeded")))
 
 
-@query("c20_search_hidden", "SELECT count(*) FILTER (WHERE p_type = 'PROMO')::BIGINT AS hidden, count(*) FILTER (WHERE p_type <> 'PROMO')::BIGINT AS shown FROM (SELECT * FROM part WHERE contains(p_name, 'ring') ORDER BY p_partkey LIMIT 50)")
+@query("c20_search_hidden", "SELECT count(*) FILTER (WHERE p_type = 'PROMO')::BIGINT AS hidden, count(*) FILTER (WHERE p_type <> 'PROMO')::BIGINT AS shown FROM part WHERE contains(p_name, 'ring')")
 def c20(t):
-    hits = t.part.where(F.contains("p_name", F.lit("ring"))).orderBy("p_partkey").limit(50)
+    """Of all hits of a search, how many the user's rules hide."""
+    hits = t.part.where(F.contains("p_name", F.lit("ring")))
     return hits.agg(F.count_if(F.col("p_type") == "PROMO").alias("hidden"), F.count_if(F.col("p_type") != "PROMO").alias("shown"))
 
 
@@ -280,11 +280,15 @@ def k2(t):
     return lists.select("article_id", F.array_join("topics", ",").alias("topics"))
 
 
-@query("k13_job_states", "WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id) AS failures FROM events) SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'completed' WHEN failures >= 15 THEN 'failed' WHEN event_type = 'error' THEN 'retry' ELSE 'pending' END AS state, failures::BIGINT AS failures FROM e WHERE k = 1")
+#: Fixed value: a job that has failed so often is given up.
+ATTEMPTS = 5
+
+
+@query("k13_job_states", "WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id) AS failures FROM events) SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'completed' WHEN failures >= 5 THEN 'failed' WHEN event_type = 'error' THEN 'retry' ELSE 'pending' END AS state, failures::BIGINT AS failures FROM e WHERE k = 1")
 def k13(t):
     """The state of each job after its last event, given how often it has failed."""
     per = t.events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last"), F.count_if(F.col("event_type") == "error").alias("failures"))
-    state = F.when(F.col("last") == "purchase", "completed").when(F.col("failures") >= 15, "failed").when(F.col("last") == "error", "retry").otherwise("pending")
+    state = F.when(F.col("last") == "purchase", "completed").when(F.col("failures") >= ATTEMPTS, "failed").when(F.col("last") == "error", "retry").otherwise("pending")
     return per.select("user_id", state.alias("state"), "failures")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions import scores
 from presswork.operators import feed
+from presswork.operators.ordered import prior_counts, running_before
 from presswork.plans.bindings import with_views
 from presswork.plans.registry import query
 from presswork.plans.relational_queries import HOT, item_counts
@@ -148,8 +149,6 @@ def f22(t):
 def features(t):
     """The features of each impression, from what was known before it: counts of the article up to the place before, the
     user's clicks at earlier times."""
-    from presswork.operators.ordered import prior_counts
-
     rows = prior_counts(t.impressions, "article_id", ["event_ts", "request_id", "position"], first="first_ts")
     profile = past_profile(t)
     length = profile.groupBy(*MOMENT).agg(F.max("history_length").alias("user_behavior_score"), F.count("*").alias("user_topic_count"))
@@ -219,10 +218,11 @@ def f42(t):
 def c10(t):
     """Every campaign takes part; each user's events ask the campaign at their number, counted round."""
     n = max(1, t.supplier.count())
-    numbered = campaigns(t).withColumn("number", F.row_number().over(Window.orderBy("campaign_id")) - 1)
+    one = running_before(campaigns(t).withColumn("one", F.lit(1)), "campaign_id", ["one"])
+    numbered = one.withColumnRenamed("before_one", "number")
     limits = numbered.select("number", "campaign_id", scores.expected_spend(F.col("bid") * 10, F.col("ctr")).alias("spend"), F.lit(200).alias("daily_budget"), F.lit(3).alias("frequency_cap"))
     rows = t.events.select((F.col("user_id") % n).alias("number"), F.to_date("ts").alias("day"), F.col("event_id").alias("request_id"), "user_id", (F.hour("ts") * 3600 + F.minute("ts") * 60).alias("second"))
-    rows = rows.join(F.broadcast(limits.select("number", "campaign_id")), "number").drop("number")
+    rows = rows.join(limits.select("number", "campaign_id"), "number").drop("number")  # Spark broadcasts it if it is small
     limits = limits.drop("number")
     return feed.reserve(rows, limits)
 

@@ -35,11 +35,10 @@ def f10(t):
     return t.part.select("p_partkey", F.round(text.hybrid_similarity(cosine, a, b), 6).alias("similarity"))
 
 
-@query("f12_decayed_score", with_views("user_events") + f"SELECT event_id, round(pow(2.0, -greatest({NOW} - 86400 - event_ts, 0) / 21600.0), 9) AS score FROM user_events WHERE event_ts > {NOW} - 400000")
+@query("f12_decayed_score", with_views("user_events") + f"SELECT event_id, round(pow(2.0, -greatest({NOW} - 86400 - event_ts, 0) / 21600.0), 9) AS score FROM user_events")
 def f12(t):
     """Nothing grows for an event that lies ahead."""
-    rows = t.user_events.where(F.col("event_ts") > NOW - 400_000)
-    return rows.select("event_id", F.round(scores.decayed(F.lit(1.0), F.lit(NOW - 86_400) - F.col("event_ts"), 21_600), 9).alias("score"))
+    return t.user_events.select("event_id", F.round(scores.decayed(F.lit(1.0), F.lit(NOW - 86_400) - F.col("event_ts"), 21_600), 9).alias("score"))
 
 
 @query("f13_dwell_strength", "SELECT event_id, CASE WHEN value * 1000 >= 120000 THEN 0.75 WHEN value * 1000 >= 30000 THEN 0.5 WHEN value * 1000 >= 10000 THEN 0.25 ELSE 0.0 END::DOUBLE AS strength FROM events")
@@ -73,10 +72,10 @@ def f27(t):
     return t.part.select("p_partkey", scores.live_search_score(F.col("p_name"), F.col("p_brand"), publisher, F.lit("Small Ring"), (key % 10) / 10.0).alias("score"))
 
 
-@query("f31_plain_title", "SELECT doc_id, md5(regexp_replace(lower(left(text, 300)), '[^\\p{L}\\p{N}]', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
+@query("f31_plain_title", "SELECT doc_id, md5(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
 def f31(t):
-    """Letters and digits of the head of each text, in lower case."""
-    return t.documents.where("text is not null").select("doc_id", F.md5(text.plain_title(F.substring("text", 1, 300))).alias("digest"))
+    """Letters and digits of each text, in lower case."""
+    return t.documents.where("text is not null").select("doc_id", F.md5(text.plain_title(F.col("text"))).alias("digest"))
 
 
 @query("f33_parse_time", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (epoch_us(o_orderdate) // 1000000) - CASE WHEN o_orderkey % 5 = 1 THEN 7200 ELSE 0 END END::BIGINT AS ts FROM orders")
@@ -115,10 +114,10 @@ def f37(t):
     return t.documents.select("doc_id", F.length(body).alias("n_chars"), F.md5(body).alias("digest"))
 
 
-@query("f40_folded", "SELECT doc_id, md5(trim(lower(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31))) AS digest FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query("f40_folded", "SELECT doc_id, md5(trim(replace(lower(text), 'ß', 'ss'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31))) AS digest FROM documents WHERE text IS NOT NULL")
 def f40(t):
-    """The texts that are plain ASCII, where folding is the same in any engine; others are tested against Python."""
-    return t.documents.where(F.col("text").rlike(r"\A[\x00-\x7f]*\z")).select("doc_id", F.md5(text.folded(F.col("text"))).alias("digest"))
+    """All texts, folded; those beyond ASCII agree with lower case as far as these tables go, and with Python in the tests."""
+    return t.documents.where("text is not null").select("doc_id", F.md5(text.folded(F.col("text"))).alias("digest"))
 
 
 @query("f41_sponsored_score", "SELECT s_suppkey, round((40 + s_suppkey % 60) * (0.01 + (s_suppkey % 7) / 100.0) * (0.5 + (s_suppkey % 3) / 4.0), 6)::DOUBLE AS score, greatest(1, round_even((40 + s_suppkey % 60) * (0.01 + (s_suppkey % 7) / 100.0), 0))::BIGINT AS spend FROM supplier")

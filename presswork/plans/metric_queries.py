@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from presswork.operators import evaluation
 from presswork.plans.bindings import with_views
+from presswork.plans.feed_queries import MOMENT, PAST, past_profile
 from presswork.plans.registry import query
-from presswork.plans.relational_queries import HOT, HISTORY, item_counts, user_profile
+from presswork.plans.relational_queries import HOT, item_counts
 
 RANKED = "k AS (SELECT request_id, article_id, clicked, hot, row_number() OVER (PARTITION BY request_id ORDER BY hot DESC, article_id) AS rank FROM impressions JOIN hot USING (article_id))"
 PER = "m AS (SELECT request_id, sum(clicked)::DOUBLE AS p, min(rank) FILTER (WHERE clicked = 1) AS f, " + ", ".join(
@@ -36,15 +37,15 @@ def a24(t):
     return _mean(evaluation.request_metrics(popularity(t), "request_id", "clicked", (1, 2, 5)))
 
 
-_CATEGORY = (HISTORY, "p AS (SELECT user_id, category, n::DOUBLE / sum(n) OVER (PARTITION BY user_id) AS weight FROM h)",
-             "hot AS (SELECT request_id, article_id, clicked, round(coalesce(weight, 0), 9) AS hot FROM impressions JOIN articles USING (article_id) LEFT JOIN p USING (user_id, category))",
+_CATEGORY = (*PAST,
+             "hot AS (SELECT request_id, article_id, clicked, round(coalesce(weight, 0), 9) AS hot FROM impressions JOIN articles USING (article_id) LEFT JOIN (SELECT request_id, category, weight FROM p) USING (request_id, category))",
              "k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY hot DESC, article_id) AS rank FROM hot)", PER, METRICS)
 
 
 @query("a24_category_arm", with_views("articles", "impressions", more=_CATEGORY) + "SELECT count(*)::BIGINT AS requests, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _ALL) + " FROM e")
 def a24b(t):
-    """Candidates ranked by the weight of their category in the user's history."""
-    rows = t.impressions.join(t.articles, "article_id").join(user_profile(t), ["user_id", "category"], "left").withColumn("score", F.round(F.coalesce("weight", F.lit(0.0)), 9))
+    """Candidates ranked by the weight of their category in the user's history before the request."""
+    rows = t.impressions.join(t.articles, "article_id").join(past_profile(t), [*MOMENT, "category"], "left").withColumn("score", F.round(F.coalesce("weight", F.lit(0.0)), 9))
     return _mean(evaluation.request_metrics(evaluation.ranked(rows, "request_id", "score", "article_id"), "request_id", "clicked", (1, 2, 5)))
 
 
@@ -111,5 +112,5 @@ def e5(t):
     b = evaluation.request_metrics(evaluation.ranked(shown.withColumn("s", -F.col("position")), "request_id", "s", "article_id"), "request_id", "clicked", (2,))
     pair = a.join(b.select("request_id", *(F.col(c).alias(f"b_{c}") for c in ("mrr", "recall_2", "ndcg_2"))), "request_id")
     deltas = pair.select("request_id", *((F.col(c) - F.col(f"b_{c}")).alias(c) for c in ("mrr", "recall_2", "ndcg_2")))
-    limits = evaluation.paired_bootstrap(deltas, ["mrr", "recall_2", "ndcg_2"], iterations=500)
+    limits = evaluation.paired_bootstrap(deltas, ["mrr", "recall_2", "ndcg_2"])
     return limits.withColumn("direction", F.when(F.col("low") > 0, "increase").when(F.col("high") < 0, "decrease").otherwise("no clear change"))
