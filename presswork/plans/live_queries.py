@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presswork.functions import scores, text
-from presswork.operators import live
+from presswork.operators import live, pages
 from presswork.plans.registry import query
 
 #: Documents as live articles: found a minute apart, published before; the first line is the title.
@@ -131,3 +131,48 @@ def c27(t):
     rows = t.pages.select("page_id", live.html_blocks("html").alias("blocks"))
     prose = F.array_join(F.transform(parts, lambda b: b["text"]), "\n\n")
     return rows.select("page_id", F.size("blocks").alias("n_blocks"), F.length(prose).alias("n_chars"), F.sha2(prose, 256).alias("prose_sha256"))
+
+
+def _listed(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+_DECODED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_PLAIN_PAGE = "{}"
+for _name, _character in pages.ENTITIES:
+    _PLAIN_PAGE = f"replace({_PLAIN_PAGE}, '{_name}', '{_character.replace(chr(39), chr(39) * 2)}')"
+_EDGE = f"kind IN ('open', 'close') AND tag IN {_listed((*pages.TYPES, *pages.STRUCTURE))}"
+_QUOTED = lambda pattern: pattern.replace("'", "''")
+BLOCK_SQL = (
+    f"tk AS (SELECT page_id, pos, raw, lower(regexp_extract(raw, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM (SELECT page_id, unnest(ts) AS raw, unnest(range(0, len(ts))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '{pages.TOKEN}') AS ts FROM pages WHERE html IS NOT NULL)))",
+    f"nd AS (SELECT *, CASE WHEN NOT starts_with(raw, '<') THEN 'text' WHEN tag IN ('', 'script', 'style', 'noscript') THEN 'skip' WHEN starts_with(raw, '</') THEN 'close' WHEN tag IN {_listed(pages.VOID)} OR ends_with(raw, '/>') THEN 'void' ELSE 'open' END AS kind FROM tk)",
+    f"lv AS (SELECT *, sum(CASE WHEN kind = 'open' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id, tag ORDER BY pos) + (kind = 'close')::INT AS level FROM nd WHERE kind IN ('open', 'close') AND tag IN {_listed(pages.STRUCTURE)})",
+    "el AS (SELECT page_id, tag, raw, kind, pos AS o, coalesce(lead(pos) OVER (PARTITION BY page_id, tag, level ORDER BY pos), 1073741824) AS c FROM lv)",
+    f"co AS (SELECT page_id, o AS first, c AS last FROM el WHERE kind = 'open' AND (tag IN ('article', 'main') OR regexp_matches(raw, '{_QUOTED(pages.CONTAINER_CLASS)}')) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN regexp_matches(raw, '{_QUOTED(pages.CONTAINER_CLASS)}') THEN 0 WHEN tag = 'article' THEN 1 ELSE 2 END, o - c, o) = 1)",
+    f"no AS (SELECT page_id, o, c FROM el WHERE kind = 'open' AND (tag IN {_listed(pages.NOISE)} OR regexp_matches(raw, '{_QUOTED(pages.NOISE_CLASS)}')))",
+    f"sg AS (SELECT *, sum(({_EDGE})::INT) OVER w AS segment, last_value(CASE WHEN {_EDGE} THEN CASE WHEN kind = 'open' THEN tag ELSE '' END END IGNORE NULLS) OVER w AS inside FROM nd WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+    f"wd AS (SELECT page_id, segment, min(pos) AS pos, any_value(inside) AS inside, {_DECODED.format(_PLAIN_PAGE.format('string_agg(CASE WHEN tag = $$br$$ THEN $$ $$ ELSE raw END, $$$$ ORDER BY pos)'))} AS text FROM sg s LEFT JOIN co USING (page_id) WHERE (kind = 'text' OR tag = 'br' AND kind <> 'close') AND inside IN {_listed(pages.TYPES)} AND (first IS NULL OR pos > first AND pos < last) AND NOT EXISTS (SELECT 1 FROM no WHERE no.page_id = s.page_id AND s.pos > no.o AND s.pos < no.c) GROUP BY page_id, segment)",
+    "bl AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS position, CASE inside " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pages.TYPES.items()) + " END AS type, text FROM wd WHERE text <> '')",
+)
+
+
+@query("c26_site_blocks", "WITH " + ", ".join(BLOCK_SQL) + " SELECT page_id, position::INT AS position, type, md5(text) AS digest, sha256(page_id || chr(0) || position || chr(0) || type || chr(0) || text || chr(0))[1:16] AS block_id FROM bl")
+def c26(t):
+    """The blocks of each page's article, by the places of its elements."""
+    return pages.blocks(t.pages).select("page_id", "position", "type", F.md5("text").alias("digest"), "block_id")
+
+
+_BODY = "CASE WHEN {least} > length(body) THEN 'too_short' WHEN length(body) > 200000 THEN 'too_long' WHEN language = 'en' AND (length(regexp_replace(body, '[^A-Za-z]', '', 'g')) < 50 OR length(regexp_replace(body, '[^㐀-鿿]', '', 'g')) > greatest(20, length(regexp_replace(body, '[^A-Za-z]', '', 'g')) // 2)) THEN 'language_mismatch' END"
+
+
+@query("k50_page_gates", "WITH " + ", ".join((*BLOCK_SQL, "pr AS (SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY position) AS body FROM bl WHERE type IN ('heading', 'paragraph', 'quote') GROUP BY page_id)",
+    f"hd AS (SELECT page_id, html, regexp_extract(html, '(?i)<html lang=\"([a-z]+)\"', 1) AS language, {PLAIN.replace('title', _PLAIN_PAGE.format('regexp_extract(html, $$(?is)<title[^>]*>(.*?)</title>$$, 1)'))} AS own, regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS hs FROM pages)",
+    f"hh AS (SELECT * EXCLUDE (hs), list_transform(hs, lambda h: {PLAIN.replace('title', _PLAIN_PAGE.format('regexp_replace(h, $$<[^>]*>$$, $$$$, $$g$$)'))}) AS heads FROM hd)",
+    "gt AS (SELECT page_id, language, body, len(heads) = 1 AND heads[1] = own AND own <> '' AND len(regexp_extract_all(html, '(?i)<article\\b')) = 1 AS exact, CASE WHEN trim(coalesce(html, '')) = '' THEN 'empty_page' WHEN regexp_matches(html, '" + _QUOTED(pages.PAYWALL) + "') THEN 'paywalled' WHEN body IS NULL THEN 'no_content' END AS early FROM hh LEFT JOIN pr USING (page_id))")) +
+    f" SELECT coalesce(early, CASE WHEN exact THEN {_BODY.format(least=200)} ELSE {_BODY.format(least=300)} END, 'accepted') AS code, language, count(*)::BIGINT AS n, coalesce(sum(length(body)) FILTER (WHERE early IS NULL), 0)::BIGINT AS n_chars FROM gt GROUP BY 1, 2")
+def k50(t):
+    """How many pages come through to a body, and which gate stops the others."""
+    rows = t.pages.withColumn("language", F.regexp_extract("html", '(?i)<html lang="([a-z]+)"', 1))
+    found = pages.accepted_bodies(rows).join(rows.select("page_id", "language"), "page_id")
+    whole = pages.blocks(t.pages).where(F.col("type").isin("heading", "paragraph", "quote")).groupBy("page_id").agg((F.sum(F.length("text")) + 2 * (F.count("*") - 1)).alias("n_chars"))
+    return found.join(whole, "page_id", "left").groupBy(F.coalesce("code", F.lit("accepted")).alias("code"), "language").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(~F.coalesce("code", F.lit("")).isin("empty_page", "paywalled"), F.col("n_chars"))), F.lit(0)).alias("n_chars"))
