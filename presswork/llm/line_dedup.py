@@ -13,6 +13,8 @@ from presswork.llm.common import staged, table
 #: Of a line's hash: 1 makes every line a boundary, so that no run of two lines is missed. A larger divisor gives fewer,
 #: longer chunks, for corpora in which only long passages matter.
 DIVISOR = 1
+#: So many keys of two numbers are broadcast (some 30 MB), more are not.
+KEYS = 1_000_000
 _RUNS = "array<struct<first:int,last:int>>"
 
 
@@ -96,7 +98,11 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     runs = staged(runs.withColumns({"e_first": F.col("first") + F.col("off"), "e_last": F.col("last") + F.col("off")}).drop("off"))
 
     wanted = runs.groupBy(F.col("e_id").alias("id"), F.col("e_mark").alias("mark")).agg(F.collect_set(F.struct("e_first", "e_last")).alias("wanted"))
-    holders = _evaluated(_with(rows, staged(wanted), "inner"), lines=F.split("text", "\n", -1)).drop("text")
+    wanted = staged(wanted)
+    # first places are few: if their keys are, they pick the texts out before these are shuffled; the result is the same
+    few = wanted.count() <= KEYS
+    texts = _with(rows, F.broadcast(wanted.select("id", "mark")), "left_semi") if few else rows
+    holders = _evaluated(_with(texts, wanted, "inner"), lines=F.split("text", "\n", -1)).drop("text")
     stretch = lambda w: F.struct(w["e_first"].alias("e_first"), w["e_last"].alias("e_last"), F.array_join(_stretch(w["e_first"], w["e_last"]), "\n").alias("expected"))
     firsts = holders.select(F.col("id").alias("f_id"), F.col("mark").alias("e_mark"), F.explode(F.transform("wanted", stretch)).alias("w")).select("f_id", "e_mark", "w.*")
     firsts = staged(firsts.dropDuplicates(["f_id", "e_mark", "e_first", "e_last"]))
