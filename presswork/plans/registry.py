@@ -30,4 +30,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from presswork.plans import catalog_queries, content_queries, experiment_queries, feed_queries, frame_queries, function_queries, live_queries, metric_queries, profile_queries, relational_queries, resolve_queries, search_queries, source_queries, state_queries, stream_queries  # noqa: E402, F401
+from presswork.plans import catalog_queries, content_queries, experiment_queries, feed_queries, frame_queries, function_queries, job_queries, live_queries, metric_queries, profile_queries, relational_queries, resolve_queries, search_queries, source_queries, state_queries, stream_queries  # noqa: E402, F401
