@@ -20,26 +20,42 @@ def fingerprint(columns: list[str]) -> F.Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def claim_events(events: DataFrame, content: list[str]) -> DataFrame:
+def claim_events(events: DataFrame, content: list[str], time: str | None = None, keep: int = 172_800) -> DataFrame:
     """Adds outcome: first, duplicate (an event of its id with the same content came before) or conflict (with other
-    content). State is one fingerprint per event id; within a batch, rows count in order of arrival."""
+    content). State is one fingerprint per event id; within a batch, rows count in order of arrival.
+
+    With time (a timestamp column, which becomes the watermark's), an id is forgotten `keep` seconds after its last event
+    by the watermark, so that state holds the ids of that stretch only; the same id after it is a first event again.
+    Events that come later than `keep` behind the newest one are dropped, as nothing is known of their id any more.
+    Without time, ids are kept for ever.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     columns = list(events.columns)
 
     def claim(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, newest = state.get if state.exists else (None, 0)
         for rows in parts:
             rows = rows.sort_values("arrival") if "arrival" in columns else rows
             outcome = []
             for mark in rows["_fingerprint"]:
                 outcome.append("first" if known is None else "duplicate" if mark == known else "conflict")
                 known = known or mark
+            if time:
+                newest = max(newest, int(rows[time].max().timestamp() * 1000))
             yield rows[columns].assign(outcome=outcome)
-        state.update((known,))
+        state.update((known, newest))
+        if time:
+            state.setTimeoutTimestamp(max(newest + keep * 1000, state.getCurrentWatermarkMs() + 1))
 
     marked = events.withColumn("_fingerprint", fingerprint(content))
+    if time:
+        marked = marked.withWatermark(time, f"{keep} seconds")
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", outcome string"
-    return marked.groupBy("event_id").applyInPandasWithState(claim, schema, "fingerprint string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    return marked.groupBy("event_id").applyInPandasWithState(claim, schema, "fingerprint string, newest long", "append", timeout)
 
 
 def profile_state(events: DataFrame) -> DataFrame:
@@ -91,6 +107,13 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(newest)).where("_k = 1").drop("_k", "batch")
 
 
-def event_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and dwell per window and type, closed by a watermark. events: ts (timestamp), event_type, dwell_ms."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("dwell_ms").alias("dwell_ms"))
+def event_windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Counts and dwell per window and type, closed by a watermark; windows overlap if they slide. events: ts (timestamp),
+    event_type, dwell_ms."""
+    window = F.window("ts", size, slide) if slide else F.window("ts", size)
+    return events.withWatermark("ts", late).groupBy(window.alias("window"), "event_type").agg(F.count("*").alias("n"), F.sum("dwell_ms").alias("dwell_ms"))
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Sessions of each user: events no farther apart than the gap; closed by a watermark. events: ts, user_id."""
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("window"), "user_id").agg(F.count("*").alias("n"))

@@ -284,6 +284,31 @@ def test_claim_events_batch(spark, tmp_path):
     assert [r.outcome for r in got] == ["first", "duplicate", "conflict", "first"]
 
 
+def test_claimed_ids_are_forgotten_after_a_while(spark, tmp_path):
+    """Over ten batches an hour apart, state holds the ids of the last hours only; conflicts within them are still found."""
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    for b in range(10):
+        rows = [(b * 100 + i, b * 1000 + i, "a", start + dt.timedelta(hours=b, seconds=i)) for i in range(20)]
+        rows += [(max(0, b - 1) * 100 + 1, b * 1000 + 500, "b", start + dt.timedelta(hours=b, seconds=30))]  # an id of the batch before, with other content
+        rows += [(0, b * 1000 + 600, "c", start + dt.timedelta(hours=b, seconds=40))] if b == 9 else []  # the first id of all, long forgotten
+        spark.createDataFrame(rows, "event_id long, arrival long, event_type string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"f{b}"))
+    stream = spark.readStream.schema("event_id long, arrival long, event_type string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    claimed = ev.claim_events(stream, ["event_type"], "ts", 2 * 3600)
+    held = []
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"n={number}"))
+
+    run = claimed.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).foreachBatch(write).start()
+    run.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    got = {r.arrival: r.outcome for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert max(held) <= 20 * 6 and len(held) >= 10
+    assert all(got[b * 1000 + 500] == "conflict" for b in range(1, 10)) and got[9600] == "first"
+
+
 def test_reservation_stops_at_pace_and_cap(spark):
     asked = spark.createDataFrame([(1, "d", i, 7 if i < 3 else i, 0) for i in range(10)], "campaign_id long, day string, request_id long, user_id long, second int")
     limits = spark.createDataFrame([(1, 1, 96, 2)], "campaign_id long, spend int, daily_budget int, frequency_cap int")
