@@ -19,22 +19,31 @@ def numeric_key(asked: Column) -> Column:
     return F.when(flat.rlike("^[0-9]+( [0-9]+)*$"), flat)
 
 
-def name_pieces(names: DataFrame, name: str) -> DataFrame:
-    """Each row once for every stretch of its name: piece, and pass (1: the whole name, 2: its beginning, 3: another).
-
-    Turns prefix and substring search into a join on equal pieces. There are as many pieces as the square of a name's
-    length, so this is for names of topics, not for texts.
-    """
-    n = F.lower(name)
-    each = lambda i: F.transform(F.sequence(F.lit(1), F.length(n) - i + 1), lambda k: F.struct(F.substring(n, i, k).alias("piece"), F.when((i == 1) & (k == F.length(n)), 1).when(i == 1, 2).otherwise(3).alias("pass")))
-    stretches = F.flatten(F.transform(F.sequence(F.lit(1), F.length(n)), each))
-    return names.where(F.length(name) > 0).withColumn("_p", F.explode(F.array_distinct(stretches))).select(*names.columns, "_p.piece", "_p.pass")
+def _rarest(pieces: DataFrame, index: DataFrame) -> DataFrame:
+    """(piece, gram): of each piece's trigrams (or the piece itself, if it is shorter) the one that the fewest rows of the
+    index hold; none if one of them is in no row. index: row, gram, each pair once."""
+    grams = pieces.select("piece", F.explode(text.trigrams(F.col("piece"))).alias("gram"))
+    counts = index.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    known = grams.join(counts, "gram", "left").groupBy("piece").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("gram"), F.min(F.coalesce("df", F.lit(0))).alias("df"))
+    return known.where("df > 0").select("piece", "gram")
 
 
 def matches(asks: DataFrame, names: DataFrame, name: str, key: list[str]) -> DataFrame:
-    """(ask, key, pass) of the names that hold what was asked, whatever the case; pass is the strictest that fits."""
+    """(ask, key, pass) of the names that hold what was asked, whatever the case; pass is the strictest that fits (1: the
+    whole name, 2: its beginning, 3: another stretch).
+
+    A text that is asked for by many is looked up once, by its rarest trigram; names are indexed by their stretches of up
+    to three characters, so the index grows with their length.
+    """
     asked = asks.select("ask", F.lower(F.trim("asked")).alias("piece")).where("piece <> ''")
-    return asked.join(name_pieces(names.select(*{*key, name}), name), "piece").groupBy("ask", *key).agg(F.min("pass").alias("pass"))
+    held = names.where(F.length(name) > 0).select(*{*key, name}).distinct().withColumn("_name", F.lower(name))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length("_name") - (n - 1)), lambda i: F.substring(F.col("_name"), i, F.lit(n)))
+    every = [F.when(F.length("_name") >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
+    index = held.select(*key, "_name", F.explode(F.array_distinct(F.concat(*every))).alias("gram"))
+    wanted = _rarest(asked.select("piece").distinct(), index)
+    fits = F.when(F.col("_name") == F.col("piece"), 1).when(F.startswith("_name", F.col("piece")), 2).when(F.contains("_name", F.col("piece")), 3)
+    met = wanted.join(index, "gram").withColumn("pass", fits).where("pass IS NOT NULL")
+    return asked.join(met.groupBy("piece", *key).agg(F.min("pass").alias("pass")), "piece").select("ask", *key, "pass")
 
 
 def best(rows: DataFrame, group: str, order: list) -> DataFrame:
@@ -69,19 +78,20 @@ def by_topic_name(asks: DataFrame, topics: DataFrame, query_map: DataFrame, most
 
 
 def holding(terms: DataFrame, rows: DataFrame, columns: list[str], id_col: str) -> DataFrame:
-    """(ask, id, title, abstract) of the rows with one of the ask's terms (three characters or more) in a column.
+    """(ask, id) of the rows with one of the ask's terms (three characters or more) in a column.
 
-    Rows and terms meet on the first trigram of the term, then the whole term is looked for: no pair without a common
-    trigram is formed.
+    Each term is looked up once, by its rarest trigram among all rows; only ids are joined on it, and the texts come in for
+    the pairs of a term and a row that are left.
     """
     texts = rows.select(id_col, *(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in columns))
-    grams = texts.withColumn("gram", F.explode(F.array_distinct(F.concat(*(text.trigrams(F.col(c)) for c in columns)))))
-    asked = terms.select("ask", F.explode("terms").alias("term")).withColumn("gram", F.substring("term", 1, 3))
-    found = asked.join(grams, "gram")
+    index = texts.select(id_col, F.explode(F.array_distinct(F.concat(*(text.trigrams(F.col(c)) for c in columns)))).alias("gram"))
+    asked = terms.select("ask", F.explode("terms").alias("piece"))
+    pairs = _rarest(asked.select("piece").distinct(), index).join(index, "gram").select("piece", id_col)
     hit = F.lit(False)
     for c in columns:
-        hit = hit | F.contains(F.col(c), F.col("term"))
-    return found.where(hit).select("ask", id_col).distinct()
+        hit = hit | F.contains(F.col(c), F.col("piece"))
+    found = pairs.join(texts, id_col).where(hit).select("piece", id_col).distinct()
+    return asked.join(found, "piece").select("ask", id_col).distinct()
 
 
 def by_article_text(asks: DataFrame, articles: DataFrame, article_topics: DataFrame, query_map: DataFrame) -> DataFrame:
