@@ -11,6 +11,7 @@ from presswork.operators.ordered import prior_counts, running_before
 from presswork.plans.bindings import with_views
 from presswork.plans.registry import query
 from presswork.plans.relational_queries import HOT, item_counts
+from presswork.sources.logs import staged
 
 #: What a request's user clicked strictly before it.
 PAST = ("past AS (SELECT r.request_id, category, count(*) AS n FROM requests r JOIN impressions i ON i.user_id = r.user_id AND i.clicked = 1 AND i.event_ts < r.event_ts JOIN articles USING (article_id) GROUP BY ALL)",
@@ -46,10 +47,10 @@ def hottest(articles, n):
     return articles.orderBy(F.col("hot").desc(), "article_id").limit(n)
 
 
-def recalled(t):
+def recalled(t, profile=None):
     """Profile topics and the hottest articles for each request, less what the user had clicked before it."""
     requests, articles = asked(t), catalog(t)
-    by_topic = feed.topic_recall(requests, past_profile(t), articles, MOMENT, "category", "hot", 10)
+    by_topic = feed.topic_recall(requests, past_profile(t) if profile is None else profile, articles, MOMENT, "category", "hot", 10)
     always = hottest(articles, 20).select("article_id", F.col("hot").alias("recall_score"), F.lit(True).alias("is_fallback"))
     fill = requests.select("request_id").crossJoin(F.broadcast(always))  # twenty rows for each request
     merged = feed.merge_channels({"profile": by_topic, "hot": fill}).join(requests, "request_id")
@@ -81,8 +82,8 @@ def default_shares(t, name):
 
 
 def scored(t):
-    rows = recalled(t).select("request_id", *MOMENT, "article_id").join(catalog(t), "article_id")
-    profile = past_profile(t)
+    profile = staged(past_profile(t), "profiles")  # read three times
+    rows = recalled(t, profile).select("request_id", *MOMENT, "article_id").join(catalog(t), "article_id")
     rows = rows.join(profile.groupBy(*MOMENT).agg(F.max("history_length").alias("history_length")), MOMENT, "left")
     out = feed.manual_scores(rows, profile, F.broadcast(default_shares(t, "default_weight")), MOMENT)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("final_score").desc(), "article_id")))
