@@ -83,5 +83,5 @@ def paired_bootstrap(deltas: DataFrame, metrics: list[str], iterations: int = 20
     keyed = deltas.withColumn("_bucket", F.pmod(F.xxhash64("request_id"), F.lit(buckets)).cast("int"))
     parts = keyed.groupBy("_bucket").applyInPandas(draw, schema)
     sums = parts.groupBy("iteration").agg(F.sum("n").alias("n"), *(F.sum(m).alias(m) for m in metrics))
-    long = sums.select("iteration", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), (F.col(m) / F.col("n")).alias("mean")) for m in metrics))).alias("x")).select("x.*")
+    long = sums.select("iteration", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.try_divide(F.col(m), F.col("n")).alias("mean")) for m in metrics))).alias("x")).select("x.*")
     return long.groupBy("metric").agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
