@@ -1,15 +1,15 @@
-"""Importance resampling of documents towards a target: n-gram features in hashed buckets, over a dictionary of distinct strings.
+"""Importance resampling towards a target: n-gram features in hashed buckets, over a dictionary of distinct strings.
 
 The corpus is cut into blocks of whole texts. A block keeps its texts as numbers of its own words, and finds its
-distinct n-grams with their counts. These strings, packed by partition of the dictionary, meet those of all other blocks;
-there each distinct string is counted once over the corpus, hashed once, and its count added to its bucket. The
+distinct n-grams with their counts. These strings, packed by partition of the dictionary, meet those of all other
+blocks; there each distinct string is counted once over the corpus, hashed once, and its count added to its bucket. The
 buckets go back to the blocks in the order in which they sent the strings, and each text's feature counts are joined
 with the gains of their buckets.
 
-A block sends at most one row to each partition of the dictionary, and none that is empty, so there are never more rows
-than distinct n-grams of the blocks. The dictionary is dealt in ROUNDS shares one after the other, so that only part of
-the strings is on disk at a time; so are the answers. N-grams are spread over partitions by hash and come once from a block, so frequent
-ones don't make large partitions.
+A block sends at most one row to each partition of the dictionary, and none that is empty, so there are never more
+rows than distinct n-grams of the blocks. The dictionary is dealt in ROUNDS shares one after the other, so that only
+part of the strings is on disk at a time; so are the answers. N-grams are spread over partitions by hash and come once
+from a block, so frequent ones don't make large partitions.
 """
 
 from __future__ import annotations

@@ -87,6 +87,7 @@ def corpus_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keep rate of each document towards tempered shares of source, language and topic, and whether it is drawn."""
     out = mix(corpus_rows(spark, table(spark, sf_dir, "documents"), sf_dir), ["source", "lang", "topic"])
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("rate", 6).alias("rate"), "kept")
 

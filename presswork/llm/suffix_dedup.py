@@ -1,14 +1,15 @@
 """Exact removal of long repeated strings, by prefix-free parsing.
 
-Rolling-hash triggers cut each text into phrases: of any `spread` neighbouring positions the one with the
-least hash of its 16 bytes is a trigger, so equal text gets equal triggers wherever it stands. Every
-string of `length` bytes belongs to the trigger that it chooses itself, and so only meets strings that
-share that trigger's phrase. What remains is to order the strings of each phrase:
+Departs from the letter of prefix-free parsing: triggers are minimisers (of any `spread` neighbouring positions the one
+with the least hash of its 16 bytes), so equal text gets equal triggers wherever it stands; phrases are the fixed stretch of
+bytes at a trigger, not the text between two; and neither a sequence of phrase ranks nor a suffix array is built. Every
+string of `length` bytes belongs to the trigger that it chooses itself, and so only meets strings that share that trigger's
+phrase. What remains is to tell apart the strings of each phrase:
 
-* dictionary: a phrase seen once ends here; a phrase that is the same wherever it occurs is repeated as a whole;
-* parse: phrases with several surroundings are compared as wholes, then in cells of neighbouring suffixes, and
-  where a cell has several surroundings too, suffix by suffix, each cut at `length` bytes. Only whether two suffixes agree over `length` bytes matters, so the classes of the suffix
-  order are formed by hash (128 bits) and need no array of all suffixes in one place.
+* a phrase seen once ends here; a phrase that is the same wherever it occurs is repeated as a whole;
+* phrases with several surroundings are compared as wholes, then in cells of neighbouring suffixes, and where a cell has
+  several surroundings too, suffix by suffix, each cut at `length` bytes. Only whether two suffixes agree over `length`
+  bytes matters, so their classes are formed by hash (128 bits) instead of by sorting.
 
 All steps are joins and aggregations on hashes; a phrase that a third of all texts hold is counted map-side
 and met by a join whose large keys Spark splits.
@@ -244,6 +245,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bytes of each document stand in repeated strings of 200 bytes, and a digest of the others."""
     out = remove_repeats(table(spark, sf_dir, "documents"), length=200)
     return out.select(
         "doc_id",
