@@ -213,7 +213,8 @@ def j9(t):
 @query("j10_anti_delete", f"WITH {STAGE} SELECT p_partkey FROM part WHERE p_partkey IN (SELECT p_partkey FROM stage)")
 def j10(t):
     """What is left once rows absent from the stage are deleted: a snapshot rewritten by a semi join."""
-    return t.part.select("p_partkey").join(t.part.where("p_partkey % 11 <> 0").select("p_partkey"), "p_partkey", "left_semi")
+    stage = t.part.where("p_partkey % 11 <> 0").select("p_partkey").unionByName(t.part.where("p_partkey % 50 = 0").select((F.col("p_partkey") + 1_000_000).alias("p_partkey")))
+    return t.part.select("p_partkey").join(stage, "p_partkey", "left_semi")
 
 
 @query("j16_asof_counts", with_views("impressions", more=("c AS (SELECT article_id, count(*) FILTER (WHERE event_ts < 900000000)::BIGINT AS impressions, coalesce(sum(clicked) FILTER (WHERE event_ts < 900000000), 0)::BIGINT AS clicks FROM impressions GROUP BY article_id)",)) + "SELECT *, (clicks * 10 + impressions)::BIGINT AS hot FROM c")
