@@ -57,11 +57,11 @@ def layers(state: DataFrame, user: str, topic: str, score: str = "score", least:
     return liked.unionByName(less).where(F.col("rank") <= k)
 
 
-def late_events(events: DataFrame, keys: list[str], time: str, arrival: str) -> DataFrame:
+def late_events(events: DataFrame, keys: list[str], time: str, arrival: str, tie: str = "event_id") -> DataFrame:
     """Adds outcome: out_of_order if an event of its key with a later time has arrived before, no_signal if it says
-    nothing, else applied. Equal times are in order. Events without a signal do not move a key's clock."""
+    nothing, else applied. Equal times are in order; events of equal arrival come in order of `tie`. Events without a signal do not move a key's clock."""
     rows = events.withColumn("strength", scores.event_strength(F.col("event_type"), F.col("dwell_ms")))
-    clock = F.max(F.when(F.col("strength") != 0, F.col(time))).over(Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+    clock = F.max(F.when(F.col("strength") != 0, F.col(time))).over(Window.partitionBy(*keys).orderBy(arrival, tie).rowsBetween(Window.unboundedPreceding, -1))
     outcome = F.when(F.col("strength") == 0, "no_signal").when(clock > F.col(time), "out_of_order").otherwise("applied")
     return rows.withColumn("outcome", outcome)
 
