@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ def fingerprint(columns: list[str]) -> F.Column:
 
 def claim_events(events: DataFrame, content: list[str], time: str | None = None, keep: int = 172_800) -> DataFrame:
     """Adds outcome: first, duplicate (an event of its id with the same content came before) or conflict (with other
-    content). State is one fingerprint per event id; within a batch, rows count in order of arrival.
+    content). State is one fingerprint per event id; within a batch, rows count in order of arrival,
+    and an id's rows of the batch are held together.
 
     With time (a timestamp column, which becomes the watermark's), an id is forgotten `keep` seconds after its last event
     by the watermark, so that state holds the ids of that stretch only; the same id after it is a first event again.
@@ -37,15 +39,15 @@ def claim_events(events: DataFrame, content: list[str], time: str | None = None,
             state.remove()
             return
         known, newest = state.get if state.exists else (None, 0)
-        for rows in parts:
-            rows = rows.sort_values("arrival") if "arrival" in columns else rows
-            outcome = []
-            for mark in rows["_fingerprint"]:
-                outcome.append("first" if known is None else "duplicate" if mark == known else "conflict")
-                known = known or mark
-            if time:
-                newest = max(newest, int(rows[time].max().timestamp() * 1000))
-            yield rows[columns].assign(outcome=outcome)
+        rows = pd.concat(list(parts))  # Arrow hands out a busy id's rows in several parts, in no order
+        rows = rows.sort_values("arrival") if "arrival" in columns else rows
+        outcome = []
+        for mark in rows["_fingerprint"]:
+            outcome.append("first" if known is None else "duplicate" if mark == known else "conflict")
+            known = known or mark
+        if time:
+            newest = max(newest, int(rows[time].max().timestamp() * 1000))
+        yield rows[columns].assign(outcome=outcome)
         state.update((known, newest))
         if time:
             state.setTimeoutTimestamp(max(newest + keep * 1000, state.getCurrentWatermarkMs() + 1))
@@ -63,16 +65,20 @@ def profile_state(events: DataFrame) -> DataFrame:
 
     def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         sp, sn, lp, ln, up, down, last = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, 0, 0, None)
+        since = last  # late is what lies before the batches so far; within a batch a key's parts come in no order
         for rows in parts:
-            rows = rows.sort_values(["event_ts", "event_id"])
-            for ts, d in zip(rows["event_ts"].tolist(), rows["strength"].tolist(), strict=True):
-                if last is not None and ts < last:
-                    continue
-                age = 0 if last is None else ts - last
-                short, long = 2.0 ** (-age / profile.SHORT_HALF_LIFE), 2.0 ** (-age / profile.LONG_HALF_LIFE)
-                sp, sn = sp * short + max(d, 0.0), sn * short + max(-d, 0.0)
-                lp, ln = lp * long + profile.LONG_FACTOR * max(d, 0.0), ln * long + profile.LONG_FACTOR * max(-d, 0.0)
-                up, down, last = up + (d > 0), down + (d < 0), ts
+            rows = rows if since is None else rows[rows["event_ts"] >= since]
+            if not len(rows):
+                continue
+            ts, d = rows["event_ts"].to_numpy(), rows["strength"].to_numpy()
+            newest = int(ts.max()) if last is None else max(last, int(ts.max()))
+            age = 0 if last is None else newest - last
+            short, long = 2.0 ** (-age / profile.SHORT_HALF_LIFE), 2.0 ** (-age / profile.LONG_HALF_LIFE)
+            add_short, add_long = 2.0 ** ((ts - newest) / profile.SHORT_HALF_LIFE), profile.LONG_FACTOR * 2.0 ** ((ts - newest) / profile.LONG_HALF_LIFE)
+            more, less = np.maximum(d, 0.0), np.maximum(-d, 0.0)
+            sp, sn = sp * short + float((more * add_short).sum()), sn * short + float((less * add_short).sum())
+            lp, ln = lp * long + float((more * add_long).sum()), ln * long + float((less * add_long).sum())
+            up, down, last = up + int((d > 0).sum()), down + int((d < 0).sum()), newest
         state.update((sp, sn, lp, ln, up, down, last))
         yield pd.DataFrame([(key[0], key[1], sp, sn, lp, ln, up, down, last)], columns=["user_id", "topic_id", *(c.split()[0] for c in STATE.split(", "))])
 

@@ -284,6 +284,52 @@ def test_claim_events_batch(spark, tmp_path):
     assert [r.outcome for r in got] == ["first", "duplicate", "conflict", "first"]
 
 
+@pytest.fixture
+def small_parts(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_claims_of_a_busy_id_follow_arrival_over_all_parts(spark, tmp_path, small_parts):
+    rows = spark.createDataFrame([(1, 9 - k, "a" if k == 8 else "b") for k in range(9)], "event_id long, arrival long, event_type string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    got = ev.run_to_end(ev.claim_events(stream, ["event_type"]), str(tmp_path / "out"), "append").orderBy("arrival").collect()
+    assert [r.outcome for r in got] == ["first"] + ["conflict"] * 8
+
+
+def test_profile_of_a_busy_key_takes_parts_in_any_order(spark, tmp_path, small_parts):
+    rows = events(spark, [(1, 1, u, 1000 - 7 * u, ("upvote", "downvote", "recommendation_click")[u % 3]) for u in range(9)])
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    got = ev.run_to_end(ev.profile_state(stream), str(tmp_path / "out"), "update").first()
+    want = profile.in_order_profile(rows, ["user_id", "topic_id"]).first()
+    assert (got.positive_evidence, got.negative_evidence, got.last_event_ts) == (6, 3, 1000)
+    assert got.short_positive == pytest.approx(want.short_positive) and got.long_negative == pytest.approx(want.long_negative)
+
+
+def test_equal_arrivals_come_in_order_of_their_ids(spark):
+    rows = events(spark, [(1, 5, k, 100 - k, "upvote") for k in (4, 2, 3, 1, 5)]).withColumn("arrival", F.lit(1))
+    got = {r.event_id: r.outcome for r in profile.late_events(rows, ["user_id", "topic_id"], "event_ts", "arrival").collect()}
+    assert got == {1: "applied", **{k: "out_of_order" for k in (2, 3, 4, 5)}}
+
+
+def test_six_digits_of_the_double_as_in_the_sql(spark):
+    import duckdb
+
+    values = [0.525 * 0.1 + 0.475 * 0.1555, 0.1 + 21 / 51.0 * 0.85, *(k / 2e6 for k in range(1, 4001, 2))]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(scores.to_millionths(F.col("v")).alias("x")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+
+
+def test_rows_are_kept_if_either_half_of_the_stage_holds_them(spark, tmp_path):
+    from presswork.plans.registry import QUERIES
+
+    spark.createDataFrame([(50,), (550,), (11,), (12,), (1_000_450,)], "p_partkey long").unionByName(spark.createDataFrame([(450,)], "p_partkey long")).write.parquet(str(tmp_path / "part.parquet"))
+    assert sorted(r.p_partkey for r in QUERIES["j10_anti_delete"](spark, str(tmp_path)).collect()) == [12, 50, 450, 1_000_450]
+
+
 def test_claimed_ids_are_forgotten_after_a_while(spark, tmp_path):
     """Over ten batches an hour apart, state holds the ids of the last hours only; conflicts within them are still found."""
     import datetime as dt
