@@ -353,5 +353,5 @@ def c3(t):
     rows = scored(t)
     arms = {"base": ["base_score"], "topic": ["topic_match_score"], "manual": ["final_score"]}
     first = [F.min_by("article_id", F.struct(*(-F.col(c) for c in columns), "article_id")).alias(arm) for arm, columns in arms.items()]
-    best = rows.groupBy("request_id").agg(*first)
-    return best.unpivot("request_id", list(arms), "arm", "article_id")
+    best = rows.groupBy("user_id", "request_id").agg(*first)
+    return best.drop("user_id").unpivot("request_id", list(arms), "arm", "article_id")

@@ -360,3 +360,26 @@ def test_reservation_stops_at_pace_and_cap(spark):
     limits = spark.createDataFrame([(1, 1, 96, 2)], "campaign_id long, spend int, daily_budget int, frequency_cap int")
     got = [r.served for r in feed.reserve(asked, limits).orderBy("request_id").collect()]
     assert got == [True, True, False, True, True, False, False, False, False, False]
+
+
+def test_candidates_of_the_feed_are_not_shuffled(spark):
+    """Everything above the step that makes a request's candidates stays in its partition."""
+    from presswork.plans import registry  # noqa: F401
+    from presswork.plans.bindings import Tables
+    from presswork.plans.feed_queries import scored
+
+    rows = scored(Tables(spark, "/root/testdata/sf0.001"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode(items")]
+    assert "Window" in above and "Exchange hashpartitioning" not in above
+
+
+def test_recall_drops_what_was_clicked_before_only(spark):
+    requests = spark.createDataFrame([(1, 7, 10), (2, 7, 20), (3, 8, 20)], "request_id long, user_id long, event_ts long")
+    articles = spark.createDataFrame([(1, "a", 9), (2, "a", 8), (3, "b", 7), (4, None, 6)], "article_id long, category string, hot long")
+    clicks = spark.createDataFrame([(7, 1, "a", 10), (7, 3, "b", 15), (7, 4, None, 5)], "user_id long, article_id long, category string, event_ts long")
+    profiles = feed.request_profiles(clicks, requests, 3)
+    assert {r.request_id: (r.history_length, r.topics) for r in profiles.collect()} == {1: (1, {}), 2: (3, {"a": 1 / 3, "b": 1 / 3}), 3: (0, {})}
+    found = feed.recall_from(profiles, feed.shelves(articles, 2, 1), clicks.select("user_id", "article_id", "event_ts"), 3, ["category"])
+    got = sorted((r.request_id, r.article_id, "+".join(r.sources), r.is_fallback) for r in found.collect())
+    assert got == [(1, 1, "hot", True), (2, 2, "profile", False), (3, 1, "hot", True)]
