@@ -46,6 +46,13 @@ def matches(asks: DataFrame, names: DataFrame, name: str, key: list[str]) -> Dat
     return asked.join(met.groupBy("piece", *key).agg(F.min("pass").alias("pass")), "piece").select("ask", *key, "pass")
 
 
+def of_each_text(stage: Callable[..., DataFrame], asks: DataFrame, *others) -> DataFrame:
+    """What a stage finds for each ask, of whose text alone it depends: each text is looked up once, whoever asks for it."""
+    texts = asks.where("asked is not null").select("asked").distinct()
+    found = stage(texts.select(F.col("asked").alias("ask"), "asked"), *others).withColumnRenamed("ask", "asked")
+    return asks.select("ask", "asked").join(found, "asked").drop("asked")
+
+
 def best(rows: DataFrame, group: str, order: list) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_k = 1").drop("_k")
 
@@ -55,7 +62,9 @@ def by_display_name(asks: DataFrame, query_map: DataFrame) -> DataFrame:
 
     query_map: row, query_key, display_query.
     """
-    met = matches(asks, query_map, "display_query", ["row", "query_key"]).groupBy("ask", "pass", "query_key").agg(F.count("*").alias("n"))
+    shown = query_map.select("row", "query_key", "display_query").distinct().groupBy("query_key", "display_query").agg(F.count("*").alias("rows"))
+    shown = shown.withColumn("_shown", F.col("display_query"))
+    met = matches(asks, shown, "display_query", ["query_key", "rows", "_shown"]).groupBy("ask", "pass", "query_key").agg(F.sum("rows").alias("n"))
     return best(met, "ask", ["pass", F.col("n").desc(), "query_key"]).select("ask", "query_key")
 
 
@@ -70,6 +79,10 @@ def by_topic_name(asks: DataFrame, topics: DataFrame, query_map: DataFrame, most
     topics: topic_id, display_name, news_count. A pass looks at the `most` largest topics that it matches, and holds
     those of stricter passes.
     """
+    return of_each_text(_by_topic_name, asks, topics, query_map, most)
+
+
+def _by_topic_name(asks: DataFrame, topics: DataFrame, query_map: DataFrame, most: int) -> DataFrame:
     met = matches(asks, topics, "display_name", ["topic_id", "news_count"]).withColumn("pass", F.explode(F.sequence("pass", F.lit(3))))
     place = F.row_number().over(Window.partitionBy("ask", "pass").orderBy(F.col("news_count").desc(), "topic_id"))
     met = met.withColumn("place", place).where(F.col("place") <= most)
@@ -96,15 +109,25 @@ def holding(terms: DataFrame, rows: DataFrame, columns: list[str], id_col: str)
 
 def by_article_text(asks: DataFrame, articles: DataFrame, article_topics: DataFrame, query_map: DataFrame) -> DataFrame:
     """(ask, query_key): the key of largest score among the topics of articles that hold the phrase or one of its tokens."""
-    terms = asks.select("ask", text.search_terms(F.col("asked")).alias("terms"))
-    topics = holding(terms, articles, ["title", "abstract"], "article_id").join(article_topics, "article_id").select("ask", "topic_id").distinct()
+    return of_each_text(_by_article_text, asks, articles, article_topics, query_map)
+
+
+def _by_article_text(asks: DataFrame, articles: DataFrame, article_topics: DataFrame, query_map: DataFrame) -> DataFrame:
+    """Articles of one title or abstract are one value with all their topics; terms are looked up in the values."""
+    values = articles.select("article_id", F.explode(F.array(F.lower("title"), F.lower("abstract"))).alias("value")).join(article_topics.select("article_id", "topic_id"), "article_id").select("value", "topic_id").distinct()
+    terms = asks.select("ask", F.explode(text.search_terms(F.col("asked"))).alias("piece"))
+    pieces = terms.select(F.col("piece").alias("ask"), F.array("piece").alias("terms")).distinct()
+    texts = values.select(F.col("value").alias("id"), "value").distinct()
+    found = holding(pieces, texts, ["value"], "id").join(values, F.col("id") == F.col("value")).select(F.col("ask").alias("piece"), "topic_id").distinct()
+    topics = terms.join(found, "piece").select("ask", "topic_id").distinct()
     return best(best_key_of_topics(topics, query_map, ["ask"]), "ask", [F.col("score").desc(), "query_key"]).select("ask", "query_key")
 
 
 def resolve(asks: DataFrame, query_map: DataFrame, topics: DataFrame, articles: DataFrame, article_topics: DataFrame) -> DataFrame:
     """(ask, query_key, source): numbers as they are, else by display name, topic name or article text, the first that
     finds a key; query_key is null where none does. asks: ask, asked."""
-    typed = asks.select("ask", "asked", numeric_key(F.col("asked")).alias("query_key"))
+    texts = asks.where("asked is not null").select(F.col("asked").alias("ask"), "asked").distinct()  # each is resolved once
+    typed = texts.select("ask", "asked", numeric_key(F.col("asked")).alias("query_key"))
     words = typed.where("query_key is null").select("ask", "asked")
     stages = [
         typed.where("query_key is not null").select("ask", "query_key"),
@@ -116,7 +139,7 @@ def resolve(asks: DataFrame, query_map: DataFrame, topics: DataFrame, articles:
         found = one if found is None else found.unionByName(one)
     first = found.groupBy("ask").agg(F.min_by("query_key", "stage").alias("query_key"), F.min("stage").alias("stage"))
     source = F.when(F.col("stage").isNull(), "unresolved").when(F.col("stage") == 0, "numeric_query_key").otherwise("lexical_v1")
-    return asks.select("ask").join(first, "ask", "left").select("ask", "query_key", source.alias("source"))
+    return asks.select("ask", "asked").join(first.withColumnRenamed("ask", "asked"), "asked", "left").select("ask", "query_key", source.alias("source"))
 
 
 def exact_alias(asks: DataFrame, query_map: DataFrame, topics: DataFrame, most: int = 20) -> DataFrame:
@@ -185,21 +208,35 @@ def resolve_hybrid(asks: DataFrame, query_map: DataFrame, topics: DataFrame, art
 
 def alias_topic(asks: DataFrame, aliases: DataFrame) -> DataFrame:
     """(ask, topic_id, pass): the least topic of the first pass that matches an alias. aliases: alias, topic_id."""
-    return best(matches(asks, aliases, "alias", ["topic_id"]), "ask", ["pass", "topic_id"])
+    least = aliases.groupBy("alias").agg(F.min("topic_id").alias("topic_id"))  # no other of a name can be the least
+    return of_each_text(lambda texts: best(matches(texts, least, "alias", ["topic_id"]), "ask", ["pass", "topic_id"]), asks)
 
 
 def lexical_baseline(asks: DataFrame, aliases: DataFrame, articles: DataFrame, article_topics: DataFrame, limit: int) -> DataFrame:
     """(ask, topic_id, article_id, score, rank): articles of the alias's topic at 1.0, and those that hold the words at
     their lexical score. Without an alias the topic is the least of the matching articles'."""
+    return of_each_text(_lexical_baseline, asks, aliases, articles, article_topics, limit)
+
+
+def _lexical_baseline(asks: DataFrame, aliases: DataFrame, articles: DataFrame, article_topics: DataFrame, limit: int) -> DataFrame:
+    """Articles of equal title and abstract are scored once, as a class; the first `most` articles lie in the first `most`
+    classes in order of score and least article, and among the `most` least articles of each."""
+    most = max(limit * 20, 50)
+    ranked = F.row_number().over(Window.partitionBy("title", "abstract").orderBy("article_id"))
+    own = articles.select("article_id", "title", "abstract").withColumn("_k", ranked).where(F.col("_k") <= most)
+    classes = own.groupBy("title", "abstract").agg(F.min("article_id").alias("first"), F.sort_array(F.collect_list("article_id")).alias("ids"))
     terms = asks.select("ask", text.search_terms(F.col("asked")).alias("terms"))
-    met = holding(terms, articles, ["title", "abstract"], "article_id").join(terms, "ask").join(articles.select("article_id", "title", "abstract"), "article_id")
-    met = met.select("ask", "article_id", text.lexical_score(F.col("terms"), F.col("title"), F.col("abstract")).alias("score"))
-    place = F.row_number().over(Window.partitionBy("ask").orderBy(F.col("score").desc(), "article_id"))
-    met = met.withColumn("place", place).where(F.col("place") <= max(limit * 20, 50)).drop("place")
+    met = holding(terms, classes.select("first", "title", "abstract"), ["title", "abstract"], "first").join(terms, "ask").join(classes, "first")
+    met = met.select("ask", "first", "ids", text.lexical_score(F.col("terms"), F.col("title"), F.col("abstract")).alias("score"))
+    place = lambda item: F.row_number().over(Window.partitionBy("ask").orderBy(F.col("score").desc(), item))
+    met = met.withColumn("place", place("first")).where(F.col("place") <= most).select("ask", F.explode("ids").alias("article_id"), "score")
+    met = met.withColumn("place", place("article_id")).where(F.col("place") <= most).drop("place")
     least = met.join(article_topics, "article_id").groupBy("ask").agg(F.min("topic_id").alias("_least"))
     topic = asks.select("ask").join(alias_topic(asks, aliases).select("ask", "topic_id"), "ask", "left").join(least, "ask", "left")
     topic = topic.select("ask", F.coalesce("topic_id", "_least").alias("topic_id")).where("topic_id is not null")
-    whole = topic.join(article_topics.select("topic_id", "article_id").distinct(), "topic_id").select("ask", "article_id", F.lit(1.0).alias("score"))
+    # of a topic's articles, all at 1.0, only the first by id can be among the best
+    of_topic = article_topics.select("topic_id", "article_id").distinct().withColumn("_k", F.row_number().over(Window.partitionBy("topic_id").orderBy("article_id"))).where(F.col("_k") <= limit).drop("_k")
+    whole = topic.join(of_topic, "topic_id").select("ask", "article_id", F.lit(1.0).alias("score"))
     scored = whole.unionByName(met).groupBy("ask", "article_id").agg(F.max("score").alias("score")).join(topic, "ask")
     rank = F.row_number().over(Window.partitionBy("ask").orderBy(F.col("score").desc(), "article_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)

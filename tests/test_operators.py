@@ -383,3 +383,28 @@ def test_recall_drops_what_was_clicked_before_only(spark):
     found = feed.recall_from(profiles, feed.shelves(articles, 2, 1), clicks.select("user_id", "article_id", "event_ts"), 3, ["category"])
     got = sorted((r.request_id, r.article_id, "+".join(r.sources), r.is_fallback) for r in found.collect())
     assert got == [(1, 1, "hot", True), (2, 2, "profile", False), (3, 1, "hot", True)]
+
+
+def shuffled_rows(spark, frame):
+    """How many rows the frame's stages write to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    last = max((stages().apply(i).stageId() for i in range(stages().size())), default=-1)
+    rows = frame.collect()
+    done = stages()
+    return rows, sum(done.apply(i).shuffleWriteRecords() for i in range(done.size()) if done.apply(i).stageId() > last)
+
+
+def test_texts_that_many_ask_for_are_looked_up_once(spark):
+    asks = spark.createDataFrame([(k, f"red {('ring', 'gear')[k % 2]}") for k in range(400)], "ask long, asked string")
+    articles = spark.createDataFrame([(k, ("Red ring", "Blue gear")[k % 2], "Brand") for k in range(400)], "article_id long, title string, abstract string")
+    topics = articles.select("article_id", (F.col("article_id") % 2).cast("int").alias("topic_id"), F.lit(0).alias("source_rank"))
+    keys = spark.createDataFrame([(1, "k0", 0, 0.5, 1, "x"), (2, "k1", 1, 0.9, 1, "y")], "row long, query_key string, topic_id int, score double, match_rank int, display_query string")
+    rows, shuffled = shuffled_rows(spark, resolve.by_article_text(asks, articles, topics, keys))
+    assert {(r.ask % 2, r.query_key) for r in rows} == {(0, "k0"), (1, "k1")} and len(rows) == 400 and shuffled < 20_000
+    aliases = spark.createDataFrame([("nothing", 0)], "alias string, topic_id int")
+    rows, shuffled = shuffled_rows(spark, resolve.lexical_baseline(asks, aliases, articles, topics, 5))
+    got = {r.ask: [] for r in rows}
+    for r in sorted(rows, key=lambda r: (r.ask, r.rank)):
+        got[r.ask].append(r.article_id)
+    assert got[0] == [0, 2, 4, 6, 8] and len(got) == 400 and shuffled < 20_000
