@@ -205,7 +205,8 @@ def p9(t):
 def c7(t):
     """The page of each query: the hybrid score where there is one above 0, else the best topic score."""
     hybrid = t.lineitem.groupBy(F.col("l_partkey").alias("article_id"), (F.col("l_suppkey") % 40).cast("string").alias("query_key")).agg(F.max("l_discount").alias("hybrid"))
-    by_topic = query_map(t).join(article_topics(t), "topic_id").groupBy("query_key", "article_id").agg(F.max("score").alias("topic_score"))
+    best = query_map(t).groupBy("query_key", "topic_id").agg(F.max("score").alias("score"))  # before topics bring their articles
+    by_topic = best.join(article_topics(t), "topic_id").groupBy("query_key", "article_id").agg(F.max("score").alias("topic_score"))
     score = F.round(F.when(F.col("hybrid") > 0, F.col("hybrid")).otherwise(F.coalesce("topic_score", F.lit(0.0))), 6)
     rows = by_topic.join(hybrid, ["query_key", "article_id"], "full").select("query_key", "article_id", score.alias("score"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_key").orderBy(F.col("score").desc(), "article_id"))).where("rank <= 20")

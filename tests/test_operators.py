@@ -408,3 +408,17 @@ def test_texts_that_many_ask_for_are_looked_up_once(spark):
     for r in sorted(rows, key=lambda r: (r.ask, r.rank)):
         got[r.ask].append(r.article_id)
     assert got[0] == [0, 2, 4, 6, 8] and len(got) == 400 and shuffled < 20_000
+
+
+def test_rows_of_a_query_bring_a_topic_s_articles_once(spark, tmp_path):
+    """Two hundred rows of one key and topic, two hundred articles: pairs of key and article are joined, not of rows."""
+    from presswork.plans.registry import QUERIES
+
+    spark.range(200).select((F.col("id") * 25).alias("p_partkey"), F.lit(0).alias("p_size"), F.lit("a").alias("p_name")).write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(200).select((F.col("id") * 1000).alias("s_suppkey"), F.lit(0).alias("s_nationkey"), (F.col("id") * 10.0).alias("s_acctbal")).where("s_suppkey % 25 = 0 AND s_suppkey < 5000").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(25, 40, 0.5)], "l_partkey long, l_suppkey long, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    page = QUERIES["c7_search_scores"](spark, str(tmp_path))
+    assert [(r.query_key, r.article_id, r.score) for r in page.where("rank <= 2").orderBy("rank").collect()] == [("0", 25, 0.5), ("0", 0, 0.004)]
+    joined = page._jdf.queryExecution().optimizedPlan().toString()
+    side = joined[joined.index("topic_score") :]
+    assert side.count("max(score") == 2
