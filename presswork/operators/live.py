@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presswork.functions import text
+from presswork.sources.logs import staged
 
 #: Fixed value: titles of pages that are no articles.
 INVALID_TITLE = r"(?i)^(404|page\s+expired|not\s+found|access\s+denied)\b"
@@ -50,9 +51,9 @@ def near_title_pairs(articles: DataFrame, threshold: float = SAME_TITLE, window:
     give no pair for each two of them, and no link between different titles is lost. Candidates share a rare
     trigram: of the sorted-by-rarity trigrams of a title, two that alike must share one of the first
     n - ceil(threshold * n) + 1. Only hashes, sizes and times are joined on these; titles come in for the pairs that
-    are left. Articles without a title or time take no part.
+    are left, and are cut into trigrams once for each. Articles without a title or time take no part.
     """
-    classes = title_classes(articles, window)
+    classes = staged(title_classes(articles, window), "title-classes")  # read six times
     grams = lambda plain: F.array_distinct(F.transform(text.trigrams(plain), lambda g: F.xxhash64(g)))
     each = classes.select("rep", F.posexplode(grams(F.col("plain"))).alias("_", "gram"))
     rarity = each.groupBy("gram").agg(F.count("*").alias("df"))
@@ -65,9 +66,11 @@ def near_title_pairs(articles: DataFrame, threshold: float = SAME_TITLE, window:
     right = keyed.select(F.col("rep").alias("rep_b"), "gram", F.col("n").alias("n_b"), "slot", F.col("first").alias("first_b"))
     alike = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
     close = F.when(F.col("slot_a") == F.col("slot"), F.col("rep_a") < F.col("rep_b")).otherwise(F.col("first_b") - F.col("last_a") <= window)
-    met = left.join(right, ["gram", "slot"]).where(alike & close).select("rep_a", "rep_b").distinct()
+    met = left.join(right, ["gram", "slot"]).where(alike & close).select("rep_a", "rep_b", (F.col("n_a") + F.col("n_b")).alias("n")).distinct()
     titles = lambda side: classes.select(F.col("rep").alias(f"rep_{side}"), F.col("plain").alias(f"plain_{side}"))
     pairs = met.join(titles("a"), "rep_a").join(titles("b"), "rep_b")
+    shared = F.size(F.array_intersect(text.trigrams(F.col("plain_a")), text.trigrams(F.col("plain_b"))))
+    pairs = pairs.where(shared * (1 + threshold) >= threshold * F.col("n") - 1e-6)
     similarity = text.jaccard(text.trigrams(F.col("plain_a")), text.trigrams(F.col("plain_b")))
     pairs = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), similarity.alias("similarity"), F.lit(False).alias("same")).where(F.col("similarity") >= threshold)
     members = articles.select(F.col("id").alias("b"), text.plain_title(F.col("title")).alias("plain"), F.floor(F.col("discovered_at") / window).alias("slot"))
