@@ -3,6 +3,7 @@
 import hashlib
 import importlib
 import random
+import re
 import time
 
 import duckdb
@@ -121,3 +122,9 @@ def test_trigrams_take_one_pass(spark):
     begun = time.monotonic()
     assert spark.range(1).select(F.size(text.trigrams(F.lit(long)))).first()[0] == len({long[i : i + 3] for i in range(len(long) - 2)})
     assert time.monotonic() - begun < 20
+
+
+def test_no_pair_of_user_and_campaign_is_shuffled(spark, duck):
+    plan = registry.QUERIES["c9_ad_eligibility"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and not re.search("Join .*campaign_id#[0-9]+L? = .*user_id", plan)
+    check_against(spark, duck, "c9_ad_eligibility")
