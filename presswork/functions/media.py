@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,15 +70,16 @@ def publisher_tags(tags: Column, domain: str, most: int = 50) -> Column:
     return F.slice(F.filter(own, lambda t, i: F.array_position(urls, t["url"]) == i + 1), 1, most)
 
 
-@F.pandas_udf(T.StringType())
-def _decoded(body: pd.Series, charset: pd.Series) -> pd.Series:
-    def decode(raw, name):
+@F.udf(T.StringType(), useArrow=False)  # a hundred pages at a time; Arrow would hold 10,000, whatever their length
+def _decoded(body, charsets):
+    """By the first of the charsets that fits."""
+    for name in charsets if body is not None else ():
         try:
-            return None if raw is None or name is None else bytes(raw).decode(name)
+            if name is not None:
+                return bytes(body).decode(name)
         except (UnicodeDecodeError, LookupError):
-            return None
-
-    return pd.Series([decode(*x) for x in zip(body, charset, strict=True)])
+            pass
+    return None
 
 
 def page_text(body: Column, content_type: Column) -> Column:
@@ -89,7 +89,7 @@ def page_text(body: Column, content_type: Column) -> Column:
     named = lambda text: F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)charset\s*=\s*[\"']?\s*([A-Za-z0-9_-]+)", 1))
     fine = lambda name: F.when(name.isin(*CHARSETS), name)
     tries = (fine(named(content_type)), fine(named(head)), F.lit("utf-8"), F.lit("gb18030"))
-    return F.coalesce(*(_decoded(body, name) for name in tries))
+    return _decoded(body, F.array(*tries))
 
 
 def merged_images(api: Column, page: Column) -> Column:

@@ -128,3 +128,10 @@ def test_no_pair_of_user_and_campaign_is_shuffled(spark, duck):
     plan = registry.QUERIES["c9_ad_eligibility"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" in plan and not re.search("Join .*campaign_id#[0-9]+L? = .*user_id", plan)
     check_against(spark, duck, "c9_ad_eligibility")
+
+
+@pytest.mark.parametrize("name", ["f38_page_text", "f40_folded", "f37_body_text", "f30_content_hash_nfkc"])
+def test_texts_go_to_python_a_hundred_at_a_time(spark, name):
+    """An Arrow batch of 10,000 texts took some 500 MB of each worker."""
+    plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("BatchEvalPython") == 1
