@@ -56,19 +56,20 @@ def hashed_sample(rows: DataFrame, id_col: str, seed: str, n: int) -> DataFrame:
 def blend_slots(organic: DataFrame, sponsored: DataFrame, request: str, page_size: int) -> DataFrame:
     """Pages of items with the sponsored ones at their slots and the organic ones, in rank order, at the others.
 
-    organic: request, item, rank (from 1, no gaps). sponsored: request, item, slot. Returns request, position,
-    item, is_sponsored. A page ends where no organic item is left.
+    organic: request, item, rank (from 1, no gaps). sponsored: request, item, slot; of several at a slot the smallest.
+    Returns request, position, item, is_sponsored. A page ends where no organic item is left. Requests are joined as one
+    row each, so rows that are dealt by request already are not shuffled.
     """
-    requests = organic.select(request).unionByName(sponsored.select(request)).distinct()
-    places = requests.withColumn("position", F.explode(F.sequence(F.lit(1), F.lit(page_size))))
-    taken = sponsored.where(F.col("slot").between(1, page_size)).select(request, F.col("slot").alias("position"), F.col("item").alias("_ad"))
-    places = places.join(taken, [request, "position"], "left")
-    free = F.sum(F.col("_ad").isNull().cast("int")).over(Window.partitionBy(request).orderBy("position"))
-    places = places.withColumn("_rank", F.when(F.col("_ad").isNull(), free))
-    filled = places.join(organic.select(request, F.col("rank").alias("_rank"), "item"), [request, "_rank"], "left")
-    gap = F.min(F.when(F.col("_ad").isNull() & F.col("item").isNull(), F.col("position"))).over(Window.partitionBy(request))
-    filled = filled.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("position") < F.col("_gap")))
-    return filled.select(request, "position", F.coalesce("_ad", "item").alias("item"), F.col("_ad").isNotNull().alias("is_sponsored"))
+    first = organic.where(F.col("rank").between(1, page_size) & F.col("item").isNotNull()).groupBy(request).agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("_organic"))
+    taken = sponsored.where(F.col("slot").between(1, page_size) & F.col("item").isNotNull()).groupBy(request).agg(F.array_sort(F.collect_list(F.struct("slot", "item"))).alias("_ads"))
+    empty = lambda c, df: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
+    pages = first.join(taken, request, "full").select(request, empty("_organic", first), empty("_ads", taken))
+    slots, left = F.array_distinct(F.col("_ads.slot")), F.size(F.filter("_organic", lambda x, i: x["rank"] == i + 1))
+    place = lambda p, free: F.struct(p.alias("position"), free.alias("free"), F.get(F.filter("_ads", lambda a: a["slot"] == p), F.lit(0))["item"].alias("ad"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(page_size)), lambda p: place(p, p - F.size(F.filter(slots, lambda s: s <= p))))
+    filled = pages.select(request, "_organic", F.explode(F.filter(places, lambda x: x["free"] <= left)).alias("x"))
+    item = F.coalesce("x.ad", F.get(F.col("_organic"), F.col("x.free") - 1)["item"])
+    return filled.select(request, "x.position", item.alias("item"), F.col("x.ad").isNotNull().alias("is_sponsored"))
 
 
 def latest_k(rows: DataFrame, user: str, time: str, key: str, k: int, distinct: bool, tie: str) -> DataFrame:

@@ -43,12 +43,8 @@ def past_profile(t):
     return feed.profile_as_of(clicks, t.requests)
 
 
-#: Requests of one partition: each has some seventy candidates, which are ranked in it.
-REQUESTS_EACH = 1 << 15
-
-
 def partitions(t) -> int:
-    return max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-t.requests.count() // REQUESTS_EACH))
+    return t.request_partitions()
 
 
 def profiles_and_shelf(t):

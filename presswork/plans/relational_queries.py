@@ -415,8 +415,9 @@ def l4(t):
     "f AS (SELECT p.request_id, p.position, p.ad, o.article_id, min(CASE WHEN p.ad IS NULL AND o.article_id IS NULL THEN p.position END) OVER (PARTITION BY p.request_id) AS gap FROM p LEFT JOIN o ON p.ad IS NULL AND o.request_id = p.request_id AND o.rank = p.k)")) +
     "SELECT request_id, position::INT AS position, coalesce(ad, article_id)::BIGINT AS item, ad IS NOT NULL AS is_sponsored FROM f WHERE gap IS NULL OR position < gap")
 def l10(t):
-    organic = t.impressions.select("request_id", F.col("article_id").alias("item"), F.row_number().over(Window.partitionBy("request_id").orderBy("position", "article_id")).alias("rank"))
-    ads = t.impressions.where("request_id % 3 = 0").select("request_id").distinct().select("request_id", F.lit(-1).cast("long").alias("item"), F.lit(2).alias("slot"))
+    rows = t.dealt_impressions()
+    organic = rows.select("request_id", F.col("article_id").alias("item"), F.row_number().over(Window.partitionBy("request_id").orderBy("position", "article_id")).alias("rank"))
+    ads = rows.where("request_id % 3 = 0").select("request_id").distinct().select("request_id", F.lit(-1).cast("long").alias("item"), F.lit(2).alias("slot"))
     return ordered.blend_slots(organic, ads, "request_id", 6)
 
 

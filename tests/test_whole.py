@@ -135,3 +135,11 @@ def test_texts_go_to_python_a_hundred_at_a_time(spark, name):
     """An Arrow batch of 10,000 texts took some 500 MB of each worker."""
     plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan and plan.count("BatchEvalPython") == 1
+
+
+def test_pages_are_made_where_requests_are_dealt(spark, duck, monkeypatch):
+    """More requests give more partitions, not larger ones, and no join by request shuffles them again."""
+    monkeypatch.setattr("presswork.plans.bindings.REQUESTS_EACH", 100)
+    plan = registry.QUERIES["l10_slot_blend"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(request_id#[0-9]+L, 15\), REPARTITION_BY_NUM", plan) and "ENSURE_REQUIREMENTS" not in plan
+    check_against(spark, duck, "l10_slot_blend")
