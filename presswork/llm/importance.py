@@ -32,6 +32,7 @@ LENGTHS = 3  # of the n-grams, in words, at most
 BLOCK = 8 << 20  # bytes of text, but always whole texts
 PARTITION = 1_500_000  # occurrences of n-grams to a partition of the dictionary
 ROUNDS = 3
+ADDERS = 8  # tasks that add up the partitions' totals
 SHARES = 2  # of the blocks, when the answers come back
 _BREAK = np.zeros(256, bool)
 _BREAK[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
@@ -40,7 +41,7 @@ _ZSTD = pa.Codec("zstd", 1)
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return len(x.tobytes()).to_bytes(8, "little") + _ZSTD.compress(x.tobytes(), asbytes=True)
+    return x.nbytes.to_bytes(8, "little") + _ZSTD.compress(x.tobytes(), asbytes=True)
 
 
 def _unpacked(x: bytes, kind: type = np.uint8) -> np.ndarray:
@@ -110,18 +111,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Features:
-    """The distinct n-grams of a block, in order of n and of the words' numbers: their words, counts and hashes; if asked
-    for, also which of them stands at each place of the texts."""
+    """The distinct n-grams of a block, in order of n and of the words' numbers, with their partitions of the dictionary.
 
-    def __init__(self, n_words: np.ndarray, number: np.ndarray, vocabulary: np.ndarray, places: bool):
+    If asked for, also which of them stands at each place of the texts; of a share, only those of its partitions. Their words
+    and counts are left out where nobody needs them, as a block's n-grams are many times its text.
+    """
+
+    def __init__(self, n_words: np.ndarray, number: np.ndarray, vocabulary: np.ndarray, places: bool, partitions: int = 1, share: int | None = None, spelt: bool = True):
         ends = np.flatnonzero(vocabulary == 32) + 1
         offsets = np.r_[0, ends].astype(np.int32)
         of = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
         self.inner, self.last = of(vocabulary), of(np.where(vocabulary == 32, np.uint8(10), vocabulary))  # with a space or a line's end behind each word
         word_hash = _hashes(vocabulary, offsets[:-1], offsets[1:])
         row, n, bits = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words), len(number), max(1, len(ends).bit_length())
-        self.row, self.words, self.counts, self.where, hashes = [], [], [], [], []
-        key, words_of = number.astype(np.int64), [np.arange(len(ends))]  # the n-gram at each place, and the words of each n-gram
+        self.row, self.words, self.counts, self.where, found = [], [], [], [], []
+        key, words_of = number.astype(np.int64), []  # the n-gram at each place, and the words of each n-gram
         for k in range(LENGTHS):
             inside = row[k:] == row[: max(0, n - k)]
             if k:
@@ -133,27 +137,37 @@ class _Features:
                     numbered = False
                 key = key[: max(0, n - k)] << bits | number[k:]
             distinct, count, index = _distinct(key[inside], places)
-            if k:
+            if not k:
+                words_of = [distinct.astype(np.int32)]
+            else:
                 rest = distinct >> bits
-                words_of = [*([w[rest] for w in words_of] if numbered else [rest >> bits * (k - 1 - i) & (1 << bits) - 1 for i in range(k)]), distinct & (1 << bits) - 1]
+                firsts = [w[rest] for w in words_of] if numbered else [(rest >> bits * (k - 1 - i) & (1 << bits) - 1).astype(np.int32) for i in range(k)]
+                words_of = [*firsts, (distinct & (1 << bits) - 1).astype(np.int32)]
+                del rest, firsts
+            del distinct
             before = inside
-            self.row.append(row[: max(0, n - k)][inside])
-            self.where.append(index)
-            self.words.append(words_of)
-            self.counts.append(count)
-            both = sum((word_hash[w] * f for w, f in zip(words_of, _FACTORS, strict=False)), np.uint64(k))
-            hashes.append(mixed(both))
-        self.hashes = np.concatenate(hashes)
-        self.base = np.cumsum([0, *(len(c) for c in self.counts)])
-
-    def parts(self, partitions: int, share: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The n-grams (of one share of the partitions) by partition of the dictionary: their places; each partition
-        that has any, and where it begins."""
-        part = (self.hashes % np.uint64(partitions)).astype(np.min_scalar_type(partitions))
-        places = np.arange(len(part)) if share is None else np.flatnonzero(part % ROUNDS == share)
-        order = places[np.argsort(part[places], kind="stable")]
-        found, begin = np.unique(part[order], return_index=True)
-        return order, found, np.r_[begin, len(order)]
+            both = np.full(len(count), k, np.uint64)
+            for w, f in zip(words_of, _FACTORS, strict=False):
+                both += word_hash[w] * f
+            part = (mixed(both) % np.uint64(partitions)).astype(np.min_scalar_type(partitions))
+            del both
+            if places:
+                self.row.append(row[: max(0, n - k)][inside])
+                self.where.append(index)
+            own = slice(None) if share is None else np.flatnonzero(part % ROUNDS == share)
+            if spelt:
+                self.words.append([w[own] for w in words_of])
+                self.counts.append(count[own].astype(np.uint32))
+            found.append(part[own])
+        self.part = np.concatenate(found)
+        self.base = np.cumsum([0, *(len(p) for p in found)])
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams by partition of the dictionary: their places; each partition that has any, and where it begins."""
+        order = np.argsort(self.part, kind="stable").astype(np.int32)
+        size = np.bincount(self.part)
+        found = np.flatnonzero(size)
+        return order, found, np.r_[0, np.cumsum(size[found])]
 
     def strings(self, places: np.ndarray) -> np.ndarray:
         """The n-grams at some places (in rising order), a line each."""
@@ -168,9 +182,9 @@ class _Features:
         return np.concatenate(out)
 
 
-def _features(block: pa.RecordBatch | pa.Table, i: int, places: bool = False) -> tuple[np.ndarray, _Features]:
+def _features(block: pa.RecordBatch | pa.Table, i: int, places: bool, partitions: int, share: int | None = None) -> tuple[np.ndarray, _Features]:
     n_words, number, vocabulary = (_unpacked(block.column(c)[i].as_py(), kind) for c, kind in (("n_words", np.int32), ("words", np.int32), ("vocabulary", np.uint8)))
-    return n_words, _Features(n_words, number, vocabulary, places)
+    return n_words, _Features(n_words, number, vocabulary, places, partitions, share, not places)
 
 
 def _sent(partitions: int, share: int):
@@ -179,9 +193,9 @@ def _sent(partitions: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                _, features = _features(batch, i)
-                order, found, begin = features.parts(partitions, share)
-                counts = np.concatenate(features.counts).astype(np.uint32)
+                _, features = _features(batch, i, False, partitions, share)
+                order, found, begin = features.parts()
+                counts = np.concatenate(features.counts)
                 for part, a, b in zip(found.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([part], pa.int32()), batch.column("block").slice(i, 1), pa.array([_packed(features.strings(order[a:b]))], pa.binary()), pa.array([_packed(counts[order[a:b]])], pa.binary())],
@@ -264,10 +278,23 @@ def dictionary(blocks: DataFrame, partitions: int, buckets: int = BUCKETS) -> tu
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    totals = np.zeros(buckets, np.int64)
-    summed = out.where("block IS NULL").select(F.posexplode("totals").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    totals[summed.bucket] = summed.n
-    return out, totals
+    return out, summed(out.where("block IS NULL"), buckets)
+
+
+def summed(rows: DataFrame, buckets: int) -> np.ndarray:
+    """The sum of the arrays `totals`: within tasks, then in ADDERS groups, so that neither rows nor what reaches the driver
+    grow with the number of partitions."""
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, any_ = np.zeros(buckets, np.int64), False
+        for batch in batches:
+            for x in batch.column("totals"):
+                total, any_ = total + np.asarray(x.values), True
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], names=["totals"])
+
+    dealt = rows.select("totals").mapInArrow(within, "totals array<long>").repartition(ADDERS)
+    return sum((np.asarray(r.totals, np.int64) for r in dealt.mapInArrow(within, "totals array<long>").collect()), np.zeros(buckets, np.int64))
 
 
 def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -283,10 +310,10 @@ def _weighed(gain: np.ndarray, partitions: int):
         if not len(block):  # totals have no block
             return pa.table({"id": pa.array([], block.schema.field("ids").type.value_type), "n_words": pa.array([], pa.int64()), "weight": pa.array([], pa.int64())})
         block = block.combine_chunks()
-        n_words, features = _features(block, 0, places=True)
+        n_words, features = _features(block, 0, True, partitions)
         weight = np.zeros(len(n_words), np.int64)
         if len(answers):
-            order, _, _ = features.parts(partitions)
+            order, _, _ = features.parts()
             kind = np.min_scalar_type(len(gain) - 1)
             by_part = sorted(zip(answers["part"].to_pylist(), answers["buckets"].to_pylist(), strict=True))
             of_feature = np.empty(len(order), np.int64)

@@ -163,6 +163,27 @@ def test_keys_of_very_many_words():
         assert (small.counts[k] == large.counts[k]).all() and (small.where[k] == large.where[k]).all()
 
 
+def test_a_share_holds_its_own_features_only():
+    rng = np.random.default_rng(1)
+    words = np.frombuffer(b"".join(b"w%d " % i for i in range(500)), np.uint8)
+    number, n_words = rng.integers(0, 500, 5_000).astype(np.int32), np.array([2_000, 3_000], np.int32)
+    whole = importance._Features(n_words, number, words, False, 12)
+    strings = lambda f: f.strings(np.arange(f.base[-1])).tobytes().split(b"\n")[:-1]
+    expected, got = dict(zip(strings(whole), np.concatenate(whole.counts), strict=True)), {}
+    for share in range(importance.ROUNDS):
+        part = importance._Features(n_words, number, words, False, 12, share)
+        assert len(part.part) < 0.4 * len(whole.part) and set(part.part % importance.ROUNDS) == {share}
+        got |= dict(zip(strings(part), np.concatenate(part.counts), strict=True))
+    assert got == expected
+
+
+def test_totals_are_added_up_in_a_fixed_number_of_rows(spark):
+    """No row for each bucket of each partition of the dictionary."""
+    rows = spark.createDataFrame([([i, 1, 0],) for i in range(100)], "totals array<long>")
+    assert importance.summed(rows, 3).tolist() == [4950, 100, 0]
+    assert importance.summed(rows.where("false"), 3).tolist() == [0, 0, 0]
+
+
 def test_crc32_equals_zlib():
     parts = [b"", b"a", b"abc def", b"x" * 96, b"y" * 97, bytes(range(256))]
     data, end = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
