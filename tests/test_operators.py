@@ -4,6 +4,7 @@ import gzip
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -422,3 +423,23 @@ def test_rows_of_a_query_bring_a_topic_s_articles_once(spark, tmp_path):
     joined = page._jdf.queryExecution().optimizedPlan().toString()
     side = joined[joined.index("topic_score") :]
     assert side.count("max(score") == 2
+
+
+def test_factor_top_k_equals_brute_force(spark):
+    """Over several blocks, with equal and zero vectors, a user's list is that of all pairs; and no task holds more than a block."""
+    rng = np.random.default_rng(3)
+    users, items = rng.normal(size=(60, 8)).astype(np.float32), rng.normal(size=(900, 8)).astype(np.float32) * rng.lognormal(size=(900, 1)).astype(np.float32)
+    items[100:130], users[0] = items[5], 0
+    frame = lambda x: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, features array<float>")
+    got = search.factor_top_k(frame(users), frame(items), 7, block=200).collect()
+    by_user = {}
+    for r in sorted(got, key=lambda r: (r.id, r["rank"])):
+        by_user.setdefault(r.id, []).append((r.doc, r.score))
+    assert len(by_user) == 60
+    exact = users.astype(float) @ items.T.astype(float)
+    for u, hits in by_user.items():
+        rows = np.lexsort((np.arange(900), -np.round(exact[u], 10)))[:7]
+        assert [d for d, _ in hits] == rows.tolist()
+        assert np.allclose([s for _, s in hits], exact[u][rows], rtol=1e-12)
+    assert search.factor_top_k(frame(users), frame(items).where("id < 3"), 7).count() == 180
+    assert search.factor_top_k(frame(users), frame(items).where("false"), 7).count() == 0
