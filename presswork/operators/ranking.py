@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.sources.logs import shared_path
+from presswork.sources.logs import shared_path, write_once
 
 
 def pair_gradients(labels: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +42,31 @@ def pair_gradients(labels: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray,
     return g, h
 
 
+def gradients(labels: np.ndarray, scores: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """pair_gradients of many requests, which lie one behind the other: all those of one size together."""
+    start, g, h = np.cumsum(size) - size, np.zeros(len(labels)), np.zeros(len(labels))
+    for n in np.unique(size).tolist():
+        of_size = start[size == n]
+        if n > 256:  # a square of pairs would be large
+            for a in of_size.tolist():
+                g[a : a + n], h[a : a + n] = pair_gradients(labels[a : a + n], scores[a : a + n])
+            continue
+        step = max(1, (1 << 18) // max(1, n * n))
+        for i in range(0, len(of_size), step):
+            at = of_size[i : i + step, None] + np.arange(n)
+            y, s = labels[at], scores[at]
+            rank = np.argsort(np.argsort(-s, 1, kind="stable"), 1, kind="stable")
+            gain, discount = 2.0**y - 1, 1 / np.log2(rank + 2.0)
+            ideal = (np.sort(gain, 1)[:, ::-1] / np.log2(np.arange(n) + 2.0)).sum(1)
+            pairs = lambda x: x[:, :, None] - x[:, None, :]
+            above = (y[:, :, None] > y[:, None, :]) & (ideal > 0)[:, None, None]
+            weight = np.abs(pairs(gain)) * np.abs(pairs(discount)) * above / np.where(ideal > 0, ideal, 1)[:, None, None]
+            p = 1 / (1 + np.exp(np.clip(pairs(s), -50, 50)))
+            first, second = p * weight, p * (1 - p) * weight
+            g[at], h[at] = first.sum(1) - first.sum(2), second.sum(1) + second.sum(2)
+    return g, h
+
+
 @dataclass
 class Tree:
     """Splits by node (feature, bin: rows up to the bin go left to 2i + 1, others to 2i + 2) and values of the leaves."""
@@ -58,8 +83,10 @@ class Tree:
         return at
 
     def score(self, bins: np.ndarray) -> np.ndarray:
-        at = self.nodes(bins)
-        return np.vectorize(lambda n: self.values.get(n, 0.0), otypes=[float])(at) if len(at) else np.empty(0)
+        value = np.zeros(2 * max(self.splits, default=0) + 3)
+        for node, v in self.values.items():
+            value[node] = v
+        return value[self.nodes(bins)]
 
 
 @dataclass
@@ -100,9 +127,10 @@ def fit_lambdarank(
     packed = filled.mapInArrow(pack, f"{request} {kind}, label int, bins binary")
     each = F.collect_list(F.struct("label", "bins"))
     path = shared_path(spark, "ranker-rows")
-    packed.groupBy(request).agg(F.array_sort(each).alias("x")).where(F.size(F.array_distinct(F.transform("x", lambda r: r["label"]))) > 1).select(
+    pairs = packed.groupBy(request).agg(F.array_sort(each).alias("x")).where(F.size(F.array_distinct(F.transform("x", lambda r: r["label"]))) > 1).select(
         F.transform("x", lambda r: r["label"]).alias("labels"), F.transform("x", lambda r: r["bins"]).alias("bins")
-    ).write.parquet(path)
+    )
+    write_once(pairs, path)
     staged = spark.read.parquet(path)
 
     def histograms(tree: Tree, open_: list[int]) -> dict[int, np.ndarray]:
@@ -112,11 +140,7 @@ def fit_lambdarank(
                 cells = np.frombuffer(b"".join(b for b in batch.column("bins").flatten().to_pylist()), np.uint8).reshape(-1, len(features))
                 labels = np.asarray(batch.column("labels").flatten())
                 size = np.asarray(batch.column("labels").value_lengths())
-                scores, ends = ranker.margin(cells), np.cumsum(size)
-                parts = [pair_gradients(labels[b - n : b], scores[b - n : b]) for n, b in zip(size, ends, strict=True)]
-                if not parts:
-                    continue
-                g, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+                g, h = gradients(labels, ranker.margin(cells), size)
                 at = tree.nodes(cells)
                 for k, node in enumerate(open_):
                     here = at == node
