@@ -20,17 +20,19 @@ def ideal_dcg(n) -> F.Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
 
 
-def request_metrics(ranking: DataFrame, request: str, label: str, cutoffs: tuple[int, ...]) -> DataFrame:
+def request_metrics(ranking: DataFrame, request: str | list[str], label: str, cutoffs: tuple[int, ...], more: tuple[F.Column, ...] = ()) -> DataFrame:
     """Recall and NDCG at each cutoff, and the reciprocal rank of the first relevant item.
 
-    One row per request that has a relevant item; others say nothing about a ranking and are left out.
+    One row per request (or per combination of several columns) that has a relevant item; others say nothing about a
+    ranking and are left out. more: further aggregates of the same groups, which stand behind the keys.
     """
+    keys = [request] if isinstance(request, str) else request
     sums = [F.sum(label).alias("positives"), F.min(F.when(F.col(label) == 1, F.col("rank"))).alias("first")]
     for k in cutoffs:
         inside = F.when(F.col("rank") <= k, F.col(label)).otherwise(0)
         sums += [F.sum(inside).alias(f"hits_{k}"), F.sum(inside / F.log2(F.col("rank") + 1.0)).alias(f"dcg_{k}")]
-    per = ranking.groupBy(request).agg(*sums).where("positives > 0")
-    out = [request, (1.0 / F.col("first")).alias("mrr")]
+    per = ranking.groupBy(*keys).agg(*sums, *more).where("positives > 0")
+    out = [*keys, *per.columns[len(keys) + len(sums) :], (1.0 / F.col("first")).alias("mrr")]
     for k in cutoffs:
         out += [(F.col(f"hits_{k}") / F.col("positives")).alias(f"recall_{k}"), (F.col(f"dcg_{k}") / ideal_dcg(F.least("positives", F.lit(k)))).alias(f"ndcg_{k}")]
     return per.select(*out)

@@ -12,9 +12,9 @@ from presswork.sources.logs import staged
 
 def rank_arms(candidates: DataFrame, arms: dict[str, Column], keep: list[str], request: str = "request_id", item: str = "article_id") -> DataFrame:
     """arm, request, item, the kept columns and rank under each arm's score: highest first, ties by item. All arms are
-    ranked in one pass over the candidates."""
+    ranked in one pass over the candidates, which are shuffled once, by request, before there is a row for each arm."""
     each = F.array(*(F.struct(F.lit(name).alias("arm"), score.cast("double").alias("score")) for name, score in arms.items()))
-    long = candidates.select(request, item, *keep, F.explode(each).alias("x")).select(request, item, *keep, "x.arm", "x.score")
+    long = candidates.select(request, item, *keep, each.alias("_arms")).repartition(request).select(request, item, *keep, F.explode("_arms").alias("x")).select(request, item, *keep, "x.arm", "x.score")
     order = Window.partitionBy("arm", request).orderBy(F.col("score").desc(), item)
     return long.withColumn("rank", F.row_number().over(order))
 
@@ -37,26 +37,39 @@ def list_quality(ranking: DataFrame, by: list[str], topics: str, k: int) -> Data
     Similarity is the factors' cosine in [0, 1] where both have them, else the topics' Jaccard. Pairs are formed within
     the k first only.
     """
-    fields = ["rank", topics, "category", *(["factors"] if "factors" in ranking.columns else [])]
-    lists = ranking.where(F.col("rank") <= k).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("x"))
-    cosine = lambda a, b: text.cosine(a["factors"], b["factors"]) if "factors" in ranking.columns else F.lit(None).cast("double")
+    lists = ranking.where(F.col("rank") <= k).groupBy(*by).agg(_first(ranking.columns, topics, k).alias("x"))
+    return lists.select(*by, *_quality("factors" in ranking.columns, topics))
+
+
+def _first(columns: list[str], topics: str, k: int) -> Column:
+    """The aggregate of a list's first k."""
+    fields = ["rank", topics, "category", *(["factors"] if "factors" in columns else [])]
+    return F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct(*fields))))
+
+
+def _quality(with_factors: bool, topics: str) -> list[Column]:
+    """What list_quality gives, of the lists x."""
+    whole = lambda v: v.cast("array<double>")
+    cosine = lambda a, b: text.cosine(whole(a["factors"]), whole(b["factors"])) if with_factors else F.lit(None).cast("double")
     later = lambda a: F.filter("x", lambda b: b["rank"] > a["rank"])
     pairs = F.flatten(F.transform("x", lambda a: F.transform(later(a), lambda b: text.hybrid_similarity(cosine(a, b), a[topics], b[topics]))))
     n = F.size("x") * (F.size("x") - 1) / 2
     mean = F.coalesce(F.try_divide(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x), n), F.lit(0.0))
-    return lists.select(
-        *by, F.size(F.array_distinct(F.transform("x", lambda a: a["category"]))).alias("category_diversity"),
+    return [
+        F.size(F.array_distinct(F.transform("x", lambda a: a["category"]))).alias("category_diversity"),
         F.size(F.array_distinct(F.flatten(F.transform("x", lambda a: a[topics])))).alias("topic_coverage"), mean.alias("similarity"),
-    )
+    ]
 
 
 def measure(ranking: DataFrame, splits: list[str], cutoffs: tuple[int, ...], k: int, topics: str = "topics", request: str = "request_id", label: str = "label") -> DataFrame:
-    """arm, splits, metric, value: means over the requests that have a relevant item, and `requests`, how many these are."""
+    """arm, splits, metric, value: means over the requests that have a relevant item, and `requests`, how many these are.
+
+    Metrics and lists come from one grouping, which needs no shuffle of rows that rank_arms dealt by request."""
     keys = ["arm", *splits, request]
-    marked = ranking.withColumn("_key", F.struct(*keys))
-    per = evaluation.request_metrics(marked, "_key", label, cutoffs).join(list_quality(marked, ["_key"], topics, k), "_key")
-    names = [c for c in per.columns if c != "_key"]
-    means = per.select("_key.*", *names).groupBy("arm", *splits).agg(F.count("*").cast("double").alias("requests"), *(F.round(F.avg(c), 6).alias(c) for c in names))
+    per = evaluation.request_metrics(ranking, keys, label, cutoffs, (_first(ranking.columns, topics, k).alias("x"),))
+    per = per.select(*(c for c in per.columns if c != "x"), *_quality("factors" in ranking.columns, topics))
+    names = [c for c in per.columns if c not in keys]
+    means = per.groupBy("arm", *splits).agg(F.count("*").cast("double").alias("requests"), *(F.round(F.avg(c), 6).alias(c) for c in names))
     return means.unpivot(["arm", *splits], ["requests", *names], "metric", "value")
 
 

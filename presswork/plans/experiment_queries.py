@@ -21,8 +21,9 @@ CUTOFFS, FIRST = (1, 2, 5), 5
 
 def candidates(t):
     """All impressions with their features as of their request, the split, and what lists are judged by."""
-    before = item_counts(t, t.impressions.where(F.col("event_ts") < TEST)).select("article_id", F.col("hot").alias("total_hot"))
-    rows = features(t).join(before, "article_id", "left").withColumn("total_hot", F.coalesce("total_hot", F.lit(0)))
+    shown = staged(t.impressions, "impressions")
+    before = item_counts(t, shown.where(F.col("event_ts") < TEST)).select("article_id", F.col("hot").alias("total_hot"))
+    rows = features(t, shown).join(before, "article_id", "left").withColumn("total_hot", F.coalesce("total_hot", F.lit(0)))
     split = F.when(F.col("event_ts") < CHOOSE, "train").when(F.col("event_ts") < TEST, "choose").otherwise("test")
     history = F.when(F.col("user_behavior_score") == 0, "cold").otherwise("warm")
     return rows.select("request_id", "article_id", "user_id", "event_ts", "label", "category", F.array("category", "subcategory").alias("topics"), split.alias("split"), history.alias("history"), "total_hot", *FEATURES)
@@ -56,7 +57,7 @@ def factors(t, rows):
 
     clicks = rows.where("split = 'train' AND label = 1").groupBy(F.col("user_id").cast("int").alias("user_id"), F.col("article_id").cast("int").alias("article_id")).agg(F.sum("label").cast("float").alias("rating"))
     model = ALS(rank=16, maxIter=5, regParam=0.05, implicitPrefs=True, seed=42, userCol="user_id", itemCol="article_id", ratingCol="rating").fit(clicks)
-    number = lambda df, name, to: df.select(F.col("id").cast("long").alias(name), F.col("features").cast("array<double>").alias(to))
+    number = lambda df, name, to: df.select(F.col("id").cast("long").alias(name), F.col("features").alias(to))
     return number(model.userFactors, "user_id", "u"), number(model.itemFactors, "article_id", "factors")
 
 
@@ -75,25 +76,27 @@ def k63(t):
     rows = staged(candidates(t), "candidates")
     users, items = factors(t, rows)
     later = rows.where("split <> 'train'").join(users, "user_id", "left").join(items, "article_id", "left")
-    product = F.aggregate(F.zip_with("u", "factors", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    product = F.aggregate(F.zip_with("u", "factors", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     later = later.withColumn("als", F.when(F.col("u").isNotNull() & F.col("factors").isNotNull(), product).otherwise(0.0))
     ranker = ranking.fit_lambdarank(rows.where("split = 'train'"), FEATURES, rounds=4)
-    ranked_by = ranking.score_rows(later.drop("u", "factors", "topics"), ranker, ["request_id", "article_id"]).withColumnRenamed("score", "lambdarank")
-    later = staged(later.join(ranked_by, ["request_id", "article_id"]), "scored")
+    kept = ["request_id", "article_id", "label", "category", "topics", "factors", "split", "base_score", "topic_match_score", "als"]
+    later = staged(ranking.score_rows(later, ranker, kept).withColumnRenamed("score", "lambdarank"), "scored")
     manual = F.col("base_score") + F.col("topic_match_score")
     arms = {"category_profile_manual": manual, "als_recall_manual": manual + scores.als_boost(F.col("als")), "lambdarank": F.col("lambdarank")}
-    all_arms = staged(experiments.rank_arms(later, arms, ["label", "category", "topics", "factors", "split"]), "arms")
-    base = all_arms.where("arm = 'category_profile_manual'")
+    # factors go with the arm that is re-ranked by them only
+    base = lambda split: experiments.rank_arms(later.where(F.col("split") == split), {"category_profile_manual": manual}, ["label", "category", "topics", "factors"])
+    choose = staged(base("choose"), "choose")
     penalties = {f"mmr_{p}": p for p in (0.02, 0.1, 0.3)}
     chosen_on = lambda r, p: experiments.measure(r, [], CUTOFFS, FIRST).withColumn("penalty", F.lit(p).cast("double"))
-    sweep = chosen_on(base.where("split = 'choose'"), None)
+    sweep = chosen_on(choose, None)
     for name, p in penalties.items():
-        sweep = sweep.unionByName(chosen_on(experiments.with_mmr(base.where("split = 'choose'"), name, p, FIRST, "topics"), p))
+        sweep = sweep.unionByName(chosen_on(experiments.with_mmr(choose, name, p, FIRST, "topics"), p))
     best = experiments.choose_penalty(sweep, "category_profile_manual", FIRST).first()
-    test = all_arms.where("split = 'test'").drop("split")
+    judged = ["arm", "request_id", "label", "rank"]
+    test = experiments.rank_arms(later.where("split = 'test'"), arms, ["label"]).select(*judged)
     compared = ["als_recall_manual", "lambdarank"]
     if best:
-        test = test.unionByName(experiments.with_mmr(base.where("split = 'test'").drop("split"), best.arm, best.penalty, FIRST, "topics"))
+        test = test.unionByName(experiments.with_mmr(base("test"), best.arm, best.penalty, FIRST, "topics").select(*judged))
         compared.append(best.arm)
     test = staged(test, "test")
     out = None

@@ -37,9 +37,9 @@ def catalog(t):
     return t.articles.join(item_counts(t).select("article_id", "hot"), "article_id", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
 
 
-def past_profile(t):
+def past_profile(t, shown=None):
     """The profile of each request's user, of clicks before the request only."""
-    clicks = t.impressions.where("clicked = 1").join(t.articles, "article_id").select("user_id", "category", "event_ts")
+    clicks = (t.impressions if shown is None else shown).where("clicked = 1").join(t.articles, "article_id").select("user_id", "category", "event_ts")
     return feed.profile_as_of(clicks, t.requests)
 
 
@@ -153,11 +153,12 @@ def f22(t):
     return features(t).select("request_id", "article_id", "label", *(scores.to_millionths(F.col(c)).alias(c) if c in rounded else c for c in FEATURES))
 
 
-def features(t):
+def features(t, shown=None):
     """The features of each impression, from what was known before it: counts of the article up to the place before, the
-    user's clicks at earlier times."""
-    rows = prior_counts(t.impressions, "article_id", ["event_ts", "request_id", "position"], first="first_ts")
-    profile = past_profile(t)
+    user's clicks at earlier times. shown: the impressions, if they are staged already; they are read three times."""
+    shown = staged(t.impressions, "impressions") if shown is None else shown
+    rows = prior_counts(shown, "article_id", ["event_ts", "request_id", "position"], first="first_ts")
+    profile = past_profile(t, shown)
     length = profile.groupBy(*MOMENT).agg(F.max("history_length").alias("user_behavior_score"), F.count("*").alias("user_topic_count"))
     rows = rows.join(t.articles, "article_id").join(F.broadcast(default_shares(t, "default_topic_score")), "category").join(length, MOMENT, "left").join(profile.select(*MOMENT, "category", "weight"), [*MOMENT, "category"], "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("user_behavior_score", "user_topic_count")}).withColumn("personalized_topic_score", F.coalesce("weight", F.lit(0.0)))

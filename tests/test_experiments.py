@@ -125,3 +125,33 @@ def test_penalty_that_is_kept(spark):
     sweep = spark.createDataFrame(rows, "arm string, penalty double, metric string, value double")
     assert experiments.choose_penalty(sweep, "base", 5).first() == ("best", 0.3)
     assert experiments.choose_penalty(sweep.where("arm in ('base', 'worse', 'drops')"), "base", 5).first() is None
+
+
+def test_gradients_of_many_requests_equal_those_of_each():
+    rng = np.random.default_rng(4)
+    size = np.r_[rng.integers(1, 9, 200), 300, 0, 40]
+    labels, scores = rng.integers(0, 3, size.sum()), np.round(rng.normal(size=size.sum()), 1)
+    labels[: size[:20].sum()] = 0
+    g, h = ranking.gradients(labels, scores, size)
+    ends = np.cumsum(size)
+    each = [ranking.pair_gradients(labels[b - n : b], scores[b - n : b]) for n, b in zip(size, ends, strict=True)]
+    assert np.allclose(g, np.concatenate([x[0] for x in each])) and np.allclose(h, np.concatenate([x[1] for x in each]))
+
+
+def test_arms_are_shuffled_by_request_before_they_are_ranked(spark):
+    """One shuffle of the candidates, and none of the rows of each arm."""
+    rows = spark.createDataFrame([(q, i, i % 2, "c", [q, i]) for q in range(30) for i in range(4)], "request_id int, article_id int, label int, category string, topics array<int>")
+    ranked = experiments.rank_arms(rows, {"up": F.col("article_id"), "down": -F.col("article_id")}, ["label", "category", "topics"])
+    measured = experiments.measure(ranked, [], (1, 2), 2)
+    plan = measured._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(request_id") == 1 and "Join" not in plan
+    got = {(r.arm, r.metric): r.value for r in measured.collect()}
+    assert got["down", "recall_1"] == 0.0 and got["up", "recall_2"] == 0.5 and got["up", "mrr"] == 1.0 and got["up", "requests"] == 30
+
+
+def test_staging_gives_the_rows_and_the_setting_back(spark):
+    from presswork.sources import logs
+
+    before = spark.conf.get(logs._CLEANUP, "false")
+    rows = logs.staged(spark.range(1000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count(), "rows")
+    assert rows.count() == 7 and spark.conf.get(logs._CLEANUP, "false") == before
