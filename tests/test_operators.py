@@ -443,3 +443,35 @@ def test_factor_top_k_equals_brute_force(spark):
         assert np.allclose([s for _, s in hits], exact[u][rows], rtol=1e-12)
     assert search.factor_top_k(frame(users), frame(items).where("id < 3"), 7).count() == 180
     assert search.factor_top_k(frame(users), frame(items).where("false"), 7).count() == 0
+
+
+def test_index_adds_up_rows_of_one_document_and_search_blocks_lose_nothing(spark, tmp_path, monkeypatch):
+    words = lambda i: " ".join(f"w{(i * k) % 7}" for k in range(1, 5))
+    rows = [(i, words(i).upper() if i % 3 else words(i)) for i in range(60)] + [(5, "extra w1"), (5, "extra"), (None, "lost words"), (70, "")]
+    docs = spark.createDataFrame(rows, "id long, body string").repartition(3)
+    asked = spark.createDataFrame([(q, f"w{q % 7} W{(q + 2) % 7} extra none") for q in range(9)], "q int, t string")
+    search_index.build_index(docs, str(tmp_path / "index"), "id", F.col("body"), "s", buckets=4)
+    index = search_index.open_index(spark, str(tmp_path / "index"), "s")
+    assert index.n == 64 and index.total == 60 * 4 + 3 + 2
+    held = {(r.doc, r.term): (r.tf, r.length) for r in index.postings.collect()}
+    assert held[5, "extra"] == (2, 7) and held[5, "w1"][1] == 7 and len(held) == index.postings.count()
+    monkeypatch.setattr(search_index, "POSTINGS", 16)
+    monkeypatch.setattr(search_index, "ASKED", 8)
+    got = {(r.query, r["rank"]): (r.doc, r.score) for r in index.bm25(asked, "q", "t", 4).collect()}
+    idf = {r.term: r.idf for r in index.terms.collect()}
+    for q in range(9):
+        score = {}
+        for (doc, term), (tf, length) in held.items():
+            if term in {f"w{q % 7}", f"w{(q + 2) % 7}", "extra"}:
+                score[doc] = score.get(doc, 0) + idf[term] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / (245 / 64)))
+        best = sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:4]
+        assert [got[q, r][0] for r in range(1, 5)] == [d for d, _ in best] and [got[q, r][1] for r in range(1, 5)] == pytest.approx([s for _, s in best], abs=1e-8)
+
+
+def test_search_shuffles_no_pair_of_a_query_and_a_document(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "common words") for i in range(50)], "id long, body string")
+    search_index.build_index(docs, str(tmp_path / "index"), "id", F.col("body"), "s", buckets=4)
+    asked = spark.createDataFrame([(q, "common words") for q in range(5)], "q int, t string")
+    hits = search_index.open_index(spark, str(tmp_path / "index"), "s").bm25(asked, "q", "t", 2)
+    assert "FlatMapCoGroupsInArrow" in hits._jdf.queryExecution().toString() and "sum(w" not in hits._jdf.queryExecution().toString()
+    assert sorted((r.query, r.doc) for r in hits.collect()) == [(q, d) for q in range(5) for d in range(2)]
