@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from presswork.operators import evaluation
+from presswork.operators import evaluation, feed
 from presswork.plans.bindings import with_views
-from presswork.plans.feed_queries import MOMENT, PAST, past_profile
+from presswork.plans.feed_queries import PAST
 from presswork.plans.registry import query
 from presswork.plans.relational_queries import HOT, item_counts
 
@@ -44,9 +45,13 @@ _CATEGORY = (*PAST,
 
 @query("a24_category_arm", with_views("articles", "impressions", more=_CATEGORY) + "SELECT count(*)::BIGINT AS requests, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _ALL) + " FROM e")
 def a24b(t):
-    """Candidates ranked by the weight of their category in the user's history before the request."""
-    rows = t.impressions.join(t.articles, "article_id").join(past_profile(t), [*MOMENT, "category"], "left").withColumn("score", F.round(F.coalesce("weight", F.lit(0.0)), 9))
-    return _mean(evaluation.request_metrics(evaluation.ranked(rows, "request_id", "score", "article_id"), "request_id", "clicked", (1, 2, 5)))
+    """Candidates ranked by the weight of their category in the user's history before the request. Impressions are dealt to
+    their articles and to their users, a bounded number to a partition; profiles, ranks and metrics stay with the user."""
+    n = t.impression_partitions()
+    rows = t.dealt_impressions().select("request_id", "article_id", "user_id", "event_ts", "clicked").repartition(n, "article_id").join(t.articles.select("article_id", "category").repartition(n, "article_id"), "article_id")
+    rows = feed.with_past_shares(rows.repartition(n, "user_id")).withColumn("score", F.round("weight", 9))
+    place = Window.partitionBy("user_id", "request_id").orderBy(F.col("score").desc(), "article_id")
+    return _mean(evaluation.request_metrics(rows.withColumn("rank", F.row_number().over(place)), ["user_id", "request_id"], "clicked", (1, 2, 5)))
 
 
 @query("a24_category_diversity", with_views("articles", "impressions", more=(HOT, RANKED)) + "SELECT round(avg(d), 6) AS diversity FROM (SELECT request_id, count(DISTINCT category) AS d FROM k JOIN articles USING (article_id) WHERE rank <= 10 GROUP BY request_id HAVING sum(clicked) >= 0)")

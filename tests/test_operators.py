@@ -3,6 +3,7 @@
 import gzip
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -475,3 +476,23 @@ def test_search_shuffles_no_pair_of_a_query_and_a_document(spark, tmp_path):
     hits = search_index.open_index(spark, str(tmp_path / "index"), "s").bm25(asked, "q", "t", 2)
     assert "FlatMapCoGroupsInArrow" in hits._jdf.queryExecution().toString() and "sum(w" not in hits._jdf.queryExecution().toString()
     assert sorted((r.query, r.doc) for r in hits.collect()) == [(q, d) for q in range(5) for d in range(2)]
+
+
+def test_past_shares_count_earlier_clicks_of_the_user_only(spark):
+    rows = [(k, (k * 5) % 3 or None, (k * 7) % 5 if k % 11 else None, ("a", "b", None)[(k * 3) % 7 % 3], int(k % 4 < 2)) for k in range(90)]
+    shown = spark.createDataFrame(rows, "k long, user_id long, event_ts long, category string, clicked int")
+    got = {r.k: r for r in feed.with_past_shares(shown).collect()}
+    for k, user, time, category, _ in rows:
+        past = [c for _, u, s, c, clicked in rows if clicked and None not in (u, s, user, time) and u == user and s < time]
+        assert (got[k].history_length, got[k].topics) == (len(past), len(set(past)))
+        assert got[k].weight == pytest.approx(past.count(category) / len(past) if past and category else 0)
+
+
+def test_category_arm_deals_a_bounded_number_of_impressions(spark, monkeypatch):
+    from presswork.plans import bindings, registry
+
+    monkeypatch.setattr(bindings, "IMPRESSIONS_EACH", 100, raising=False)
+    t = bindings.Tables(spark, "/root/testdata/sf0.001")
+    plan = registry.QUERIES["a24_category_arm"](spark, t.folder)._jdf.queryExecution().toString()
+    n = -(-t.lineitem.count() // 100)
+    assert re.search(rf"hashpartitioning\(user_id#\d+L?, {n}\)", plan) and "LeftOuter" not in plan
