@@ -155,3 +155,18 @@ def test_staging_gives_the_rows_and_the_setting_back(spark):
     before = spark.conf.get(logs._CLEANUP, "false")
     rows = logs.staged(spark.range(1000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count(), "rows")
     assert rows.count() == 7 and spark.conf.get(logs._CLEANUP, "false") == before
+
+
+def test_lists_are_compared_many_at_a_time_as_pairs_are(spark):
+    from presswork.functions import text
+
+    kinds = [["a", "b"], ["b", "a", "a"], ["c", None], [None], [], ["a", "c"]]
+    rows = [(r, k, kinds[(r * 5 + k * k) % 6], f"c{k % 2}") for r in range(40) for k in range(1, r % 7 + 1)]
+    ranking = spark.createDataFrame(rows, "request_id int, rank int, topics array<string>, category string")
+    quality = experiments.list_quality(ranking, ["request_id"], "topics", 5)
+    assert "ArrowEvalPython" in quality._jdf.queryExecution().toString()
+    a, b = (ranking.where("rank <= 5").select("request_id", F.col("rank").alias(f"r{x}"), F.col("topics").alias(f"t{x}")) for x in "ab")
+    pairs = a.join(b, "request_id").where("ra < rb").groupBy("request_id").agg(F.avg(text.jaccard(F.col("ta"), F.col("tb"))).alias("s"))
+    want = {r.request_id: r.s for r in pairs.collect()}
+    got = {r.request_id: r.similarity for r in quality.collect()}
+    assert len(got) == len({r for r, *_ in rows}) and all(abs(s - want.get(r, 0.0)) < 1e-12 for r, s in got.items())
