@@ -54,6 +54,34 @@ def near_title_pairs(articles: DataFrame, threshold: float = SAME_TITLE, window:
     are left, and are cut into trigrams once for each. Articles without a title or time take no part.
     """
     classes = staged(title_classes(articles, window), "title-classes")  # read six times
+    members = _members(articles, classes, window).where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("same")).distinct()
+    return _class_links(classes, threshold, window).withColumn("same", F.lit(False)).unionByName(members)
+
+
+def all_near_title_pairs(articles: DataFrame, threshold: float = SAME_TITLE, window: int = DAY) -> DataFrame:
+    """Every pair (a, b, similarity), a < b, of articles within `window` seconds whose title trigrams are that alike.
+
+    Titles are compared once for each two classes, as in near_title_pairs; the links of classes, and each class with
+    itself, are then spread over their members, whose times decide. So the work grows with the pairs that are there.
+    """
+    classes = staged(title_classes(articles, window), "title-classes")
+    own = classes.where("size > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"))
+    links = staged(_class_links(classes, threshold, window).unionByName(own), "title-links")  # so that their number is known to the joins
+    members = _members(articles, classes, window)
+    side = lambda s: members.select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}"), F.col("discovered_at").alias(f"t_{s}"))
+    pairs = links.join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.where(((F.col("a") != F.col("b")) | (F.col("id_a") < F.col("id_b"))) & (F.abs(F.col("t_a") - F.col("t_b")) <= window))
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity")
+
+
+def _members(articles: DataFrame, classes: DataFrame, window: int) -> DataFrame:
+    """rep, id and discovered_at of the articles of each class."""
+    rows = articles.select("id", "discovered_at", text.plain_title(F.col("title")).alias("plain"), F.floor(F.col("discovered_at") / window).alias("slot"))
+    return rows.join(classes.select("plain", "slot", "rep"), ["plain", "slot"]).select("rep", "id", "discovered_at")
+
+
+def _class_links(classes: DataFrame, threshold: float, window: int) -> DataFrame:
+    """(a, b, similarity) of any two classes that near_title_pairs links."""
     grams = lambda plain: F.array_distinct(F.transform(text.trigrams(plain), lambda g: F.xxhash64(g)))
     each = classes.select("rep", F.posexplode(grams(F.col("plain"))).alias("_", "gram"))
     rarity = each.groupBy("gram").agg(F.count("*").alias("df"))
@@ -72,10 +100,7 @@ def near_title_pairs(articles: DataFrame, threshold: float = SAME_TITLE, window:
     shared = F.size(F.array_intersect(text.trigrams(F.col("plain_a")), text.trigrams(F.col("plain_b"))))
     pairs = pairs.where(shared * (1 + threshold) >= threshold * F.col("n") - 1e-6)
     similarity = text.jaccard(text.trigrams(F.col("plain_a")), text.trigrams(F.col("plain_b")))
-    pairs = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), similarity.alias("similarity"), F.lit(False).alias("same")).where(F.col("similarity") >= threshold)
-    members = articles.select(F.col("id").alias("b"), text.plain_title(F.col("title")).alias("plain"), F.floor(F.col("discovered_at") / window).alias("slot"))
-    members = members.join(classes.select("plain", "slot", F.col("rep").alias("a")), ["plain", "slot"]).where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"), F.lit(True).alias("same")).distinct()
-    return pairs.unionByName(members)
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def _grams(title: str) -> set[str]:

@@ -72,14 +72,12 @@ def f32(t):
     return live_articles(t).select("article_id", F.size(text.trigrams(text.plain_title(F.col("title")))).alias("n_grams"))
 
 
-@query("j14_near_title_pairs", f"WITH {LIVE}, n AS (SELECT article_id, discovered_at, floor(discovered_at / 86400.0) AS slot, {PLAIN} AS x FROM lv), "
-    "c AS (SELECT x, slot, min(article_id) AS rep, min(discovered_at) AS f, max(discovered_at) AS l, list_distinct(list_transform(range(1, greatest(length(x) - 2, 1) + 1), lambda i: substr(x, i, 3))) AS g FROM n WHERE x <> '' GROUP BY x, slot), "
-    "i AS (SELECT a.rep AS a, b.rep AS b, len(list_intersect(a.g, b.g))::DOUBLE AS k, len(a.g) + len(b.g) AS s FROM c a JOIN c b ON (a.slot = b.slot AND a.rep < b.rep OR a.slot + 1 = b.slot AND b.f - a.l <= 86400) AND len(a.g) >= 0.92 * len(b.g) AND len(b.g) >= 0.92 * len(a.g)) "
-    "SELECT least(a, b) AS a, greatest(a, b) AS b, round(k / (s - k), 6) AS similarity, false AS same FROM i WHERE k / (s - k) >= 0.92 UNION ALL SELECT rep, article_id, 1.0, true FROM n JOIN c USING (x, slot) WHERE article_id <> rep")
+@query("j14_near_title_pairs", f"WITH {LIVE}, n AS (SELECT article_id, discovered_at, {PLAIN} AS x FROM lv), g AS (SELECT article_id, discovered_at, list_distinct(list_transform(range(1, greatest(length(x) - 2, 1) + 1), lambda i: substr(x, i, 3))) AS g FROM n WHERE x <> ''), "
+    "i AS (SELECT a.article_id AS a, b.article_id AS b, len(list_intersect(a.g, b.g))::DOUBLE AS k, len(a.g) + len(b.g) AS s FROM g a JOIN g b ON a.article_id < b.article_id AND abs(a.discovered_at - b.discovered_at) <= 86400 AND len(a.g) >= 0.92 * len(b.g) AND len(b.g) >= 0.92 * len(a.g)) SELECT a, b, round(k / (s - k), 6) AS similarity FROM i WHERE k / (s - k) >= 0.92")
 def j14(t):
-    """Near-duplicate titles of a day: classes of equal titles linked with each other, and their members."""
+    """Every pair of articles within a day whose titles are near duplicates, copies included."""
     rows = live_articles(t).select(F.col("article_id").alias("id"), "title", "discovered_at")
-    return live.near_title_pairs(rows).select("a", "b", F.round("similarity", 6).alias("similarity"), "same")
+    return live.all_near_title_pairs(rows).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("f30_content_hash", r"SELECT doc_id, sha256(coalesce(source, '') || chr(10) || trim(regexp_replace(coalesce(text, ''), '[\s\v]+', ' ', 'g'))) AS hash FROM documents")

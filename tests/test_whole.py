@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import text
-from presswork.operators import feed, search
+from presswork.operators import feed, live, search
 from test_oracle import FOLDER, TABLES, rows
 
 registry = importlib.import_module("presswork.plans.registry")
@@ -143,3 +143,21 @@ def test_pages_are_made_where_requests_are_dealt(spark, duck, monkeypatch):
     plan = registry.QUERIES["l10_slot_blend"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(request_id#[0-9]+L, 15\), REPARTITION_BY_NUM", plan) and "ENSURE_REQUIREMENTS" not in plan
     check_against(spark, duck, "l10_slot_blend")
+
+
+def test_near_titles_give_every_pair_of_a_day(spark):
+    """Copies were linked to one of them only, and classes of copies by one pair for all."""
+    title = "Council approves the new harbour bridge{} after a long debate over costs and night traffic{}"
+    timed = [(1, title.format("", ""), 0), (2, title.format(",", "!"), 80_000), (3, title.format("", "?"), 86_400), (4, "Something else entirely", 0), (5, title.format("s", ""), 90_000), (6, title.format("s", "."), 166_400), (7, None, 5), (8, "?!", 5), (9, title.format("", ""), 100)]
+    rows_ = spark.createDataFrame(timed, "id int, title string, discovered_at long")
+    got = [(r.a, r.b) for r in live.all_near_title_pairs(rows_).collect()]
+    assert sorted(got) == [(1, 2), (1, 3), (1, 9), (2, 3), (2, 5), (2, 6), (2, 9), (3, 5), (3, 6), (3, 9), (5, 6)]
+
+
+def test_near_titles_of_documents_equal_brute_force(spark):
+    grams = lambda x: {x[i : i + 3] for i in range(max(1, len(x) - 2))}
+    docs = [(d.doc_id, "".join(re.findall(r"[^\W_]", (d.text or "").split("\n")[0].lower()))) for d in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    docs = sorted((i, grams(x)) for i, x in docs if x)
+    want = {(i, j) for k, (i, a) in enumerate(docs) for j, b in docs[k + 1 :] if (j - i) * 60 <= 86_400 and len(a & b) >= 0.92 * len(a | b)}
+    got = [(r.a, r.b) for r in registry.QUERIES["j14_near_title_pairs"](spark, FOLDER).collect()]
+    assert len(got) == len(set(got)) == len(want) > 100 and set(got) == want
