@@ -14,6 +14,12 @@ from presswork.functions import scores
 from presswork.operators import profile
 
 STATE = "short_positive double, short_negative double, long_positive double, long_negative double, positive_evidence long, negative_evidence long, last_event_ts long"
+#: Groups of keys whose profiles lie together in the state of a stream; a checkpoint is good for one number only.
+BUCKETS = 4096
+_NEVER = -(1 << 62)
+_HALF_LIVES = np.array([profile.SHORT_HALF_LIFE] * 2 + [profile.LONG_HALF_LIFE] * 2, np.float64)
+#: key: user, topic, and which of these are null (1, 2); scores and counts as in STATE; last: _NEVER without a time.
+_RECORD = np.dtype([("key", "<i8", 3), ("scores", "<f8", 4), ("counts", "<i8", 2), ("last", "<i8")])
 
 
 def fingerprint(columns: list[str]) -> F.Column:
@@ -61,30 +67,58 @@ def claim_events(events: DataFrame, content: list[str], time: str | None = None,
 
 
 def profile_state(events: DataFrame) -> DataFrame:
-    """The decayed profile of each (user_id, topic_id) after each batch. Late events of a key change nothing."""
+    """The decayed profile of each (user_id, topic_id) after each batch. Late events of a key change nothing; events without
+    a time count as evidence only.
+
+    A call of Python costs milliseconds, so keys are not called for one by one: state is kept by one of BUCKETS hashes of the
+    key, as packed records of the bucket's keys, and a bucket's events of a batch are folded together, Arrow batch by batch.
+    """
+    names = [c.split()[0] for c in STATE.split(", ")]
 
     def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sp, sn, lp, ln, up, down, last = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, 0, 0, None)
-        since = last  # late is what lies before the batches so far; within a batch a key's parts come in no order
+        known = np.frombuffer(bytes(state.get[0]), _RECORD) if state.exists else np.empty(0, _RECORD)
+        keys, scores_, counts, last = (known[c].copy() for c in ("key", "scores", "counts", "last"))
+        since, touched = last, np.zeros(len(known), bool)  # late is what lies before the batches so far; within a batch a key's parts come in no order
         for rows in parts:
-            rows = rows if since is None else rows[rows["event_ts"] >= since]
-            if not len(rows):
-                continue
-            ts, d = rows["event_ts"].to_numpy(), rows["strength"].to_numpy()
-            newest = int(ts.max()) if last is None else max(last, int(ts.max()))
-            age = 0 if last is None else newest - last
-            short, long = 2.0 ** (-age / profile.SHORT_HALF_LIFE), 2.0 ** (-age / profile.LONG_HALF_LIFE)
-            add_short, add_long = 2.0 ** ((ts - newest) / profile.SHORT_HALF_LIFE), profile.LONG_FACTOR * 2.0 ** ((ts - newest) / profile.LONG_HALF_LIFE)
-            more, less = np.maximum(d, 0.0), np.maximum(-d, 0.0)
-            sp, sn = sp * short + float((more * add_short).sum()), sn * short + float((less * add_short).sum())
-            lp, ln = lp * long + float((more * add_long).sum()), ln * long + float((less * add_long).sum())
-            up, down, last = up + int((d > 0).sum()), down + int((d < 0).sum()), newest
-        state.update((sp, sn, lp, ln, up, down, last))
-        yield pd.DataFrame([(key[0], key[1], sp, sn, lp, ln, up, down, last)], columns=["user_id", "topic_id", *(c.split()[0] for c in STATE.split(", "))])
+            part = rows[["user", "topic", "nulls"]].to_numpy(np.int64)
+            n, (whole, at) = len(keys), np.unique(np.r_[keys, part], axis=0, return_inverse=True)
+            at, keys = at.reshape(-1), whole
+
+            def moved(old, fill, n=n, at=at, m=len(whole)):
+                new = np.full((m, *old.shape[1:]), fill, old.dtype)
+                new[at[:n]] = old
+                return new
+
+            scores_, counts, before, since, touched = moved(scores_, 0), moved(counts, 0), moved(last, _NEVER), moved(since, _NEVER), moved(touched, False)
+            at, ts, d = at[n:], rows["event_ts"].to_numpy(), rows["strength"].to_numpy()
+            touched[at] = True
+            timely = (ts >= since[at]) | (ts == _NEVER)
+            at, ts, d = at[timely], ts[timely], d[timely]
+            last = before.copy()
+            np.maximum.at(last, at, ts)
+            age = np.where(before == _NEVER, 0, last - before)
+            scores_ = scores_ * 2.0 ** (-age[:, None] / _HALF_LIVES)
+            timed = ts != _NEVER
+            back = np.where(timed, last[at] - ts, 0)
+            for j, (sign, factor) in enumerate(((1, 1.0), (-1, 1.0), (1, profile.LONG_FACTOR), (-1, profile.LONG_FACTOR))):
+                scores_[:, j] += np.bincount(at, timed * factor * np.maximum(sign * d, 0.0) * 2.0 ** (-back / _HALF_LIVES[j]), len(whole))
+            counts[:, 0] += np.bincount(at, d > 0, len(whole)).astype(np.int64)
+            counts[:, 1] += np.bincount(at, d < 0, len(whole)).astype(np.int64)
+        packed = np.empty(len(keys), _RECORD)
+        packed["key"], packed["scores"], packed["counts"], packed["last"] = keys, scores_, counts, last
+        state.update((packed.tobytes(),))
+        out = packed[touched]
+        whole_number = lambda x, null: pd.Series(pd.arrays.IntegerArray(x.copy(), null))
+        timeless = out["last"] == _NEVER
+        columns = [whole_number(out["key"][:, 0], out["key"][:, 2] % 2 == 1), whole_number(out["key"][:, 1], out["key"][:, 2] >= 2), *np.where(timeless[:, None], np.nan, out["scores"]).T, *out["counts"].T, whole_number(out["last"], timeless)]
+        yield pd.DataFrame(dict(zip(["user_id", "topic_id", *names], columns, strict=True)))
 
     rows = events.withColumn("strength", scores.event_strength(F.col("event_type"), F.col("dwell_ms"))).where("strength <> 0")
-    rows = rows.select("user_id", "topic_id", "event_id", "event_ts", "strength")
-    return rows.groupBy("user_id", "topic_id").applyInPandasWithState(fold, f"user_id long, topic_id int, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    nulls = F.col("user_id").isNull().cast("long") + 2 * F.col("topic_id").isNull().cast("long")
+    bucket = F.pmod(F.xxhash64("user_id", "topic_id"), F.lit(BUCKETS)).cast("int")
+    rows = rows.select(bucket.alias("bucket"), number("user_id").alias("user"), number("topic_id").alias("topic"), nulls.alias("nulls"), F.coalesce(F.col("event_ts").cast("long"), F.lit(_NEVER)).alias("event_ts"), F.col("strength").cast("double").alias("strength"))
+    return rows.groupBy("bucket").applyInPandasWithState(fold, f"user_id long, topic_id int, {STATE}", "records binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def split_valid(events: DataFrame, violations: F.Column) -> tuple[DataFrame, DataFrame]:

@@ -496,3 +496,39 @@ def test_category_arm_deals_a_bounded_number_of_impressions(spark, monkeypatch):
     plan = registry.QUERIES["a24_category_arm"](spark, t.folder)._jdf.queryExecution().toString()
     n = -(-t.lineitem.count() // 100)
     assert re.search(rf"hashpartitioning\(user_id#\d+L?, {n}\)", plan) and "LeftOuter" not in plan
+
+
+def test_profiles_of_many_keys_take_few_calls(spark, tmp_path, monkeypatch):
+    """Python was called for each key of each batch; keys, late events, nulls and events without a time fold as one by one."""
+    monkeypatch.setattr(ev, "BUCKETS", 3)
+    kinds = ("upvote", "downvote", "recommendation_click", "share")
+    data = [(u % 50 if u % 41 else None, u % 4 if u % 37 else None, u, 10_000 + 97 * (u * 7919 % 2000) if u % 43 else None, kinds[u % 3 if u % 5 else 3]) for u in range(2_000)]
+    rows = spark.createDataFrame([(*r, None) for r in data], "user_id long, topic_id int, event_id long, event_ts long, event_type string, dwell_ms long")
+    for k, part in enumerate((rows.where("event_id < 1000"), rows.where("event_id >= 1000"))):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    made = ev.profile_state(stream)
+    assert "bucket" in made._jdf.queryExecution().analyzed().toString()
+    got = ev.latest(ev.run_to_end(made, str(tmp_path / "out"), "update"), ["user_id", "topic_id"]).collect()
+    state, since = {}, {}
+    order = [[r for r in data if r[2] < 1000], [r for r in data if r[2] >= 1000]]
+    if spark.read.parquet(str(tmp_path / "out" / "rows" / "batch_id=0")).agg(F.sum(F.col("positive_evidence") + F.col("negative_evidence"))).first()[0] != sum(r[4] != "share" for r in order[0]):
+        order.reverse()  # the files were taken in the other order
+    for batch in order:
+        since = {k: max((t for _, t in s if t is not None), default=None) for k, s in state.items()}
+        for user, topic, _, ts, kind in batch:
+            strength = {"upvote": 2.0, "downvote": -2.0, "recommendation_click": 1.0, "share": 0.0}[kind]
+            last = since.get((user, topic))
+            if strength and (ts is None or last is None or ts >= last):
+                state.setdefault((user, topic), []).append((strength, ts))
+    assert len(got) == len(state) > 100 and any(None in k for k in state)
+    for r in got:
+        signals = state[r.user_id, r.topic_id]
+        newest = max((t for _, t in signals if t is not None), default=None)
+        assert (r.positive_evidence, r.negative_evidence, r.last_event_ts) == (sum(d > 0 for d, _ in signals), sum(d < 0 for d, _ in signals), newest)
+        if newest is None:
+            assert r.short_positive is None
+            continue
+        part = lambda sign, h: sum(max(sign * d, 0) * 2.0 ** ((t - newest) / h) for d, t in signals if t is not None)  # noqa: B023, E731
+        assert (r.short_positive, r.short_negative) == (pytest.approx(part(1, 21_600)), pytest.approx(part(-1, 21_600)))
+        assert (r.long_positive, r.long_negative) == (pytest.approx(0.25 * part(1, 2_592_000)), pytest.approx(0.25 * part(-1, 2_592_000)))
