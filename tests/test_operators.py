@@ -532,3 +532,16 @@ def test_profiles_of_many_keys_take_few_calls(spark, tmp_path, monkeypatch):
         part = lambda sign, h: sum(max(sign * d, 0) * 2.0 ** ((t - newest) / h) for d, t in signals if t is not None)  # noqa: B023, E731
         assert (r.short_positive, r.short_negative) == (pytest.approx(part(1, 21_600)), pytest.approx(part(-1, 21_600)))
         assert (r.long_positive, r.long_negative) == (pytest.approx(0.25 * part(1, 2_592_000)), pytest.approx(0.25 * part(-1, 2_592_000)))
+
+
+def test_factor_top_k_shuffles_no_copy_of_a_block(spark):
+    """Blocks were copied for each block they met, and each meeting's candidates were shuffled; both grew with users times items."""
+    rng = np.random.default_rng(5)
+    users, items = rng.integers(-2, 3, (130, 4)).astype(float), rng.integers(-2, 3, (170, 4)).astype(float)  # many ties, over blocks too
+    frame = lambda x, kind: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], f"id {kind}, features array<float>")
+    got = search.factor_top_k(frame(users, "int"), frame(items, "long"), 6, block=40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert [t for _, t in got.dtypes] == ["int", "int", "bigint", "double"]
+    want = {(u, n, d, float(users[u] @ items[d])) for u in range(130) for n, d in enumerate(np.lexsort((np.arange(170), -(items @ users[u])))[:6].tolist(), 1)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 780
