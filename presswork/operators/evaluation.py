@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,6 +23,12 @@ def ideal_dcg(n) -> F.Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
 
 
+def _ideal_within(n, most: int) -> F.Column:
+    """ideal_dcg of at most `most` items, from numbers that Spark works out once."""
+    upto = list(itertools.accumulate((1 / F.log2(F.lit(i + 1.0)) for i in range(1, most + 1)), initial=F.lit(0.0)))[1:]
+    return F.array(*upto)[(F.greatest(n, F.lit(1)) - 1).cast("int")]
+
+
 def request_metrics(ranking: DataFrame, request: str | list[str], label: str, cutoffs: tuple[int, ...], more: tuple[F.Column, ...] = ()) -> DataFrame:
     """Recall and NDCG at each cutoff, and the reciprocal rank of the first relevant item.
 
@@ -34,7 +43,7 @@ def request_metrics(ranking: DataFrame, request: str | list[str], label: str, cu
     per = ranking.groupBy(*keys).agg(*sums, *more).where("positives > 0")
     out = [*keys, *per.columns[len(keys) + len(sums) :], (1.0 / F.col("first")).alias("mrr")]
     for k in cutoffs:
-        out += [(F.col(f"hits_{k}") / F.col("positives")).alias(f"recall_{k}"), (F.col(f"dcg_{k}") / ideal_dcg(F.least("positives", F.lit(k)))).alias(f"ndcg_{k}")]
+        out += [(F.col(f"hits_{k}") / F.col("positives")).alias(f"recall_{k}"), (F.col(f"dcg_{k}") / _ideal_within(F.least("positives", F.lit(k)), k)).alias(f"ndcg_{k}")]
     return per.select(*out)
 
 
@@ -68,6 +77,22 @@ def log_loss(scored: DataFrame, probability: str, label: str) -> DataFrame:
     return scored.agg(F.avg(F.when(F.col(label) == 1, -F.log(p)).otherwise(-F.log(1 - p))).alias("log_loss"))
 
 
+#: P(X <= x) of a Poisson distribution of mean 1, and for each number of 16 bits which x it gives, or 255 if further bits decide.
+_UP_TO = np.cumsum([math.exp(-1) / math.factorial(x) for x in range(20)])
+_OF_BITS = np.searchsorted(_UP_TO, np.arange(1 << 16) / (1 << 16), "right").astype(np.uint8)
+_OF_BITS[np.searchsorted(_UP_TO, np.arange(1, (1 << 16) + 1) / (1 << 16), "left") != _OF_BITS] = 255
+
+
+def _poisson_of_one(rng: np.random.Generator, shape: tuple[int, int]) -> np.ndarray:
+    """Draws from a Poisson distribution of mean 1 by its inverse, several times as fast as those for any mean."""
+    n = shape[0] * shape[1]
+    bits = rng.integers(0, 1 << 64, -(-n // 4), np.uint64).view(np.uint16)[:n]
+    out = _OF_BITS.take(bits)
+    open_ = np.flatnonzero(out == 255)
+    out[open_] = np.searchsorted(_UP_TO, (bits[open_] + rng.random(len(open_))) / (1 << 16), "right")
+    return out.reshape(shape)
+
+
 def paired_bootstrap(deltas: DataFrame, metrics: list[str], iterations: int = 2000, seed: int = 42, buckets: int = 1000) -> DataFrame:
     """Confidence limits (2.5 and 97.5 %) of the mean of each delta, resampling requests.
 
@@ -78,9 +103,9 @@ def paired_bootstrap(deltas: DataFrame, metrics: list[str], iterations: int = 20
 
     def draw(key, rows: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])
-        weights = rng.poisson(1.0, (iterations, len(rows))).astype(float)
-        values = rows[metrics].to_numpy(float)
-        return pd.DataFrame({"iteration": np.arange(iterations, dtype=np.int32), "n": weights.sum(1), **dict(zip(metrics, (weights @ values).T, strict=True))})
+        values = np.c_[np.ones(len(rows)), rows[metrics].to_numpy(float)]
+        sums = sum(_poisson_of_one(rng, (iterations, len(v))).astype(float) @ v for v in (values[i : i + 4096] for i in range(0, len(values), 4096)))
+        return pd.DataFrame({"iteration": np.arange(iterations, dtype=np.int32), **dict(zip(("n", *metrics), sums.T, strict=True))})
 
     keyed = deltas.withColumn("_bucket", F.pmod(F.xxhash64("request_id"), F.lit(buckets)).cast("int"))
     parts = keyed.groupBy("_bucket").applyInPandas(draw, schema)

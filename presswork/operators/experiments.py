@@ -10,7 +10,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.functions import text
 from presswork.operators import evaluation, feed
 from presswork.sources.logs import staged
 
@@ -29,11 +28,17 @@ def with_mmr(ranking: DataFrame, name: str, penalty: float, limit: int, topics:
 
     ranking: one arm of rank_arms with score, the topics column and, if similarity is to come from them, factors.
     """
-    factors = ["factors"] if "factors" in ranking.columns else []
-    chosen = feed.rerank_mmr(ranking.select(request, item, F.col("score").alias("relevance"), F.col(topics).alias("topics"), *factors), limit, penalty, request, item)
-    both = ranking.drop("arm").join(chosen.select(request, item, F.col("rank").alias("_first")), [request, item], "left").withColumnRenamed("rank", "_base")
-    order = Window.partitionBy(request).orderBy(F.coalesce("_first", F.lit(1 << 30)), "_base")
-    return both.withColumn("rank", F.row_number().over(order)).withColumn("arm", F.lit(name)).drop("_first", "_base").select(*ranking.columns)
+    return with_mmrs(ranking, {name: penalty}, limit, topics, request)
+
+
+def with_mmrs(ranking: DataFrame, penalties: dict[str, float], limit: int, topics: str, request: str = "request_id", own: str | None = None) -> DataFrame:
+    """with_mmr for several arms, name -> penalty, in one pass over the ranking; with own, the ranking is an arm of that name
+    as well. Rows are dealt by request before there is a row for each arm, as by rank_arms."""
+    rows = ranking.drop("arm").withColumns({"relevance": F.col("score"), "topics": F.col(topics)})
+    placed = feed.rerank_lists(rows, limit, list(penalties.values()), request).repartition(request)
+    arms = {**({own: F.col("rank")} if own else {}), **{name: F.col("ranks")[k] for k, name in enumerate(penalties)}}
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("arm"), rank.alias("rank")) for name, rank in arms.items())))
+    return placed.withColumn("_x", each).withColumns({"arm": F.col("_x.arm"), "rank": F.col("_x.rank")}).select(*ranking.columns)
 
 
 def list_quality(ranking: DataFrame, by: list[str], topics: str, k: int) -> DataFrame:
@@ -54,14 +59,9 @@ def _first(columns: list[str], topics: str, k: int) -> Column:
 
 def _quality(with_factors: bool, topics: str) -> list[Column]:
     """What list_quality gives, of the lists x."""
-    whole = lambda v: v.cast("array<double>")
-    cosine = lambda a, b: text.cosine(whole(a["factors"]), whole(b["factors"])) if with_factors else F.lit(None).cast("double")
-    later = lambda a: F.filter("x", lambda b: b["rank"] > a["rank"])
-    pairs = F.flatten(F.transform("x", lambda a: F.transform(later(a), lambda b: text.hybrid_similarity(cosine(a, b), a[topics], b[topics]))))
-    n = F.size("x") * (F.size("x") - 1) / 2
-    mean = F.coalesce(F.try_divide(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x), n), F.lit(0.0))
-    if not with_factors:  # ten thousand lists at a time
-        mean = F.arrow_udf(_mean_jaccard, "double")(F.transform("x", lambda a: a[topics]))
+    each = lambda c: F.transform("x", lambda a: a[c])
+    # ten thousand lists at a time
+    mean = F.arrow_udf(_mean_hybrid, "double")(each(topics), each("factors")) if with_factors else F.arrow_udf(_mean_jaccard, "double")(each(topics))
     return [
         F.size(F.array_distinct(F.transform("x", lambda a: a["category"]))).alias("category_diversity"),
         F.size(F.array_distinct(F.flatten(F.transform("x", lambda a: a[topics])))).alias("topic_coverage"), mean.alias("similarity"),
@@ -70,6 +70,15 @@ def _quality(with_factors: bool, topics: str) -> list[Column]:
 
 def _mean_jaccard(lists: pa.Array) -> pa.Array:
     """The mean of text.jaccard over each list's pairs of topics, 0 without a pair."""
+    return _mean_over_pairs(lists)
+
+
+def _mean_hybrid(lists: pa.Array, vectors: pa.Array) -> pa.Array:
+    """The mean of text.hybrid_similarity over each list's pairs of topics and vectors, 0 without a pair."""
+    return _mean_over_pairs(lists, feed._unit(pa.chunked_array([pc.list_flatten(vectors)])))
+
+
+def _mean_over_pairs(lists: pa.Array, unit: np.ndarray | None = None) -> pa.Array:
     size, topics = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)), pc.list_flatten(lists)
     start, total = np.cumsum(size) - size, np.zeros(len(size))
     codes, parent = np.asarray(pc.list_flatten(topics).dictionary_encode(null_encoding="encode").indices), np.asarray(pc.list_parent_indices(topics))
@@ -82,7 +91,11 @@ def _mean_jaccard(lists: pa.Array) -> pa.Array:
         a, b = held[start[row] + i], held[start[row] + j]
         both = ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).sum((1, 2))
         union = (a >= 0).sum(1) + (b >= 0).sum(1) - both
-        total[row] += np.divide(both, union, out=np.zeros(len(row)), where=union > 0)
+        alike = np.divide(both, union, out=np.zeros(len(row)), where=union > 0)
+        if unit is not None:
+            cosine = np.clip((unit[start[row] + i] * unit[start[row] + j]).sum(1), 0, 1)
+            alike = np.where(np.isnan(cosine), alike, cosine)
+        total[row] += alike
     return pa.array(np.divide(total, size * (size - 1) / 2, out=np.zeros(len(size)), where=size > 1))
 
 
@@ -114,14 +127,37 @@ def choose_penalty(sweep: DataFrame, base: str, k: int, drop: float = 0.002) ->
 def compare_arms(ranking: DataFrame, base: str, other: str, cutoffs: tuple[int, ...], iterations: int = 2000, request: str = "request_id", label: str = "label") -> DataFrame:
     """metric, delta (other less base, mean over requests), low, high and direction of the difference, by a paired
     bootstrap over requests. Both arms must rank the same requests."""
-    one = lambda arm: evaluation.request_metrics(ranking.where(F.col("arm") == arm), request, label, cutoffs)
-    a, b = one(base), one(other)
-    names = [c for c in a.columns if c != request]
-    pairs = a.alias("a").join(b.alias("b"), F.col(f"a.{request}") == F.col(f"b.{request}"), "full")
-    if not pairs.where(F.col(f"a.{request}").isNull() | F.col(f"b.{request}").isNull()).isEmpty():
+    per = evaluation.request_metrics(ranking.where(F.col("arm").isin(base, other)), ["arm", request], label, cutoffs)
+    return compare_measured(per, base, [other], iterations, request).drop("arm")
+
+
+def compare_measured(per: DataFrame, base: str, others: list[str], iterations: int = 2000, request: str = "request_id") -> DataFrame:
+    """compare_arms of several arms with the base, with arm in front. per: request_metrics by arm and request. The requests are
+    resampled once for all arms and metrics."""
+    names, arms = [c for c in per.columns if c not in ("arm", request)], [base, *others]
+    of = lambda k, m: F.max(F.when(F.col("arm") == arms[k], F.col(m))).alias(f"a{k}_{m}")
+    wide = staged(per.groupBy(request).agg(*(of(k, m) for k in range(len(arms)) for m in names)), "arms")
+    if not wide.where(F.greatest(*(F.col(f"a{k}_{names[0]}").isNull() for k in range(len(arms))), F.lit(False))).isEmpty():
         raise ValueError("the arms do not rank the same requests")
-    deltas = staged(pairs.select(F.col(f"a.{request}").alias("request_id"), *((F.col(f"b.{c}") - F.col(f"a.{c}")).alias(c) for c in names)), "deltas")
-    mean = deltas.agg(*(F.avg(c).alias(c) for c in names)).unpivot([], names, "metric", "delta")
-    limits = evaluation.paired_bootstrap(deltas, names, iterations)
+    columns = {f"d{k}_{m}": (F.lit(arms[k]).alias("arm"), F.lit(m).alias("metric")) for k in range(1, len(arms)) for m in names}
+    deltas = wide.select(F.col(request).alias("request_id"), *((F.col(f"a{c[1:]}") - F.col(f"a0_{c.split('_', 1)[1]}")).alias(c) for c in columns))
+    mean = deltas.agg(*(F.avg(c).alias(c) for c in columns)).unpivot([], list(columns), "metric", "delta")
+    limits = evaluation.paired_bootstrap(deltas, list(columns), iterations)
+    what = F.create_map(*(x for c, names_ in columns.items() for x in (F.lit(c), F.struct(*names_))))
     direction = F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("open")
-    return mean.join(limits, "metric").withColumn("direction", direction)
+    return mean.join(limits, "metric").withColumn("direction", direction).select(what[F.col("metric")].alias("w"), "delta", "low", "high", "direction").select("w.arm", "w.metric", "delta", "low", "high", "direction")
+
+
+def product(a: Column, b: Column) -> Column:
+    """The product of two arrays of numbers, of many rows at a time; null where one is missing or their lengths differ."""
+    return F.arrow_udf(_products, "double")(a, b)
+
+
+def _products(a: pa.Array, b: pa.Array) -> pa.Array:
+    size = [np.asarray(pc.fill_null(pc.list_value_length(x), -1)) for x in (a, b)]
+    fits, out = (size[0] == size[1]) & (size[0] >= 0), np.zeros(len(a))
+    rows = np.flatnonzero(fits)
+    one, two = (np.asarray(pc.list_flatten(x.take(pa.array(rows))), np.float64) for x in (a, b))
+    row = np.repeat(rows, size[0][rows])
+    out += np.bincount(row, one * two, len(a)) if len(row) else 0
+    return pa.array(out, mask=~fits)

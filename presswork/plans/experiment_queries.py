@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from presswork.functions import scores
-from presswork.operators import experiments, ranking, resolve, search
+from presswork.operators import evaluation, experiments, ranking, resolve, search
 from presswork.plans.bindings import with_views
 from presswork.plans.feed_queries import FEATURE_SQL, FEATURES, features
 from presswork.plans.registry import query
@@ -76,8 +76,7 @@ def k63(t):
     rows = staged(candidates(t), "candidates")
     users, items = factors(t, rows)
     later = rows.where("split <> 'train'").join(users, "user_id", "left").join(items, "article_id", "left")
-    product = F.aggregate(F.zip_with("u", "factors", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    later = later.withColumn("als", F.when(F.col("u").isNotNull() & F.col("factors").isNotNull(), product).otherwise(0.0))
+    later = later.withColumn("als", F.coalesce(experiments.product(F.col("u"), F.col("factors")), F.lit(0.0)))
     ranker = ranking.fit_lambdarank(rows.where("split = 'train'"), FEATURES, rounds=4)
     kept = ["request_id", "article_id", "label", "category", "topics", "factors", "split", "base_score", "topic_match_score", "als"]
     later = staged(ranking.score_rows(later, ranker, kept).withColumnRenamed("score", "lambdarank"), "scored")
@@ -85,25 +84,17 @@ def k63(t):
     arms = {"category_profile_manual": manual, "als_recall_manual": manual + scores.als_boost(F.col("als")), "lambdarank": F.col("lambdarank")}
     # factors go with the arm that is re-ranked by them only
     base = lambda split: experiments.rank_arms(later.where(F.col("split") == split), {"category_profile_manual": manual}, ["label", "category", "topics", "factors"])
-    choose = staged(base("choose"), "choose")
     penalties = {f"mmr_{p}": p for p in (0.02, 0.1, 0.3)}
-    chosen_on = lambda r, p: experiments.measure(r, [], CUTOFFS, FIRST).withColumn("penalty", F.lit(p).cast("double"))
-    sweep = chosen_on(choose, None)
-    for name, p in penalties.items():
-        sweep = sweep.unionByName(chosen_on(experiments.with_mmr(choose, name, p, FIRST, "topics"), p))
+    tried = experiments.with_mmrs(base("choose"), penalties, FIRST, "topics", own="category_profile_manual")
+    penalty = F.coalesce(*(F.when(F.col("arm") == name, F.lit(p)) for name, p in penalties.items()))
+    sweep = experiments.measure(tried, [], CUTOFFS, FIRST).withColumn("penalty", penalty)
     best = experiments.choose_penalty(sweep, "category_profile_manual", FIRST).first()
-    judged = ["arm", "request_id", "label", "rank"]
-    test = experiments.rank_arms(later.where("split = 'test'"), arms, ["label"]).select(*judged)
-    compared = ["als_recall_manual", "lambdarank"]
+    measured = lambda ranking: evaluation.request_metrics(ranking, ["arm", "request_id"], "label", CUTOFFS)
+    test, compared = measured(experiments.rank_arms(later.where("split = 'test'"), arms, ["label"])), ["als_recall_manual", "lambdarank"]
     if best:
-        test = test.unionByName(experiments.with_mmr(base("test"), best.arm, best.penalty, FIRST, "topics").select(*judged))
+        test = test.unionByName(measured(experiments.with_mmr(base("test"), best.arm, best.penalty, FIRST, "topics")))
         compared.append(best.arm)
-    test = staged(test, "test")
-    out = None
-    for arm in compared:
-        one = experiments.compare_arms(test, "category_profile_manual", arm, CUTOFFS).select(F.lit(arm).alias("arm"), "metric", "delta", "low", "high", "direction")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return experiments.compare_measured(test, "category_profile_manual", compared)
 
 
 _ARM_HITS = ("al AS (SELECT ask, topic_id FROM (SELECT ask, topic_id, row_number() OVER (PARTITION BY ask ORDER BY news_count DESC, topic_id) AS k FROM sa JOIN tp ON lower(display_name) = lower(trim(asked))) WHERE k = 1)",

@@ -170,3 +170,52 @@ def test_lists_are_compared_many_at_a_time_as_pairs_are(spark):
     want = {r.request_id: r.s for r in pairs.collect()}
     got = {r.request_id: r.similarity for r in quality.collect()}
     assert len(got) == len({r for r, *_ in rows}) and all(abs(s - want.get(r, 0.0)) < 1e-12 for r, s in got.items())
+
+
+def test_lists_with_factors_are_compared_many_at_a_time(spark):
+    """Pairs with factors went through functions of arrays, a list at a time."""
+    from presswork.functions import text
+
+    rng = np.random.default_rng(2)
+    vector = lambda r, k: None if (r + k) % 5 == 0 else [0.0] * 3 if (r + k) % 7 == 0 else rng.normal(size=3).tolist()
+    rows = [(r, k, [["a", "b"], ["b"], ["c", "a"], []][(r + k) % 4], f"c{k % 2}", vector(r, k)) for r in range(30) for k in range(1, r % 7 + 1)]
+    ranking = spark.createDataFrame(rows, "request_id int, rank int, topics array<string>, category string, factors array<float>")
+    quality = experiments.list_quality(ranking, ["request_id"], "topics", 5)
+    assert "ArrowEvalPython" in quality._jdf.queryExecution().toString()
+    a, b = (ranking.where("rank <= 5").select("request_id", F.col("rank").alias(f"r{x}"), F.col("topics").alias(f"t{x}"), F.col("factors").cast("array<double>").alias(f"f{x}")) for x in "ab")
+    alike = text.hybrid_similarity(text.cosine(F.col("fa"), F.col("fb")), F.col("ta"), F.col("tb"))
+    want = {r.request_id: r.s for r in a.join(b, "request_id").where("ra < rb").groupBy("request_id").agg(F.avg(alike).alias("s")).collect()}
+    got = {r.request_id: r.similarity for r in quality.collect()}
+    assert len(got) == 25 and all(abs(s - want.get(r, 0.0)) < 1e-6 for r, s in got.items())
+    dots = ranking.select(experiments.product(F.col("factors"), F.col("factors")).alias("p"), "factors").collect()
+    assert all((r.p is None) == (r.factors is None) and (r.p is None or r.p == pytest.approx(sum(x * x for x in r.factors))) for r in dots)
+
+
+def test_all_penalties_take_one_pass_and_no_join(spark):
+    rng = np.random.default_rng(6)
+    rows = [(q, i, int(rng.integers(0, 2)), "c", [f"t{x}" for x in rng.integers(0, 3, 2)], float(rng.integers(0, 9)) / 10) for q in range(40) for i in range(q % 8 + 1)]
+    candidates = spark.createDataFrame(rows, "request_id int, article_id int, label int, category string, topics array<string>, s double")
+    ranked = experiments.rank_arms(candidates, {"own": F.col("s")}, ["label", "category", "topics"])
+    arms = experiments.with_mmrs(ranked, {"some": 0.1, "much": 0.9}, 3, "topics", own="own")
+    plan = arms._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    got = {(r.arm, r.request_id, r.article_id): r["rank"] for r in arms.collect()}
+    want = {("own", r.request_id, r.article_id): r["rank"] for r in ranked.collect()}
+    for name, penalty in (("some", 0.1), ("much", 0.9)):
+        first = feed.rerank_mmr(ranked.withColumn("relevance", F.col("score")), 3, penalty).collect()
+        chosen = {(r.request_id, r.article_id): r["rank"] for r in first}
+        for q in range(40):
+            order = sorted((k for k in want if k[0] == "own" and k[1] == q), key=lambda k: (chosen.get(k[1:], 99), want[k]))  # noqa: B023
+            want.update({(name, *k[1:]): n for n, k in enumerate(order, 1)})
+    assert got == want and len(got) == 3 * len(rows)
+
+
+def test_several_arms_are_compared_with_one_bootstrap(spark):
+    per = spark.createDataFrame([(a, q, m * q / 10, 0.5) for q in range(50) for a, m in (("base", 1.0), ("same", 1.0), ("twice", 2.0))], "arm string, request_id int, mrr double, recall_1 double")
+    got = {(r.arm, r.metric): r for r in experiments.compare_measured(per, "base", ["same", "twice"], iterations=200).collect()}
+    assert got["same", "mrr"].delta == 0 and got["same", "mrr"].direction == "open" and got["twice", "recall_1"].direction == "open"
+    twice = got["twice", "mrr"]
+    assert len(got) == 4 and twice.delta == pytest.approx(2.45) and twice.low < 2.45 < twice.high and twice.direction == "better" and twice.high - twice.low < 1.2
+    draws = evaluation._poisson_of_one(np.random.default_rng(1), (1000, 1000))
+    share = np.bincount(draws.ravel(), minlength=5)[:5] / draws.size
+    assert np.allclose(share, [np.exp(-1) / x for x in (1, 1, 2, 6, 24)], atol=3e-3) and abs(draws.var() - 1) < 0.01
