@@ -8,6 +8,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,21 @@ def test_near_titles_of_documents_equal_brute_force(spark):
     want = {(i, j) for k, (i, a) in enumerate(docs) for j, b in docs[k + 1 :] if (j - i) * 60 <= 86_400 and len(a & b) >= 0.92 * len(a | b)}
     got = [(r.a, r.b) for r in registry.QUERIES["j14_near_title_pairs"](spark, FOLDER).collect()]
     assert len(got) == len(set(got)) == len(want) > 100 and set(got) == want
+
+
+def test_users_of_a_topic_go_through_its_campaigns_together(spark, duck, monkeypatch):
+    """Every user had its own run of campaigns, made by few tasks; now a campaign is a run, and tasks make a bounded number of rows."""
+    monkeypatch.setattr("presswork.plans.feed_queries.PAIRS_EACH", 500)
+    got = registry.QUERIES["c9_ad_eligibility"](spark, FOLDER.replace("sf0.001", "sf0.01"))
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+
+    def runs(batches):
+        last, rows_, n = None, 0, 0
+        for batch in batches:
+            for c in batch.column("campaign_id").to_pylist():
+                rows_, n, last = rows_ + 1, n + (c != last), c
+        yield pa.RecordBatch.from_arrays([pa.array([rows_]), pa.array([n])], names=["rows", "runs"])
+
+    total = got.mapInArrow(runs, "rows long, runs long").agg(F.sum("rows").alias("rows"), F.sum("runs").alias("runs")).first()
+    assert total["rows"] > 4000 and total.runs * 8 < total["rows"]
+    check_against(spark, duck, "c9_ad_eligibility")
